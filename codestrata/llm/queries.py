@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import substring_dedup
+from codestrata.llm import simhash_dedup, substring_dedup
 from codestrata.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(read_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = simhash_dedup.link_documents(read_table(spark, sf_dir, "documents"))
+    return linked.select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -6,12 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import simhash_dedup, substring_dedup
+from codestrata.llm import shard_tree, simhash_dedup, substring_dedup, token_blocks
 from codestrata.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The vocabulary file of op9; a path, or None for that of the public tokenizers that are installed.
+TOKENIZER: str | None = None
+SHARDS = 16
+
+
+def tokenizer_path() -> str:
+    if TOKENIZER:
+        return TOKENIZER
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = shard_tree.hash_tree(SHARDS), shard_tree.hash_tree(SHARDS + 1)
+    return shard_tree.number_shards(read_table(spark, sf_dir, "documents"), *trees)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(read_table(spark, sf_dir, "documents"), digest=True)
 
@@ -21,9 +39,15 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", "fingerprint", "component_id")
 
 
+def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.token_digest(read_table(spark, sf_dir, "documents"), tokenizer_path()).drop("file")
+
+
 QUERIES: dict[str, Query] = {
+    "op3_hash_tree_shards": op3_hash_tree_shards,
     "op4_substring_dedup": op4_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_token_blocks": op9_token_blocks,
 }
 
 ORACLE_SQL: dict[str, str] = {

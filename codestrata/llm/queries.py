@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from codestrata.llm import shard_tree, simhash_dedup, substring_dedup, token_blocks
+from pyspark.sql import functions as F
+
+from codestrata.llm import (
+    decontaminate,
+    license_scan,
+    pfair_mix,
+    preference_format,
+    quality_rules,
+    shard_tree,
+    simhash_dedup,
+    substring_dedup,
+    token_blocks,
+    topk_search,
+)
 from codestrata.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +37,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality_rules.fit_quality(docs, read_table(spark, sf_dir, "labels"))
+    return quality_rules.score_documents(docs, model)
+
+
+def op2_branch_and_bound_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = shard_tree.hash_tree(SHARDS), shard_tree.hash_tree(SHARDS + 1)
     return shard_tree.number_shards(read_table(spark, sf_dir, "documents"), *trees)
@@ -34,23 +56,88 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(read_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mix.mix_sources(read_table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = simhash_dedup.link_documents(read_table(spark, sf_dir, "documents"))
     return linked.select("doc_id", "fingerprint", "component_id")
 
 
+def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring conversations make a pair: the even one is chosen, the odd one rejected."""
+    pair, rejected = F.shiftright("conv_id", 1), F.col("conv_id").bitwiseAND(F.lit(1)) == 1
+    rows = preference_format.preference_rows(read_table(spark, sf_dir, "conversations"), pair, rejected)
+    spans = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["start"], s["stop"])))
+    return rows.withColumn("chosen_learnt", spans("chosen_learnt")).withColumn("rejected_learnt", spans("rejected_learnt"))
+
+
 def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.token_digest(read_table(spark, sf_dir, "documents"), tokenizer_path()).drop("file")
 
 
+def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_branch_and_bound_topk": op2_branch_and_bound_topk,
     "op3_hash_tree_shards": op3_hash_tree_shards,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_pfair_mix": op5_pfair_mix,
+    "op6_license_scan": op6_license_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_preference_format": op8_preference_format,
     "op9_token_blocks": op9_token_blocks,
+    "op10_qgram_decontamination": op10_qgram_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_branch_and_bound_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM s QUALIFY rank <= 10
+    """,
+    "op8_preference_format": """
+        WITH t AS (
+            SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
+            FROM conversations WHERE conv_id IS NOT NULL),
+        r AS (SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line FROM t),
+        d AS (
+            SELECT coalesce(c.pair_id, j.pair_id) AS pair_id, min(coalesce(c.i, j.i)) AS first_other
+            FROM (SELECT * FROM r WHERE side = 0) c FULL JOIN (SELECT * FROM r WHERE side = 1) j ON c.pair_id = j.pair_id AND c.i = j.i
+            WHERE (c.role = j.role AND c.text = j.text) IS NOT TRUE GROUP BY ALL),
+        n AS (SELECT pair_id, count(*) FILTER (side = 0) AS turns FROM r GROUP BY pair_id),
+        p AS (SELECT pair_id, coalesce(first_other - 1, turns) AS n_common FROM n LEFT JOIN d USING (pair_id)),
+        o AS (
+            SELECT r.*, n_common, i <= n_common AS common,
+                   coalesce(sum(length(line)) OVER (PARTITION BY conv_id, i <= n_common ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM r JOIN p USING (pair_id)),
+        l AS (
+            SELECT *, CASE WHEN role = 'assistant' AND NOT common
+                      THEN (before + 13 + length(role))::BIGINT || ':' || (before + length(line))::BIGINT END AS span FROM o)
+        SELECT pair_id, min(conv_id) FILTER (side = 0) AS chosen_id, min(conv_id) FILTER (side = 1) AS rejected_id, min(n_common)::INTEGER AS n_common,
+               coalesce(string_agg(line, '' ORDER BY i) FILTER (side = 0 AND common), '') AS prompt,
+               coalesce(string_agg(line, '' ORDER BY i) FILTER (side = 0 AND NOT common), '') AS chosen,
+               coalesce(string_agg(span, ',' ORDER BY i) FILTER (side = 0), '') AS chosen_learnt,
+               coalesce(string_agg(line, '' ORDER BY i) FILTER (side = 1 AND NOT common), '') AS rejected,
+               coalesce(string_agg(span, ',' ORDER BY i) FILTER (side = 1), '') AS rejected_learnt
+        FROM l GROUP BY pair_id
+    """,
     "op4_substring_dedup": r"""
         WITH d AS (
             SELECT row_number() OVER () AS rid, doc_id,

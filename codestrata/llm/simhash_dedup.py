@@ -5,8 +5,6 @@ differs in at most one bit. Each fingerprint is indexed once for every segment a
 fingerprints whose segment differs in at most one bit meet in such a variant. Meetings are verified over all 64 bits.
 """
 
-from __future__ import annotations
-
 from itertools import combinations
 
 import numpy as np
@@ -15,8 +13,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from codestrata.llm.common import cut_lineage, shuffle_partitions
+from codestrata.llm.common import cut_lineage, shuffle_partitions, text_keys
 from codestrata.llm.components import star_components
 
 SEED = 42
@@ -184,6 +183,15 @@ def near_links(fps: DataFrame, distance: int = 3) -> DataFrame:
     return met.where("kind = 0").union(again.where("kind = 0")).select("a", "b").distinct()
 
 
+def _named(digest: DataFrame, distance: int) -> DataFrame:
+    """(fp_of, root_of, component_id) of each distinct fingerprint of the rows (id_of_row, fp)."""
+    first = digest.groupBy("fp").agg(F.min("id_of_row").alias("first_id"))
+    roots = star_components(near_links(first.select("fp"), distance))
+    labelled = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "root_of")
+    return labelled.join(smallest, F.col("root") == F.col("root_of")).select(F.col("fp").alias("fp_of"), "root_of", "component_id")
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, width: int = 3) -> DataFrame:
     """For each row: the id, ``fp`` (the fingerprint as a signed long), ``fingerprint`` (16 hexadecimal digits) and
     ``component_id``, the smallest id that links of at most ``distance`` differing bits reach, its own included.
@@ -195,10 +203,23 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ignored. An empty table gives an empty result.
     """
     digest = cut_lineage(docs.select(F.col(id_col).alias("id_of_row"), fingerprint_column(F.col(text_col), width).alias("fp")))
-    first = digest.groupBy("fp").agg(F.min("id_of_row").alias("first_id"))
-    roots = star_components(near_links(first.select("fp"), distance))
-    labelled = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "root_of")
-    named = labelled.join(smallest, F.col("root") == F.col("root_of")).select(F.col("fp").alias("fp_of"), "component_id")
-    out = digest.join(named, F.col("fp") == F.col("fp_of"))
+    out = digest.join(_named(digest, distance), F.col("fp") == F.col("fp_of"))
     return out.select(F.col("id_of_row").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, width: int = 3) -> DataFrame:
+    """One row of ``docs`` from each component: that of the smallest id (null ids last, then by a hash of the text).
+
+    Copies of a text are thinned out in the tasks that read them, before texts move.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    k1, k2 = text_keys(text)
+    digest = cut_lineage(docs.select(F.col(id_col).alias("id_of_row"), k1, k2, fingerprint_column(F.col(text_col), width).alias("fp")))
+    place = F.struct(F.col("id_of_row").isNull().alias("no_id"), "id_of_row", "k1", "k2")
+    texts = digest.groupBy("fp", "k1", "k2").agg(F.min(place).alias("place"))
+    chosen = texts.join(_named(digest, distance), F.col("fp") == F.col("fp_of")).groupBy("root_of").agg(F.min("place").alias("place"))
+    chosen = chosen.select(F.col("place.k1").alias("c1"), F.col("place.k2").alias("c2"))
+    rows = docs.select(F.struct("*").alias("row"), k1, k2).withColumn("id_of_row", F.col(f"row.`{id_col}`"))
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.col("id_of_row").asc_nulls_last()))
+    rows = rows.withColumn("nth", nth).where("nth = 1")
+    return rows.join(chosen, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left_semi").select("row.*")

@@ -142,7 +142,7 @@ def result_id(owner: Column | str, repo: Column | str, commit: Column | str) ->
 
 def display_number(x: Column | str, digits: int = 2) -> Column:
     v = col(x).cast("double")
-    return F.when(v == F.floor(v), F.format_string("%d", v.cast("long"))).otherwise(F.format_string(f"%.{digits}f", v))
+    return F.when(v == F.floor(v), F.format_string("%d", v.cast("long"))).when(v.isNotNull(), F.format_string(f"%.{digits}f", v))
 
 
 def export_name(result: Column | str, commit: Column | str, stamp: Column | str) -> Column:

@@ -62,16 +62,17 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_of_row, one double column for each statistic)."""
+def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(id_of_row, the ``carried`` long columns, one double column for each statistic)."""
+    names = ["id_of_row", *carried]
 
     def run(batches):
         for batch in batches:
             rows = np.array([statistics(t) for t in batch.column("text").to_pylist()], dtype=np.float64).reshape(batch.num_rows, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column("id_of_row"), *(pa.array(rows[:, k]) for k in range(len(STATISTICS)))], names=["id_of_row", *STATISTICS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(rows[:, k]) for k in range(len(STATISTICS)))], names=[*names, *STATISTICS])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id_of_row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id_of_row long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    rows = docs.select(F.col(id_col).cast("long").alias("id_of_row"), *carried, F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, ", ".join([f"{c} long" for c in names] + [f"{s} double" for s in STATISTICS]))
 
 
 @dataclass(frozen=True)
@@ -209,14 +210,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     Rows without an id or label teach nothing; several labels of one id count by their majority, ties as 1.
     """
     taught = labels.select(F.col(id_col).cast("long").alias("taught"), F.col(label_col).cast("double").alias("label")).dropna()
-    taught = taught.where(~held_out_column(F.col("taught"))).groupBy("taught").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+    taught = taught.where(~held_out_column(F.col("taught"))).groupBy("taught").agg((F.avg("label") >= 0.5).cast("long").alias("label"))
     taught = taught.orderBy(F.xxhash64("taught"), "taught").limit(fit_rows)
     # At most fit_rows lines of two numbers: small enough to send to every task, so the texts stay where they are.
-    rows = docs.select(F.col(id_col).cast("long").alias("taught"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(taught), "taught").orderBy(F.xxhash64("taught"), "taught", F.xxhash64("text")).limit(fit_rows)
-    found = with_statistics(rows.withColumn("packed", F.col("label")), "packed").toArrow()
+    rows = docs.select(F.col(id_col).cast("long").alias("taught"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("of_text"))
+    rows = with_statistics(rows.join(F.broadcast(taught), "taught"), "taught", carried=("label", "of_text"))
+    found = rows.orderBy(F.xxhash64("id_of_row"), "id_of_row", "of_text").limit(fit_rows).toArrow()
     x = np.stack([found.column(s).to_numpy() for s in STATISTICS], axis=1) if found.num_rows else np.zeros((0, len(STATISTICS)))
-    return fit_rules(x, found.column("id_of_row").to_numpy().astype(np.int64))
+    return fit_rules(x, found.column("label").to_numpy().astype(np.int64))
 
 
 def score_documents(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

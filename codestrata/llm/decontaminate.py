@@ -133,7 +133,7 @@ class Index:
         self.least = min((t for _, (_, _, t) in found.values()), default=1)
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, start in the text, stop, edits) of the first passage found of each item, at its fewest edits there."""
+        """(item, start in the text, stop, edits) of each item's first passage within its edits, those that share most q-grams first."""
         out = [(k, at, at + len(t), 0) for k, t in self.short if (at := text.find(t)) >= 0]
         codes = _codes(text)
         g = _grams(codes, self.settings.q)
@@ -186,7 +186,8 @@ class Index:
             there[item_at[rows[order[lo:hi]]] + 1] = 1
             sums = np.cumsum(there)
             starts = np.arange(len(passage) - n + 1)
-            enough = starts[sums[starts + n - self.settings.q + 1] - sums[starts] >= least]
+            shared = sums[starts + n - self.settings.q + 1] - sums[starts]
+            enough = starts[np.argsort(-shared, kind="stable")][: int((shared >= least).sum())]  # those that share most go first
             low = int(both[order[lo]]) * step
             for s in enough.tolist():
                 first = max(0, s + low)

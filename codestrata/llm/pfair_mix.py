@@ -38,8 +38,8 @@ def whole_shares(weights: dict[str | None, float], period: int) -> dict[str | No
         shares[order[at % len(order)]] += 1
         at += 1
     while (over := sum(shares.values()) - period) > 0:  # the floor of one slot may have given too many
-        for s in sorted(shares, key=lambda s: (exact[s] - shares[s], s is None, s or ""))[:over]:
-            shares[s] -= shares[s] > 1
+        for s in sorted((s for s in shares if shares[s] > 1), key=lambda s: (exact[s] - shares[s], s is None, s or ""))[:over]:
+            shares[s] -= 1
     return shares
 
 

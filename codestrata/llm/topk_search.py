@@ -69,11 +69,11 @@ def _pack(most: int):
     return pack
 
 
-def _grid(dim: int, kind: int, data: bytes) -> np.ndarray:
-    """(dim, n) numbers: doubles where they are exact, else Python's."""
+def _grid(dim: int, n: int, kind: int, data: bytes) -> np.ndarray:
+    """(dim, n) whole numbers: of 16 or 64 bits, or Python's where those do not hold them."""
     if kind == 2:
-        return np.array([[int(x) for x in line.split()] for line in data.decode().split("\n")], dtype=object).T.reshape(dim, -1)
-    return np.frombuffer(data, dtype=np.int64 if kind else np.int16).reshape(dim, -1)
+        return np.array([[int(x) for x in line.split()] for line in data.decode().split("\n")], dtype=object).T.reshape(dim, n)
+    return np.frombuffer(data, dtype=np.int64 if kind else np.int16).reshape(dim, n)
 
 
 class Best:
@@ -90,7 +90,7 @@ class Best:
         most = [int(max(abs(int(g.max(initial=0))), abs(int(g.min(initial=0))))) if g.size else 0 for g in (self.grid, grid)] if grid.dtype != object and self.grid.dtype != object else None
         narrow = most is not None and most[0] * most[1] * max(1, len(grid)) < 2**52
         columns = grid.astype(np.float64) if narrow else grid.astype(object)
-        squares = columns.astype(np.float64) ** 2
+        squares = columns**2 if narrow else columns
         for q in range(len(self.ids)):
             self._one(q, ids, columns, squares, narrow)
 
@@ -119,7 +119,7 @@ class Best:
                         return
         if not len(mine):
             return
-        score = np.concatenate([self.score[q], score if narrow else np.array([int(s) for s in score], dtype=object)])
+        score = np.concatenate([self.score[q], score if narrow else np.array([max(-_LONG, min(_LONG - 1, int(s))) for s in score], dtype=object)])
         found = np.concatenate([self.found[q], ids[mine]])
         if len(score) > 4 * self.k and narrow:
             edge = np.partition(score.astype(np.float64), len(score) - self.k)[len(score) - self.k]
@@ -135,7 +135,7 @@ def _search(k: int):
         cell, best = None, {}
 
         def done():
-            rows = [(int(b.ids[q]), n, f, max(-_LONG, min(_LONG - 1, s))) for n, b in enumerate(best.values()) for q in range(len(b.ids)) for s, f in zip(b.score[q], b.found[q].tolist(), strict=True)]
+            rows = [(int(b.ids[q]), n, f, s) for n, b in enumerate(best.values()) for q in range(len(b.ids)) for s, f in zip(b.score[q], b.found[q].tolist(), strict=True)]
             block = list(best)
             names = ("query_id", "block", "query", "vec_id", "score")
             number = [q for b in best.values() for q in range(len(b.ids)) for _ in b.found[q]]
@@ -149,9 +149,10 @@ def _search(k: int):
                     if best:
                         yield done()
                     cell, best = here, {}
+                asked, ids = np.frombuffer(r["q_ids"], dtype=np.int64), np.frombuffer(r["ids"], dtype=np.int64)
                 if r["block"] not in best:
-                    best[r["block"]] = Best(np.frombuffer(r["q_ids"], dtype=np.int64), _grid(r["dim"], r["q_kind"], r["q_data"]), k)
-                best[r["block"]].meet(np.frombuffer(r["ids"], dtype=np.int64), _grid(r["dim"], r["kind"], r["data"]))
+                    best[r["block"]] = Best(asked, _grid(r["dim"], len(asked), r["q_kind"], r["q_data"]), k)
+                best[r["block"]].meet(ids, _grid(r["dim"], len(ids), r["kind"], r["data"]))
         if best:
             yield done()
 
@@ -161,8 +162,8 @@ def _search(k: int):
 def top_k(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k highest scores of each row for which ``query`` holds: query_id, rank (from 1), the id and score, ties to the smaller id.
 
-    Components become floor(1024 * x) as whole numbers; the score is their inner product, exact at any size
-    (clamped to 64 bits at the end). Candidates are all rows but those with the query's id, of its length. Rows with a
+    Components become floor(1024 * x) as whole numbers; the score is their inner product, exact at any size;
+    what 64 bits do not hold counts as their largest or smallest number. Candidates are all rows but those with the query's id, of its length. Rows with a
     null id or a null or non-finite component take no part. Fewer than k candidates give fewer rows. Repeated rows
     count each, as queries and as candidates. Other columns are ignored. An empty table gives an empty result.
     """
@@ -170,12 +171,12 @@ def top_k(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id"
     packed = "dim int, kind int, ids binary, data binary"
     cols = [F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")]
     blocks = vectors.select(*cols).mapInArrow(_pack(VECTORS), packed)
-    # A query block gets its number from its bytes, so it is the same whenever it is made again; blocks alike in all bytes are one.
+    # Query blocks are numbered in their checkpoint, where they keep their places whatever runs again.
     asked = cut_lineage(vectors.where(query).select(*cols).repartition(max(1, -(-vectors.where(query).count() // QUERIES)), F.col("id")).mapInArrow(_pack(QUERIES), packed))
     columns = max(1, -(-asked.count() // 4))
     rows = max(1, -(-shuffle_partitions(spark) // columns))
-    asked = asked.select("dim", F.col("kind").alias("q_kind"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.xxhash64("ids", "data").alias("block"))
-    asked = asked.withColumn("column", F.pmod("block", F.lit(columns)).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    asked = asked.select("dim", F.col("kind").alias("q_kind"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.monotonically_increasing_id().alias("block"))
+    asked = asked.withColumn("column", F.pmod(F.xxhash64("block"), F.lit(columns)).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     met = blocks.withColumn("row", F.pmod(F.xxhash64("ids", "data"), F.lit(rows)).cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
     met = met.join(asked, ["column", "row", "dim"]).sortWithinPartitions("column", "row", "block")
     found = met.select("column", "row", "block", "dim", "kind", "ids", "data", "q_kind", "q_ids", "q_data").mapInArrow(_search(k), "query_id long, block long, query int, vec_id long, score long")

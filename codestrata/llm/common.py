@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def worker_memory(name: str) -> dict:
+    """A dictionary that lasts as long as a Python worker's process, over its tasks; callers bound what they keep in it."""
+    home = sys.modules.setdefault("_codestrata_worker", types.ModuleType("_codestrata_worker"))
+    return home.__dict__.setdefault(name, {})
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -47,16 +55,16 @@ def total_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
-def gapless(df: DataFrame, group: list[str], order: list[str], buckets: int = 1024, copies: str | None = None) -> DataFrame:
+def gapless(df: DataFrame, group: list[str], order: list[str], buckets: int = 1024, copies: str | None = None, spread: list[str] | None = None) -> DataFrame:
     """Adds ``pos``: 0, 1, 2, ... within each group, without putting a group into one task.
 
-    Rows go to ``buckets`` sub-groups of their group by a hash of the ``order`` columns and are numbered
-    there; the sizes of the sub-groups, at most ``buckets`` a group, give each its offset. A row that stands for
-    several (``copies``) takes as many numbers. Rows that agree in all ``order`` columns go to one
+    Rows go to ``buckets`` sub-groups of their group by a hash of the ``spread`` columns (those of ``order`` by default) and are
+    numbered there; the sizes of the sub-groups, at most ``buckets`` a group, give each its offset. A row that stands for
+    several (``copies``) takes as many numbers. Rows that agree in those columns go to one
     sub-group, so callers sum them up in ``copies`` first.
     """
     sub = [*group, "sub"]
-    d = df.withColumn("sub", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    d = df.withColumn("sub", F.pmod(F.xxhash64(*(spread or order)), F.lit(buckets)).cast("int"))
     w = Window.partitionBy(*sub).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     if copies:

@@ -120,7 +120,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     # Tables of the driver's making: a row a source and a row a slot of the period, both bounded by the parameters.
     sources = spark.createDataFrame([(s, shares[s], blocks[s], dealt[s]) for s in counts], "source_of string, share long, blocks long, dealt long")
     slots = spark.createDataFrame([(s, k, t) for t, (s, k) in enumerate(schedule)], "source_at string, k long, t long")
-    placed = gapless(rows, ["source"], ["by_1", "by_2", *kept], copies="copies")
+    placed = gapless(rows, ["source"], ["by_1", "by_2", *kept], copies="copies", spread=["by_1", "by_2"])
     placed = placed.withColumn("pos", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("copies") - 1)))
     placed = placed.withColumn("block", F.expr(f"pos div {block_docs}")).withColumn("at", (F.col("pos") % block_docs).cast("int"))
     placed = placed.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("source_of")))

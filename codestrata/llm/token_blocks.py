@@ -16,6 +16,7 @@ block is filled with its minimum. The index of block starts lets a reader decode
 from __future__ import annotations
 
 import posixpath
+import re
 import struct
 import uuid
 import zlib
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codestrata.llm.common import checkpoint_dir, cut_lineage, shuffle_partitions, total_bytes
+from codestrata.llm.common import checkpoint_dir, cut_lineage, shuffle_partitions, total_bytes, worker_memory
 
 MAGIC = b"PFOR1\0\0\0"
 BLOCK = 1024
@@ -35,7 +36,10 @@ PERCENTILE = 95
 FILE_IDS = 8 << 20
 TASK_BYTES = 16 << 20
 END_ID = 1
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
+CACHE_PARTS = 1 << 20
+#: Blocks that are packed or unpacked at a time.
+CHUNK = 512
 BROADCAST_FILES = 100_000
 _HEAD = "<8sIIQII"
 
@@ -67,19 +71,13 @@ def unpack_bits(words: np.ndarray, width: int, block: int) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> bytes:
-    """The bytes of a file; ids: those of all its documents, one after the other."""
-    ids = np.asarray(ids, dtype=np.uint32)
-    n = -(-len(ids) // block)
-    grid = np.empty((n, block), dtype=np.uint32)
-    grid.reshape(-1)[: len(ids)] = ids
-    if len(ids) % block:
-        grid.reshape(-1)[len(ids) :] = grid[-1, : len(ids) % block].min()
-    low = grid.min(axis=1) if n else np.zeros(0, dtype=np.uint32)
-    grid -= low[:, None]
+def _encode_blocks(grid: np.ndarray, percentile: int) -> list[bytes]:
+    block = grid.shape[1]
+    low = grid.min(axis=1)
+    grid = grid - low[:, None]
     at = min(block - 1, block * percentile // 100)
-    width = np.ceil(np.log2(np.partition(grid, at, axis=1)[:, at].astype(np.float64) + 1)).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
-    out: list[bytes] = [b""] * n
+    width = np.ceil(np.log2(np.partition(grid, at, axis=1)[:, at].astype(np.float64) + 1)).astype(np.int64)
+    out: list[bytes] = [b""] * len(grid)
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         part = grid[rows]
@@ -88,6 +86,19 @@ def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray,
         for k, r in enumerate(rows):
             place = np.flatnonzero(over[k]).astype("<u2")
             out[r] = struct.pack("<IBBH", low[r], w, 0, len(place)) + packed[k].tobytes() + place.tobytes() + part[k][place].astype("<u4").tobytes()
+    return out
+
+
+def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> bytes:
+    """The bytes of a file; ids: those of all its documents, one after the other."""
+    ids = np.asarray(ids, dtype=np.uint32)
+    whole = len(ids) // block
+    out: list[bytes] = []
+    for at in range(0, whole, CHUNK):
+        out += _encode_blocks(ids[at * block : min(at + CHUNK, whole) * block].reshape(-1, block), percentile)
+    if rest := ids[whole * block :].tolist():
+        out += _encode_blocks(np.array([rest + [min(rest)] * (block - len(rest))], dtype=np.uint32), percentile)
+    n = len(out)
     null = np.array([d is None for d in doc_ids], dtype=bool)
     flags = np.packbits(null, bitorder="little").tobytes()
     table = np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes() + flags + b"\0" * (-len(flags) % 8) + np.asarray(lengths, dtype="<u4").tobytes()
@@ -134,37 +145,68 @@ class TokenFile:
         start, stop = max(0, start), min(stop, self.n_ids)
         if stop <= start:
             return np.zeros(0, dtype=np.uint32)
-        first = start // self.block
-        return self.blocks(first, -(-stop // self.block))[start - first * self.block : stop - first * self.block]
+        first, last = start // self.block, -(-stop // self.block)
+        parts = [self.blocks(at, min(at + CHUNK, last)) for at in range(first, last, CHUNK)]
+        return np.concatenate(parts)[start - first * self.block : stop - first * self.block]
+
+
+#: Byte-level models write a byte that is no printable character of Latin-1 as one of the characters from 256 on, in order.
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
 
 class WordEncoder:
-    """Encodes whole texts with a tokenizer that drops white space, word by word with a memory of words.
+    """Encodes whole texts with a tokenizer that drops white space and lower-cases, with a memory of words.
 
-    The tokenizer's pre-tokenizer cuts at white space and never sees across it, so the ids of a text are those of
-    its words, one after the other. ``plain`` tokenizers, for which that does not hold, get whole texts.
+    The pre-tokenizer cuts at white space and between letters and marks, and the model never sees across a cut. So the
+    ids of a text are those of its words, one after the other, and those of letters followed by marks are those of the
+    letters in lower case and then those of the marks, each of which the byte-level model takes as one piece. Words of other characters are encoded as they are. ``plain``
+    tokenizers, for which that does not hold, get whole texts. Ids come as little-endian 32-bit numbers.
     """
 
-    def __init__(self, path: str, plain: bool = False):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.plain = Tokenizer.from_file(path), plain
-        self.known: dict[bytes, list[int]] = {}
+    #: Letters that lower-casing and normal forms treat one by one, then marks; an apostrophe may belong to the letters before it.
+    PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
+    def __init__(self, path: str, plain: bool = False):
+        memory = worker_memory(f"tokenizer {path}")
+        if not memory:
+            from tokenizers import Tokenizer
+
+            memory |= {"tokenizer": Tokenizer.from_file(path), "words": {}, "parts": {}}
+        self.tokenizer, self.words, self.parts, self.plain = memory["tokenizer"], memory["words"], memory["parts"], plain
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        parts, tokenize = self.parts, self.tokenizer.model.tokenize
+        cut, whole = [], []
+        for w in map(bytes.decode, new):
+            if m := self.PARTS.fullmatch(w):
+                cut.append((m[1].lower(), m[2]))
+                for p in cut[-1]:
+                    if p and p not in parts:  # one pre-token as it is, in the model's alphabet
+                        letters = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                        parts[p] = np.array([t.id for t in tokenize(letters)], dtype="<u4").tobytes()
+            else:
+                cut.append((w,))
+                if w not in parts:
+                    whole.append(w)
+        parts.update(zip(whole, self._whole(whole), strict=True))
+        for w, ps in zip(new, cut, strict=True):
+            self.words[w] = b"".join([self.parts[p] for p in ps if p])
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         if self.plain:
-            return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return self._whole(texts)
         cut = [t.encode().split() for t in texts]
-        known = self.known
-        new = list({w for ws in cut for w in ws if w not in known})
-        for at in range(0, len(new), 1 << 14):
-            part = new[at : at + (1 << 14)]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = e.ids
-        out = [[i for w in ws for i in known[w]] for ws in cut]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        return out
+        words = self.words
+        if len(words) > CACHE_WORDS:
+            words.clear()
+        if new := {w for ws in cut for w in ws}.difference(words):
+            self._learn(list(new))
+        return [b"".join([words[w] for w in ws]) for ws in cut]
 
 
 def _write(path: str, name: str, data: bytes) -> str:
@@ -183,12 +225,13 @@ def _writer(path: str, tokenizer: str, end_id: int, block: int, percentile: int,
         encoder = WordEncoder(tokenizer, plain)
         docs: list[int | None] = []
         lengths: list[int] = []
-        ids: list[np.ndarray] = []
+        ids: list[bytes] = []
+        end = struct.pack("<I", end_id)
         held = part = number = 0
 
         def flush():
             nonlocal held, number
-            data = encode_file(docs, np.array(lengths), np.concatenate(ids), block, percentile)
+            data = encode_file(docs, np.array(lengths), np.frombuffer(b"".join(ids), dtype="<u4"), block, percentile)
             row = (part, number, _write(path, f"part-{part:06d}-{number:06d}", data), len(docs), held)
             docs.clear(), lengths.clear(), ids.clear()
             held, number = 0, number + 1
@@ -199,13 +242,13 @@ def _writer(path: str, tokenizer: str, end_id: int, block: int, percentile: int,
             if not batch.num_rows:
                 continue
             part = batch.column("part")[0].as_py()
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                piece = batch.slice(at, 128)
                 for d, got in zip(piece.column("id_of_row").to_pylist(), encoder(piece.column("text").to_pylist()), strict=True):
                     docs.append(d)
-                    lengths.append(len(got) + 1)
-                    ids.append(np.array([*got, end_id], dtype=np.uint32))
-                    held += len(got) + 1
+                    lengths.append(len(got) // 4 + 1)
+                    ids += [got, end]
+                    held += lengths[-1]
                 if held >= file_ids:
                     yield flush()
         if docs:

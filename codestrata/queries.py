@@ -425,5 +425,6 @@ def repo_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of the documents as files of twenty repositories, with orders as the history of one."""
     files = document_files(spark, sf_dir).select(F.col("source").alias("repo_id"), "file", "content", F.lit(None).cast("string").alias("error"))
     repos = files.select("repo_id").distinct().select("repo_id", F.col("repo_id").alias("repo_path"), F.expr("named_struct('type', 'local', 'url', '', 'commit', '', 'branch', '')").alias("source"))
+    files = files.repartition(2 * spark.sparkContext.defaultParallelism, "file")  # one small file of many documents would be parsed by one task
     reports = build_reports(Inputs(repos, files), 901_000_000)
     return features.feature_vectors(reports)

@@ -154,59 +154,68 @@ class TokenFile:
 _BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
 
+class _Words(dict):
+    """Ids of words, learnt when they are first asked for."""
+
+    #: Letters that lower-casing and normal forms treat one by one, then marks; an apostrophe may belong to the letters before it.
+    PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.parts = tokenizer, {}
+
+    def part(self, p: str) -> bytes:
+        """The ids of one pre-token, given to the model in its own alphabet."""
+        got = self.parts.get(p)
+        if got is None:
+            letters = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            got = self.parts[p] = _ids([t.id for t in self.tokenizer.model.tokenize(letters)])
+        return got
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if m := self.PARTS.fullmatch(text):
+            letters, marks = m.groups()
+            got = self.part(letters.lower()) + self.part(marks) if marks else self.part(letters.lower())
+        else:
+            got = _ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self[word] = got
+        return got
+
+    def shrink(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+
+
+def _ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizer that drops white space and lower-cases, with a memory of words.
 
     The pre-tokenizer cuts at white space and between letters and marks, and the model never sees across a cut. So the
     ids of a text are those of its words, one after the other, and those of letters followed by marks are those of the
-    letters in lower case and then those of the marks, each of which the byte-level model takes as one piece. Words of other characters are encoded as they are. ``plain``
-    tokenizers, for which that does not hold, get whole texts. Ids come as little-endian 32-bit numbers.
+    letters in lower case and then those of the marks, each of which the byte-level model takes as one piece. Words
+    of other characters are encoded as they are. ``plain`` tokenizers, for which that does not hold, get whole texts.
+    Ids come as little-endian 32-bit numbers.
     """
 
-    #: Letters that lower-casing and normal forms treat one by one, then marks; an apostrophe may belong to the letters before it.
-    PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-
     def __init__(self, path: str, plain: bool = False):
         memory = worker_memory(f"tokenizer {path}")
-        if not memory:
+        if "words" not in memory:
             from tokenizers import Tokenizer
 
-            memory |= {"tokenizer": Tokenizer.from_file(path), "words": {}, "parts": {}}
-        self.tokenizer, self.words, self.parts, self.plain = memory["tokenizer"], memory["words"], memory["parts"], plain
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[bytes]) -> None:
-        parts, tokenize = self.parts, self.tokenizer.model.tokenize
-        cut, whole = [], []
-        for w in map(bytes.decode, new):
-            if m := self.PARTS.fullmatch(w):
-                cut.append((m[1].lower(), m[2]))
-                for p in cut[-1]:
-                    if p and p not in parts:  # one pre-token as it is, in the model's alphabet
-                        letters = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                        parts[p] = np.array([t.id for t in tokenize(letters)], dtype="<u4").tobytes()
-            else:
-                cut.append((w,))
-                if w not in parts:
-                    whole.append(w)
-        parts.update(zip(whole, self._whole(whole), strict=True))
-        for w, ps in zip(new, cut, strict=True):
-            self.words[w] = b"".join([self.parts[p] for p in ps if p])
-        if len(self.parts) > CACHE_PARTS:
-            self.parts.clear()
+            memory["words"] = _Words(Tokenizer.from_file(path))
+        self.words, self.plain = memory["words"], plain
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.plain:
-            return self._whole(texts)
-        cut = [t.encode().split() for t in texts]
-        words = self.words
-        if len(words) > CACHE_WORDS:
-            words.clear()
-        if new := {w for ws in cut for w in ws}.difference(words):
-            self._learn(list(new))
-        return [b"".join([words[w] for w in ws]) for ws in cut]
+            return [_ids(e.ids) for e in self.words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.words.shrink()
+        of = self.words.__getitem__
+        return [b"".join(map(of, t.encode().split())) for t in texts]
 
 
 def _write(path: str, name: str, data: bytes) -> str:

@@ -207,6 +207,16 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("id_of_row").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def first_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of the smallest id for each text (``place.k1``, ``place.k2``) of ``chosen``."""
+    k1, k2 = text_keys(F.coalesce(F.col(text_col), F.lit("")))
+    chosen = chosen.select(F.col("place.k1").alias("c1"), F.col("place.k2").alias("c2"))
+    rows = docs.select(F.struct("*").alias("row"), k1, k2).withColumn("id_of_row", F.col(f"row.`{id_col}`"))
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.col("id_of_row").asc_nulls_last()))
+    rows = rows.withColumn("nth", nth).where("nth = 1")
+    return rows.join(chosen, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left_semi").select("row.*")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, width: int = 3) -> DataFrame:
     """One row of ``docs`` from each component: that of the smallest id (null ids last, then by a hash of the text).
 
@@ -218,8 +228,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct(F.col("id_of_row").isNull().alias("no_id"), "id_of_row", "k1", "k2")
     texts = digest.groupBy("fp", "k1", "k2").agg(F.min(place).alias("place"))
     chosen = texts.join(_named(digest, distance), F.col("fp") == F.col("fp_of")).groupBy("root_of").agg(F.min("place").alias("place"))
-    chosen = chosen.select(F.col("place.k1").alias("c1"), F.col("place.k2").alias("c2"))
-    rows = docs.select(F.struct("*").alias("row"), k1, k2).withColumn("id_of_row", F.col(f"row.`{id_col}`"))
-    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.col("id_of_row").asc_nulls_last()))
-    rows = rows.withColumn("nth", nth).where("nth = 1")
-    return rows.join(chosen, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left_semi").select("row.*")
+    return first_rows(docs, chosen, id_col, text_col)

@@ -8,7 +8,8 @@ import pytest
 import xxhash
 from helpers import docs, rows, same_rows
 
-from codestrata.llm import components, simhash_dedup, substring_dedup
+import corpus_pipeline
+from codestrata.llm import components, jaccard_dedup, simhash_dedup, substring_dedup
 
 
 def cut(data, window):
@@ -156,3 +157,61 @@ def test_one_of_each(spark):
     want = {min((r[0] is None, r[0] or 0) for r in g) for g in groups.values()}
     assert {(d is None, d or 0) for d, _ in got} == want
     assert simhash_dedup.one_of_each(docs(spark, [])).count() == 0
+
+
+def jaccard_roots(texts, similarity=0.8, width=5):
+    """The smallest index of each text's component, by all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) / len(a | b) >= similarity:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(sets))]
+
+
+def near_copies(dice):
+    words = [f"w{i}" for i in range(500)]
+    out = []
+    for size in (30, 60, 120, 250, 400):
+        base = [dice.choice(words) for _ in range(size)]
+        for edits in (0, 1, 1, 2, 2, 3, 4, 6, 8, 12):
+            text = list(base)
+            for _ in range(edits):
+                text[dice.randrange(size)] = dice.choice(words)
+            out.append(" ".join(text))
+        out.append("\n".join(base + base).upper())
+    return out
+
+
+@pytest.mark.parametrize(("small", "tile"), [(16, 1024), (3, 1024), (2, 3)])
+def test_near_copies_against_all_pairs(spark, monkeypatch, small, tile):
+    monkeypatch.setattr(jaccard_dedup, "SMALL", small)
+    monkeypatch.setattr(jaccard_dedup, "TILE", tile)
+    data = rows() + [(5000 + i, t, "en", "s", 1) for i, t in enumerate(near_copies(random.Random(3)))]
+    roots = jaccard_roots([r[1] for r in data])
+    least = {}
+    for r, x in zip(data, roots, strict=True):
+        least[x] = min(least.get(x, (True, 0)), (r[0] is None, r[0] or 0))
+    frame = docs(spark, data)
+    kept = jaccard_dedup.one_of_each(frame)
+    assert kept.columns == frame.columns
+    same_rows([(r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()], list(least.values()))
+    assert jaccard_dedup.one_of_each(docs(spark, [])).count() == 0
+
+
+def test_the_stage_drops_what_is_similar(spark):
+    data = [(i, t, "en", "s", 1) for i, t in enumerate(near_copies(random.Random(5)))]
+    want = set(jaccard_roots([r[1] for r in data]))
+    got = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs(spark, data), "").collect()]
+    assert sorted(got) == sorted(want) and len(want) < len(data)

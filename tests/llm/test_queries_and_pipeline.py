@@ -7,7 +7,7 @@ from oracle import SF, connection, same
 
 import corpus_pipeline
 from codestrata.llm import decontaminate, pfair_mix, quality_rules, queries, shard_tree
-from test_dedup import fingerprint, linked
+from test_dedup import fingerprint, jaccard_roots, linked
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -56,3 +56,10 @@ def test_stages_take_odd_tables(spark):
             out = stage(spark, table, SF)
             assert out.columns[: len(table.columns)] == table.columns or name == "shards"
             out.count()
+
+
+def test_near_duplicates_of_the_table_against_all_pairs(spark):
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    data = sorted((r["doc_id"], r["text"]) for r in source.collect())
+    want = {data[i][0] for i in jaccard_roots([t for _, t in data])}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, source, SF).collect()) == sorted(want)

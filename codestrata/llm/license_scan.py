@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words without which no template occurs; the first one of a line stands for it.
+#: Words without which no template occurs.
 CUE = re.compile(r"licen[cs]e|copyright|permission|redistribut|warrant|spdx|public domain|all rights reserved", re.IGNORECASE)
 #: A template is compared with the exact wording if it saves this part of the block's compressed size.
 LEAST_SAVED = 0.35
@@ -112,8 +112,7 @@ class Scanner:
             best = None
             for b, n in self.shapes:
                 best = self._best(cue.start(), head[len(head) - min(b, len(head)) :] + tail[: n - b + n // 5 + 2], best)
-            line = text.find("\n", cue.end())
-            at = len(text) if line < 0 else line
+            at = cue.end()
             if best is not None:
                 found.append(best[1])
                 at = done = best[1][2]

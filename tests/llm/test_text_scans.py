@@ -107,6 +107,14 @@ def test_license_wording(spark):
     assert lines.where("exact").count() == sum(line in exact for r in texts for line in r["text"].split("\n"))
 
 
+@pytest.mark.parametrize("before", ["Copyright (c) 2024 Acme. ", "The poet had a license and no warranty of it, " + "so to say " * 40, "Permission was given. Copyright remains. "])
+def test_every_cue_of_a_line_is_tried(before):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for name in ("Apache-2.0-line", "MIT-line", "GPL-3.0-line", "MPL-2.0"):
+        text = before + license_scan.TEMPLATES[name]
+        assert [(f[0], f[1], f[2], f[5]) for f in scanner.scan(text)] == [(name, len(before), len(text), True)]
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

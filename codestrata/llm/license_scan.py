@@ -1,11 +1,13 @@
 """License scans by conditional compression.
 
 A block of text that repeats a license compresses far better once the compressor knows that license. Candidate blocks lie
-around words that serve as cues; each is compressed alone and with each template as a zstandard raw dictionary, templates
-are ranked by the size they save, and the best is confirmed by the words that differ.
+around words that serve as cues; each is compressed alone and with each template of which it has enough words as a
+zstandard raw dictionary, templates are ranked by the size they save, and the best is confirmed by the words that differ
+and by what the template saves on those words alone.
 """
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import islice
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Words without which no template occurs.
 CUE = re.compile(r"licen[cs]e|copyright|permission|redistribut|warrant|spdx|public domain|all rights reserved", re.IGNORECASE)
-#: A template is compared with the exact wording if it saves this part of the block's compressed size.
+#: A template has to save this part of the compressed size of the words it is confirmed by; words behind them do not count.
 LEAST_SAVED = 0.35
 #: Templates of a block that are compared, in the order of what they save; all that save as much as the last are.
 CONFIRMED = 3
@@ -66,6 +68,7 @@ class Scanner:
         self.least_saved, self.most_different = least_saved, most_different
         self.names = list(templates)
         self.words = [_words(templates[n]) for n in self.names]
+        self.counts = [Counter(w) for w in self.words]
         # (words before the first cue, words) of the templates: what to take around a cue in a text.
         self.shapes = sorted({(next((i for i, x in enumerate(w) if CUE.search(x)), 0), len(w)) for w in self.words if w})
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -111,7 +114,9 @@ class Scanner:
             tail = list(islice(_placed(text, first, len(text)), after + after // 5 + 3))
             best = None
             for b, n in self.shapes:
-                best = self._best(cue.start(), head[len(head) - min(b, len(head)) :] + tail[: n - b + n // 5 + 2], best)
+                ahead = head[len(head) - min(b, len(head)) :]
+                for size in (n - b, n - b + n // 5 + 2):
+                    best = self._best(cue.start(), ahead + tail[:size], best)
             at = cue.end()
             if best is not None:
                 found.append(best[1])
@@ -120,15 +125,21 @@ class Scanner:
 
     def _best(self, cue: int, block: list[tuple[str, int, int]], best):
         words = [w for w, _, _ in block]
-        ranked = self.ranked(" ".join(words)) if words else []
-        if not ranked:
+        has = Counter(words)
+        # Words that a template has and the block has not differ in any comparison.
+        possible = {k for k, c in enumerate(self.counts) if c and (c - has).total() <= self.most_different * len(self.words[k])}
+        if not possible:
             return best
+        ranked = [x for x in self.ranked(" ".join(words)) if x[1] in possible]
         last = ranked[min(CONFIRMED, len(ranked)) - 1][0]
         for saved, k in ranked:
-            if saved < self.least_saved or saved < last:
+            if saved < last:
                 break
             different, a, b, similar = self.confirm(words, k)
             if different <= self.most_different * len(self.words[k]) and block[a][1] <= cue < block[b - 1][2]:
+                saved = next(x for x, i in self.ranked(" ".join(words[a:b])) if i == k)
+                if saved < self.least_saved:
+                    continue
                 got = (self.names[k], block[a][1], block[b - 1][2], saved, different, different == 0)
                 rank = (similar * len(self.words[k]), saved, -k)
                 if best is None or rank > best[0]:

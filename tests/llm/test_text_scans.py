@@ -115,6 +115,14 @@ def test_every_cue_of_a_line_is_tried(before):
         assert [(f[0], f[1], f[2], f[5]) for f in scanner.scan(text)] == [(name, len(before), len(text), True)]
 
 
+@pytest.mark.parametrize("behind", [" international documentation contributors", " https://example.org/projects/documentation/licensing/index.html?version=2", " src/main/resources/META-INF/services/org.example.Provider", " ok", "\n" + "Überwachungsmaßnahmen " * 30])
+def test_words_behind_a_notice_do_not_hide_it(behind):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for name, body in license_scan.TEMPLATES.items():
+        found = scanner.scan("Written in earlier centuries.\n" + body + behind)
+        assert [(f[0], f[5]) for f in found] == [(name, True)] and found[0][3] >= license_scan.LEAST_SAVED, (name, found)
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words without which no template occurs.
-CUE = re.compile(r"licen[cs]e|copyright|permission|redistribut|warrant|spdx|public domain|all rights reserved", re.IGNORECASE)
+CUE = re.compile(r"licen[cs]e|copyright|permission|redistribut|warrant|spdx|public\W+domain|all\W+rights\W+reserved", re.IGNORECASE)
 #: A template has to save this part of the compressed size of the words it is confirmed by; words behind them do not count.
 LEAST_SAVED = 0.35
 #: Templates of a block that are compared, in the order of what they save; all that save as much as the last are.
@@ -40,6 +40,7 @@ TEMPLATES: dict[str, str] = {
     "AGPL-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
     "MIT-line": "Released under the MIT License.",
     "BSD-line": "Released under the BSD License.",
+    "All-rights-reserved-line": "All rights reserved.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',

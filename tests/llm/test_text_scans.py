@@ -123,6 +123,15 @@ def test_words_behind_a_notice_do_not_hide_it(behind):
         assert [(f[0], f[5]) for f in found] == [(name, True)] and found[0][3] >= license_scan.LEAST_SAVED, (name, found)
 
 
+def test_reserved_rights_of_a_whole_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = license_scan.find_licenses(table).where("license = 'All-rights-reserved-line' and exact").count()
+    assert got == sum(line == "All rights reserved." for r in table.select("text").collect() for line in r["text"].split("\n")) > 0
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for text in ("Copyright 2020 Acme, all rights reserved by law", "# all rights\n# reserved", "ALL RIGHTS RESERVED"):
+        assert [(f[0], f[5]) for f in scanner.scan(text)] == [("All-rights-reserved-line", True)], text
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words without which no template occurs.
+#: Words around which texts are looked at; a template without any of them adds its longest word.
 CUE = re.compile(r"licen[cs]e|copyright|permission|redistribut|warrant|spdx|public\W+domain|all\W+rights\W+reserved", re.IGNORECASE)
 #: A template has to save this part of the compressed size of the words it is confirmed by; words behind them do not count.
 LEAST_SAVED = 0.35
@@ -70,8 +70,11 @@ class Scanner:
         self.names = list(templates)
         self.words = [_words(templates[n]) for n in self.names]
         self.counts = [Counter(w) for w in self.words]
+        wordings = [" ".join(w) for w in self.words if w]
+        own = sorted({max(w.split(" "), key=len) for w in wordings if not CUE.search(w)})
+        self.cue = re.compile("|".join([CUE.pattern, *map(re.escape, own)]), re.IGNORECASE)
         # (words before the first cue, words) of the templates: what to take around a cue in a text.
-        self.shapes = sorted({(next((i for i, x in enumerate(w) if CUE.search(x)), 0), len(w)) for w in self.words if w})
+        self.shapes = sorted({(w[: self.cue.search(w).start()].count(" "), w.count(" ") + 1) for w in wordings})
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.given = [
             zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
@@ -104,12 +107,12 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[str, int, int, float, int, bool]]:
         """(license, start and stop in characters, part saved, words that differ, whether the wording is exact)."""
-        if not CUE.search(text):
+        if not self.shapes or not self.cue.search(text):
             return []
         found: list[tuple[str, int, int, float, int, bool]] = []
         before, after = max(b for b, _ in self.shapes), max(n for _, n in self.shapes)
         at = done = 0
-        while cue := CUE.search(text, at):
+        while cue := self.cue.search(text, at):
             first = max(text.rfind(" ", done, cue.start()), text.rfind("\n", done, cue.start()), text.rfind("\t", done, cue.start()), done - 1) + 1
             head = list(_placed(text, max(done, first - 40 * before - 80), first))
             tail = list(islice(_placed(text, first, len(text)), after + after // 5 + 3))

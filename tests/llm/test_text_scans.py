@@ -132,6 +132,14 @@ def test_reserved_rights_of_a_whole_table(spark):
         assert [(f[0], f[5]) for f in scanner.scan(text)] == [("All-rights-reserved-line", True)], text
 
 
+def test_templates_of_the_caller_bring_their_cues(spark):
+    mine = {"beer": "As long as you retain this notice you can do whatever you want with this stuff.", "cc0": license_scan.TEMPLATES["CC0-1.0-line"]}
+    text = "Before. " + mine["beer"] + " Between, at length.\n" + mine["cc0"] + " After."
+    got = license_scan.find_licenses(docs(spark, [(1, text, "", "", 0)]), templates=mine).collect()
+    same_rows([(r["license"], r["exact"]) for r in got], [("beer", True), ("cc0", True)])
+    assert [f[0] for f in license_scan.Scanner({"cc0": mine["cc0"]}).scan(text)] == ["cc0"] and license_scan.Scanner({}).scan(text) == []
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

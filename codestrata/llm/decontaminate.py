@@ -198,11 +198,14 @@ class Index:
         return None
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, chars: int) -> list[list[tuple[int, str]]]:
-    """Items, normalised, in blocks of at most ``chars`` characters (or one item). All blocks together have a checked bound."""
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, chars: int, null_ids: bool = False) -> list[list[tuple[int | None, str]]]:
+    """Items, normalised, in blocks of at most ``chars`` characters (or one item), those without an id on demand only. All
+    blocks together have a checked bound.
+    """
     out: list[list[tuple[int, str]]] = [[]]
     size = total = 0
-    for r in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("i is not null").orderBy("i", "t").toLocalIterator():
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
+    for r in (items if null_ids else items.where("i is not null")).orderBy("i", "t").toLocalIterator():
         text = normalised(r["t"])
         if size and size + len(text) > chars:
             out.append([])
@@ -251,11 +254,11 @@ def _finder(shared, settings: _Settings):
 
 
 def leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", q: int = Q, passage: int = PASSAGE, edit_rate: float = EDIT_RATE, item_chars: int = ITEM_CHARS) -> DataFrame:
-    """``docs`` with a column ``leaks``, true where a document holds a passage of any item; a projection of each row."""
+    """``docs`` with a column ``leaks``, true where a document holds a passage of any item, with or without an id; a projection of each row."""
     settings = _Settings(q, passage, edit_rate)
     spark = docs.sparkSession
     flag = F.lit(False)
-    for block in item_blocks(benchmark, item_col, text_col, item_chars):
+    for block in item_blocks(benchmark, item_col, text_col, item_chars, null_ids=True):
         flag = flag | _flag(spark.sparkContext.broadcast(block), settings)(F.col(text_col))
     return docs.withColumn("leaks", flag)
 

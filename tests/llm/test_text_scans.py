@@ -66,6 +66,14 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.leaking(docs(spark, data), bench.limit(0)).where("leaks").count() == 0
 
 
+def test_items_without_an_id_leak_too(spark):
+    items, data = cases()
+    bench = spark.createDataFrame([(None, items[0][1])], "item_id long, text string")
+    held = [r[0] for r in data if items[0][1] in (r[1] or "")]
+    got = decontaminate.leaking(docs(spark, data), bench, q=4, passage=40, edit_rate=0.1).where("leaks").collect()
+    assert held and set(held) <= {r["doc_id"] for r in got} and len(got) < len(data)
+
+
 def test_whole_long_texts_are_searched(spark):
     dice = random.Random(1)
     item = "".join(dice.choice("abcdefghijklmnop ") for _ in range(150))

@@ -133,12 +133,20 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as the mixture has it, with the columns of ``docs``."""
+    """The documents themselves, each as often as the mixture has it and in its order, with the columns of ``docs``.
+
+    The schedule is made for two hashes of each row; texts move once to be joined with it and once to their places.
+    """
     if not docs.columns:
         raise ValueError("documents need columns")
     columns = list(docs.columns)
-    went = mix_sources(docs.withColumnsRenamed({c: f"of_{i}" for i, c in enumerate(columns)}), **{"keep": tuple(f"of_{i}" for i in range(len(columns))), **_renamed(columns, options)})
-    return went.select(*[F.col(f"of_{i}").alias(c) for i, c in enumerate(columns)])
+    of = [f"of_{i}" for i in range(len(columns))]
+    rows = docs.withColumnsRenamed(dict(zip(columns, of, strict=True)))
+    whole = [*of, *[F.col(c).isNull() for c in of]]
+    rows = rows.withColumn("row_1", F.xxhash64(*whole)).withColumn("row_2", F.xxhash64(F.lit("second"), *whole))
+    went = mix_sources(rows, **{"keep": ("row_1", "row_2"), **_renamed(columns, options)}).select(F.col("row_1").alias("r1"), F.col("row_2").alias("r2"), "slot", "at")
+    placed = rows.dropDuplicates(["row_1", "row_2"]).join(went, (F.col("row_1") == F.col("r1")) & (F.col("row_2") == F.col("r2")))
+    return placed.orderBy("slot", "at").select(*[F.col(x).alias(c) for x, c in zip(of, columns, strict=True)])
 
 
 def _renamed(columns: list[str], options: dict) -> dict:

@@ -1,6 +1,7 @@
 import collections
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from helpers import docs
 from oracle import SF, connection, same
@@ -63,3 +64,11 @@ def test_near_duplicates_of_the_table_against_all_pairs(spark):
     data = sorted((r["doc_id"], r["text"]) for r in source.collect())
     want = {data[i][0] for i in jaccard_roots([t for _, t in data])}
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, source, SF).collect()) == sorted(want)
+
+
+def test_mixture_is_written_in_its_order(spark, tmp_path):
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    want = [r["doc_id"] for r in sorted(pfair_mix.mix_sources(source).collect(), key=lambda r: (r["slot"], r["at"]))]
+    corpus_pipeline.mixture(spark, source, SF).write.parquet(str(tmp_path / "m"))
+    files = sorted((tmp_path / "m").glob("*.parquet"))
+    assert [d for f in files for d in pq.read_table(f, columns=["doc_id"]).column(0).to_pylist()] == want

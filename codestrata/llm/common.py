@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -16,17 +17,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a local one only where none is set, as in tests."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if conf:
-        if current is None:
-            spark.sparkContext.setCheckpointDir(conf)
-        return conf
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    """The URI of this application's folder below the shared one that ``spark.checkpoint.dir`` names, with its file system; what
+    is written there lasts until that folder is cleared. Only a local master gets a folder of its own where none is set.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def delete_folder(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -55,6 +62,19 @@ def total_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
+#: Copies of a row that are counted off in one place.
+RUN = 4096
+
+
+def each_copy(df: DataFrame, copies: str, name: str) -> DataFrame:
+    """A row for each of the ``copies`` a row stands for, numbered from 0 in ``name``. Rows are cut into runs of ``RUN``
+    copies, which are dealt out to all tasks before they are counted off, so no row becomes more than that in a place.
+    """
+    runs = df.withColumn("run_of", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({copies} - 1) div {RUN}"))))
+    dealt = runs.repartition(shuffle_partitions(df.sparkSession))
+    return dealt.withColumn(name, F.explode(F.sequence(F.col("run_of") * RUN, F.least(F.col(copies), (F.col("run_of") + 1) * RUN) - 1))).drop("run_of")
+
+
 def gapless(df: DataFrame, group: list[str], order: list[str], buckets: int = 1024, copies: str | None = None, spread: list[str] | None = None) -> DataFrame:
     """Adds ``pos``: 0, 1, 2, ... within each group, without putting a group into one task.
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import gapless
+from codestrata.llm.common import each_copy, gapless
 
 BASE = 16
 
@@ -89,6 +89,6 @@ def number_shards(docs: DataFrame, tree: Node, grown: Node, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).alias("id_of_row"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     rows = rows.groupBy("id_of_row", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
     rows = rows.withColumn("shard", shard_column(F.col("id_of_row"), tree)).withColumn("grown_shard", shard_column(F.col("id_of_row"), grown))
-    placed = gapless(rows, ["shard"], ["id_of_row", "size", "text_crc32"], copies="copies")
-    slot = F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("copies") - 1)).alias("slot")
-    return placed.select(F.col("id_of_row").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")
+    buckets = max(1024, docs.count() >> 18)
+    placed = each_copy(gapless(rows, ["shard"], ["id_of_row", "size", "text_crc32"], buckets, "copies"), "copies", "nth")
+    return placed.select(F.col("id_of_row").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("pos") + F.col("nth")).alias("slot"), "grown_shard")

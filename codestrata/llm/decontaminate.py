@@ -7,6 +7,9 @@ band holds them all. Texts pass three gates, each of which loses no match:
 1. places of any benchmark q-gram, counted in every n + e characters of the text;
 2. shared q-grams of one item in one band, counted over every n characters of the item;
 3. banded alignment of the passage with the text, within e edits.
+
+Where an item is so short that n - q + 1 - q e is not positive, its q is n // (e + 1) instead, with which it always is: of e + 1
+pieces of that length, e edits leave one whole. Items of one q form an index; texts are looked up in each.
 """
 
 from collections.abc import Iterator
@@ -25,6 +28,7 @@ EDIT_RATE = 0.08
 ITEM_CHARS = 8 << 20
 #: Most characters of all items together; a larger benchmark is to be cut by the caller.
 MOST_CHARS = 256 << 20
+ITEM_COST = 64
 #: A sieve of 2**22 bits.
 SIEVE_BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -91,64 +95,78 @@ class _Settings:
     passage: int
     rate: float
 
-    def of(self, length: int) -> tuple[int, int, int] | None:
-        """Passage length, edits and least shared q-grams for an item of ``length``; None if it is too short to search."""
+    def of(self, length: int) -> tuple[int, tuple[int, int, int]]:
+        """q, and passage length, edits and least shared q-grams, for an item of ``length``."""
         n = min(length, self.passage)
         e = int(self.rate * n)
-        while e and n - self.q + 1 - self.q * e < 1:
-            e -= 1
-        return (n, e, n - self.q + 1 - self.q * e) if n >= self.q else None
+        q = min(self.q, n // (e + 1))
+        return q, (n, e, n - q + 1 - q * e)
 
 
 class Index:
-    """q-grams of a bounded set of items."""
+    """A bounded set of items by the q of their grams; items that are to occur as they are and shorter than q are looked for plainly."""
 
-    def __init__(self, items: list[tuple[int, str]], settings: _Settings):
-        self.settings = settings
-        found: dict[int, tuple[np.ndarray, tuple[int, int, int]]] = {}
-        grams, item_of, place = [], [], []
+    def __init__(self, items: list[tuple[int | None, str]], settings: _Settings):
+        self.ids = [i for i, _ in items]
         self.short: list[tuple[int, str]] = []
+        by_q: dict[int, list[tuple[int, np.ndarray, tuple[int, int, int]]]] = {}
         for k, (_, text) in enumerate(items):
-            s = settings.of(len(text))
-            if s is None:
-                if text:
-                    self.short.append((k, text))
+            if not text:
                 continue
-            codes = _codes(text)
+            q, s = settings.of(len(text))
+            if s[1] == 0 and q < settings.q:
+                self.short.append((k, text))
+            else:
+                by_q.setdefault(q, []).append((k, _codes(text), s))
+        self.grams = [GramIndex(rows, q) for q, rows in sorted(by_q.items(), reverse=True)]
+
+    def matches(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+        """(item, start in the text, stop, edits) of a passage of each item within its edits, those that share most q-grams first."""
+        codes = _codes(text)
+        for g in self.grams:
+            yield from g.matches(codes)
+        yield from ((k, at, at + len(t), 0) for k, t in self.short if (at := text.find(t)) >= 0)
+
+
+class GramIndex:
+    """q-grams of items: (number, characters, (passage length, edits, least shared q-grams))."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray, tuple[int, int, int]]], q: int):
+        self.q = q
+        found: dict[int, tuple[np.ndarray, tuple[int, int, int]]] = {}
+        grams, item_of, place = [], [], []
+        for k, codes, s in items:
             found[k] = codes, s
-            g = _grams(codes, settings.q)
+            g = _grams(codes, q)
             grams.append(g)
             item_of.append(np.full(len(g), k, dtype=np.int64))
             place.append(np.arange(len(g), dtype=np.int64))
-        self.ids, self.items = [i for i, _ in items], found
-        g = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
+        self.items = found
+        g = np.concatenate(grams)
         order = np.argsort(g, kind="stable")
         self.grams, first = np.unique(g[order], return_index=True)
         self.first = np.append(first, len(g))
-        self.item_of = np.concatenate(item_of)[order] if grams else np.zeros(0, dtype=np.int64)
-        self.place = np.concatenate(place)[order] if grams else np.zeros(0, dtype=np.int64)
+        self.item_of = np.concatenate(item_of)[order]
+        self.place = np.concatenate(place)[order]
         self.sieve = np.zeros(1 << SIEVE_BITS, dtype=bool)
         self.sieve[(self.grams >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
-        self.reach = max((n + e for _, (n, e, _) in found.values()), default=0)
-        self.least = min((t for _, (_, _, t) in found.values()), default=1)
+        self.reach = max(n + e for _, (n, e, _) in found.values())
+        self.least = min(t for _, (_, _, t) in found.values())
 
-    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, start in the text, stop, edits) of each item's first passage within its edits, those that share most q-grams first."""
-        out = [(k, at, at + len(t), 0) for k, t in self.short if (at := text.find(t)) >= 0]
-        codes = _codes(text)
-        g = _grams(codes, self.settings.q)
-        if not len(g) or not len(self.grams):
-            return out
+    def matches(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        g = _grams(codes, self.q)
+        if not len(g):
+            return
         hit = np.flatnonzero(self.sieve[(g >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.grams, g[hit]), len(self.grams) - 1)
         true = self.grams[at] == g[hit]
         hit, at = hit[true], at[true]
         if len(hit) < self.least:
-            return out
+            return
         # Gate 1: hits that some stretch of ``reach`` places shares with enough others.
         ahead = np.searchsorted(hit, hit + self.reach, side="left") - np.arange(len(hit)) >= self.least
         if not ahead.any():
-            return out
+            return
         edge = np.zeros(len(hit) + 1, dtype=np.int64)
         np.add.at(edge, np.flatnonzero(ahead), 1)
         np.add.at(edge, np.searchsorted(hit, hit[ahead] + self.reach, side="left"), -1)
@@ -163,8 +181,7 @@ class Index:
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             k, rows = int(item[order[lo]]), order[lo:hi]
             if len(rows) >= self.items[k][1][2] and (m := self._in_bands(k, codes, place_of[rows], place[rows])):
-                out.append((k, *m))
-        return out
+                yield (k, *m)
 
     def _in_bands(self, k: int, codes: np.ndarray, text_at: np.ndarray, item_at: np.ndarray) -> tuple[int, int, int] | None:
         passage, (n, e, least) = self.items[k]
@@ -186,7 +203,7 @@ class Index:
             there[item_at[rows[order[lo:hi]]] + 1] = 1
             sums = np.cumsum(there)
             starts = np.arange(len(passage) - n + 1)
-            shared = sums[starts + n - self.settings.q + 1] - sums[starts]
+            shared = sums[starts + n - self.q + 1] - sums[starts]
             enough = starts[np.argsort(-shared, kind="stable")][: int((shared >= least).sum())]  # those that share most go first
             low = int(both[order[lo]]) * step
             for s in enough.tolist():
@@ -200,18 +217,19 @@ class Index:
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, chars: int, null_ids: bool = False) -> list[list[tuple[int | None, str]]]:
     """Items, normalised, in blocks of at most ``chars`` characters (or one item), those without an id on demand only. All
-    blocks together have a checked bound.
+    blocks together have a checked bound, in which an item counts for its characters and ``ITEM_COST`` more; blank items,
+    which never match, stay behind.
     """
     out: list[list[tuple[int, str]]] = [[]]
     size = total = 0
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").rlike(r"\S"))
     for r in (items if null_ids else items.where("i is not null")).orderBy("i", "t").toLocalIterator():
         text = normalised(r["t"])
         if size and size + len(text) > chars:
             out.append([])
             size = 0
         out[-1].append((r["i"], text))
-        size, total = size + len(text), total + len(text)
+        size, total = size + len(text), total + len(text) + ITEM_COST
         if total > MOST_CHARS:
             raise ValueError(f"benchmark items have more than {MOST_CHARS} characters; pass them in parts")
     return [b for b in out if b]
@@ -222,8 +240,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     An item's passages are its stretches of ``passage`` characters (the whole item if it is shorter) after lower-casing
     and turning each run of white space into one space. A document holds one if at most ``edit_rate`` of its characters must
-    be edited; start and stop bound the stretch of the normalised document that was aligned. Items shorter than ``q``
-    must occur as they are; empty ones never match. Null texts count as empty, rows with a null item id take no part, null
+    be edited; start and stop bound the stretch of the normalised document that was aligned. Items of any length are searched
+    with the edits that the rate gives them (none below 1 / rate characters); empty ones never match. Null texts count as empty, rows with a null item id take no part, null
     and repeated ids keep their rows. Each block of items is one pass over the texts, without a shuffle.
     An empty table on either side gives an empty result. Other columns are ignored.
     """
@@ -268,6 +286,6 @@ def _flag(shared, settings: _Settings):
     def flag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = Index(shared.value, settings)
         for texts in batches:
-            yield pd.Series([bool(index.matches(normalised(t))) for t in texts], dtype=bool)
+            yield pd.Series([any(True for _ in index.matches(normalised(t))) for t in texts], dtype=bool)
 
     return flag

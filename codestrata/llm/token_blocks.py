@@ -15,11 +15,13 @@ block is filled with its minimum. The index of block starts lets a reader decode
 
 from __future__ import annotations
 
+import json
 import posixpath
 import re
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,9 @@ TASK_BYTES = 16 << 20
 END_ID = 1
 CACHE_WORDS = 1 << 19
 CACHE_PARTS = 1 << 20
+#: Longer words are not remembered; longer texts are encoded in pieces.
+LONG_WORD, PIECE = 64, 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 #: Blocks that are packed or unpacked at a time.
 CHUNK = 512
 BROADCAST_FILES = 100_000
@@ -168,7 +173,9 @@ class _Words(dict):
         got = self.parts.get(p)
         if got is None:
             letters = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            got = self.parts[p] = _ids([t.id for t in self.tokenizer.model.tokenize(letters)])
+            got = _ids([t.id for t in self.tokenizer.model.tokenize(letters)])
+            if len(p) <= LONG_WORD:
+                self.parts[p] = got
         return got
 
     def __missing__(self, word: bytes) -> bytes:
@@ -178,7 +185,8 @@ class _Words(dict):
             got = self.part(letters.lower()) + self.part(marks) if marks else self.part(letters.lower())
         else:
             got = _ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        self[word] = got
+        if len(word) <= LONG_WORD:
+            self[word] = got
         return got
 
     def shrink(self) -> None:
@@ -192,35 +200,75 @@ def _ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+#: How a tokenizer must cut texts for its words to be encoded one by one.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_PATTERN = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+WORD_SPLIT = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": WORD_PATTERN, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def words_apart(tokenizer: dict) -> bool:
+    """Whether the words of a text are encoded alike alone and within it, by the tokenizer's file: that it normalises and cuts as
+    above, by a plain byte-pair model, and has no token of its own that letters followed by marks could hold."""
+    model = tokenizer.get("model") or {}
+    same = tokenizer.get("normalizer") == WORD_NORMALIZER and tokenizer.get("pre_tokenizer") == WORD_SPLIT
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "byte_fallback", "fuse_unk"))
+    whole = any(tokenizer.get(k) for k in ("truncation", "padding", "post_processor"))
+    own = any(re.fullmatch(r"[A-Za-zÀ-ÖØ-öø-ÿ]*[!-&(-/:-@\[-`{-~]*", t["content"]) or t["content"].split() != [t["content"]] for t in tokenizer.get("added_tokens") or [])
+    return same and plain and not whole and not own
+
+
 class WordEncoder:
-    """Encodes whole texts with a tokenizer that drops white space and lower-cases, with a memory of words.
+    """Encodes whole texts, with a memory of words where the tokenizer drops white space and lower-cases (``words_apart``).
 
-    The pre-tokenizer cuts at white space and between letters and marks, and the model never sees across a cut. So the
+    Such a pre-tokenizer cuts at white space and between letters and marks, and the model never sees across a cut. So the
     ids of a text are those of its words, one after the other, and those of letters followed by marks are those of the
     letters in lower case and then those of the marks, each of which the byte-level model takes as one piece. Words
-    of other characters are encoded as they are. ``plain`` tokenizers, for which that does not hold, get whole texts.
+    of other characters are encoded as they are. Any other tokenizer gets whole texts.
     Ids come as little-endian 32-bit numbers.
     """
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str):
         memory = worker_memory(f"tokenizer {path}")
         if "words" not in memory:
             from tokenizers import Tokenizer
 
+            with open(path, encoding="utf-8") as f:
+                memory["apart"] = words_apart(json.load(f))
             memory["words"] = _Words(Tokenizer.from_file(path))
-        self.words, self.plain = memory["words"], plain
+        self.words, self.apart = memory["words"], memory["apart"]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.plain:
+        if not self.apart:
             return [_ids(e.ids) for e in self.words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [b"".join(map(self._piece, _pieces(t.encode()))) for t in texts]
+
+    def _piece(self, data: bytes) -> bytes:
         self.words.shrink()
-        of = self.words.__getitem__
-        return [b"".join(map(of, t.encode().split())) for t in texts]
+        return b"".join(map(self.words.__getitem__, data.split()))
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """A text in pieces of about ``PIECE`` bytes, cut at white space."""
+    at = 0
+    while len(data) - at > PIECE:
+        gap = _GAP.search(data, at + PIECE)
+        if gap is None:
+            break
+        yield data[at : gap.start()]
+        at = gap.end()
+    yield data[at:] if at else data
+
+
+def _arrow_uri(path: str) -> str:
+    """The URI of a folder as Arrow's file systems take it: file:/a as file:///a, s3a as s3."""
+    if "://" not in path:
+        return "file://" + path.removeprefix("file:")
+    return re.sub("^s3[an]://", "s3://", path)
 
 
 def _write(path: str, name: str, data: bytes) -> str:
     """A file appears under its name when it is whole; a task that runs again writes a file of its own."""
-    fs, folder = pafs.FileSystem.from_uri(path)
+    fs, folder = pafs.FileSystem.from_uri(_arrow_uri(path))
     fs.create_dir(folder, recursive=True)
     target = posixpath.join(folder, f"{name}-{uuid.uuid4().hex}.pfor")
     with fs.open_output_stream(f"{target}.part") as f:
@@ -229,9 +277,9 @@ def _write(path: str, name: str, data: bytes) -> str:
     return posixpath.join(path, posixpath.basename(target))
 
 
-def _writer(path: str, tokenizer: str, end_id: int, block: int, percentile: int, file_ids: int, plain: bool):
+def _writer(path: str, tokenizer: str, end_id: int, block: int, percentile: int, file_ids: int):
     def write(batches):
-        encoder = WordEncoder(tokenizer, plain)
+        encoder = WordEncoder(tokenizer)
         docs: list[int | None] = []
         lengths: list[int] = []
         ids: list[bytes] = []
@@ -266,7 +314,7 @@ def _writer(path: str, tokenizer: str, end_id: int, block: int, percentile: int,
     return write
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, percentile: int = PERCENTILE, file_ids: int = FILE_IDS, plain: bool = False) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, percentile: int = PERCENTILE, file_ids: int = FILE_IDS) -> DataFrame:
     """Encodes every whole text and writes the ids below ``path``, a folder that all executors share, in ascending order
     of ids (nulls first; rows of one id by a hash of their text). Returns the manifest: part, number, file, n_docs, n_ids.
 
@@ -281,7 +329,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("place", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(4096)))
     order = ["id_of_row", "tie", "place"]
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "id_of_row", "text")
-    made = rows.mapInArrow(_writer(path, tokenizer, end_id, block, percentile, file_ids, plain), "part int, number int, file string, n_docs long, n_ids long")
+    made = rows.mapInArrow(_writer(path, tokenizer, end_id, block, percentile, file_ids), "part int, number int, file string, n_docs long, n_ids long")
     return cut_lineage(made)
 
 
@@ -316,7 +364,7 @@ def read_digest(manifest: DataFrame, path: str, id_col: str = "doc_id") -> DataF
 
 
 def token_digest(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
-    """Writes the token files of ``docs`` into a new folder below the shared one and reads them back."""
+    """Writes the token files of ``docs`` into a new folder below the shared one and reads them back; the rows are read from there
+    whenever they are asked for, so the files stay until the application's folder is cleared."""
     path = posixpath.join(checkpoint_dir(docs.sparkSession), f"tokens-{uuid.uuid4().hex}")
-    path = path if "://" in path or path.startswith("file:") else f"file://{path}"
     return read_digest(write_tokens(docs, path, tokenizer, **options), path, options.get("id_col", "doc_id"))

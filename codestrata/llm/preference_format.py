@@ -69,3 +69,29 @@ def pair_conversations(turns: DataFrame, pair: Column, rejected: Column, conv_co
 def preference_rows(turns: DataFrame, pair: Column, rejected: Column, **columns: str) -> DataFrame:
     """``pair_conversations``, then ``format_pairs``. An empty table gives an empty result; other columns are ignored."""
     return format_pairs(pair_conversations(turns, pair, rejected, **columns))
+
+
+def swapped_answers(neighbours: DataFrame) -> DataFrame:
+    """Preference pairs from two conversations a row (``pair_conversations``): each conversation is chosen as it is, and
+    rejected with its last answer, the text of its last ``LEARNT_ROLE`` turn, replaced by that of its neighbour's last answer.
+
+    pair_id is the conversation's id, rejected_id that of the neighbour. The two sides share all turns before that answer.
+    Without an answer on the neighbour's side the rejected one lacks the turn; without one on its own the sides are equal.
+    A neighbour that has no turns lends nothing; a missing conversation (null id) makes no pair.
+    """
+    turn = "struct<role: string, text: string>"
+
+    def side(own: str, other: str) -> Column:
+        last = F.array_max(F.transform(f"{own}_turns", lambda t, i: F.when(t["role"] == LEARNT_ROLE, i)))
+        answers = F.filter(f"{other}_turns", lambda t: t["role"] == LEARNT_ROLE)
+        lent = F.get(answers, F.size(answers) - 1)
+        turns = F.transform(f"{own}_turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")).cast(turn))
+        answer = F.struct(F.lit(LEARNT_ROLE).alias("role"), lent["text"].alias("text")).cast(turn)
+        before = F.slice(turns, F.lit(1), last)
+        behind = F.slice(turns, last + 2, F.greatest(F.size(turns), F.lit(1)))
+        given = F.when(lent.isNull(), F.array().cast(f"array<{turn}>")).otherwise(F.array(answer))
+        swapped = F.when(last.isNull(), turns).otherwise(F.concat(before, given, behind))
+        return F.struct(F.col(f"{own}_id").alias("pair_id"), F.col(f"{own}_id").alias("chosen_id"), F.col(f"{other}_id").alias("rejected_id"), turns.alias("chosen_turns"), swapped.alias("rejected_turns"))
+
+    both = neighbours.select(F.explode(F.array(side("chosen", "rejected"), side("rejected", "chosen"))).alias("p")).select("p.*")
+    return both.where(F.col("pair_id").isNotNull())

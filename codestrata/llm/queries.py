@@ -70,9 +70,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring conversations make a pair: the even one is chosen, the odd one rejected."""
-    pair, rejected = F.shiftright("conv_id", 1), F.col("conv_id").bitwiseAND(F.lit(1)) == 1
-    rows = preference_format.preference_rows(read_table(spark, sf_dir, "conversations"), pair, rejected)
+    """Each conversation as it is against the same with its last answer taken from its neighbour (2k and 2k + 1 are neighbours)."""
+    neighbour, odd = F.shiftright("conv_id", 1), F.col("conv_id").bitwiseAND(F.lit(1)) == 1
+    pairs = preference_format.swapped_answers(preference_format.pair_conversations(read_table(spark, sf_dir, "conversations"), neighbour, odd))
+    rows = preference_format.format_pairs(pairs)
     spans = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["start"], s["stop"])))
     return rows.withColumn("chosen_learnt", spans("chosen_learnt")).withColumn("rejected_learnt", spans("rejected_learnt"))
 
@@ -100,43 +101,49 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_branch_and_bound_topk": """
-        WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
-        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+            SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.rid <> c.rid AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM s QUALIFY rank <= 10
     """,
     "op8_preference_format": """
         WITH t AS (
-            SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
             FROM conversations WHERE conv_id IS NOT NULL),
-        r AS (SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line FROM t),
+        a AS (SELECT conv_id, i, text AS answer FROM t WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+        s AS (
+            SELECT conv_id, 'chosen' AS side, i, role, text FROM t
+            UNION ALL
+            SELECT t.conv_id, 'rejected', t.i, role, CASE WHEN t.i = mine.i THEN other.answer ELSE text END
+            FROM t LEFT JOIN a mine USING (conv_id) LEFT JOIN a other ON other.conv_id = xor(t.conv_id, 1)
+            WHERE t.i IS DISTINCT FROM mine.i OR other.answer IS NOT NULL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY i) AS n, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line FROM s),
         d AS (
-            SELECT coalesce(c.pair_id, j.pair_id) AS pair_id, min(coalesce(c.i, j.i)) AS first_other
-            FROM (SELECT * FROM r WHERE side = 0) c FULL JOIN (SELECT * FROM r WHERE side = 1) j ON c.pair_id = j.pair_id AND c.i = j.i
+            SELECT coalesce(c.conv_id, j.conv_id) AS conv_id, min(coalesce(c.n, j.n)) AS first_other
+            FROM (SELECT * FROM r WHERE side = 'chosen') c FULL JOIN (SELECT * FROM r WHERE side = 'rejected') j ON c.conv_id = j.conv_id AND c.n = j.n
             WHERE (c.role = j.role AND c.text = j.text) IS NOT TRUE GROUP BY ALL),
-        n AS (SELECT pair_id, count(*) FILTER (side = 0) AS turns FROM r GROUP BY pair_id),
-        p AS (SELECT pair_id, coalesce(first_other - 1, turns) AS n_common FROM n LEFT JOIN d USING (pair_id)),
+        p AS (SELECT conv_id, coalesce(any_value(first_other) - 1, count(*) FILTER (side = 'chosen')) AS n_common FROM r LEFT JOIN d USING (conv_id) GROUP BY conv_id),
         o AS (
-            SELECT r.*, n_common, i <= n_common AS common,
-                   coalesce(sum(length(line)) OVER (PARTITION BY conv_id, i <= n_common ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-            FROM r JOIN p USING (pair_id)),
+            SELECT r.*, n_common, n <= n_common AS common,
+                   coalesce(sum(length(line)) OVER (PARTITION BY conv_id, side, n <= n_common ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM r JOIN p USING (conv_id)),
         l AS (
             SELECT *, CASE WHEN role = 'assistant' AND NOT common
                       THEN (before + 13 + length(role))::BIGINT || ':' || (before + length(line))::BIGINT END AS span FROM o)
-        SELECT pair_id, min(conv_id) FILTER (side = 0) AS chosen_id, min(conv_id) FILTER (side = 1) AS rejected_id, min(n_common)::INTEGER AS n_common,
-               coalesce(string_agg(line, '' ORDER BY i) FILTER (side = 0 AND common), '') AS prompt,
-               coalesce(string_agg(line, '' ORDER BY i) FILTER (side = 0 AND NOT common), '') AS chosen,
-               coalesce(string_agg(span, ',' ORDER BY i) FILTER (side = 0), '') AS chosen_learnt,
-               coalesce(string_agg(line, '' ORDER BY i) FILTER (side = 1 AND NOT common), '') AS rejected,
-               coalesce(string_agg(span, ',' ORDER BY i) FILTER (side = 1), '') AS rejected_learnt
-        FROM l GROUP BY pair_id
+        SELECT conv_id AS pair_id, conv_id AS chosen_id, any_value(k.there) AS rejected_id, min(n_common)::INTEGER AS n_common,
+               coalesce(string_agg(line, '' ORDER BY n) FILTER (side = 'chosen' AND common), '') AS prompt,
+               coalesce(string_agg(line, '' ORDER BY n) FILTER (side = 'chosen' AND NOT common), '') AS chosen,
+               coalesce(string_agg(span, ',' ORDER BY n) FILTER (side = 'chosen'), '') AS chosen_learnt,
+               coalesce(string_agg(line, '' ORDER BY n) FILTER (side = 'rejected' AND NOT common), '') AS rejected,
+               coalesce(string_agg(span, ',' ORDER BY n) FILTER (side = 'rejected'), '') AS rejected_learnt
+        FROM l LEFT JOIN (SELECT DISTINCT conv_id AS there FROM t) k ON k.there = xor(l.conv_id, 1) GROUP BY conv_id
     """,
     "op4_substring_dedup": r"""
         WITH d AS (

@@ -4,8 +4,9 @@ Vectors lie in blocks in vertical layout: one row of numbers a dimension. For ea
 accumulate a few dimensions at a time. The Cauchy-Schwarz product of what is left of the query and of a vector bounds what can
 still come; vectors whose bound is below the query's k-th best so far leave the block, and the survivors are compacted.
 
-Queries are packed in blocks too, and blocks meet on a grid: a block of vectors goes once to each column of query blocks,
-a block of queries once to each row of the grid. No task holds more than a block of either and the running best.
+Queries are packed in blocks too, and blocks meet on a grid: a block of vectors goes once to each column, which holds as
+many queries as ``COLUMN_BYTES`` allow, a block of queries once to each row of the grid. A cell of the grid is a task: it keeps its
+column's queries with their running best and takes its row's blocks of vectors one by one, ``ROW_BLOCKS`` on average at most.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ SCALE = 1024
 VECTORS = 8192
 QUERIES = 512
 STEP = 8
+#: Memory for the queries of a column, of which one takes ``12 * dimensions + QUERY_BYTES`` at most.
+COLUMN_BYTES, QUERY_BYTES = 64 << 20, 4096
+ROW_BLOCKS = 64
 _LONG = 2**63
 
 
@@ -76,51 +80,78 @@ def _grid(dim: int, n: int, kind: int, data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.int64 if kind else np.int16).reshape(dim, n)
 
 
+def _largest(grid: np.ndarray) -> int | None:
+    """The largest number of a grid without its sign; None where floating-point sums may not be exact anyway."""
+    if grid.dtype == object:
+        return None
+    return int(max(abs(int(grid.max(initial=0))), abs(int(grid.min(initial=0)))))
+
+
+class Block:
+    """Vectors of one length that queries are compared with."""
+
+    def __init__(self, ids: np.ndarray, grid: np.ndarray):
+        self.ids, self.grid, self.largest = ids, grid, _largest(grid)
+        self.floats = self.squares = self.whole = None
+
+    def columns(self, narrow: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers, and the sums of their squares."""
+        if not narrow:
+            if self.whole is None:
+                self.whole = self.grid.astype(object)
+            return self.whole, self.whole
+        if self.floats is None:
+            self.floats = self.grid.astype(np.float64)
+            self.squares = (self.floats**2).sum(axis=0)
+        return self.floats, self.squares
+
+
 class Best:
-    """The k best (score, id) of each query of a block so far, best first, ties to the smaller id."""
+    """The k best (score, id) of each query of a block so far, best first, ties to the smaller id; the query's own row included."""
 
     def __init__(self, ids: np.ndarray, grid: np.ndarray, k: int):
-        self.ids, self.k, self.grid = ids, k, grid
+        self.ids, self.k, self.grid, self.largest = ids, k, grid, _largest(grid)
         self.score = [np.zeros(0, dtype=object)] * len(ids)
         self.found = [np.zeros(0, dtype=np.int64)] * len(ids)
-        exact = grid.dtype != object
-        self.order = np.argsort(-np.abs(grid.astype(np.float64)), axis=0, kind="stable") if exact else None
-
-    def meet(self, ids: np.ndarray, grid: np.ndarray) -> None:
-        most = [int(max(abs(int(g.max(initial=0))), abs(int(g.min(initial=0))))) if g.size else 0 for g in (self.grid, grid)] if grid.dtype != object and self.grid.dtype != object else None
-        narrow = most is not None and most[0] * most[1] * max(1, len(grid)) < 2**52
-        columns = grid.astype(np.float64) if narrow else grid.astype(object)
-        squares = columns**2 if narrow else columns
+        self.order = np.argsort(-np.abs(grid.astype(np.float64)), axis=0, kind="stable").astype(np.int32) if self.largest is not None else None
+
+    def own(self, q: int) -> int:
+        return min(_LONG - 1, sum(int(x) ** 2 for x in self.grid[:, q]))
+
+    def meet(self, block: Block) -> None:
+        narrow = self.largest is not None and block.largest is not None and self.largest * block.largest * max(1, len(self.grid)) < 2**52
+        columns, squares = block.columns(narrow)
         for q in range(len(self.ids)):
-            self._one(q, ids, columns, squares, narrow)
+            self._one(q, block.ids, columns, squares, narrow)
 
     def _one(self, q: int, ids: np.ndarray, columns: np.ndarray, squares: np.ndarray, narrow: bool) -> None:
-        mine = np.flatnonzero(ids != self.ids[q])
+        mine = None  # all
         query = self.grid[:, q].astype(np.float64) if narrow else self.grid[:, q].astype(object)
         if len(self.score[q]) < self.k or not narrow:
-            score = query @ columns[:, mine] if len(query) else np.zeros(len(mine), dtype=columns.dtype)
+            score = query @ columns if len(query) else np.zeros(len(ids), dtype=columns.dtype)
         else:
             floor, order = float(self.score[q][-1]), self.order[:, q]
-            left = squares[:, mine].sum(axis=0)
-            left *= 1 + 1e-12  # what rounding may take away below
+            left = squares * (1 + 1e-12)  # what rounding may take away below
             rest = float((query**2).sum())
-            score = np.zeros(len(mine))
+            score = np.zeros(len(ids))
             for at in range(0, len(order), STEP):
                 dims = order[at : at + STEP]
-                part = columns[np.ix_(dims, mine)]
+                part = columns[dims] if mine is None else columns[np.ix_(dims, mine)]
                 score += query[dims] @ part
                 left -= (part**2).sum(axis=0)
                 rest -= float((query[dims] ** 2).sum())
                 # Sums of squares are exact; the root may err in its last bit, so the bound is a trifle wider.
                 alive = score + np.sqrt(max(rest, 0.0) * np.maximum(left, 0.0)) * (1 + 1e-9) + 1e-6 >= floor
                 if not alive.all():
-                    mine, score, left = mine[alive], score[alive], left[alive]
+                    kept = np.flatnonzero(alive)
+                    mine, score, left = kept if mine is None else mine[kept], score[kept], left[kept]
                     if not len(mine):
                         return
-        if not len(mine):
+        ids = ids if mine is None else ids[mine]
+        if not len(ids):
             return
         score = np.concatenate([self.score[q], score if narrow else np.array([max(-_LONG, min(_LONG - 1, int(s))) for s in score], dtype=object)])
-        found = np.concatenate([self.found[q], ids[mine]])
+        found = np.concatenate([self.found[q], ids])
         if len(score) > 4 * self.k and narrow:
             edge = np.partition(score.astype(np.float64), len(score) - self.k)[len(score) - self.k]
             good = score.astype(np.float64) >= edge
@@ -130,29 +161,34 @@ class Best:
         self.found[q] = np.array([f for _, f in top], dtype=np.int64)
 
 
+_FOUND = ("query_id", pa.int64()), ("block", pa.int64()), ("query", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64()), ("own", pa.bool_())
+
+
 def _search(k: int):
     def search(batches):
-        cell, best = None, {}
+        """Rows sorted by cell, a cell's queries before its vectors."""
+        cell, best = None, []
 
         def done():
-            rows = [(int(b.ids[q]), n, f, s) for n, b in enumerate(best.values()) for q in range(len(b.ids)) for s, f in zip(b.score[q], b.found[q].tolist(), strict=True)]
-            block = list(best)
-            names = ("query_id", "block", "query", "vec_id", "score")
-            number = [q for b in best.values() for q in range(len(b.ids)) for _ in b.found[q]]
-            cols = [[r[0] for r in rows], [block[r[1]] for r in rows], number, [r[2] for r in rows], [r[3] for r in rows]]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "query" else pa.int64()) for c, n in zip(cols, names, strict=True)], names=list(names))
+            rows = [(int(b.ids[q]), n, q, f, s, f == b.ids[q] and s == own) for n, _, b in best for q in range(len(b.ids)) for own in [b.own(q)] for s, f in zip(b.score[q], b.found[q].tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_FOUND)], names=[n for n, _ in _FOUND])
 
         for batch in batches:
-            for r in batch.to_pylist():
-                here = r["column"], r["row"]
+            for i in range(batch.num_rows):
+                here, number, dim, kind, ids, data = (batch.column(c)[i].as_py() for c in ("cell", "block", "dim", "kind", "ids", "data"))
                 if here != cell:
                     if best:
                         yield done()
-                    cell, best = here, {}
-                asked, ids = np.frombuffer(r["q_ids"], dtype=np.int64), np.frombuffer(r["ids"], dtype=np.int64)
-                if r["block"] not in best:
-                    best[r["block"]] = Best(asked, _grid(r["dim"], len(asked), r["q_kind"], r["q_data"]), k)
-                best[r["block"]].meet(ids, _grid(r["dim"], len(ids), r["kind"], r["data"]))
+                    cell, best = here, []
+                ids = np.frombuffer(ids, dtype=np.int64)
+                grid = _grid(dim, len(ids), kind, data)
+                if number is not None:
+                    best.append((number, dim, Best(ids, grid, k)))
+                    continue
+                block = Block(ids, grid)
+                for _, d, b in best:
+                    if d == dim:
+                        b.meet(block)
         if best:
             yield done()
 
@@ -163,7 +199,8 @@ def top_k(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id"
     """The k highest scores of each row for which ``query`` holds: query_id, rank (from 1), the id and score, ties to the smaller id.
 
     Components become floor(1024 * x) as whole numbers; the score is their inner product, exact at any size;
-    what 64 bits do not hold counts as their largest or smallest number. Candidates are all rows but those with the query's id, of its length. Rows with a
+    what 64 bits do not hold counts as their largest or smallest number. Candidates are all rows but the query's own, of its
+    length; other rows with its id or its vector are candidates like any. Rows with a
     null id or a null or non-finite component take no part. Fewer than k candidates give fewer rows. Repeated rows
     count each, as queries and as candidates. Other columns are ignored. An empty table gives an empty result.
     """
@@ -173,13 +210,18 @@ def top_k(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id"
     blocks = vectors.select(*cols).mapInArrow(_pack(VECTORS), packed)
     # Query blocks are numbered in their checkpoint, where they keep their places whatever runs again.
     asked = cut_lineage(vectors.where(query).select(*cols).repartition(max(1, -(-vectors.where(query).count() // QUERIES)), F.col("id")).mapInArrow(_pack(QUERIES), packed))
-    columns = max(1, -(-asked.count() // 4))
-    rows = max(1, -(-shuffle_partitions(spark) // columns))
-    asked = asked.select("dim", F.col("kind").alias("q_kind"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.monotonically_increasing_id().alias("block"))
-    asked = asked.withColumn("column", F.pmod(F.xxhash64("block"), F.lit(columns)).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    met = blocks.withColumn("row", F.pmod(F.xxhash64("ids", "data"), F.lit(rows)).cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-    met = met.join(asked, ["column", "row", "dim"]).sortWithinPartitions("column", "row", "block")
-    found = met.select("column", "row", "block", "dim", "kind", "ids", "data", "q_kind", "q_ids", "q_data").mapInArrow(_search(k), "query_id long, block long, query int, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id", "block", "query").orderBy(F.desc("score"), "vec_id"))
-    out = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    n, widest = asked.agg(F.sum(F.octet_length("ids") / 8), F.max("dim")).first()
+    columns = max(1, -(-int(n or 0) * (12 * (widest or 0) + QUERY_BYTES) // COLUMN_BYTES))
+    rows = max(1, -(-shuffle_partitions(spark) // columns), -(-vectors.count() // (VECTORS * ROW_BLOCKS)))
+    asked = asked.withColumn("block", F.monotonically_increasing_id())
+    # Each goes to all cells of a line of the grid.
+    asked = asked.withColumn("cell", F.explode(F.sequence(F.pmod(F.xxhash64("block"), F.lit(columns)).cast("int") * rows, (F.pmod(F.xxhash64("block"), F.lit(columns)).cast("int") + 1) * rows - 1)))
+    met = blocks.withColumn("block", F.lit(None).cast("long")).withColumn("cell", F.explode(F.sequence(F.pmod(F.xxhash64("ids", "data"), F.lit(rows)).cast("int"), F.lit(columns * rows - 1), F.lit(rows))))
+    met = asked.unionByName(met).repartitionById(columns * rows, F.col("cell")).sortWithinPartitions("cell", F.col("block").asc_nulls_last())
+    # The own row ties with nothing but its copies in both score and id, so that one of them goes does not show.
+    found = met.select("cell", "block", "dim", "kind", "ids", "data").mapInArrow(_search(k + 1), "query_id long, block long, query int, vec_id long, score long, own boolean")
+    of = Window.partitionBy("query_id", "block", "query")
+    out = found.withColumn("nth", F.row_number().over(of.orderBy(F.desc("score"), "vec_id"))).where(F.col("nth") <= k + 1)
+    out = out.withColumn("own_nth", F.coalesce(F.min(F.when(F.col("own"), F.col("nth"))).over(of), F.lit(k + 2)))
+    out = out.withColumn("rank", F.col("nth") - F.when(F.col("nth") > F.col("own_nth"), 1).otherwise(0)).where((F.col("nth") != F.col("own_nth")) & (F.col("rank") <= k))
     return out.select("query_id", "rank", F.col("vec_id").alias(id_col), "score")

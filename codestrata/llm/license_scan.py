@@ -26,6 +26,8 @@ CONFIRMED = 3
 #: Words that may differ, as a part of the template's.
 MOST_DIFFERENT = 0.15
 LEVEL = 3
+#: Characters of blocks whose ranking is remembered.
+SEEN_CHARS = 16 << 20
 
 #: Fixed texts: the notices as their licenses word them.
 TEMPLATES: dict[str, str] = {
@@ -41,11 +43,23 @@ TEMPLATES: dict[str, str] = {
     "MIT-line": "Released under the MIT License.",
     "BSD-line": "Released under the BSD License.",
     "All-rights-reserved-line": "All rights reserved.",
+    "MIT-SPDX": "SPDX-License-Identifier: MIT",
+    "Apache-2.0-SPDX": "SPDX-License-Identifier: Apache-2.0",
+    "BSD-3-Clause-SPDX": "SPDX-License-Identifier: BSD-3-Clause",
+    "GPL-2.0-only-SPDX": "SPDX-License-Identifier: GPL-2.0-only",
+    "GPL-3.0-or-later-SPDX": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "MPL-2.0-SPDX": "SPDX-License-Identifier: MPL-2.0",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
 }
 
@@ -80,20 +94,37 @@ class Scanner:
             zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for w in self.words
         ]
-        self.seen: dict[str, list[tuple[float, int]]] = {}
+        self.seen: dict[tuple[str, tuple[int, ...]], list[tuple[float, int]]] = {}
+        self.held = 0
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(part of the compressed size saved, template), most first; ties in the order of the templates."""
-        if (known := self.seen.get(block)) is not None:
+    def ranked(self, block: str, templates: tuple[int, ...]) -> list[tuple[float, int]]:
+        """(part of the compressed size saved, template) of these templates, most first; ties in the order of the templates."""
+        if (known := self.seen.get((block, templates))) is not None:
             return known
         data = block.encode()
         size = len(self.alone.compress(data))
-        out = sorted(((1 - len(c.compress(data)) / size, k) for k, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
-        if len(self.seen) > 1 << 14:
+        out = sorted(((1 - len(self.given[k].compress(data)) / size, k) for k in templates), key=lambda x: (-x[0], x[1]))
+        if self.held > SEEN_CHARS:
             self.seen.clear()
-        self.seen[block] = out
+            self.held = 0
+        self.seen[block, templates] = out
+        self.held += len(block) + 200
         return out
 
+    @staticmethod
+    def before(text: str, start: int, stop: int, words: int) -> list[tuple[str, int, int]]:
+        """The last so many words between two places, of any length."""
+        reach = 40 * words + 80
+        while True:
+            # A word that is cut at the beginning is not taken for one.
+            at = max(start, stop - reach)
+            found = list(_placed(text, at, stop))
+            if at > start and found and found[0][1] == at and not text[at - 1].isspace():
+                del found[0]
+            if len(found) >= words or at == start:
+                return found[len(found) - min(words, len(found)) :]
+            reach *= 4
+
     def confirm(self, words: list[str], k: int) -> tuple[int, int, int, float]:
         """(words that differ, first and last + 1 word of the block, similarity), where the template ends with its last shared word."""
         matcher = SequenceMatcher(None, words, self.words[k], autojunk=False)
@@ -114,7 +145,7 @@ class Scanner:
         at = done = 0
         while cue := self.cue.search(text, at):
             first = max(text.rfind(" ", done, cue.start()), text.rfind("\n", done, cue.start()), text.rfind("\t", done, cue.start()), done - 1) + 1
-            head = list(_placed(text, max(done, first - 40 * before - 80), first))
+            head = self.before(text, done, first, before)
             tail = list(islice(_placed(text, first, len(text)), after + after // 5 + 3))
             best = None
             for b, n in self.shapes:
@@ -131,17 +162,17 @@ class Scanner:
         words = [w for w, _, _ in block]
         has = Counter(words)
         # Words that a template has and the block has not differ in any comparison.
-        possible = {k for k, c in enumerate(self.counts) if c and (c - has).total() <= self.most_different * len(self.words[k])}
+        possible = tuple(k for k, c in enumerate(self.counts) if c and (c - has).total() <= self.most_different * len(self.words[k]))
         if not possible:
             return best
-        ranked = [x for x in self.ranked(" ".join(words)) if x[1] in possible]
+        ranked = self.ranked(" ".join(words), possible)
         last = ranked[min(CONFIRMED, len(ranked)) - 1][0]
         for saved, k in ranked:
             if saved < last:
                 break
             different, a, b, similar = self.confirm(words, k)
             if different <= self.most_different * len(self.words[k]) and block[a][1] <= cue < block[b - 1][2]:
-                saved = next(x for x, i in self.ranked(" ".join(words[a:b])) if i == k)
+                saved = self.ranked(" ".join(words[a:b]), (k,))[0][0]
                 if saved < self.least_saved:
                     continue
                 got = (self.names[k], block[a][1], block[b - 1][2], saved, different, different == 0)

@@ -1,6 +1,8 @@
 import collections
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -14,21 +16,23 @@ def vectors():
     dice = random.Random(2)
     v = [(i, [dice.gauss(0, 0.2) for _ in range(16)]) for i in range(0, 300)]
     v += [(400 + i, v[0][1]) for i in range(15)] + [(500, [1.0] * 15), (600, [0.5] * 15), (700, None), (800, [None] * 16), (900, [float("nan")] * 16), (1000, [float("inf")] * 16), (None, [0.1] * 16), (1100, []), (1200, [])]
-    v += [(100, v[100][1]), (1300, [1e300] + [0.0] * 15), (1301, [-1e300] + [0.0] * 15), (1400, [3e15] * 16)]
+    v += [(100, v[100][1]), (200, v[7][1]), (0, [-x for x in v[0][1]]), (1300, [1e300] + [0.0] * 15), (1301, [-1e300] + [0.0] * 15), (1400, [3e15] * 16)]
     return v
 
 
 def best(data, is_query, k):
-    ok = [(i, [int(np.floor(x * 1024)) if abs(x * 1024) < 1e18 else int(x * 1024) for x in e]) for i, e in data if i is not None and e is not None and all(x is not None and np.isfinite(x * 1024) for x in e)]
-    for i, q in ok:
+    ok = [(n, i, [int(np.floor(x * 1024)) if abs(x * 1024) < 1e18 else int(x * 1024) for x in e]) for n, (i, e) in enumerate(data) if i is not None and e is not None and all(x is not None and np.isfinite(x * 1024) for x in e)]
+    for n, i, q in ok:
         if is_query(i):
-            found = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, c, strict=True)))), j) for j, c in ok if j != i and len(c) == len(q))[:k]
-            yield from ((i, n + 1, j, -s) for n, (s, j) in enumerate(found))
+            found = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, c, strict=True)))), j) for m, j, c in ok if m != n and len(c) == len(q))[:k]
+            yield from ((i, r + 1, j, -s) for r, (s, j) in enumerate(found))
 
 
-@pytest.mark.parametrize(("block", "k"), [(7, 10), (8192, 3)])
-def test_topk_against_brute_force(spark, monkeypatch, block, k):
+@pytest.mark.parametrize(("block", "k", "column"), [(7, 10, 1 << 14), (8192, 3, 64 << 20), (16, 1, 64 << 20)])
+def test_topk_against_brute_force(spark, monkeypatch, block, k, column):
     monkeypatch.setattr(topk_search, "VECTORS", block)
+    monkeypatch.setattr(topk_search, "COLUMN_BYTES", column)
+    monkeypatch.setattr(topk_search, "ROW_BLOCKS", 4)
     monkeypatch.setattr(topk_search, "QUERIES", 2)
     data = vectors()
     d = spark.createDataFrame([(*v, 1, 2) for v in data], "vec_id long, embedding array<double>, score int, rank int")
@@ -42,7 +46,7 @@ def test_bounds_prune_and_keep_ties():
     grid = dice.integers(-300, 300, (64, 4000))
     b = topk_search.Best(np.array([-1, -2]), grid[:, :2].copy(), 10)
     for at in range(0, 4000, 500):
-        b.meet(np.arange(at, at + 500), grid[:, at : at + 500])
+        b.meet(topk_search.Block(np.arange(at, at + 500), grid[:, at : at + 500]))
     for q in range(2):
         want = sorted((-int(s), i) for i, s in enumerate(grid[:, q] @ grid))[:10]
         assert list(zip((-b.score[q]).tolist(), b.found[q].tolist(), strict=True)) == want
@@ -91,26 +95,70 @@ def test_gapless_numbers(spark):
 
 
 def lags(order, weights):
-    total, seen, worst = sum(weights.values()), collections.Counter(), 0.0
+    total, seen, worst = sum(map(Fraction, weights.values())), collections.Counter(), 0.0
     for t, s in enumerate(order, 1):
         seen[s] += 1
         worst = max(worst, max(abs(seen[x] - t * w / total) for x, w in weights.items()))
     return worst
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_period_stays_within_a_block(seed):
+def earliest_deadlines(weights, slots):
+    """The schedule by its definition, over all slots at once."""
+    total = sum(map(Fraction, weights.values()))
+    share, seen, out = {s: w / total for s, w in weights.items()}, collections.Counter(), []
+    for t in range(slots):
+        due = [(math.ceil((seen[s] + 1) / w), i, s) for i, (s, w) in enumerate(share.items()) if math.floor(seen[s] / w) <= t]
+        out.append(min(due)[2])
+        assert min(due)[0] > t
+        seen[out[-1]] += 1
+    return out
+
+
+def dealt(weights, length, slots):
+    """The schedule in stretches, with each block held against its window."""
+    whole, names, out = list(pfair_mix.whole_weights(weights).values()), list(weights), []
+    total, seen = sum(whole), [0] * len(whole)
+    for n, have, until in pfair_mix.borders(whole, length, slots):
+        assert have == seen
+        for i, k in pfair_mix.stretch(whole, n * length, min(slots, (n + 1) * length), have, until):
+            assert k == seen[i] and k * total // whole[i] <= len(out) < -(-(k + 1) * total // whole[i])
+            seen[i] += 1
+            out.append(names[i])
+    assert len(out) == slots
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_stretches_stay_within_a_block(seed):
     dice = random.Random(seed)
-    weights = {f"s{i}": dice.random() ** 4 + 1e-6 for i in range(dice.randrange(1, 30))}
-    shares = pfair_mix.whole_shares(weights, dice.choice([10, 100, 997]))
-    assert min(shares.values()) >= 1 and sum(shares.values()) >= len(weights)
-    assert lags([s for s, _ in pfair_mix.pfair_period(shares)], shares) < 1
-
-
-def test_mix(spark):
+    draw = dice.choice([lambda: Fraction(dice.random() ** 4 + 1e-6), lambda: Fraction(dice.randrange(1, 9)), lambda: Fraction(10) ** dice.randrange(-9, 3)])
+    weights = {f"s{i}": draw() for i in range(dice.randrange(1, 30))}
+    slots = dice.randrange(1, 300)
+    assert lags(dealt(weights, dice.choice([1, 2, 3, 7, 50]), slots), weights) < 1
+    assert dealt(weights, slots, slots) == earliest_deadlines(weights, slots)
+
+
+def test_extreme_weights_are_kept():
+    weights = {"big": Fraction(991, 1000)} | {f"s{i}": Fraction(9, 1000 * 8999) for i in range(8999)}
+    order = dealt(weights, 40_000, 130_000)
+    counts = collections.Counter(order)
+    assert abs(counts["big"] - 130_000 * 0.991) < 1 and max(abs(n - 130_000 * float(weights[s])) for s, n in counts.items()) < 1
+    for t in (1, 999, 39_999, 40_000, 40_001, 88_888, 130_000):
+        seen = collections.Counter(order[:t])
+        assert all(abs(seen[s] - t * w) < 1 for s, w in weights.items())
+    order = dealt({"one": Fraction(1), "many": Fraction(10**9)}, 5_000, 20_000)
+    assert abs(order.count("one") - 20_000 / (10**9 + 1)) < 1
+    assert pfair_mix.whole_weights({"a": 0.5, "b": 1.5, "c": 2}) == {"a": 1, "b": 3, "c": 4}
+    for wrong in (0, -1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            pfair_mix.whole_weights({"a": wrong})
+
+
+@pytest.mark.parametrize("length", [None, 3])
+def test_mix(spark, length):
     data = [(i, f"text {i}", "en", "big", 0) for i in range(300)] + [(1000 + i, f"t {i}", "en", "small", 0) for i in range(10)] + [(5000, "same", "en", None, 0)] * 6
     weights = {"big": 3.0, "small": 1.0, None: 1.0}
-    got = pfair_mix.mix_sources(docs(spark, data), weights, block_docs=4).collect()
+    got = pfair_mix.mix_sources(docs(spark, data), weights, block_docs=4, length=length).collect()
     assert {r["doc_id"] for r in got} == {r[0] for r in data}
     by_slot = collections.defaultdict(list)
     for r in got:
@@ -119,14 +167,44 @@ def test_mix(spark):
     order = [by_slot[t][0]["source"] for t in range(len(by_slot))]
     assert all(len({(r["source"], r["block"], r["epoch"]) for r in b}) == 1 for b in by_slot.values())
     assert lags(order, weights) < 1
+    if length is None:  # the driver sorts names, null last
+        assert order == earliest_deadlines({"big": Fraction(3), "small": Fraction(1), None: Fraction(1)}, len(order))
+    # It ends with the last block that had not gone before.
+    assert any(r["source"] == order[-1] and r["epoch"] == 0 for r in by_slot[len(order) - 1])
+    turns_of = collections.Counter()
+    for t in range(len(order)):
+        r = by_slot[t][0]
+        blocks = {"big": 75, "small": 3, None: 2}[r["source"]]
+        assert (r["epoch"], r["block"]) == divmod(turns_of[r["source"]], blocks)
+        turns_of[r["source"]] += 1
     counts = collections.Counter((r["source"], r["epoch"]) for r in got)
     assert counts["big", 0] == 300 and counts["small", 0] == 10 and counts[None, 0] == 6 and counts["small", 1] == 10
-    same_rows([r["doc_id"] for r in pfair_mix.mixed_documents(docs(spark, data), weights=weights, block_docs=4).collect()], [r["doc_id"] for r in got])
+    same_rows([r["doc_id"] for r in pfair_mix.mixed_documents(docs(spark, data), weights=weights, block_docs=4, length=length).collect()], [r["doc_id"] for r in got])
+
+
+def test_mix_of_odd_tables(spark):
     assert pfair_mix.mixed_documents(docs(spark)).columns == docs(spark).columns
     assert {r["doc_id"] for r in pfair_mix.mix_sources(docs(spark)).collect()} == {r[0] for r in rows()}
     assert pfair_mix.mix_sources(docs(spark, [])).count() == 0 and pfair_mix.mixed_documents(docs(spark, [])).columns == docs(spark).columns
     with pytest.raises(ValueError):
         pfair_mix.mix_sources(docs(spark), {"s0": 1.0})
+    few = docs(spark, [(i, "t", "en", f"s{i}", 0) for i in range(2)])
+    with pytest.raises(ValueError):
+        pfair_mix.mix_sources(few, {"s0": 1.0, "s1": 1e-9})
+
+
+def test_many_copies_of_a_row(spark, monkeypatch):
+    monkeypatch.setattr(common, "RUN", 7)
+    d = spark.createDataFrame([("a", 100), ("b", 1), ("c", 7), ("d", 8)], "k string, n long")
+    same_rows([(r["k"], r["i"]) for r in common.each_copy(d, "n", "i").collect()], [(k, i) for k, n in (("a", 100), ("b", 1), ("c", 7), ("d", 8)) for i in range(n)])
+    data = [(1, "same", "en", "s", 0)] * 500 + [(None, None, None, None, None)] * 300 + [(2, "x", "en", "s", 0)]
+    got = shard_tree.number_shards(docs(spark, data), shard_tree.hash_tree(16), shard_tree.hash_tree(17)).collect()
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 801 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mixed = pfair_mix.mix_sources(docs(spark, data)).where("epoch = 0").collect()
+    assert collections.Counter(r["doc_id"] for r in mixed) == {1: 500, None: 300, 2: 1} and len({(r["slot"], r["at"]) for r in mixed}) == 801
 
 
 def turns():
@@ -163,6 +241,40 @@ def test_preferences(spark):
     assert "Python" not in preference_format.preference_rows(d, F.col("conv_id"), F.lit(True))._jdf.queryExecution().toString()
 
 
+def test_swapped_answers(spark):
+    data = turns()
+    d = spark.createDataFrame([(*t, "c", "p") for t in data], "conv_id long, turn int, role string, text string, chosen string, prompt string")
+    pairs = preference_format.pair_conversations(d, F.shiftright("conv_id", 1), F.col("conv_id") % 2 == 1)
+    got = preference_format.format_pairs(preference_format.swapped_answers(pairs)).collect()
+    convs = collections.defaultdict(list)
+    for c, t, r, x in data:
+        if c is not None:
+            convs[c].append(((t is not None, t or 0), (r is not None, r or ""), (x is not None, x or "")))
+    plain = {c: [(r[1], x[1]) for _, r, x in sorted(v)] for c, v in convs.items()}
+    assert sorted(r["pair_id"] for r in got) == sorted(plain) and sum(r["n_common"] > 0 for r in got) > len(got) // 2
+    show = lambda ts: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in ts)
+    for r in got:
+        mine, other = plain[r["pair_id"]], plain.get(r["pair_id"] ^ 1, [])
+        at = max((i for i, t in enumerate(mine) if t[0] == "assistant"), default=None)
+        lent = [x for x in other if x[0] == "assistant"][-1:]
+        swapped = mine if at is None else mine[:at] + lent + mine[at + 1 :]
+        n = 0
+        while n < min(len(mine), len(swapped)) and mine[n] == swapped[n]:
+            n += 1
+        assert (r["n_common"], r["prompt"], r["chosen"], r["rejected"]) == (n, show(mine[:n]), show(mine[n:]), show(swapped[n:]))
+        assert at is None or n >= at
+        assert r["rejected_id"] == (r["pair_id"] ^ 1 if r["pair_id"] ^ 1 in plain else None)
+        for side, ts in (("chosen", mine[n:]), ("rejected", swapped[n:])):
+            assert [r[side][s["start"] : s["stop"]] for s in r[f"{side}_learnt"]] == [f"{x}<|im_end|>\n" for role, x in ts if role == "assistant"]
+    assert "Python" not in preference_format.swapped_answers(pairs)._jdf.queryExecution().toString()
+
+
+def test_registered_preferences_share_turns(spark):
+    got = queries.op8_preference_format(spark, "/root/testdata/sf0.01")
+    assert got.count() == 100 and got.where("n_common > 0 and prompt <> ''").count() > 90 and got.where("chosen_learnt <> ''").count() > 50
+    assert "Python" not in got._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_token_file_round_trip(seed):
     dice = np.random.default_rng(seed)
@@ -193,6 +305,36 @@ def test_word_encoder_is_the_tokenizer():
             assert np.frombuffer(got, dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_long_texts_go_in_pieces(monkeypatch):
+    monkeypatch.setattr(token_blocks, "PIECE", 40)
+    monkeypatch.setattr(token_blocks, "LONG_WORD", 5)
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    whole, fast = Tokenizer.from_file(path), token_blocks.WordEncoder(path)
+    for text in ("word " * 100, "a" * 300, "x" * 90 + "\t" + "Some words, and more. " * 20, " " * 100, "é" * 50 + " tail", ""):
+        assert np.frombuffer(fast([text])[0], dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        file = json.load(f)
+    assert token_blocks.words_apart(file)
+    texts = ["Two  Words, and MORE.", "", "It's\tfine", "a b"]
+    for n, change in enumerate(({"normalizer": None}, {"normalizer": {"type": "NFC"}}, {"added_tokens": [*file["added_tokens"], {**file["added_tokens"][0], "id": 49408, "content": "and", "special": False}]})):
+        other = {**file, **change}
+        assert not token_blocks.words_apart(other)
+        path = tmp_path / f"t{n}.json"
+        path.write_text(json.dumps(other))
+        whole, mine = Tokenizer.from_file(str(path)), token_blocks.WordEncoder(str(path))
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in mine(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert token_blocks._arrow_uri("file:/a/b") == "file:///a/b" == token_blocks._arrow_uri("/a/b") and token_blocks._arrow_uri("s3a://x/y") == "s3://x/y" and token_blocks._arrow_uri("hdfs://n/a") == "hdfs://n/a"
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -66,6 +67,32 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.leaking(docs(spark, data), bench.limit(0)).where("leaks").count() == 0
 
 
+@pytest.mark.parametrize("settings", [{}, {"edit_rate": 0.3}, {"q": 12, "edit_rate": 0.15}])
+def test_short_items_get_the_edits_of_their_rate(spark, settings):
+    dice = random.Random(17)
+    noise = lambda n: "".join(dice.choice("abcdefghijklmnop") for _ in range(n))
+    items = [(n, noise(n)) for n in range(2, 31)]
+    data = []
+    for n, item in items:
+        for edits in range(4):
+            data.append((len(data), noise(20) + spoil(dice, item, edits) + noise(20), "en", "s", 0))
+    got = decontaminate.find_leaks(docs(spark, data), spark.createDataFrame(items, "item_id long, text string"), **settings).collect()
+    rate = settings.get("edit_rate", decontaminate.EDIT_RATE)
+    want = [(d, n) for d, t, *_ in data for n, item in items if edit_distance_inside(item, t) <= int(rate * n)]
+    same_rows([(r["doc_id"], r["item_id"]) for r in got], want)
+    texts = {d: t for d, t, *_ in data}
+    for r in got:
+        assert edit_distance_inside(dict(items)[r["item_id"]], texts[r["doc_id"]][r["start"] : r["stop"]]) <= r["edits"] <= int(rate * r["item_id"])
+    assert any(r["edits"] and r["item_id"] < 16 for r in got)
+
+
+def test_blank_items_stay_behind(spark):
+    bench = spark.createDataFrame([(1, ""), (2, " \n"), (3, None), (4, "\u00a0"), (5, "an item to be found")], "item_id long, text string")
+    assert [[i for i, t in b if t] for b in decontaminate.item_blocks(bench, "item_id", "text", 100)] == [[5]]
+    got = decontaminate.find_leaks(docs(spark, [(1, "here is an item to be found", "", "", 0), (2, "", "", "", 0)]), bench).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 5)]
+
+
 def test_items_without_an_id_leak_too(spark):
     items, data = cases()
     bench = spark.createDataFrame([(None, items[0][1])], "item_id long, text string")
@@ -110,7 +137,7 @@ def test_license_wording(spark):
     assert all(r["saved"] >= license_scan.LEAST_SAVED for r in got) and [r["different_words"] for r in got if r["doc_id"] == 3][0] > 0
     assert license_scan.find_licenses(docs(spark, [])).count() == 0
     lines = license_scan.find_licenses(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    exact = {license_scan.TEMPLATES[n] for n in ("MIT-line", "CC-BY-NC-4.0-line", "GPL-3.0-line", "Apache-2.0-line")}
+    exact = {license_scan.TEMPLATES[n] for n in ("MIT-line", "CC-BY-NC-4.0-line", "GPL-3.0-line", "Apache-2.0-line", "All-rights-reserved-line")}
     texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
     assert lines.where("exact").count() == sum(line in exact for r in texts for line in r["text"].split("\n"))
 
@@ -131,6 +158,46 @@ def test_words_behind_a_notice_do_not_hide_it(behind):
         assert [(f[0], f[5]) for f in found] == [(name, True)] and found[0][3] >= license_scan.LEAST_SAVED, (name, found)
 
 
+def exact_notices(text):
+    """Every word start against every template; of notices that overlap the longer one, then the first."""
+    words = [(w, a, b) for a, b in ((m.start(), m.end()) for m in re.finditer(r"\S+", text)) if (w := text[a:b].lower().strip("*#/;,.:\"'()[]<>-!"))]
+    found = []
+    for name, body in license_scan.TEMPLATES.items():
+        body = [w for w in (x.lower().strip("*#/;,.:\"'()[]<>-!") for x in body.split()) if w]
+        for i in range(len(words) - len(body) + 1):
+            if [w for w, _, _ in words[i : i + len(body)]] == body:
+                found.append((-len(body), words[i][1], words[i + len(body) - 1][2], name))
+    out = []
+    for n, a, b, name in sorted(found):
+        if not any(a < d and c < b for c, d, _ in out):
+            out.append((a, b, name))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_exact_notices_against_every_word_start(seed):
+    dice = random.Random(seed)
+    noise = ["the", "license", "of", "permission", "no", "warranty", "copyright", "poet", "https://example.org/" + "x" * 300, "public", "domain", "Überwachung", "redistribution", "rights", "reserved", "--", "v2"]
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    gap = dice.choice([" ", " ", "\n", "\t "])
+    parts = []
+    for _ in range(dice.randrange(1, 9)):
+        parts += [dice.choice(noise) for _ in range(dice.randrange(1, 60))]
+        name = dice.choice(list(license_scan.TEMPLATES))
+        parts += license_scan.TEMPLATES[name].split()
+    text = gap.join(parts)
+    got = [(a, b, name) for name, a, b, _, _, exact in scanner.scan(text) if exact]
+    assert got == exact_notices(text) and len(got) > 0
+
+
+def test_words_before_a_cue_may_be_long():
+    mine = {"x": "one two three four five six the license of this"}
+    long = {"x": " ".join("w" * 200 + str(i) for i in range(12)) + " license here"}
+    for templates in (mine, long):
+        text = "Before. " + templates["x"] + " After."
+        assert [(f[0], f[1], f[5]) for f in license_scan.Scanner(templates).scan(text)] == [("x", 8, True)]
+
+
 def test_reserved_rights_of_a_whole_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = license_scan.find_licenses(table).where("license = 'All-rights-reserved-line' and exact").count()

@@ -9,6 +9,10 @@ the bin, which answers with those that occur more than once:
    This loses nothing and leaves about a fourteenth of the hashes to send.
 2. All windows with a repeated minimiser are counted by two Rabin-Karp hashes (128 bits) of their words.
 
+Spark deals the arrays to bins and groups by their numbers, so that tasks are alike, and calls the counting of a bin, which is done
+on its arrays in numpy: a row a hash would cost many times the bytes. Groups of texts are of ``GROUP_BYTES``; from about 0.4 TB on
+they grow with the root of the corpus, to 140 MB at 100 TB, so that arrays keep ``LEAST_PACKED`` hashes.
+
 Repeated windows merge into maximal removal intervals. No hash is sent more than once by a group, so a
 passage that a third of all texts hold costs a bin one entry a group.
 """
@@ -270,13 +274,13 @@ def _results(docs: DataFrame, text_col: str, window: int, full: bool) -> DataFra
     keyed = docs.select(*text_keys(text), F.encode(text, "UTF-8").alias("text"))
     keyed = keyed.select(F.pmod("k1", F.lit(groups)).cast("int").alias("g"), "k1", "k2", "text")
     parts = max(few, -(-groups // 4))
-    texts = keyed.mapInArrow(_first_of_each, "g int, k1 long, k2 long, text binary, n long").repartition(parts, "g")
+    texts = keyed.mapInArrow(_first_of_each, "g int, k1 long, k2 long, text binary, n long").repartitionById(parts, F.col("g"))
     cutter = _Cutter(window, bins)
     packed, answer = "b int, g int, first binary, second binary, often binary", "g int, first binary, second binary"
     bin_parts = max(few, -(-bins // 2))
 
     def answers(sent: DataFrame) -> DataFrame:
-        return sent.repartition(bin_parts, "b").groupBy("b").applyInArrow(lambda key, group: cutter.answer(key, group), answer).repartition(parts, "g")
+        return sent.repartitionById(bin_parts, F.col("b")).groupBy("b").applyInArrow(lambda key, group: cutter.answer(key, group), answer).repartitionById(parts, F.col("g"))
 
     def both(right: DataFrame, f, schema: str) -> DataFrame:
         return texts.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(lambda key, group, answered: f(key, group, answered), schema)

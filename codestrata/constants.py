@@ -21,6 +21,7 @@ LARGE_COMMIT = 500
 HUGE_COMMIT = 1000
 WEEKS = 13
 BURST_GAP = "30 minutes"
+BURST_GAP_MS = 1_800_000
 BURST_LEAST = 3
 HOTSPOTS = 10
 REFACTOR_SUBJECT = r"(?i)\b(refactor|cleanup|restructure|rename)\b"

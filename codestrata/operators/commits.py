@@ -16,31 +16,72 @@ REPO = ("repo_id",)
 def size_stats(commits: DataFrame, keys: tuple[str, ...] = REPO, size: str = "total_lines", large: float = C.LARGE_COMMIT, huge: float = C.HUGE_COMMIT) -> DataFrame:
     """medianCommitSize, p90CommitSize, pctOver500Loc, pctOver1000Loc; commits without files count with size 0."""
     n = F.count(F.lit(1))
-    d = commits.groupBy(*keys).agg(
-        median0(size).alias("medianCommitSize"), pct1(F.count_if(F.col(size) > large), n).alias("pctOver500Loc"), pct1(F.count_if(F.col(size) > huge), n).alias("pctOver1000Loc")
-    )
-    p90 = floor_percentiles(commits, keys, {"size": size}, (0.9,))
-    return d.join(p90, list(keys)).select(*keys, "medianCommitSize", F.col("p90_size").alias("p90CommitSize"), "pctOver500Loc", "pctOver1000Loc")
-
-
-def burst_stats(events: DataFrame, keys: tuple[str, ...] = REPO, time: Column | str = "ts", gap: str = C.BURST_GAP, least: int = C.BURST_LEAST) -> DataFrame:
-    """burstCount and burstRatio: sessions chain over gaps of at most ``gap``; one of ``least`` or more is a burst."""
-    d = events.select(*keys, (F.col(time) if isinstance(time, str) else time).alias("at"))
-    n = d.groupBy(*keys, F.session_window("at", gap)).agg(F.count(F.lit(1)).alias("n"))
+    d = commits.groupBy(*keys).agg(pct1(F.count_if(F.col(size) > large), n).alias("pctOver500Loc"), pct1(F.count_if(F.col(size) > huge), n).alias("pctOver1000Loc"))
+    places = floor_percentiles(commits, keys, {"size": size}, (0.9,), median=True)
+    d = d.join(places, list(keys), "left")
+    return d.select(*keys, zero(F.col("median_size")).alias("medianCommitSize"), F.col("p90_size").alias("p90CommitSize"), "pctOver500Loc", "pctOver1000Loc")
+
+
+def burst_stats(events: DataFrame, keys: tuple[str, ...] = REPO, time: Column | str = "ts", gap_ms: int = C.BURST_GAP_MS, least: int = C.BURST_LEAST) -> DataFrame:
+    """burstCount and burstRatio: sessions chain over gaps of at most ``gap_ms``; one of ``least`` or more is a burst.
+
+    Events of one stretch of ``gap_ms`` on the clock belong to one session, so they are summed up by stretch first, in every task
+    before the shuffle. What is chained are stretches, of which a group has no more than the time it spans holds (18 000 in
+    a year of half hours), however many events it has.
+    """
+    at = F.unix_micros(F.col(time) if isinstance(time, str) else time)
+    d = events.select(*keys, at.alias("at")).groupBy(*keys, F.floor(F.col("at") / (gap_ms * 1000)).alias("stretch"))
+    d = d.agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*keys).orderBy("stretch")
+    chained = F.coalesce(F.col("first") - F.lag("last").over(order) <= gap_ms * 1000, F.lit(False))
+    d = d.withColumn("new", F.when(chained, 0).otherwise(1)).withColumn("session", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    n = d.groupBy(*keys, "session").agg(F.sum("n").alias("n"))
     big = F.col("n") >= least
     return n.groupBy(*keys).agg(F.count_if(big).alias("burstCount"), pct1(zero(F.sum(F.when(big, F.col("n")))), F.sum("n")).alias("burstRatio"))
 
 
+#: Gaps are found within stretches of the clock of an hour, which bounds what meets in a place to 3.6 million times.
+GAP_STRETCH_MS = 3_600_000
+
+
 def gaps(events: DataFrame, keys: tuple[str, ...], millis: Column | str) -> DataFrame:
-    """(keys, gap): milliseconds between neighbours in time; null for each group's first."""
-    d = events.select(*keys, (F.col(millis) if isinstance(millis, str) else millis).alias("ms"))
-    return d.withColumn("gap", F.col("ms") - F.lag("ms").over(Window.partitionBy(*keys).orderBy("ms")))
+    """(keys, gap, times): how often neighbours in time lie ``gap`` milliseconds apart, and a row with a null gap for each group.
+
+    Equal times are counted first. Gaps within an hour come from a window over that hour of a group, those between hours from a
+    window over the first and last times of a group's hours (8800 a year); no window holds all events of a group.
+    """
+    d = events.select(*keys, (F.col(millis) if isinstance(millis, str) else millis).cast("long").alias("ms"))
+    times = d.groupBy(*keys, "ms", F.floor(F.col("ms") / GAP_STRETCH_MS).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    inner = times.withColumn("gap", F.col("ms") - F.lag("ms").over(Window.partitionBy(*keys, "hour").orderBy("ms")))
+    inner = inner.select(*keys, F.explode(F.array(F.struct("gap", F.lit(1).cast("long").alias("times")), F.struct(F.lit(0).cast("long").alias("gap"), (F.col("n") - 1).alias("times")))).alias("g"))
+    inner = inner.select(*keys, "g.gap", "g.times").where("gap is not null and times > 0")
+    hours = times.groupBy(*keys, "hour").agg(F.min("ms").alias("first"), F.max("ms").alias("last"))
+    between = hours.select(*keys, (F.col("first") - F.lag("last").over(Window.partitionBy(*keys).orderBy("hour"))).alias("gap"), F.lit(1).cast("long").alias("times"))
+    return inner.unionByName(between).groupBy(*keys, "gap").agg(F.sum("times").alias("times"))
 
 
 def gap_dispersion(events: DataFrame, keys: tuple[str, ...] = REPO, millis: Column | str | None = None) -> DataFrame:
-    """stdDevTimeBetweenCommits, of the population, in milliseconds; 0 of fewer than two commits."""
+    """stdDevTimeBetweenCommits, of the population, in milliseconds; 0 of fewer than two commits. The mean comes first, from exact
+    sums of counted gaps, then the mean square of what they are off it."""
     millis = F.col("ts") * 1000 if millis is None else millis
-    return gaps(events, keys, millis).groupBy(*keys).agg(F.coalesce(round_js(F.stddev_pop(F.col("gap").cast("double")), 1), F.lit(0.0)).alias("stdDevTimeBetweenCommits"))
+    g = gaps(events, keys, millis).withColumn("x", F.col("gap").cast("decimal(38, 0)")).withColumn("w", F.when(F.col("gap").isNotNull(), F.col("times")).otherwise(F.lit(0)))
+    n, s = zero(F.sum("w")), F.sum(F.col("x") * F.col("w"))
+    means = g.groupBy(*keys).agg(n.alias("n"), (s.cast("double") / n).alias("mean"))
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"m.{c}")) for c in keys]
+    off = g.alias("g").join(means.alias("m"), same).select(*[F.col(f"m.{c}").alias(c) for c in keys], "n", (F.col("w") * F.pow(F.col("gap").cast("double") - F.col("mean"), 2)).alias("sq"))
+    return off.groupBy(*keys).agg(F.coalesce(round_js(F.sqrt(F.sum("sq") / F.max("n")), 1), F.lit(0.0)).alias("stdDevTimeBetweenCommits"))
+
+
+def gap_places(g: DataFrame, keys: tuple[str, ...] = REPO) -> DataFrame:
+    """medianGapHours (one decimal) and shortGapRatio, the percentage of gaps of at most an hour among the gaps, of counted gaps.
+
+    Different gaps of a group add up to the time it spans, so there are at most the root of twice that (2.5 million in a century).
+    """
+    median = floor_percentiles(g, keys, {"gap": "gap"}, (), median=True, weight="times")
+    w = F.when(F.col("gap").isNotNull(), F.col("times")).otherwise(F.lit(0))
+    short = pct1(zero(F.sum(F.when(F.col("gap") <= C.SHORT_GAP_MS, F.col("times")))), F.sum(w))
+    d = g.groupBy(*keys).agg(short.alias("shortGapRatio")).join(median, list(keys), "left")
+    return d.select(*keys, F.coalesce(round_js(F.col("median_gap") / 3_600_000, 1), F.lit(0.0)).alias("medianGapHours"), "shortGapRatio")
 
 
 def file_churn(changes: DataFrame, keys: tuple[str, ...] = REPO, path: str = "path", lines: Column | str = "lines") -> DataFrame:
@@ -81,11 +122,12 @@ def history_v1(commits: DataFrame, as_of: int) -> DataFrame:
     n = F.count(size)
     d = commits.groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("totalCommits"),
-        median0(size).alias("medianCommitSize"),
         F.coalesce(round_js(F.avg(size), 1), F.lit(0.0)).alias("avgLinesPerCommit"),
         pct1(F.count_if(size > C.LARGE_COMMIT), n).alias("largeCommitRatio"),
         F.when(n > 0, recent_per_week(F.col("ts"), F.lit(as_of))).otherwise(F.lit(0.0)).alias("commitsPerWeek"),
     )
+    median = floor_percentiles(commits.select("repo_id", size.alias("size")), REPO, {"size": "size"}, (), median=True)
+    d = d.join(median, "repo_id", "left").withColumn("medianCommitSize", zero(F.col("median_size"))).drop("median_size")
     return d.select("repo_id", git_struct("local", {c: F.col(c) for c in d.columns[1:]}).alias("git"))
 
 
@@ -119,19 +161,12 @@ def history_api(commits: DataFrame) -> DataFrame:
         F.count_distinct(F.substring("date", 1, 10)).alias("activeDaysLast90Days"),
         median0(utf16_length(F.coalesce("message", F.lit("")))).alias("medianCommitMessageLength"),
     )
-    g = gaps(d.where(F.col("ms").isNotNull()), REPO, "ms").groupBy("repo_id").agg(
-        F.coalesce(round_js(F.median("gap") / 3_600_000, 1), F.lit(0.0)).alias("medianInterCommitHours"), short_gap_ratio().alias("burstRatio")
-    )
+    g = gap_places(gaps(d.where(F.col("ms").isNotNull()), REPO, "ms")).select("repo_id", F.col("medianGapHours").alias("medianInterCommitHours"), F.col("shortGapRatio").alias("burstRatio"))
     d = counts.join(g, "repo_id", "left").na.fill(0.0, ["medianInterCommitHours", "burstRatio"])
     zeros = {n: F.lit(0) for n in ("medianCommitSize", "avgLinesPerCommit", "largeCommitRatio")}
     return d.select("repo_id", git_struct("api", {c: F.col(c) for c in d.columns[1:]} | zeros).alias("git"))
 
 
-def short_gap_ratio(gap: str = "gap") -> Column:
-    """Percentage of gaps of at most an hour among the gaps; not a share of commits."""
-    return pct1(F.count_if(F.col(gap) <= C.SHORT_GAP_MS), F.count(gap))
-
-
 def history_v2(commits: DataFrame) -> DataFrame:
     """struct gitMetricsV2 of each repository that has commits."""
     sizes, bursts, dispersion = size_stats(commits), burst_stats(commits, time=F.timestamp_seconds("ts")), gap_dispersion(commits)

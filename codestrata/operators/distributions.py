@@ -10,20 +10,24 @@ from codestrata import constants as C
 from codestrata.functions.exprs import pct1, zero
 
 
-def floor_percentiles(d: DataFrame, keys: tuple[str, ...], values: dict[str, str], ps: tuple[float, ...] = (0.5, 0.75, 0.9)) -> DataFrame:
+def floor_percentiles(d: DataFrame, keys: tuple[str, ...], values: dict[str, str], ps: tuple[float, ...] = (0.5, 0.75, 0.9), median: bool = False, weight: str | None = None) -> DataFrame:
     """For each (name, column) of ``values`` and each p: p50_name, ... - the element at place min(floor(p n), n - 1).
 
     Values are counted first, so a group is as large as its number of different values, which for lengths and
-    complexities is small however many rows there are. A running count over those then finds the places.
+    complexities is small however many rows there are. A running count over those then finds the places. ``median`` adds
+    median_name, the mean of the two middle elements; a row counts as often as its column ``weight`` says.
     """
     out = None
     for name, c in values.items():
-        counts = d.where(F.col(c).isNotNull()).groupBy(*keys, F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+        often = F.sum(weight) if weight else F.count(F.lit(1))
+        counts = d.where(F.col(c).isNotNull()).groupBy(*keys, F.col(c).alias("v")).agg(often.alias("c"))
         whole = Window.partitionBy(*keys)
         upto = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         ran = counts.withColumn("n", F.sum("c").over(whole)).withColumn("upto", F.sum("c").over(upto))
-        place = lambda p: F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1)
-        picks = [F.min(F.when(F.col("upto") > place(p), F.col("v"))).cast("double").alias(f"p{round(p * 100)}_{name}") for p in ps]
+        at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v"))).cast("double")
+        picks = [at(F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1)).alias(f"p{round(p * 100)}_{name}") for p in ps]
+        if median:
+            picks.append(((at(F.expr("(n - 1) div 2")) + at(F.expr("n div 2"))) / 2).alias(f"median_{name}"))
         got = ran.groupBy(*keys).agg(*picks)
         out = got if out is None else out.join(got, list(keys), "full")
     return out

@@ -111,8 +111,7 @@ def gap_stddev(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY event_type
 """)
 def short_gap_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = commits.gaps(table(spark, sf_dir, "events"), ("event_type",), F.unix_millis(utc("ts")))
-    return g.groupBy("event_type").agg(commits.short_gap_ratio().alias("shortGapRatio"), F.coalesce(X.round_js(F.median("gap") / 3_600_000, 1), F.lit(0.0)).alias("medianGapHours"))
+    return commits.gap_places(commits.gaps(table(spark, sf_dir, "events"), ("event_type",), F.unix_millis(utc("ts"))), ("event_type",))
 
 
 @query("""SELECT event_type, count(DISTINCT strftime(ts, '%Y-%m-%d')) AS "activeDays" FROM events GROUP BY event_type""")

@@ -35,6 +35,8 @@ REPO_URL = r"^https://github\.com/([a-zA-Z0-9_.-]+)/([a-zA-Z0-9_.-]+)$"
 LOOSE_URL = r"^(?:https?://)?(?:www\.)?github\.com/([a-zA-Z0-9_.-]+)/([a-zA-Z0-9_.-]+)/?(?:\.[a-zA-Z]+)?$"
 OWNER_REPO = r"^[a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+$"
 
+NO_GIT = r"spawn\s+git\s+ENOENT|git.*not found"
+
 #: Fixed values: (package, framework) in the order in which they decide.
 FRAMEWORKS = (("next", "Next"), ("@nestjs/core", "NestJS"), ("fastify", "Fastify"), ("express", "Express"), ("react", "React"))
 BACKEND_FRAMEWORKS = ("express", "@nestjs/core", "fastify", "next")

@@ -151,10 +151,20 @@ def export_name(result: Column | str, commit: Column | str, stamp: Column | str)
     return F.concat_ws("_", F.regexp_replace(col(result), r"[/\\]", "_"), F.coalesce(short_commit(commit), F.lit("n/a")), when)
 
 
+def download_name(result: Column | str, commit: Column | str) -> Column:
+    """repo-metrics-id-commit7.json, the name of a downloaded report."""
+    return F.concat(F.lit("repo-metrics-"), col(result), F.lit("-"), F.coalesce(short_commit(commit), F.lit("—")), F.lit(".json"))
+
+
 def repo_label(source_type: Column | str, url: Column | str, path: Column | str) -> Column:
     return F.when(col(source_type) == "git", col(url)).otherwise(col(path))
 
 
+def git_unavailable(message: Column | str, code: Column | str) -> Column:
+    """``is_git_unavailable`` of columns."""
+    return F.coalesce(col(code) == "ENOENT", F.lit(False)) | F.coalesce(col(message).rlike(f"(?i){C.NO_GIT}"), F.lit(False))
+
+
 def is_git_unavailable(message: str, code: str | None = None) -> bool:
     """Whether an error means that there is no git program, the only one after which archives are tried."""
-    return code == "ENOENT" or re.search(r"spawn\s+git\s+ENOENT|git.*not found", message, re.IGNORECASE) is not None
+    return code == "ENOENT" or re.search(C.NO_GIT, message, re.IGNORECASE) is not None

@@ -30,7 +30,7 @@ def burst_stats(events: DataFrame, keys: tuple[str, ...] = REPO, time: Column |
     a year of half hours), however many events it has.
     """
     at = F.unix_micros(F.col(time) if isinstance(time, str) else time)
-    d = events.select(*keys, at.alias("at")).groupBy(*keys, F.floor(F.col("at") / (gap_ms * 1000)).alias("stretch"))
+    d = events.select(*keys, at.alias("at")).where("at is not null").groupBy(*keys, F.floor(F.col("at") / (gap_ms * 1000)).alias("stretch"))
     d = d.agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(*keys).orderBy("stretch")
     chained = F.coalesce(F.col("first") - F.lag("last").over(order) <= gap_ms * 1000, F.lit(False))
@@ -53,7 +53,7 @@ def gaps(events: DataFrame, keys: tuple[str, ...], millis: Column | str) -> Data
     d = events.select(*keys, (F.col(millis) if isinstance(millis, str) else millis).cast("long").alias("ms"))
     times = d.groupBy(*keys, "ms", F.floor(F.col("ms") / GAP_STRETCH_MS).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     inner = times.withColumn("gap", F.col("ms") - F.lag("ms").over(Window.partitionBy(*keys, "hour").orderBy("ms")))
-    inner = inner.select(*keys, F.explode(F.array(F.struct("gap", F.lit(1).cast("long").alias("times")), F.struct(F.lit(0).cast("long").alias("gap"), (F.col("n") - 1).alias("times")))).alias("g"))
+    inner = inner.select(*keys, F.explode(F.array(F.struct("gap", F.lit(1).cast("long").alias("times")), F.struct(F.lit(0).cast("long").alias("gap"), F.when(F.col("ms").isNotNull(), F.col("n") - 1).alias("times")))).alias("g"))
     inner = inner.select(*keys, "g.gap", "g.times").where("gap is not null and times > 0")
     hours = times.groupBy(*keys, "hour").agg(F.min("ms").alias("first"), F.max("ms").alias("last"))
     between = hours.select(*keys, (F.col("first") - F.lag("last").over(Window.partitionBy(*keys).orderBy("hour"))).alias("gap"), F.lit(1).cast("long").alias("times"))

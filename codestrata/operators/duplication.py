@@ -1,6 +1,7 @@
 """Clones: stretches of at least ``TOKENS`` equal tokens on at least ``LINES`` lines, within a repository.
 
-Windows of tokens are hashed, repeated hashes counted, and repeated windows of a file merged where they overlap or touch.
+Each file sends the different hashes of its windows of tokens, 16 bytes and a count each; those that a repository has more than
+once go back to the files that hold them, where repeated windows are merged if they overlap or touch.
 """
 
 from __future__ import annotations
@@ -8,61 +9,94 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from codestrata.functions.exprs import count_lines, pct1, zero
 
 TOKENS = 50
 LINES = 5
-_TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|\s+|([\w$]+|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|.)", re.DOTALL)
+#: A lexeme: a comment, white space, or (group 1) a token.
+_LEXEME = re.compile(r"//[^\n]*|/\*.*?\*/|\s+|([\w$]+|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|.)", re.DOTALL)
+_BASE = 0x9E3779B97F4A7C15
 
 
-def token_windows(content: str, size: int = TOKENS) -> list[tuple[int, int, int, int]]:
-    """(hash, place, first line, last line) of each window of ``size`` tokens; comments and blanks are no tokens."""
-    tokens, lines, line, at = [], [], 0, 0
-    for m in _TOKEN.finditer(content):
-        line += content.count("\n", at, m.start())
-        at = m.start()
+def token_windows(content: str, size: int = TOKENS, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash, first line and last line of each window of ``size`` tokens; comments and blanks are no tokens."""
+    hashes, first, last, line = [], [], [], 0
+    digest = xxhash.xxh64_intdigest
+    for m in _LEXEME.finditer(content):
+        text = m[0]
         if m[1] is not None:
-            tokens.append(m[1])
-            lines.append(line)
-    ends = [n + t.count("\n") for n, t in zip(lines, tokens, strict=True)]
-    hashes = [xxhash.xxh64_intdigest(t) for t in tokens]
-    base, mask, out, h = 0x9E3779B97F4A7C15, 2**64 - 1, [], 0
-    drop = pow(base, size, 2**64)
-    for i, x in enumerate(hashes):
-        h = (h * base + x) & mask
-        if i >= size:
-            h = (h - hashes[i - size] * drop) & mask
-        if i >= size - 1:
-            first = i - size + 1
-            out.append((h - 2**64 if h >= 2**63 else h, first, lines[first], ends[i]))
-    return out
+            hashes.append(digest(text, seed))
+            first.append(line)
+        line += text.count("\n")
+        if m[1] is not None:
+            last.append(line)
+    n = len(hashes) - size + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    # Rabin-Karp by prefix sums: an odd base has an inverse modulo 2**64.
+    tokens = np.array(hashes, dtype=np.uint64)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(tokens), _BASE, dtype=np.uint64)]))
+    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, pow(_BASE, -1, 2**64), dtype=np.uint64)]))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(tokens * power[:-1])])
+    h = (sums[size:] - sums[:-size]) * inverse
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(29))).view(np.int64), np.array(first[:n]), np.array(last[size - 1 :])
 
 
-def duplication(files: DataFrame, tokens: int = TOKENS, lines: int = LINES) -> DataFrame:
-    """(repo_id, duplication struct(percentage, duplicateLines, cloneClusters)) of each repository that has files."""
+def _repo_seed(repo: str | None) -> int:
+    return xxhash.xxh64_intdigest(repo or "", 1)
+
+
+def _sent(tokens: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for repo, key, content in zip(*(batch.column(c).to_pylist() for c in ("repo_id", "file_key", "content")), strict=True):
+                h, n = np.unique(token_windows(content, tokens, _repo_seed(repo))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), key, dtype=np.int64)), pa.array(n.astype(np.int64))], names=["h", "file_key", "n"])
+
+    return send
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _found(tokens: int, lines: int):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for repo, file, content in zip(batch["repo_id"], batch["file"], batch["content"], strict=True):
-                rows = [(repo, file, *w) for w in token_windows(content or "", tokens)]
-                yield pd.DataFrame(rows, columns=["repo_id", "file", "h", "at", "first", "last"])
-
-    windows = files.where(F.col("content").isNotNull()).select("repo_id", "file", "content").mapInPandas(run, "repo_id string, file string, h long, at int, first int, last int")
-    repeated = windows.groupBy("repo_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hits = windows.join(repeated, ["repo_id", "h"], "left_semi")
-    order = Window.partitionBy("repo_id", "file").orderBy("at")
-    runs = hits.withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(order) > 1, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order))
-    runs = runs.groupBy("repo_id", "file", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("h", "at").alias("h")).where(F.col("last") - F.col("first") + 1 >= lines)
-    # A clone is a stretch that starts alike somewhere else; lines are counted once however many clones cover them.
-    clones = runs.groupBy("repo_id").agg(F.count_distinct("h").alias("clones"))
-    covered = runs.select("repo_id", "file", F.explode(F.sequence("first", "last")).alias("line")).distinct().groupBy("repo_id").agg(F.count(F.lit(1)).alias("covered"))
-    whole = files.where(F.col("content").isNotNull()).groupBy("repo_id").agg(zero(F.sum(count_lines("content"))).alias("total"))
+            rows = []
+            for repo, content, repeated in zip(*(batch.column(c).to_pylist() for c in ("repo_id", "content", "repeated")), strict=True):
+                h, first, last = token_windows(content, tokens, _repo_seed(repo))
+                hit = np.isin(h, np.array(repeated, dtype=np.int64)).astype(np.int8)
+                turns = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
+                runs = [(first[a], last[b - 1], h[a]) for a, b in zip(turns[::2], turns[1::2], strict=True) if last[b - 1] - first[a] + 1 >= lines]
+                covered, upto = 0, -1
+                for a, b, _ in runs:
+                    covered += max(0, int(b) - max(int(a), upto + 1) + 1)
+                    upto = max(upto, int(b))
+                rows.append((repo, covered, [int(x) for _, _, x in runs]))
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(3)], names=["repo_id", "covered", "starts"])
+
+    return find
+
+
+def duplication(files: DataFrame, tokens: int = TOKENS, lines: int = LINES) -> DataFrame:
+    """(repo_id, duplication struct(percentage, duplicateLines, cloneClusters)) of each repository that has files.
+
+    A clone is a stretch that starts alike somewhere else; lines are counted once however many clones cover them.
+    """
+    there = files.where(F.col("content").isNotNull()).select("repo_id", "content", F.xxhash64("repo_id", "file").alias("file_key"))
+    sent = there.mapInArrow(_sent(tokens), "h long, file_key long, n long")
+    # A hash that many files share is counted in each task first; its rows are split by Spark's skew handling in the join.
+    repeated = sent.groupBy("h").agg(F.sum("n").alias("times")).where("times > 1").select("h")
+    back = sent.join(repeated, "h", "left_semi").groupBy("file_key").agg(F.collect_list("h").alias("repeated"))
+    found = there.join(back, "file_key").select("repo_id", "content", "repeated").mapInArrow(_found(tokens, lines), "repo_id string, covered long, starts array<long>")
+    covered = found.groupBy("repo_id").agg(F.sum("covered").alias("covered"))
+    clones = found.select("repo_id", F.explode("starts").alias("h")).groupBy("repo_id").agg(F.count_distinct("h").alias("clones"))
+    whole = there.groupBy("repo_id").agg(zero(F.sum(count_lines("content"))).alias("total"))
     d = whole.join(covered, "repo_id", "left").join(clones, "repo_id", "left")
     got = F.struct(pct1(zero(F.col("covered")), "total").alias("percentage"), zero(F.col("covered")).alias("duplicateLines"), zero(F.col("clones")).alias("cloneClusters"))
     return d.select("repo_id", got.alias("duplication"))

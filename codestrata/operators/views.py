@@ -48,6 +48,20 @@ def risk_profile(high: Column | str, long: Column | str, test: Column | str, sou
     )
 
 
+def commit_metrics(report: str = "report") -> Column:
+    """struct of what the view of the first question shows: the fields of the later history section where there is one, else those of
+    the earlier, else 0. The burst ratio, a percentage in the report, is shown times 100, as reports have always been shown."""
+    v2, v1 = (lambda path: F.col(f"{report}.gitMetricsV2.{path}")), (lambda name: F.col(f"{report}.git.{name}"))
+    first = lambda *c: F.coalesce(*[x.cast("double") for x in c], F.lit(0.0))
+    return F.struct(
+        first(v1("totalCommits")).alias("totalCommits"), first(v1("commitsPerWeek")).alias("commitsPerWeek"),
+        first(v2("commitStats.medianCommitSize"), v1("medianCommitSize")).alias("medianCommitSize"), first(v1("avgLinesPerCommit")).alias("avgLinesPerCommit"),
+        first(v2("commitStats.pctOver500Loc"), v1("largeCommitRatio")).alias("largeCommitRatio"), (first(v2("burstStats.burstRatio")) * 100).alias("burstRatio"),
+        first(v2("entropy.stdDevTimeBetweenCommits")).alias("stdDevTimeBetweenCommits"), first(v2("commitStats.pctOver500Loc")).alias("pctOver500Loc"),
+        first(F.col(f"{report}.duplication.percentage")).alias("duplication"),
+    )
+
+
 def insight_rules(high: Column | str, test_ratio: Column | str, burst_ratio: Column | str, long: Column | str, maintainability: Column | str) -> Column:
     """The rules that hold, as "question: what it may mean"."""
     n = lambda c: F.coalesce(col(c), F.lit(0))

@@ -6,43 +6,39 @@ import argparse
 import json
 import os
 import sys
-import tempfile
 import time
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata import schema
-from codestrata.functions.exprs import is_git_unavailable
+from codestrata.functions.exprs import is_git_unavailable, is_valid_repo_input, normalise_repo_url, parse_repo_url, result_id
 from codestrata.operators import store
 from codestrata.plans.export import pretty, write_report_files, write_summary_csv
 from codestrata.plans.report import Inputs, build_reports, report_json
-from codestrata.sources.api import api_metadata, cached_checkout, read_commit_pages, unpack_archive
+from codestrata.sources.api import api_metadata, cached_checkout, git_clone, read_commit_pages, unpack_archive
 from codestrata.sources.files import list_repos, read_source_trees
-from codestrata.sources.git_log import read_git_log, source_metadata, write_log
+from codestrata.sources.git_log import read_logs, read_repos, source_metadata
 from codestrata.sources.manifests import read_manifests
 
-__all__ = ["analyze_batch", "analyze_repo", "analyze_url", "get_report", "is_git_unavailable", "main", "store_reports"]
+__all__ = ["analyze_batch", "analyze_repo", "analyze_url", "get_report", "get_result", "is_git_unavailable", "main", "post_analysis", "store_reports"]
+
+
+#: Where clones of addresses are kept, below the working directory.
+CACHE = os.path.join(".cache", "repos")
+#: Rows of one of these numbers of parts of the store are rewritten together.
+STORE_PARTS = 64
 
 
 def analyze_batch(spark: SparkSession, repos: list[tuple[str, str]], sources: dict[str, dict[str, str]] | None = None, as_of: int | None = None, api_pages: str | None = None, archived: list[str] | None = None) -> DataFrame:
     """(repo_id, report) of all (repo_id, path) trees in one job; ``repo_id`` takes the place of a loop over them."""
     now = int(time.time()) if as_of is None else as_of
-    logs = tempfile.mkdtemp(prefix="logs-")  # on the driver's machine, which has the checkouts
-    names = {}
-    for i, (repo, path) in enumerate(repos):
-        if os.path.exists(os.path.join(path, ".git")) and write_log(path, f"{logs}/log{i}.txt"):
-            names[f"log{i}"] = repo
-    commits = None
-    if names:
-        by_file = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-        commits = read_git_log(spark, logs, by_file[F.regexp_extract(F.input_file_name(), r"(log\d+)\.txt$", 1)])
-    rows = [(repo, path, (sources or {}).get(repo) or source_metadata(path)) for repo, path in repos]
     inputs = Inputs(
-        repos=spark.createDataFrame(rows, schema.REPOS),
+        repos=read_repos(spark, repos, sources),
         files=read_source_trees(spark, repos),
-        commits=commits,
+        commits=read_logs(spark, repos),
         manifests=read_manifests(spark, repos),
         api=read_commit_pages(spark, api_pages) if api_pages else None,
         archived=spark.createDataFrame([(r,) for r in archived], "repo_id string") if archived else None,
@@ -57,74 +53,132 @@ def analyze_repo(spark: SparkSession, path: str, source: dict[str, str] | None =
     return json.loads(analyze_batch(spark, [(name, path)], {name: source} if source else None, as_of).select(report_json()).first()[0])
 
 
-def analyze_url(spark: SparkSession, url: str, base: str, clone, archive: str | None = None, repo_page: str | None = None, branch_page: str | None = None, api_pages: str | None = None) -> dict:
-    """The report of a repository's address. ``clone(url, folder)`` fetches it; where there is no git program, a saved archive
-    and saved pages stand in, and the git section comes from them."""
+def analyze_url(spark: SparkSession, url: str, base: str = CACHE, clone=git_clone, archive: str | None = None, repo_page: str | None = None, branch_page: str | None = None, api_pages: str | None = None, use_cache: bool = True) -> dict:
+    """The report of a repository's address. ``clone(url, folder)`` fetches it unless it is in the cache; where there is no git
+    program, a saved archive and saved pages stand in, and the git section comes from them."""
     got = spark.range(1).select(_parsed(url).alias("p")).first()["p"]
     if got is None:
         raise ValueError(f"not a repository address: {url}")
     name = f"{got['owner']}-{got['repo']}"
     try:
-        folder = cached_checkout(got["owner"], got["repo"], base, lambda to: clone(got["url"], to))
+        folder = cached_checkout(got["owner"], got["repo"], base, lambda to: clone(got["url"], to), use_cache)
         return analyze_repo(spark, folder, source_metadata(folder, "git", got["url"]))
     except OSError as e:
         if archive is None or not is_git_unavailable(str(e), "ENOENT" if isinstance(e, FileNotFoundError) else None):
             raise
-    folder = unpack_archive(archive, os.path.join(base, f"{name}-zip"))
+    folder = unpack_archive(archive, os.path.join(base, f"{name}-zip"), use_cache)
     source = api_metadata(got["url"], repo_page or "{}", branch_page)
     reports = analyze_batch(spark, [(name, folder)], {name: source}, api_pages=api_pages, archived=[name])
     return json.loads(reports.select(report_json()).first()[0])
 
 
 def _parsed(url: str):
-    from codestrata.functions.exprs import normalise_repo_url, parse_repo_url
-
     return parse_repo_url(normalise_repo_url(F.lit(url)))
 
 
 def store_reports(spark: SparkSession, reports: DataFrame, path: str) -> None:
-    """Upserts (result_id, repo_url, commit_sha, analyzed_at, report_json) rows into the table at ``path``."""
-    try:
-        old = spark.read.schema(schema.ANALYSES).parquet(path)
-        old.take(1)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = spark.createDataFrame([], schema.ANALYSES)
-    fresh = f"{path.rstrip('/')}-{int(time.time() * 1e6)}"
-    store.upsert(old, reports).write.parquet(fresh)
-    spark.read.parquet(fresh).write.mode("overwrite").parquet(path)
+    """Upserts (result_id, repo_url, commit_sha, analyzed_at, report_json) rows into the table at ``path``.
+
+    The table lies in ``STORE_PARTS`` folders by a hash of the id. Only the folders of the new rows are read and written anew, by
+    Spark's dynamic overwrite, which moves them to their places when all are whole.
+    """
+    part = F.pmod(F.xxhash64("result_id"), F.lit(STORE_PARTS)).cast("int")
+    new = reports.select(*[f.name for f in _analyses(spark).schema], part.alias("part"))
+    touched = [r[0] for r in new.select("part").distinct().collect()]  # at most STORE_PARTS numbers
+    old = _read_store(spark, path).where(F.col("part").isin(touched)) if touched else None
+    if old is None:
+        return
+    merged = store.upsert(old, new)
+    # What is read must not be what is overwritten: the merged rows are written beside the store first.
+    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}.part"
+    merged.write.partitionBy("part").parquet(fresh)
+    kept = spark.read.schema(f"{schema.ANALYSES}, part int").parquet(fresh)
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(fresh)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _analyses(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], schema.ANALYSES)
+
+
+def _read_store(spark: SparkSession, path: str) -> DataFrame:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return _analyses(spark).withColumn("part", F.lit(0))
+    return spark.read.schema(f"{schema.ANALYSES}, part int").parquet(path)
 
 
 def get_report(spark: SparkSession, path: str, wanted: str) -> dict | None:
-    row = store.lookup(spark.read.schema(schema.ANALYSES).parquet(path), wanted).first()
+    row = store.lookup(_read_store(spark, path).drop("part"), wanted).first()
     return json.loads(row["report_json"]) if row else None
 
 
+def post_analysis(spark: SparkSession, body: dict, path: str, **options) -> tuple[int, dict]:
+    """The status and answer of a request {"url": ...}: analyses the repository and stores its report under its result id."""
+    url = str(body.get("url") or "").strip()
+    if not url:
+        return 400, {"error": "the request names no url"}
+    one = spark.range(1)
+    if not one.select(is_valid_repo_input(F.lit(url))).first()[0]:
+        return 400, {"error": f"not a repository address: {url}"}
+    try:
+        report = analyze_url(spark, url, **options)
+        address, commit = one.select(normalise_repo_url(F.lit(url))).first()[0], (report.get("source") or {}).get("commit")
+        parsed = F.col("p")
+        row = one.select(parse_repo_url(F.lit(address)).alias("p")).select(result_id(parsed["owner"], parsed["repo"], F.lit(commit).cast("string")).alias("result_id"), F.lit(address).alias("repo_url"), F.lit(commit).cast("string").alias("commit_sha"), F.current_timestamp().alias("analyzed_at"), F.lit(json.dumps(report)).alias("report_json"))
+        rows = spark.createDataFrame(row.collect(), schema.ANALYSES)  # one row: an id that is drawn is drawn once
+        store_reports(spark, rows, path)
+        return 200, {"status": "done", "resultId": rows.first()["result_id"], "report": report}
+    except Exception as e:  # whatever fails is the answer
+        return 500, {"error": str(e) or type(e).__name__, "status": "failed"}
+
+
+def get_result(spark: SparkSession, wanted: str, path: str) -> tuple[int, dict]:
+    """The status and answer of a request for a stored report, by its id or the start of one; some ids of the store where there is none."""
+    try:
+        report = get_report(spark, path, wanted)
+        if report is not None:
+            return 200, report
+        ids = [r[0] for r in store.some_ids(_read_store(spark, path)).collect()]
+        return 404, {"error": "no such result", "debug": {"searched": wanted.strip(), "available": ids}}
+    except Exception as e:
+        return 500, {"error": "the store could not be read", "details": str(e)}
+
+
 def main(argv: list[str] | None = None) -> int:
-    """analyze PATH | batch DIR [--output DIR] [--csv]"""
+    """analyze PATH_OR_ADDRESS [--no-cache] [--archive ZIP] [--pages DIR] | batch DIR [--output DIR] [--csv]"""
     args = list(sys.argv[1:] if argv is None else argv)
     if args and args[0] not in ("analyze", "batch", "-h", "--help"):
         args.insert(0, "analyze")
     top = argparse.ArgumentParser(prog="codestrata")
     sub = top.add_subparsers(dest="what", required=True)
-    sub.add_parser("analyze").add_argument("path")
+    analyze = sub.add_parser("analyze")
+    analyze.add_argument("path", help="a folder, or an address that begins with http:// or https://")
+    analyze.add_argument("--no-cache", action="store_true", help="clone an address again")
+    analyze.add_argument("--archive", help="a saved archive of the repository, for where there is no git")
+    analyze.add_argument("--pages", help="saved pages of its commits")
     batch = sub.add_parser("batch")
     batch.add_argument("path")
-    batch.add_argument("--output", default="reports")
+    batch.add_argument("--output", help="reports below DIR without it")
     batch.add_argument("--csv", action="store_true")
     a = top.parse_args(args)
     spark = SparkSession.builder.appName("codestrata").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.what == "analyze":
-        print(pretty(json.dumps(analyze_repo(spark, a.path))))
+        if a.path.startswith(("https://", "http://")):
+            report = analyze_url(spark, a.path, archive=a.archive, api_pages=a.pages, use_cache=not a.no_cache)
+        else:
+            report = analyze_repo(spark, a.path)
+        print(pretty(json.dumps(report)))
         return 0
+    output = a.output or os.path.join(a.path, "reports")
     repos = list_repos(a.path)
     if not repos:
         return 0
     reports = analyze_batch(spark, repos).persist()
-    n = write_report_files(reports, a.output)
+    n = write_report_files(reports, output)
     if a.csv:
-        write_summary_csv(reports, os.path.join(a.output, "summary.csv"))
+        write_summary_csv(reports, os.path.join(output, "summary.csv"))
     print(f"{n} of {len(repos)} repositories analysed")
     return 0
 

@@ -13,7 +13,8 @@ from codestrata import schema
 from codestrata.operators.commits import history_api, history_v1, history_v2, unavailable_git
 from codestrata.operators.distributions import distributions
 from codestrata.operators.duplication import duplication
-from codestrata.operators.functions import function_summary, functions_of, per_file, statement_smells
+from codestrata.operators.functions import function_summary, functions_of, statement_smells
+from codestrata.operators.functions import per_file as file_entries
 from codestrata.operators.profile import coverage_proxy, framework, loc_profile, maintainability
 from codestrata.syntax.nodes import analysed, parse_files
 
@@ -38,8 +39,9 @@ def _section(d: DataFrame, other: DataFrame | None, name: str, kind: str) -> Dat
     return d.withColumn(name, F.lit(None).cast(kind)) if other is None else d.join(other.select("repo_id", F.col(name).cast(kind)), "repo_id", "left")
 
 
-def build_reports(inputs: Inputs, as_of: int, timestamp: str | None = None, function_expressions: bool = False) -> DataFrame:
-    """(repo_id, report), a row a repository with ``schema.REPORT``.
+def build_reports(inputs: Inputs, as_of: int, timestamp: str | None = None, function_expressions: bool = False, per_file: bool = True) -> DataFrame:
+    """(repo_id, report), a row a repository with ``schema.REPORT``. Without ``per_file`` its list of files is empty, and no row
+    holds more than sums: what is to be stored a file is then taken from ``functions_of`` and ``per_file`` as tables.
 
     ``as_of`` (seconds) ends the windows of weeks and days. Files are parsed once: nodes are kept on disk
     while the sections are made of them. All joins are on repo_id between tables of one row a repository.
@@ -51,11 +53,12 @@ def build_reports(inputs: Inputs, as_of: int, timestamp: str | None = None, func
     functions = functions_of(nodes).persist(StorageLevel.DISK_ONLY)
     good = nodes.where("pre = 0").select("repo_id", "file")
     skipped = files.where(F.col("content").isNull()).select("repo_id", "file").union(failed).groupBy("repo_id").agg(F.count(F.lit(1)).alias("skipped"))
-    entries = per_file(files, nodes, functions).groupBy("repo_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("file").alias("at"), F.to_json("entry").alias("json")))), lambda x: F.from_json(x["json"], schema.PER_FILE[6:-1])).alias("perFile"))
+    entries = file_entries(files, nodes, functions).groupBy("repo_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("file").alias("at"), F.to_json("entry").alias("json")))), lambda x: F.from_json(x["json"], schema.PER_FILE[6:-1])).alias("perFile"))
     d = repos.select("repo_id", F.col("repo_path").alias("repoPath"), "source")
     d = d.join(good.groupBy("repo_id").agg(F.count(F.lit(1)).alias("analysed")), "repo_id", "left").join(skipped, "repo_id", "left")
     d = d.join(loc_profile(files), "repo_id", "left").join(function_summary(functions), "repo_id", "left").join(statement_smells(nodes), "repo_id", "left")
-    d = d.join(distributions(functions, good), "repo_id", "left").join(duplication(files), "repo_id", "left").join(entries, "repo_id", "left")
+    d = d.join(distributions(functions, good), "repo_id", "left").join(duplication(files), "repo_id", "left")
+    d = d.join(entries, "repo_id", "left") if per_file else d.withColumn("perFile", F.lit(None).cast(schema.PER_FILE))
     counts = ["totalFiles", "tsFiles", "tsxFiles", "testFiles", "totalLOC", "sourceLOC", "testLOC", "totalFunctions", "averageLength", "medianLength", "maxNestingDepth", "longFunctionPercentage", "average", "max"]
     counts += ["highComplexityFunctions", "longFunctions", "deepNesting", "longParameterLists", "emptyCatchBlocks", "consoleLogs", "analysed"]
     shares = [c for c in distributions(functions, good).columns if c != "repo_id"]

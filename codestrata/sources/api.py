@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import subprocess
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,16 +16,21 @@ from codestrata import constants as C
 from codestrata import schema
 
 
-def read_commit_pages(spark: SparkSession, path: str, repo: Column | None = None) -> DataFrame:
-    """``schema.API_COMMITS`` of pages, JSON arrays of commits in files whose names order them; at most 200 commits a repository."""
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
-    page = spark.read.text(path, wholetext=True).select((repo if repo is not None else name).alias("repo_id"), F.input_file_name().alias("page"), F.from_json("value", f"array<struct<{_fields(schema.API_PAGE)}>>").alias("commits"))
-    rows = page.select("repo_id", "page", F.posexplode("commits").alias("at", "c"))
+def parse_commit_pages(pages: DataFrame, content: str = "value") -> DataFrame:
+    """``schema.API_COMMITS`` of (repo_id, page, content), JSON arrays of commits; at most 200 a repository, by page and place."""
+    rows = pages.select("repo_id", "page", F.from_json(content, f"array<struct<{_fields(schema.API_PAGE)}>>").alias("commits"))
+    rows = rows.select("repo_id", "page", F.posexplode("commits").alias("at", "c"))
     first = F.row_number().over(Window.partitionBy("repo_id").orderBy("page", "at"))
     rows = rows.withColumn("n", first).where(F.col("n") <= C.API_COMMITS)
     return rows.select("repo_id", F.col("c.sha").alias("sha"), F.col("c.commit.message").alias("message"), F.col("c.commit.author.date").alias("author_date"), F.col("c.commit.committer.date").alias("committer_date"))
 
 
+def read_commit_pages(spark: SparkSession, path: str, repo: Column | None = None) -> DataFrame:
+    """The commits of saved pages, files whose names order them; their folder names the repository unless ``repo`` does."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
+    return parse_commit_pages(spark.read.text(path, wholetext=True).select((repo if repo is not None else name).alias("repo_id"), F.input_file_name().alias("page"), "value"))
+
+
 def _fields(ddl: str) -> str:
     return ddl.replace("sha string", "sha: string").replace("commit struct", "commit: struct")
 
@@ -35,15 +41,29 @@ def api_metadata(url: str, repo_json: str, branch_json: str | None) -> dict[str,
     return {"type": "git", "url": url, "commit": (json.loads(branch_json) or {}).get("sha", "") if branch_json else "", "branch": repo.get("default_branch") or "main"}
 
 
-def cached_checkout(owner: str, repo: str, base: str, clone) -> str:
-    """The folder owner-repo below ``base``, made by ``clone(folder)`` unless it is there."""
+def cached_checkout(owner: str, repo: str, base: str, clone, use_cache: bool = True) -> str:
+    """The folder owner-repo below ``base``, made by ``clone(folder)`` unless it is there and the cache may be used. A clone is made
+    beside it and takes its name when it is whole."""
     folder = os.path.join(base, f"{owner}-{repo}")
-    if not os.path.isdir(folder):
-        os.makedirs(base, exist_ok=True)
-        clone(folder)
+    if use_cache and os.path.isdir(folder):
+        return folder
+    os.makedirs(base, exist_ok=True)
+    fresh = f"{folder}.{os.getpid()}.part"
+    shutil.rmtree(fresh, ignore_errors=True)
+    try:
+        clone(fresh)
+        shutil.rmtree(folder, ignore_errors=True)
+        os.rename(fresh, folder)
+    finally:
+        shutil.rmtree(fresh, ignore_errors=True)
     return folder
 
 
+def git_clone(url: str, folder: str) -> None:
+    """A clone with all branches; raises OSError where there is no git program, CalledProcessError where it fails."""
+    subprocess.run(["git", "clone", "--quiet", "--no-single-branch", url, folder], check=True, capture_output=True, text=True)
+
+
 def unpack_archive(archive: str, folder: str, use_cache: bool = True) -> str:
     """Unpacks a repository's zip file and returns its one top-level folder."""
     if os.path.isdir(folder) and os.listdir(folder) and not use_cache:

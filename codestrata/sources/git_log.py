@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +21,47 @@ def log_command(path: str) -> list[str]:
     return ["git", "-C", path, "log", "--all", "--numstat", f"--format={FORMAT}"]
 
 
-def write_log(path: str, to: str) -> bool:
-    """Writes a repository's log as text; false if it has none."""
-    with open(to, "w") as f:
-        return subprocess.run(log_command(path), stdout=f, stderr=subprocess.DEVNULL).returncode == 0
+def blocks(lines: Iterator[bytes]) -> Iterator[str]:
+    """The blocks of a log, one at a time, without their separators."""
+    held: list[bytes] = []
+    for line in lines:
+        if line == SEPARATOR.encode():
+            yield b"".join(held).decode("utf-8", "replace")
+            held = []
+        else:
+            held.append(line)
+    yield b"".join(held).decode("utf-8", "replace")
+
+
+def one_a_task(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A line for each repository, dealt out so that the work on them is."""
+    return spark.createDataFrame(rows, columns).repartition(max(1, min(len(rows), 10_000)))
+
+
+def read_logs(spark: SparkSession, repos: list[tuple[str, str]]) -> DataFrame:
+    """Commits of the (repo_id, path) checkouts, which all executors must be able to read. Logs are made and read where
+    the tasks run and go through in pieces; a folder without a history, or a place without git, gives none."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for repo, path in zip(batch.column("repo_id").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                try:
+                    log = subprocess.Popen(log_command(path), stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+                except OSError:
+                    continue
+                held: list[str] = []
+                size = 0
+                for block in blocks(log.stdout):
+                    held.append(block)
+                    size += len(block)
+                    if size > 1 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array([repo] * len(held)), pa.array(held)], names=["repo_id", "value"])
+                        held, size = [], 0
+                log.wait()
+                yield pa.RecordBatch.from_arrays([pa.array([repo] * len(held), pa.string()), pa.array(held, pa.string())], names=["repo_id", "value"])
+
+    rows = [(repo, path) for repo, path in repos if os.path.exists(os.path.join(path, ".git"))]
+    return parse_blocks(one_a_task(spark, rows, "repo_id string, path string").mapInArrow(read, "repo_id string, value string"))
 
 
 def parse_blocks(blocks: DataFrame, block: Column | str = "value", repo: Column | str = "repo_id") -> DataFrame:
@@ -58,3 +98,18 @@ def source_metadata(path: str, source_type: str = "local", url: str = "") -> dic
             return ""
 
     return {"type": source_type, "url": url, "commit": git("log", "-1", "--all", "--format=%H"), "branch": git("rev-parse", "--abbrev-ref", "HEAD")}
+
+
+def read_repos(spark: SparkSession, repos: list[tuple[str, str]], sources: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """``schema.REPOS`` of (repo_id, path) trees, with the metadata of the checkout where ``sources`` does not give it."""
+    given = sources or {}
+    fields = ("type", "url", "commit", "branch")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(repo, path, given.get(repo) or source_metadata(path)) for repo, path in zip(batch.column("repo_id").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            columns = [[r for r, _, _ in rows], [p for _, p, _ in rows], *([x.get(f) for _, _, x in rows] for f in fields)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["repo_id", "repo_path", *fields])
+
+    d = one_a_task(spark, list(repos), "repo_id string, path string").mapInArrow(read, "repo_id string, repo_path string, " + ", ".join(f"{f} string" for f in fields))
+    return d.select("repo_id", "repo_path", F.struct(*fields).alias("source"))

@@ -1,7 +1,7 @@
 """Syntax trees as rows in interval encoding: d lies below a if a.pre < d.pre and d.post < a.post."""
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,6 +36,23 @@ def _console(node: Node) -> bool:
     return o is not None and o.type == "identifier" and o.text == "console" and p is not None and p.text in C.CONSOLE_METHODS
 
 
+SKIP = object()
+
+
+def walk(root: Node, enter: Callable[[Node], object] | None = None, leave: Callable[[Node], None] | None = None) -> None:
+    """Calls ``enter`` on each named node before those below it and ``leave`` after them, siblings last to first. A node for which
+    ``enter`` returns ``SKIP`` is left out with all below it: nothing there is entered, and it is not left."""
+    pending: list[tuple[Node, bool]] = [(root, True)]
+    while pending:
+        node, entering = pending.pop()
+        if not entering:
+            leave(node)
+        elif not (enter is not None and enter(node) is SKIP):
+            if leave is not None:
+                pending.append((node, False))
+            pending += [(c, True) for c in node.children if c.type != "operator"]
+
+
 def tree_rows(code: str, tsx: bool = False, function_expressions: bool = False) -> list[tuple]:
     """(pre, post, parent_pre, field, type, ...) of each named node, without repo and file.
 

@@ -11,7 +11,7 @@ from codestrata import schema
 from codestrata.operators import distributions, duplication, features, functions, profile, store, views
 from codestrata.plans import analyze, export
 from codestrata.plans.report import Inputs, build_reports, report_json
-from codestrata.sources.api import api_metadata, cached_checkout, read_commit_pages, unpack_archive
+from codestrata.sources.api import api_metadata, cached_checkout, git_clone, read_commit_pages, unpack_archive
 from codestrata.sources.files import files_from_table, list_repos, read_source_trees
 from codestrata.sources.manifests import parse_manifests
 from codestrata.syntax.nodes import analysed, parse_files
@@ -121,6 +121,8 @@ def test_archives_and_saved_pages(spark, tmp_path):
     for _ in range(2):
         cached_checkout("a", "b", str(tmp_path / "c"), lambda f: (made.append(f), os.makedirs(f)))
     assert len(made) == 1
+    cached_checkout("a", "b", str(tmp_path / "c"), lambda f: (made.append(f), os.makedirs(f)), use_cache=False)
+    assert len(made) == 2 and os.listdir(tmp_path / "c") == ["a-b"]
     with zipfile.ZipFile(tmp_path / "two.zip", "w") as z:
         z.writestr("x/a.ts", "")
         z.writestr("y/a.ts", "")
@@ -128,6 +130,44 @@ def test_archives_and_saved_pages(spark, tmp_path):
         unpack_archive(str(tmp_path / "two.zip"), str(tmp_path / "two"))
 
 
+def test_requests(spark, tmp_path, capsys):
+    origin = tree(tmp_path / "origin", {"a.ts": INDEX})
+    git(origin, "init", "-q")
+    git(origin, "add", ".")
+    git(origin, "commit", "-qm", "all")
+    cache, path = str(tmp_path / "cache"), str(tmp_path / "store")
+    options = {"base": cache, "clone": lambda url, folder: git_clone(origin, folder)}
+    assert [analyze.post_analysis(spark, b, path, **options)[0] for b in ({}, {"url": "  "}, {"url": "https://example.org/x"})] == [400] * 3
+    assert analyze.get_result(spark, "o-r", path)[0] == 404
+    status, answer = analyze.post_analysis(spark, {"url": "o/r"}, path, **options)
+    assert status == 200 and answer["status"] == "done" and answer["resultId"].startswith("o-r-") and len(answer["resultId"]) == 16
+    assert answer["report"]["git"]["totalCommits"] == 1 and answer["report"]["source"]["url"] == "https://github.com/o/r"
+    assert analyze.get_result(spark, answer["resultId"], path) == (200, answer["report"]) == analyze.get_result(spark, " o-r", path)
+    status, missing = analyze.get_result(spark, "zzz ", path)
+    assert status == 404 and missing["debug"] == {"searched": "zzz", "available": [answer["resultId"]]}
+    other = {"base": cache, "clone": lambda url, folder: (_ for _ in ()).throw(RuntimeError("no way"))}
+    assert analyze.post_analysis(spark, {"url": "o/r"}, path, **other)[0] == 200  # from the cache
+    assert analyze.post_analysis(spark, {"url": "o/r"}, path, use_cache=False, **other) == (500, {"error": "no way", "status": "failed"})
+    assert os.listdir(cache) == ["o-r"] and spark.read.parquet(path).count() == 1 and not [x for x in os.listdir(tmp_path) if x.endswith(".part")]
+
+
+def test_command_line_takes_addresses(spark, tmp_path, monkeypatch, capsys):
+    asked = []
+    monkeypatch.setattr(analyze, "analyze_url", lambda spark, url, **k: asked.append((url, k["use_cache"])) or {"ok": 1})
+    monkeypatch.setattr(analyze.SparkSession, "builder", type("B", (), {"appName": lambda s, n: s, "config": lambda s, *a: s, "getOrCreate": lambda s: spark})())
+    assert analyze.main(["analyze", "https://github.com/o/r", "--no-cache"]) == 0 and analyze.main(["analyze", "http://github.com/o/r"]) == 0
+    assert asked == [("https://github.com/o/r", False), ("http://github.com/o/r", True)] and json.loads(capsys.readouterr().out.split("}")[0] + "}") == {"ok": 1}
+
+
+def test_commit_metrics_of_the_first_question(spark):
+    row = lambda git, v2: (git and json.dumps(git), v2 and json.dumps(v2))
+    v1, v2 = {"totalCommits": 9, "medianCommitSize": 3.0, "largeCommitRatio": 4.0, "commitsPerWeek": 1.5}, {"commitStats": {"medianCommitSize": 7.0, "pctOver500Loc": 2.0}, "burstStats": {"burstRatio": 60.0}}
+    d = spark.createDataFrame([(i, *row(*x)) for i, x in enumerate([(v1, v2), (v1, None), (None, None)])], "i int, g string, v string")
+    report = F.struct(F.from_json("g", schema.GIT).alias("git"), F.from_json("v", schema.GIT_V2).alias("gitMetricsV2"), F.lit(None).cast("struct<percentage: double>").alias("duplication"))
+    got = [r["m"].asDict() for r in d.select("i", report.alias("report")).orderBy("i").select(views.commit_metrics().alias("m")).collect()]
+    assert [(x["totalCommits"], x["medianCommitSize"], x["largeCommitRatio"], x["burstRatio"], x["duplication"]) for x in got] == [(9, 7, 2, 6000, 0), (9, 3, 4, 0, 0), (0, 0, 0, 0, 0)]
+
+
 def test_frameworks(spark):
     rows = [("a", '{"dependencies": {"express": "1", "react": "1"}}'), ("b", '{"devDependencies": {"fastify": "1", "express": "1"}}'), ("c", '{"dependencies": {"@nestjs/core": "1", "fastify": "1"}}'), ("d", "{}"), ("e", "[1]"), ("f", "nope"), ("g", None), ("h", '{"dependencies": {"react": "1"}}')]
     got = {r["repo_id"]: tuple(r["framework"]) for r in profile.framework(parse_manifests(spark.createDataFrame(rows, "repo_id string, content string"))).collect()}

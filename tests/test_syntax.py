@@ -82,3 +82,19 @@ def test_anything_parses():
         code = " ".join(dice.choice(pieces) for _ in range(dice.randrange(40)))
         for tsx in (False, True):
             assert parse(code, tsx).type == "program"
+
+
+def test_walk_with_a_visitor():
+    from codestrata.syntax.nodes import SKIP, tree_rows, walk
+    from codestrata.syntax.parser import parse
+
+    code = "function a() { if (x) { y(); } }\nfunction b() { return () => 1; }\n"
+    root, seen, left = parse(code, False, False), [], []
+    walk(root, lambda n: seen.append(n.type), lambda n: left.append(n.type))
+    assert seen == [r[4] for r in sorted(tree_rows(code), key=lambda r: r[-1])] and sorted(left) == sorted(seen) and left[-1] == seen[0]
+    seen.clear(), left.clear()
+    walk(root, lambda n: seen.append(n.type) or (SKIP if n.type == "function_declaration" else None), lambda n: left.append(n.type))
+    assert seen.count("function_declaration") == 2 and "if_statement" not in seen and "function_declaration" not in left
+    seen.clear()
+    walk(root, None, lambda n: seen.append(n.type))
+    assert seen[-1] == root.type

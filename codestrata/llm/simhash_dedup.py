@@ -13,9 +13,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from codestrata.llm.common import cut_lineage, shuffle_partitions, text_keys
+from codestrata.llm import similar_sets
+from codestrata.llm.common import cut_lineage, first_rows, shuffle_partitions, text_keys
 from codestrata.llm.components import star_components
 
 SEED = 42
@@ -163,7 +163,10 @@ def _variants(fps: DataFrame, width: int) -> DataFrame:
 def near_links(fps: DataFrame, distance: int = 3) -> DataFrame:
     """Links (a, b) that connect exactly the fingerprints (column ``fp``, distinct) within ``distance`` bits of each other.
 
-    Small variants yield all their links, larger ones those of a spanning forest, which has the same components.
+    Small variants yield all their links, larger ones those of a spanning forest, which has the same components. Runs of more than
+    ``LARGE`` members are dealt anew by variants of half the width. What then meets in a task shares, for up to three bits,
+    31 bits of one segment and 15 of another; members are distinct, so they are at most 2**18 (2 MB), however many
+    documents there are. For more bits segments are shorter, and only the data bound such a run.
     """
     if not 0 <= distance <= 31:
         raise ValueError("distance must be 0 to 31")
@@ -207,21 +210,16 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("id_of_row").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The row of the smallest id for each text (``place.k1``, ``place.k2``) of ``chosen``."""
-    k1, k2 = text_keys(F.coalesce(F.col(text_col), F.lit("")))
-    chosen = chosen.select(F.col("place.k1").alias("c1"), F.col("place.k2").alias("c2"))
-    rows = docs.select(F.struct("*").alias("row"), k1, k2).withColumn("id_of_row", F.col(f"row.`{id_col}`"))
-    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.col("id_of_row").asc_nulls_last()))
-    rows = rows.withColumn("nth", nth).where("nth = 1")
-    return rows.join(chosen, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left_semi").select("row.*")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, width: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, width: int = 3, similarity: float | None = None) -> DataFrame:
     """One row of ``docs`` from each component: that of the smallest id (null ids last, then by a hash of the text).
 
+    Texts are linked by at most ``distance`` differing bits of their fingerprints or, with ``similarity``, by that Jaccard similarity
+    of their sets of shingles (``similar_sets``): bits cannot tell a similarity of 0.8, at which they differ in 10 of 64 on
+    average and in up to 39 for short texts, from others that differ in as many.
     Copies of a text are thinned out in the tasks that read them, before texts move.
     """
+    if similarity is not None:
+        return similar_sets.one_of_each(docs, id_col, text_col, similarity, width)
     text = F.coalesce(F.col(text_col), F.lit(""))
     k1, k2 = text_keys(text)
     digest = cut_lineage(docs.select(F.col(id_col).alias("id_of_row"), k1, k2, fingerprint_column(F.col(text_col), width).alias("fp")))

@@ -9,7 +9,7 @@ import xxhash
 from helpers import docs, rows, same_rows
 
 import corpus_pipeline
-from codestrata.llm import components, jaccard_dedup, simhash_dedup, substring_dedup
+from codestrata.llm import components, similar_sets, simhash_dedup, substring_dedup
 
 
 def cut(data, window):
@@ -196,18 +196,18 @@ def near_copies(dice):
 
 @pytest.mark.parametrize(("small", "tile"), [(16, 1024), (3, 1024), (2, 3)])
 def test_near_copies_against_all_pairs(spark, monkeypatch, small, tile):
-    monkeypatch.setattr(jaccard_dedup, "SMALL", small)
-    monkeypatch.setattr(jaccard_dedup, "TILE", tile)
+    monkeypatch.setattr(similar_sets, "SMALL", small)
+    monkeypatch.setattr(similar_sets, "TILE", tile)
     data = rows() + [(5000 + i, t, "en", "s", 1) for i, t in enumerate(near_copies(random.Random(3)))]
     roots = jaccard_roots([r[1] for r in data])
     least = {}
     for r, x in zip(data, roots, strict=True):
         least[x] = min(least.get(x, (True, 0)), (r[0] is None, r[0] or 0))
     frame = docs(spark, data)
-    kept = jaccard_dedup.one_of_each(frame)
+    kept = similar_sets.one_of_each(frame)
     assert kept.columns == frame.columns
     same_rows([(r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()], list(least.values()))
-    assert jaccard_dedup.one_of_each(docs(spark, [])).count() == 0
+    assert similar_sets.one_of_each(docs(spark, [])).count() == 0
 
 
 def test_the_stage_drops_what_is_similar(spark):
@@ -215,3 +215,44 @@ def test_the_stage_drops_what_is_similar(spark):
     want = set(jaccard_roots([r[1] for r in data]))
     got = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs(spark, data), "").collect()]
     assert sorted(got) == sorted(want) and len(want) < len(data)
+
+
+def test_similar_sets_meet_as_often_as_said():
+    dice = np.random.default_rng(8)
+    met = {0.8: 0, 0.85: 0, 0.3: 0}
+    for similarity in met:
+        for _ in range(400):
+            shared = round(100 * similarity)
+            pool = dice.integers(0, 1 << 64, 100, dtype=np.uint64)
+            only = (100 - shared) // 2
+            a, b = np.unique(pool[: shared + only]), np.unique(np.concatenate([pool[:shared], pool[shared + only :]]))
+            met[similarity] += bool(np.intersect1d(similar_sets.variants(a), similar_sets.variants(b)).size)
+    assert met[0.8] == met[0.85] == 400 and met[0.3] < 260
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_recall_and_precision_of_the_stage(spark, sf):
+    """All pairs of different texts that share a shingle, against the components of the stage."""
+    table = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    data = sorted((r["doc_id"], r["text"]) for r in table.collect())
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table, "").collect()}
+    sets = [frozenset(similar_sets.shingles(t).tolist()) for _, t in data]
+    by = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for h in s:
+            by[h].append(i)
+    shared = collections.Counter((a, b) for at in by.values() for i, b in enumerate(at) for a in at[:i])
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = 0
+    for (a, b), n in shared.items():
+        if n / (len(sets[a]) + len(sets[b]) - n) >= 0.8:
+            pairs += sets[a] != sets[b]
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert kept == {data[i][0] for i in range(len(data)) if find(i) == i} and pairs >= 10

@@ -8,6 +8,7 @@ import os
 import sys
 import time
 import uuid
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,7 @@ CACHE = os.path.join(".cache", "repos")
 STORE_PARTS = 64
 
 
-def analyze_batch(spark: SparkSession, repos: list[tuple[str, str]], sources: dict[str, dict[str, str]] | None = None, as_of: int | None = None, api_pages: str | None = None, archived: list[str] | None = None) -> DataFrame:
+def analyze_batch(spark: SparkSession, repos: list[tuple[str, str]], sources: dict[str, dict[str, str]] | None = None, as_of: int | None = None, api_pages: str | None = None, archived: list[str] | None = None, held: list[DataFrame] | None = None) -> DataFrame:
     """(repo_id, report) of all (repo_id, path) trees in one job; ``repo_id`` takes the place of a loop over them."""
     now = int(time.time()) if as_of is None else as_of
     inputs = Inputs(
@@ -44,13 +45,23 @@ def analyze_batch(spark: SparkSession, repos: list[tuple[str, str]], sources: di
         archived=spark.createDataFrame([(r,) for r in archived], "repo_id string") if archived else None,
     )
     stamp = datetime.fromtimestamp(now, UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
-    return build_reports(inputs, now, stamp)
+    return build_reports(inputs, now, stamp, held=held)
 
 
 def analyze_repo(spark: SparkSession, path: str, source: dict[str, str] | None = None, as_of: int | None = None) -> dict:
     """The report of one local tree."""
     name = os.path.basename(os.path.abspath(path))
-    return json.loads(analyze_batch(spark, [(name, path)], {name: source} if source else None, as_of).select(report_json()).first()[0])
+    return _one(lambda held: analyze_batch(spark, [(name, path)], {name: source} if source else None, as_of, held=held))
+
+
+def _one(made: Callable[[list[DataFrame]], DataFrame]) -> dict:
+    """The report of one repository; what was kept while it was made is let go."""
+    held: list[DataFrame] = []
+    try:
+        return json.loads(made(held).select(report_json()).first()[0])
+    finally:
+        for d in held:
+            d.unpersist()
 
 
 def analyze_url(spark: SparkSession, url: str, base: str = CACHE, clone=git_clone, archive: str | None = None, repo_page: str | None = None, branch_page: str | None = None, api_pages: str | None = None, use_cache: bool = True) -> dict:
@@ -68,8 +79,7 @@ def analyze_url(spark: SparkSession, url: str, base: str = CACHE, clone=git_clon
             raise
     folder = unpack_archive(archive, os.path.join(base, f"{name}-zip"), use_cache)
     source = api_metadata(got["url"], repo_page or "{}", branch_page)
-    reports = analyze_batch(spark, [(name, folder)], {name: source}, api_pages=api_pages, archived=[name])
-    return json.loads(reports.select(report_json()).first()[0])
+    return _one(lambda held: analyze_batch(spark, [(name, folder)], {name: source}, api_pages=api_pages, archived=[name], held=held))
 
 
 def _parsed(url: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.exprs import repo_label
@@ -23,8 +23,12 @@ SUMMARY = (
 )
 
 
+def summary_columns() -> list[Column]:
+    return [F.col(path).alias(name) for name, path in SUMMARY]
+
+
 def summary(reports: DataFrame) -> DataFrame:
-    return reports.select(*[F.col(path).alias(name) for name, path in SUMMARY])
+    return reports.select(*summary_columns())
 
 
 def write_summary_csv(reports: DataFrame, path: str) -> None:
@@ -52,6 +56,15 @@ def write_report_files(reports: DataFrame, folder: str) -> int:
     return n
 
 
+def write_download(report: str, result: str, commit: str | None, folder: str) -> str:
+    """One report, indented, under the name that downloads have (``exprs.download_name``). Returns the path."""
+    path = os.path.join(folder, f"repo-metrics-{result}-{commit[:7] if commit is not None else '—'}.json")
+    os.makedirs(folder, exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(pretty(report))
+    return path
+
+
 def pretty(report: str) -> str:
     return json.dumps(json.loads(report), indent=2, ensure_ascii=False)
 

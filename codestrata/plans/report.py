@@ -39,18 +39,20 @@ def _section(d: DataFrame, other: DataFrame | None, name: str, kind: str) -> Dat
     return d.withColumn(name, F.lit(None).cast(kind)) if other is None else d.join(other.select("repo_id", F.col(name).cast(kind)), "repo_id", "left")
 
 
-def build_reports(inputs: Inputs, as_of: int, timestamp: str | None = None, function_expressions: bool = False, per_file: bool = True) -> DataFrame:
+def build_reports(inputs: Inputs, as_of: int, timestamp: str | None = None, function_expressions: bool = False, per_file: bool = True, held: list[DataFrame] | None = None) -> DataFrame:
     """(repo_id, report), a row a repository with ``schema.REPORT``. Without ``per_file`` its list of files is empty, and no row
     holds more than sums: what is to be stored a file is then taken from ``functions_of`` and ``per_file`` as tables.
 
     ``as_of`` (seconds) ends the windows of weeks and days. Files are parsed once: nodes are kept on disk
-    while the sections are made of them. All joins are on repo_id between tables of one row a repository.
+    while the sections are made of them; what is kept goes to ``held``, for the caller to unpersist when the reports are written. All joins are on repo_id between tables of one row a repository.
     Files that could not be read or parsed are counted, not analysed; a repository without files has zeros.
     """
     repos, files = inputs.repos, inputs.files
+    held = [] if held is None else held
     parsed = parse_files(files.where(F.col("content").isNotNull()), function_expressions).persist(StorageLevel.DISK_ONLY)
     nodes, failed = analysed(parsed), parsed.where(F.col("error").isNotNull()).select("repo_id", "file")
     functions = functions_of(nodes).persist(StorageLevel.DISK_ONLY)
+    held += [parsed, functions]
     good = nodes.where("pre = 0").select("repo_id", "file")
     skipped = files.where(F.col("content").isNull()).select("repo_id", "file").union(failed).groupBy("repo_id").agg(F.count(F.lit(1)).alias("skipped"))
     entries = file_entries(files, nodes, functions).groupBy("repo_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("file").alias("at"), F.to_json("entry").alias("json")))), lambda x: F.from_json(x["json"], schema.PER_FILE[6:-1])).alias("perFile"))

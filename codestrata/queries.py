@@ -7,13 +7,18 @@ files, conversations messages, customers stored reports.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import exprs as X
 from codestrata.operators import commits, distributions, duplication, features, functions, profile, store, views
-from codestrata.plans.report import Inputs, build_reports
+from codestrata.plans import export
+from codestrata.plans.report import Inputs, build_reports, report_json
+from codestrata.sources.api import parse_commit_pages
+from codestrata.sources.files import files_from_table
+from codestrata.sources.manifests import parse_manifests
 from codestrata.syntax.nodes import analysed, parse_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,9 +119,41 @@ def short_gap_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commits.gap_places(commits.gaps(table(spark, sf_dir, "events"), ("event_type",), F.unix_millis(utc("ts"))), ("event_type",))
 
 
-@query("""SELECT event_type, count(DISTINCT strftime(ts, '%Y-%m-%d')) AS "activeDays" FROM events GROUP BY event_type""")
-def active_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_distinct(F.substring(F.col("ts").cast("string"), 1, 10)).alias("activeDays"))
+_API = f"""
+    WITH c AS (
+        SELECT event_type AS repo, ts, 'value ' || value || CASE WHEN event_id % 11 = 0 THEN '😀' ELSE '' END AS message,
+               strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS date, date_trunc('second', ts) AS t FROM events),
+    g AS (SELECT repo, (epoch_ms(t) - lag(epoch_ms(t)) OVER (PARTITION BY repo ORDER BY t))::DOUBLE AS gap FROM c),
+    p AS (SELECT repo, coalesce({_r("median(gap) / 3600000", 1)}, 0) AS hours, {_pct("count(*) FILTER (gap <= 3600000)", "count(gap)")} AS short FROM g GROUP BY repo)
+    SELECT repo AS repo_id, count(*) AS "totalCommits", {_r("count(*)::DOUBLE / 13", 1)} AS "commitsPerWeek", count(DISTINCT date[1:10]) AS "activeDaysLast90Days",
+           median(length(message) + length(regexp_replace(message, '[\\x{{0}}-\\x{{FFFF}}]', '', 'g'))) AS "medianCommitMessageLength", any_value(hours) AS "medianInterCommitHours", any_value(short) AS "burstRatio", 'api' AS mode
+    FROM c JOIN p USING (repo) GROUP BY repo
+"""
+
+
+@query(_API)
+def api_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as commits of saved pages; every third has only a committer's date, the others an author's that counts before it."""
+    date = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    message = F.concat(F.lit("value "), F.col("value").cast("string"), F.when(F.col("event_id") % 11 == 0, "😀").otherwise(""))
+    by_committer = F.col("event_id") % 3 == 0
+    d = table(spark, sf_dir, "events").select(F.col("event_type").alias("repo_id"), F.col("event_id").cast("string").alias("sha"), message.alias("message"), F.when(~by_committer, date).alias("author_date"), F.when(by_committer, date).otherwise("2000-01-01T00:00:00Z").alias("committer_date"))
+    fields = ("totalCommits", "commitsPerWeek", "activeDaysLast90Days", "medianCommitMessageLength", "medianInterCommitHours", "burstRatio", "mode")
+    return commits.history_api(d).select("repo_id", *[f"git.{f}" for f in fields])
+
+
+@query("""
+    SELECT repo_id, n_page::INTEGER AS page, count(*) AS commits, min(sha) AS first_sha FROM (
+        SELECT o_custkey % 7 AS repo_id, o_orderkey AS sha, o_orderkey % 3 AS n_page, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey % 3, o_orderkey) AS n FROM orders) WHERE n <= 200
+    GROUP BY ALL
+""")
+def commit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages of commits in JSON, three a repository, of which the first 200 commits count."""
+    sha = lambda n: F.lpad(F.col(n).cast("string"), 12, "0")
+    entry = F.struct(sha("o_orderkey").alias("sha"), F.struct(F.lit("m").alias("message")).alias("commit"))
+    pages = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 7).alias("repo_id"), (F.col("o_orderkey") % 3).cast("string").alias("page")).agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("value"))
+    sha = F.col("sha").cast("long")
+    return parse_commit_pages(pages).groupBy("repo_id", (sha % 3).cast("int").alias("page")).agg(F.count(F.lit(1)).alias("commits"), F.min(sha).alias("first_sha"))
 
 
 @query(f"""SELECT {_r(f"count(*) FILTER (o_orderdate >= TIMESTAMP '{AS_OF}' - INTERVAL 91 DAYS)::DOUBLE / 13", 1)} AS "commitsPerWeek", count(*) AS "totalCommits" FROM orders""")
@@ -125,17 +162,61 @@ def commits_per_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(commits.recent_per_week(F.col("ts"), F.unix_seconds(F.lit(AS_OF).cast("timestamp"))).alias("commitsPerWeek"), F.count(F.lit(1)).alias("totalCommits"))
 
 
+def order_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commits of their priority's repository; parts in returned lines are the files, every third named as a test."""
+    n = F.col("l_partkey").cast("string")
+    path = F.concat(F.lit("src/"), n, F.when(F.col("l_partkey") % 3 == 0, ".test.ts").otherwise(".ts"))
+    file = F.struct(path.alias("path"), F.col("l_quantity").cast("long").alias("add"), F.col("l_linenumber").cast("long").alias("del"))
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(file).alias("files"), F.sum(file["add"] + file["del"]).alias("total_lines"))
+    d = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
+    subject = F.concat(F.element_at(F.array(*map(F.lit, SUBJECTS)), (F.col("o_orderkey") % len(SUBJECTS) + 1).cast("int")), F.lit(" order "), F.col("o_orderkey").cast("string"))
+    files = F.coalesce("files", F.array().cast("array<struct<path: string, add: long, del: long>>"))
+    return d.select(F.col("o_orderpriority").alias("repo_id"), F.col("o_orderkey").cast("string").alias("hash"), F.unix_seconds(utc("o_orderdate")).alias("ts"), subject.alias("subject"), files.alias("files"), F.coalesce("total_lines", F.lit(0)).cast("long").alias("total_lines"))
+
+
+SUBJECTS = ("Refactor:", "add", "cleanup of", "renamed", "rename", "prefactor", "Restructure", "fix:")
+_SUBJECT = "[" + ", ".join(f"'{x}'" for x in SUBJECTS) + f"][o_orderkey % {len(SUBJECTS)} + 1] || ' order ' || o_orderkey"
+_COMMITS = f"""
+    f AS (SELECT l_orderkey, 'src/' || l_partkey || CASE WHEN l_partkey % 3 = 0 THEN '.test.ts' ELSE '.ts' END AS path, l_quantity::BIGINT + l_linenumber AS lines FROM lineitem WHERE l_returnflag = 'R'),
+    o AS (SELECT o_orderkey, o_orderpriority AS repo_id, epoch(o_orderdate)::BIGINT AS ts, {_SUBJECT} AS subject FROM orders),
+    c AS (SELECT o.*, count(path) AS files, coalesce(sum(lines), 0)::BIGINT AS total_lines, coalesce(bool_or(regexp_matches(path, '\\.(test|spec)\\.(ts|tsx)$')), false) AS tests FROM o LEFT JOIN f ON o_orderkey = l_orderkey GROUP BY ALL)
+"""
+
+
 @query(f"""
-    SELECT o_orderpriority, count(*) AS "totalCommits", median(size) AS "medianCommitSize", {_r("avg(size)", 1)} AS "avgLinesPerCommit", {_pct("count(*) FILTER (size > 150)", "count(size)")} AS "largeCommitRatio"
-    FROM (SELECT o_orderkey, o_orderpriority, sum(l_quantity) FILTER (l_returnflag = 'R') AS size FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL) GROUP BY o_orderpriority
+    WITH {_COMMITS}
+    SELECT repo_id, count(*) AS "totalCommits", coalesce(median(total_lines) FILTER (files > 0), 0) AS "medianCommitSize", {_r("avg(total_lines) FILTER (files > 0)", 1)} AS "avgLinesPerCommit",
+           {_pct("count(*) FILTER (files > 0 AND total_lines > 500)", "count(*) FILTER (files > 0)")} AS "largeCommitRatio", {_r(f"count(*) FILTER (ts >= epoch(TIMESTAMP '{AS_OF}')::BIGINT - 91 * 86400)::DOUBLE / 13", 1)} AS "commitsPerWeek"
+    FROM c GROUP BY repo_id
 """)
 def commit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only orders with returned lines have a size; all of them count."""
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("size"))
-    d = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
-    return d.groupBy("o_orderpriority").agg(
-        F.count(F.lit(1)).alias("totalCommits"), X.median0("size").alias("medianCommitSize"), X.round_js(F.avg("size"), 1).alias("avgLinesPerCommit"), X.pct1(F.count_if(F.col("size") > 150), F.count("size")).alias("largeCommitRatio")
-    )
+    """The first history section: commits without files count, but have no size."""
+    end = int(datetime.fromisoformat(f"{AS_OF}+00:00").timestamp())
+    fields = ("totalCommits", "medianCommitSize", "avgLinesPerCommit", "largeCommitRatio", "commitsPerWeek")
+    return commits.history_v1(order_commits(spark, sf_dir), end).select("repo_id", *[f"git.{f}" for f in fields])
+
+
+@query(f"""
+    WITH {_COMMITS},
+    t AS (SELECT repo_id, ts, ts - lag(ts) OVER (PARTITION BY repo_id ORDER BY ts) AS gap FROM c),
+    s AS (SELECT repo_id, sum(CASE WHEN gap <= 1800 THEN 0 ELSE 1 END) OVER (PARTITION BY repo_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM t),
+    b AS (SELECT repo_id, count(*) FILTER (n >= 3) AS bursts, {_pct("coalesce(sum(n) FILTER (n >= 3), 0)", "sum(n)")} AS share FROM (SELECT repo_id, session, count(*) AS n FROM s GROUP BY ALL) GROUP BY repo_id),
+    e AS (SELECT repo_id, coalesce({_r("stddev_pop(gap * 1000.0::DOUBLE)", 1)}, 0) AS spread FROM t GROUP BY repo_id),
+    h AS (SELECT repo_id, path, count(*) AS n, sum(lines)::BIGINT AS lines FROM f JOIN o ON o_orderkey = l_orderkey GROUP BY ALL),
+    m AS (SELECT repo_id, string_agg(path || ':' || n || ':' || lines, ',' ORDER BY n DESC, path) AS top FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, path) <= 10) GROUP BY repo_id),
+    l AS (SELECT repo_id, string_agg(path || ':' || n || ':' || lines, ',' ORDER BY lines DESC, path) AS top FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY lines DESC, path) <= 10) GROUP BY repo_id)
+    SELECT repo_id, median(total_lines) AS "medianCommitSize", {_p("total_lines", 0.9)} AS "p90CommitSize", {_pct("count(*) FILTER (total_lines > 500)", "count(*)")} AS "pctOver500Loc", {_pct("count(*) FILTER (total_lines > 1000)", "count(*)")} AS "pctOver1000Loc",
+           any_value(bursts) AS "burstCount", any_value(share) AS "burstRatio", any_value(spread) AS "stdDevTimeBetweenCommits", any_value(m.top) AS "topByModifications", any_value(l.top) AS "topByLinesChanged",
+           {_pct("count(*) FILTER (tests)", "count(*)")} AS "pctCommitsTouchingTests", {_ratio("count(*) FILTER (tests)", "count(*) FILTER (NOT tests)", 2)} AS "testToFeatureCommitRatio",
+           {_pct("count(*) FILTER (regexp_matches(subject, '(?i)\\b(refactor|cleanup|restructure|rename)\\b'))", "count(*)")} AS "refactorCommitRatio"
+    FROM c JOIN b USING (repo_id) JOIN e USING (repo_id) JOIN m USING (repo_id) JOIN l USING (repo_id) GROUP BY repo_id
+""")
+def commit_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second history section, flat; hotspots as text."""
+    d = commits.history_v2(order_commits(spark, sf_dir)).select("repo_id", *[f"gitMetricsV2.{x}.*" for x in ("commitStats", "burstStats", "entropy", "churn", "testCoupling", "refactorBehavior")])
+    for c in ("topByModifications", "topByLinesChanged"):
+        d = d.withColumn(c, F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["file"], x["modifications"], x["linesChanged"])), ","))
+    return d
 
 
 def _churn(by: str) -> str:
@@ -176,10 +257,11 @@ def test_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commits.test_coupling(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").join(keys, "o_orderkey", "left"), ("o_orderpriority",), F.col("t"))
 
 
-@query(f"""SELECT lang, {_pct("count(*) FILTER (regexp_matches(text, '(?i)\\b(license|released|idiot|token)\\b'))", "count(*)")} AS "wordRate" FROM documents GROUP BY lang""")
+@query(f"""
+    WITH {_COMMITS} SELECT repo_id, {_pct("count(*) FILTER (regexp_matches(subject, '(?i)\\b(refactor|cleanup|restructure|rename)\\b'))", "count(*)")} AS "refactorCommitRatio" FROM o GROUP BY repo_id
+""")
 def refactor_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = F.col("text").rlike(r"(?i)\b(license|released|idiot|token)\b")
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(X.pct1(F.count_if(hit), F.count(F.lit(1))).alias("wordRate"))
+    return commits.refactor_rate(order_commits(spark, sf_dir))
 
 
 _LINES = "CASE WHEN {t} = '' THEN 0 ELSE length({t}) - length(replace({t}, chr(10), '')) + CASE WHEN ends_with({t}, chr(10)) THEN 0 ELSE 1 END END"
@@ -257,12 +339,52 @@ def summary_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functions.function_summary(part_functions(spark, sf_dir), ("p_brand",))
 
 
-@query(f"""
-    SELECT count(*) FILTER (lines > 45) AS long, count(*) FILTER (max_nesting > 4) AS deep, count(*) FILTER (param_count > 4) AS parameters, count(*) FILTER (complexity > 10) AS complex, count(*) AS total FROM ({_AS_FUNCTIONS})
-""")
-def smell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    over = lambda c, n: F.count_if(F.col(c) > n)
-    return part_functions(spark, sf_dir).agg(over("lines", 45).alias("long"), over("max_nesting", 4).alias("deep"), over("param_count", 4).alias("parameters"), over("complexity", 10).alias("complex"), F.count(F.lit(1)).alias("total"))
+def order_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored reports: priorities are repositories, orders files, their lines functions, in two lists that go by place."""
+    f = part_functions(spark, sf_dir).withColumn("place", F.col("max_nesting"))
+    name = F.concat(F.lit("f"), F.col("l_partkey").cast("string"))
+    metric = F.struct("place", F.struct(name.alias("name"), F.lit("arrow_function").alias("type"), F.col("place").alias("startLine"), "lines", F.col("max_nesting").alias("maxNestingDepth"), F.col("param_count").alias("parameterCount")).alias("m"), F.struct(name.alias("name"), F.lit("arrow_function").alias("type"), F.col("place").alias("startLine"), "complexity").alias("c"))
+    files = f.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(metric)).alias("all"))
+    entry = F.struct(F.col("o_orderkey").cast("string").alias("file"), F.transform("all", lambda x: x["m"]).alias("functionMetrics"), F.transform("all", lambda x: x["c"]).alias("complexity"))
+    d = files.join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("repo_id")), "o_orderkey")
+    return d.select("repo_id", F.struct(F.array(entry).alias("perFile")).alias("report"))
+
+
+_ROWS = f"""
+    r AS (
+        SELECT o_orderpriority AS repo_id, l_orderkey::VARCHAR AS file, 'f' || l_partkey AS name, max_nesting AS start_line, lines, max_nesting, param_count, complexity,
+               (row_number() OVER (PARTITION BY l_orderkey ORDER BY max_nesting, 'f' || l_partkey, lines) - 1)::INTEGER AS place
+        FROM (SELECT l_orderkey, l_partkey, p_size AS complexity, l_quantity::INTEGER AS lines, l_linenumber AS max_nesting, (l_partkey % 7)::INTEGER AS param_count FROM lineitem JOIN part ON p_partkey = l_partkey) JOIN orders ON o_orderkey = l_orderkey)
+"""
+
+
+@query(f"WITH {_ROWS} SELECT repo_id, file, count(*) AS functions, sum(lines * complexity)::BIGINT AS joined, sum(start_line * param_count)::BIGINT AS own, max(place) AS last FROM r GROUP BY ALL")
+def report_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and complexities of stored reports, joined by their places in the two lists of a file."""
+    r = views.function_rows(order_reports(spark, sf_dir))
+    return r.groupBy("repo_id", "file").agg(F.count(F.lit(1)).alias("functions"), F.sum(F.col("lines") * F.col("complexity")).alias("joined"), F.sum(F.col("start_line") * F.col("param_count")).alias("own"), F.max("at").alias("last"))
+
+
+def _spots(by: str) -> str:
+    return f"""
+        WITH {_ROWS} SELECT repo_id, file, name, lines, complexity, array_to_string(list_filter([CASE WHEN complexity >= 10 THEN 'High' END, CASE WHEN lines >= 50 THEN 'Long' END], lambda x: x IS NOT NULL), ',') AS badges,
+            row_number() OVER (PARTITION BY repo_id ORDER BY {by} DESC, file, place)::INTEGER AS rank FROM r QUALIFY rank <= 10
+    """
+
+
+def report_hotspots(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
+    d = views.hotspots(views.function_rows(order_reports(spark, sf_dir)), by, tie=("file", "at"))
+    return d.select("repo_id", "file", "name", "lines", "complexity", F.array_join("badges", ",").alias("badges"), "rank")
+
+
+@query(_spots("lines"))
+def hotspots_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_hotspots(spark, sf_dir, "lines")
+
+
+@query(_spots("complexity"))
+def hotspots_by_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_hotspots(spark, sf_dir, "complexity")
 
 
 @query(f"""SELECT p_brand, max(complexity) AS max_complexity, avg(complexity) AS avg_complexity, max(lines) AS longest, max(max_nesting) AS max_nesting, count(*) AS functions, sum(complexity)::BIGINT AS total_complexity FROM ({_AS_FUNCTIONS}) GROUP BY p_brand""")
@@ -270,24 +392,29 @@ def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distributions.file_stats(part_functions(spark, sf_dir), ("p_brand",))
 
 
-_EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+#: Events as nodes: the type of node that each stands for; the last is no function.
+_AS_NODES = {"click": "function_declaration", "error": "method_definition", "purchase": "arrow_function", "signup": "generator_function_declaration", "view": "call_expression"}
+_COUNTED = ", ".join(f"count(*) FILTER (event_type = '{e}') AS {t}" for e, t in list(_AS_NODES.items())[:-1])
 
 
-@query("SELECT user_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in _EVENT_TYPES) + " FROM events GROUP BY user_id")
+@query(f"SELECT user_id, count(*) FILTER (event_type <> 'view') AS total, {_COUNTED}, 0::BIGINT AS generator_function FROM events GROUP BY user_id")
 def count_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = [F.count_if(F.col("event_type") == t).alias(t) for t in _EVENT_TYPES]
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), *counts)
+    kind = F.create_map(*[F.lit(x) for pair in _AS_NODES.items() for x in pair])[F.col("event_type")]
+    d = functions.function_counts(table(spark, sf_dir, "events").select("user_id", kind.alias("type")), ("user_id",))
+    return d.select("user_id", "total", *[F.col("byType")[t].alias(t) for t in (*list(_AS_NODES.values())[:-1], "generator_function")])
 
 
 @query("""
-    SELECT event_id, CASE WHEN k < 20 THEN 'Next' WHEN k < 40 THEN 'NestJS' WHEN k < 60 THEN 'Express' WHEN k < 80 THEN 'React' ELSE 'Node' END AS type, k >= 60 AND k < 80 AS "hasReact", k < 60 AS "hasBackend"
-    FROM (SELECT event_id, coalesce(json_extract_string(props, '$.k')::INTEGER, 99) AS k FROM events)
+    SELECT event_id, CASE WHEN k < 20 THEN 'Next' WHEN k < 40 THEN 'NestJS' WHEN j = 0 THEN 'Fastify' WHEN k < 60 THEN 'Express' WHEN k < 80 OR j = 1 THEN 'React' ELSE 'Node' END AS type, k >= 60 AND k < 80 OR j = 1 AS "hasReact", k < 60 OR j = 0 AS "hasBackend"
+    FROM (SELECT event_id, coalesce(json_extract_string(props, '$.k')::INTEGER, 99) AS k, user_id % 4 AS j FROM events)
 """)
 def framework_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dependency by the number in an event's properties."""
-    k = F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(99))
+    """Manifests in JSON: a dependency by the number in an event's properties, one for development by its user."""
+    k, j = F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(99)), F.col("user_id") % 4
     name = F.when(k < 20, "next").when(k < 40, "@nestjs/core").when(k < 60, "express").when(k < 80, "react").otherwise("lodash")
-    d = table(spark, sf_dir, "events").select(F.col("event_id").alias("repo_id"), F.create_map(name, F.lit("1")).alias("deps"), F.lit(None).cast("map<string, string>").alias("dev_deps"))
+    other = F.when(j == 0, "fastify").when(j == 1, "react").otherwise("jest")
+    manifest = F.struct(F.create_map(name, F.lit("1")).alias("dependencies"), F.when(j < 3, F.create_map(other, F.lit("2"))).alias("devDependencies"))
+    d = parse_manifests(table(spark, sf_dir, "events").select(F.col("event_id").alias("repo_id"), F.to_json(manifest).alias("content")))
     return profile.framework(d).select(F.col("repo_id").alias("event_id"), "framework.*")
 
 
@@ -345,9 +472,25 @@ def insight_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nations(spark, sf_dir).select("s_nationkey", F.explode(rules).alias("insight"))
 
 
-@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+@query("""
+    WITH n AS (SELECT 'user-' || user_id AS result_id, event_id, ts, event_type, event_id % 3 = 0 AS is_new FROM events)
+    SELECT result_id, ts AS analyzed_at, event_type || ' ' || event_id AS report_json FROM n QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY is_new DESC, ts DESC, event_type || ' ' || event_id DESC) = 1
+""")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.latest_by(table(spark, sf_dir, "events"), ("user_id",), [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+    """Events as reports of their users, every third of them new: new ones replace what is stored."""
+    d = table(spark, sf_dir, "events").select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("result_id"), F.col("ts").alias("analyzed_at"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("report_json"), (F.col("event_id") % 3 == 0).alias("new"))
+    old = store.latest_by(d.where(~F.col("new")), ("result_id",), [F.desc("analyzed_at"), F.desc("report_json")])
+    return store.upsert(old.drop("new"), d.where("new").drop("new"))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_name = 'Customer#000000012'")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.lookup(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), " Customer#000000012 ", "c_name", "c_acctbal")
+
+
+@query("SELECT c_name FROM customer ORDER BY c_name LIMIT 10")
+def first_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.some_ids(table(spark, sf_dir, "customer"), "c_name")
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE starts_with(c_name, 'Customer#00000001') ORDER BY c_name = 'Customer#00000001' DESC, c_acctbal DESC, c_name LIMIT 1")
@@ -372,6 +515,99 @@ def repo_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.parse_repo_url(url).alias("p")).select("page_id", "p.owner", "p.repo")
 
 
+_INPUT = "CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN ' Https://GitHub.com/o/r' || page_id WHEN 2 THEN 'org/r.' || page_id WHEN 3 THEN 'www.github.com/o/r' || page_id || '/' WHEN 4 THEN 'github.com/o' ELSE '' END"
+
+
+@query(f"""
+    SELECT page_id, starts_with(lower(trim(u)), 'https://github.com/') AS looks,
+           CASE WHEN regexp_matches(trim(u), '^https?://') THEN trim(u) WHEN regexp_matches(trim(u), '^[a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+$') THEN 'https://github.com/' || trim(u) ELSE 'https://' || trim(u) END AS normal,
+           trim(u) <> '' AND (regexp_matches(trim(u), '^[a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+$') OR regexp_matches(trim(u), '^(https?://)?(www\\.)?github\\.com/[a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+/?(\\.[a-zA-Z]+)?$')) AS valid
+    FROM (SELECT page_id, {_INPUT} AS u FROM pages)
+""")
+def address_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users type for a repository: whether it looks like an address, its normal form, whether it is taken."""
+    n, k = F.col("page_id").cast("string"), F.col("page_id") % 6
+    u = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit(" Https://GitHub.com/o/r"), n)).when(k == 2, F.concat(F.lit("org/r."), n)).when(k == 3, F.concat(F.lit("www.github.com/o/r"), n, F.lit("/"))).when(k == 4, "github.com/o").otherwise("")
+    return table(spark, sf_dir, "pages").select("page_id", u.alias("u")).select("page_id", X.looks_like_repo_url("u").alias("looks"), X.normalise_repo_url("u").alias("normal"), X.is_valid_repo_input("u").alias("valid"))
+
+
+_SHA = "md5(o_orderkey::VARCHAR)"
+
+
+@query(f"""
+    SELECT o_orderkey, substr(sha, 1, 7) AS short, 'own-' || o_custkey || '-' || substr(sha, 1, 12) AS result_id, CASE WHEN total = floor(total) THEN total::BIGINT::VARCHAR ELSE printf('%.2f', total) END AS shown,
+           'a_b' || o_custkey || '_' || substr(sha, 1, 7) || '_' || strftime(o_orderdate, '%Y-%m-%dT%H-%M-%S') AS export_name, 'repo-metrics-' || o_custkey || '-' || substr(sha, 1, 7) || '.json' AS download_name,
+           CASE WHEN o_orderstatus = 'F' THEN 'https://x/' || o_custkey ELSE '/r/' || o_custkey END AS label, o_orderstatus = 'O' OR o_orderstatus = 'P' AS no_git,
+           ceil(o_custkey / 50.0)::BIGINT AS pages, array_to_string(list_filter([CASE WHEN o_custkey % 20 >= 10 THEN 'High' END, CASE WHEN o_custkey % 100 >= 50 THEN 'Long' END], lambda x: x IS NOT NULL), ',') AS badges
+    FROM (SELECT *, {_SHA} AS sha, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE floor(o_totalprice) END AS total FROM orders)
+""")
+def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as analyses: short commits, ids, numbers, names of files, labels, errors, pages and badges."""
+    c, sha = F.col("o_custkey").cast("string"), F.md5(F.col("o_orderkey").cast("string"))
+    total = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).otherwise(F.floor("o_totalprice").cast("double"))
+    failed = F.when(F.col("o_orderstatus") == "O", "spawn  git ENOENT").when(F.col("o_orderstatus") == "F", "fatal: no access").otherwise("x")
+    d = table(spark, sf_dir, "orders").withColumn("sha", sha).withColumn("failed", failed)
+    return d.select(
+        "o_orderkey", X.short_commit("sha").alias("short"), X.result_id(F.lit("own"), c, "sha").alias("result_id"), X.display_number(total).alias("shown"), X.export_name(F.concat(F.lit("a/b"), c), "sha", "o_orderdate").alias("export_name"),
+        X.download_name(c, "sha").alias("download_name"), X.repo_label(F.when(F.col("o_orderstatus") == "F", "git").otherwise("local"), F.concat(F.lit("https://x/"), c), F.concat(F.lit("/r/"), c)).alias("label"),
+        X.git_unavailable("failed", F.when(F.col("o_orderstatus") == "P", "ENOENT")).alias("no_git"), views.page_count("o_custkey").alias("pages"), F.array_join(X.badges(F.col("o_custkey") % 20, F.col("o_custkey") % 100), ",").alias("badges"),
+    )
+
+
+_FOLDERS = ("src", "node_modules/x", "dist", "lib/build", "lib/build.ts", ".next", "outer", "a/coverage/b", "pages")
+_SUFFIXES = (".ts", ".tsx", ".d.ts", ".js", ".ts.map")
+
+
+@query(f"""
+    SELECT folder, suffix, count(*) AS files FROM (SELECT {list(_FOLDERS)}[doc_id % {len(_FOLDERS)} + 1] AS folder, {list(_SUFFIXES)}[doc_id % {len(_SUFFIXES)} + 1] AS suffix FROM documents)
+    WHERE (ends_with(suffix, '.ts') OR ends_with(suffix, '.tsx')) AND NOT regexp_matches('/' || folder || '/', '/(node_modules|dist|build|[.]next|out|coverage|[.]git)/') GROUP BY ALL
+""")
+def source_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the paths of a table are sources: two suffixes, less those below ignored folders."""
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("doc_id") % len(xs) + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select(F.lit("r").alias("repo_id"), pick(_FOLDERS).alias("folder"), pick(_SUFFIXES).alias("suffix"), F.col("text").alias("content"), F.col("doc_id").cast("string").alias("n"))
+    files = files_from_table(d.withColumn("file", F.concat("folder", F.lit("/f"), "n", "suffix")))
+    folder, suffix = F.regexp_extract("file", r"^(.*)/[^/]*$", 1), F.regexp_extract("file", r"/f\d+([^/]*)$", 1)
+    return files.groupBy(folder.alias("folder"), suffix.alias("suffix")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("""
+    SELECT s_nationkey, feature, category, rq, unit, value FROM (SELECT s_nationkey, count(*)::VARCHAR AS a, count(*) FILTER (s_acctbal < 0)::VARCHAR AS b, max(s_suppkey)::VARCHAR AS c FROM supplier GROUP BY 1),
+        LATERAL (VALUES ('burst_count', 'Behavioral', 'RQ1', 'count', a), ('empty_catch_block_count', 'Verification', 'RQ2', 'count', b), ('unheard_of_count', 'Structural', 'TBD', NULL, c)) AS t(feature, category, rq, unit, value)
+""")
+def feature_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features with their entries in the dictionary, searched for and sorted; one that it lacks has the defaults."""
+    wide = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("burst_count"), F.count_if(F.col("s_acctbal") < 0).alias("empty_catch_block_count"), F.max("s_suppkey").alias("unheard_of_count"), F.max("s_acctbal").alias("max_complexity"))
+    return features.feature_table(features.unpivoted(wide, ("s_nationkey",)), "_COUNT", by_category=True).select("s_nationkey", "feature", "category", "rq", "unit", "value")
+
+
+_CLONE_TOKENS, _CLONE_LINES = 30, 2
+
+
+@query(rf"""
+    WITH x AS (
+        SELECT source, doc_id, unnest(regexp_extract_all(text, '(?s)//[^\n]*|/\*.*?\*/|[\s\p{{Z}}\x{{85}}\x{{0b}}\x{{1c}}-\x{{1f}}]+|[\p{{L}}\p{{N}}_$]+|''(?:[^''\\\n]|\\.)*''|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|.')) AS w,
+               unnest(range(1, 1 + len(regexp_extract_all(text, '(?s)//[^\n]*|/\*.*?\*/|[\s\p{{Z}}\x{{85}}\x{{0b}}\x{{1c}}-\x{{1f}}]+|[\p{{L}}\p{{N}}_$]+|''(?:[^''\\\n]|\\.)*''|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|.')))) AS i
+        FROM documents),
+    y AS (SELECT *, sum(length(w) - length(replace(w, chr(10), ''))) OVER (PARTITION BY doc_id ORDER BY i) AS last, length(w) - length(replace(w, chr(10), '')) AS own FROM x),
+    t AS (
+        SELECT source, doc_id, w, (last - own)::BIGINT AS first, last::BIGINT AS last, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM y
+        WHERE NOT regexp_matches(w, '^(//|/\*.|[\s\p{{Z}}\x{{85}}\x{{0b}}\x{{1c}}-\x{{1f}}])')),
+    l AS (SELECT source, doc_id, list(w ORDER BY n) AS ws, list(first ORDER BY n) AS firsts, list(last ORDER BY n) AS lasts FROM t GROUP BY ALL),
+    h AS (SELECT source, doc_id, n, md5(array_to_string(ws[n:n + {_CLONE_TOKENS - 1}], chr(1))) AS h, firsts[n] AS first, lasts[n + {_CLONE_TOKENS - 1}] AS last FROM (SELECT *, unnest(range(1, len(ws) - {_CLONE_TOKENS - 2})) AS n FROM l)),
+    r AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS run FROM h WHERE (source, h) IN (SELECT (source, h) FROM h GROUP BY source, h HAVING count(*) > 1)),
+    c AS (SELECT source, doc_id, min(first) AS first, max(last) AS last, arg_min(h, n) AS h FROM r GROUP BY source, doc_id, run HAVING max(last) - min(first) + 1 >= {_CLONE_LINES}),
+    v AS (SELECT source, count(DISTINCT (doc_id, line)) AS covered FROM (SELECT source, doc_id, unnest(range(first, last + 1)) AS line FROM c) GROUP BY source),
+    k AS (SELECT source, count(DISTINCT h) AS clones FROM c GROUP BY source),
+    a AS (SELECT source, sum(n)::BIGINT AS total FROM ({_PATHS}) GROUP BY source)
+    SELECT source AS repo_id, {_pct("coalesce(covered, 0)", "total")} AS percentage, coalesce(covered, 0) AS "duplicateLines", coalesce(clones, 0) AS "cloneClusters" FROM a LEFT JOIN v USING (source) LEFT JOIN k USING (source)
+""")
+def clones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their source's repository; shorter stretches than code asks for, so that prose has some."""
+    files = document_files(spark, sf_dir).select(F.col("source").alias("repo_id"), "file", "content")
+    return duplication.duplication(files, _CLONE_TOKENS, _CLONE_LINES).select("repo_id", "duplication.*")
+
+
 @query("""
     WITH b AS (SELECT o_orderkey, 'COMMIT' AS x FROM orders),
     f AS (SELECT l_orderkey, count(*) AS files, sum(l_quantity::BIGINT + l_linenumber)::BIGINT AS total FROM lineitem GROUP BY l_orderkey)
@@ -419,11 +655,66 @@ def tree_smells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functions.statement_smells(analysed(parse_files(snippet_files(spark))))
 
 
-@query()
-def repo_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of the documents as files of twenty repositories, with orders as the history of one."""
+@query("""
+    SELECT * FROM (VALUES (0, 'program'), (1, 'function_declaration'), (2, 'statement_block'), (3, 'if_statement')) AS t(visit_ord, type)
+""")
+def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first nodes of the walk that takes siblings last to first."""
+    d = analysed(parse_files(snippet_files(spark))).where("file = 'plain.ts' and visit_ord < 4")
+    return d.select("visit_ord", "type")
+
+
+def document_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of the documents as files of twenty repositories, with orders as their histories, a twentieth each."""
     files = document_files(spark, sf_dir).select(F.col("source").alias("repo_id"), "file", "content", F.lit(None).cast("string").alias("error"))
-    repos = files.select("repo_id").distinct().select("repo_id", F.col("repo_id").alias("repo_path"), F.expr("named_struct('type', 'local', 'url', '', 'commit', '', 'branch', '')").alias("source"))
+    repos = files.select("repo_id").distinct().select("repo_id", F.col("repo_id").alias("repo_path"), F.expr("named_struct('type', 'git', 'url', concat('https://x/', repo_id), 'commit', md5(repo_id), 'branch', 'main')").alias("source"))
+    history = order_commits(spark, sf_dir).withColumn("repo_id", F.concat(F.lit("src"), (F.col("hash").cast("long") % 20).cast("string")))
     files = files.repartition(2 * spark.sparkContext.defaultParallelism, "file")  # one small file of many documents would be parsed by one task
-    reports = build_reports(Inputs(repos, files), 901_000_000)
-    return features.feature_vectors(reports)
+    end = int(datetime.fromisoformat(f"{AS_OF}+00:00").timestamp())
+    return build_reports(Inputs(repos, files, history), end, "2001-06-01T00:00:00.000Z", per_file=False)
+
+
+_FLAT = f"""
+    p AS (SELECT source AS repo_id, {_PROFILE} FROM ({_PATHS}) GROUP BY source),
+    {_COMMITS},
+    g AS (
+        SELECT 'src' || o_orderkey % 20 AS repo_id, count(*) AS total_commits, coalesce(median(total_lines) FILTER (files > 0), 0) AS v1_median, {_r("avg(total_lines) FILTER (files > 0)", 1)} AS average, median(total_lines) AS median,
+               {_p("total_lines", 0.9)} AS p90, {_pct("count(*) FILTER (total_lines > 500)", "count(*)")} AS over_500, {_pct("count(*) FILTER (tests)", "count(*)")} AS testing,
+               {_pct("count(*) FILTER (regexp_matches(subject, '(?i)\\b(refactor|cleanup|restructure|rename)\\b'))", "count(*)")} AS refactoring, {_r(f"count(*) FILTER (ts >= epoch(TIMESTAMP '{AS_OF}')::BIGINT - 91 * 86400)::DOUBLE / 13", 1)} AS weekly
+        FROM c GROUP BY 1)
+"""
+
+
+@query(f"""
+    WITH {_FLAT}
+    SELECT repo_id, "totalLOC"::DOUBLE AS total_loc, "sourceLOC"::DOUBLE AS source_loc, "testLOC"::DOUBLE AS test_loc, "totalFiles"::DOUBLE AS files_analyzed, {_ratio('"testLOC"', '"sourceLOC"', 3)} AS test_loc_ratio,
+           CASE WHEN r < 0.1 THEN 'low' WHEN r <= 0.3 THEN 'moderate' ELSE 'high' END AS test_coverage_classification, total_commits::DOUBLE AS total_commits, weekly AS commits_per_week, average AS average_lines_per_commit,
+           median AS median_commit_size, p90 AS p90_commit_size, over_500 AS pct_over_500_loc, testing AS pct_commits_touching_tests, refactoring AS refactor_commit_ratio
+    FROM (SELECT *, {_ratio('"testLOC"', '"sourceLOC"', 2)} AS r FROM p) LEFT JOIN g USING (repo_id)
+""")
+def report_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of whole reports whose sections SQL can make: profiles and histories, joined by repository."""
+    names = ("total_loc", "source_loc", "test_loc", "files_analyzed", "test_loc_ratio", "test_coverage_classification", "total_commits", "commits_per_week", "average_lines_per_commit", "median_commit_size", "p90_commit_size", "pct_over_500_loc", "pct_commits_touching_tests", "refactor_commit_ratio")
+    return features.feature_vectors(document_reports(spark, sf_dir)).select("repo_id", *names)
+
+
+@query(f"""
+    WITH {_FLAT}
+    SELECT repo_id, repo_id AS repo, "totalFiles" AS files, "totalLOC", "sourceLOC", "testLOC", total_commits AS "totalCommits", 'https://x/' || repo_id AS "repositoryUrl", md5(repo_id) AS "commit", 1 AS schema_version, "testLOC"::DOUBLE AS flat_test_loc, median AS flat_median,
+           total_commits AS json_commits, v1_median AS json_median, 12 AS behavioral, weekly AS shown_weekly, median AS shown_median
+    FROM p LEFT JOIN g USING (repo_id)
+""")
+def report_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exports of reports, read back from their texts: the summary's columns, the structured JSON, the report's JSON, the view's fields."""
+    reports = document_reports(spark, sf_dir)
+    j = lambda c, path: F.get_json_object(c, f"$.{path}")
+    structured = export.structured(reports).select("repo_id", *[j("json", p).alias(n) for n, p in (("repositoryUrl", "metadata.repositoryUrl"), ("commit", "metadata.commit"))], j("json", "schema_version").cast("int").alias("schema_version"), j("json", "flat_feature_vector.test_loc").cast("double").alias("flat_test_loc"), j("json", "flat_feature_vector.median_commit_size").cast("double").alias("flat_median"), j("json", "features_by_category.Behavioral").cast("int").alias("behavioral"))
+    plain = reports.select("repo_id", *export.summary_columns(), report_json().alias("json"), views.commit_metrics().alias("m"))
+    plain = plain.select("repo_id", "repo", "files", "totalLOC", "sourceLOC", "testLOC", "totalCommits", j("json", "git.totalCommits").cast("long").alias("json_commits"), j("json", "git.medianCommitSize").cast("double").alias("json_median"), F.col("m.commitsPerWeek").alias("shown_weekly"), F.col("m.medianCommitSize").alias("shown_median"))
+    return plain.join(structured, "repo_id")
+
+
+@query()
+def repo_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of the documents' reports."""
+    return features.feature_vectors(document_reports(spark, sf_dir))

@@ -8,7 +8,7 @@ and by what the template saves on those words alone.
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from itertools import islice
 
@@ -148,21 +148,25 @@ class Scanner:
             head = self.before(text, done, first, before)
             tail = list(islice(_placed(text, first, len(text)), after + after // 5 + 3))
             best = None
-            for b, n in self.shapes:
+            # No block around the cue has words that the widest has not.
+            possible = self._possible(Counter(w for w, _, _ in head + tail), range(len(self.counts)))
+            for b, n in self.shapes if possible else ():
                 ahead = head[len(head) - min(b, len(head)) :]
                 for size in (n - b, n - b + n // 5 + 2):
-                    best = self._best(cue.start(), ahead + tail[:size], best)
+                    best = self._best(cue.start(), ahead + tail[:size], possible, best)
             at = cue.end()
             if best is not None:
                 found.append(best[1])
                 at = done = best[1][2]
         return found
 
-    def _best(self, cue: int, block: list[tuple[str, int, int]], best):
+    def _possible(self, has: Counter, templates: Iterable[int]) -> tuple[int, ...]:
+        """Those that a block of these words may hold: words that a template has and the block has not differ in any comparison."""
+        return tuple(k for k in templates if (c := self.counts[k]) and sum(n - min(n, has[w]) for w, n in c.items()) <= self.most_different * len(self.words[k]))
+
+    def _best(self, cue: int, block: list[tuple[str, int, int]], templates: tuple[int, ...], best):
         words = [w for w, _, _ in block]
-        has = Counter(words)
-        # Words that a template has and the block has not differ in any comparison.
-        possible = tuple(k for k, c in enumerate(self.counts) if c and (c - has).total() <= self.most_different * len(self.words[k]))
+        possible = self._possible(Counter(words), templates)
         if not possible:
             return best
         ranked = self.ranked(" ".join(words), possible)

@@ -152,8 +152,8 @@ def export_name(result: Column | str, commit: Column | str, stamp: Column | str)
 
 
 def download_name(result: Column | str, commit: Column | str) -> Column:
-    """repo-metrics-id-commit7.json, the name of a downloaded report."""
-    return F.concat(F.lit("repo-metrics-"), col(result), F.lit("-"), F.coalesce(short_commit(commit), F.lit("—")), F.lit(".json"))
+    """name-id-commit7.json, the name of a downloaded report; the name is this engine's."""
+    return F.concat(F.lit("codestrata-"), col(result), F.lit("-"), F.coalesce(short_commit(commit), F.lit("—")), F.lit(".json"))
 
 
 def repo_label(source_type: Column | str, url: Column | str, path: Column | str) -> Column:

@@ -58,7 +58,7 @@ def write_report_files(reports: DataFrame, folder: str) -> int:
 
 def write_download(report: str, result: str, commit: str | None, folder: str) -> str:
     """One report, indented, under the name that downloads have (``exprs.download_name``). Returns the path."""
-    path = os.path.join(folder, f"repo-metrics-{result}-{commit[:7] if commit is not None else '—'}.json")
+    path = os.path.join(folder, f"codestrata-{result}-{commit[:7] if commit is not None else '—'}.json")
     os.makedirs(folder, exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
         f.write(pretty(report))

@@ -536,7 +536,7 @@ _SHA = "md5(o_orderkey::VARCHAR)"
 
 @query(f"""
     SELECT o_orderkey, substr(sha, 1, 7) AS short, 'own-' || o_custkey || '-' || substr(sha, 1, 12) AS result_id, CASE WHEN total = floor(total) THEN total::BIGINT::VARCHAR ELSE printf('%.2f', total) END AS shown,
-           'a_b' || o_custkey || '_' || substr(sha, 1, 7) || '_' || strftime(o_orderdate, '%Y-%m-%dT%H-%M-%S') AS export_name, 'repo-metrics-' || o_custkey || '-' || substr(sha, 1, 7) || '.json' AS download_name,
+           'a_b' || o_custkey || '_' || substr(sha, 1, 7) || '_' || strftime(o_orderdate, '%Y-%m-%dT%H-%M-%S') AS export_name, 'codestrata-' || o_custkey || '-' || substr(sha, 1, 7) || '.json' AS download_name,
            CASE WHEN o_orderstatus = 'F' THEN 'https://x/' || o_custkey ELSE '/r/' || o_custkey END AS label, o_orderstatus = 'O' OR o_orderstatus = 'P' AS no_git,
            ceil(o_custkey / 50.0)::BIGINT AS pages, array_to_string(list_filter([CASE WHEN o_custkey % 20 >= 10 THEN 'High' END, CASE WHEN o_custkey % 100 >= 50 THEN 'Long' END], lambda x: x IS NOT NULL), ',') AS badges
     FROM (SELECT *, {_SHA} AS sha, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE floor(o_totalprice) END AS total FROM orders)

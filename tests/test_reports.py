@@ -229,3 +229,9 @@ def test_store_and_views(spark):
     assert tuple(one.select(views.risk_profile(F.lit(8), F.lit(4), F.lit(1), F.lit(20)).alias("r")).first()["r"]) == (0.6, 0.25, "High", "Low", "High risk / Low verification")
     assert len(one.select(views.insight_rules(F.lit(10), F.lit(0.05), F.lit(10), F.lit(5), F.lit(39.9)).alias("r")).first()["r"]) == 4
     assert one.select(views.page_count(F.lit(101)).alias("n")).first()["n"] == 3
+
+
+def test_download(tmp_path):
+    path = export.write_download('{"a": "é"}', "o-r-1", "0123456789", str(tmp_path / "d"))
+    assert os.path.basename(path) == "codestrata-o-r-1-0123456.json" and open(path, encoding="utf-8").read() == '{\n  "a": "é"\n}'
+    assert os.path.basename(export.write_download("{}", "x", None, str(tmp_path))) == "codestrata-x-—.json"

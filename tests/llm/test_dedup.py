@@ -210,6 +210,56 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, small, tile):
     assert similar_sets.one_of_each(docs(spark, [])).count() == 0
 
 
+def hot_groups(dice):
+    """Texts around a few bases, near and less near, in chains too."""
+    words = [f"w{i}" for i in range(400)]
+    first = [dice.choice(words) for _ in range(120)]
+    bases = [first, [dice.choice(words) if dice.random() < 0.05 else w for w in first], [dice.choice(words) for _ in range(120)]]
+    out = []
+    for base, n in zip(bases, (150, 60, 40), strict=True):
+        for _ in range(n):
+            text = list(base)
+            for _ in range(dice.choice([0, 1, 1, 2, 3, 5])):
+                text[dice.randrange(120)] = dice.choice(words)
+            out.append(" ".join(text))
+    chain = list(first)
+    for _ in range(40):
+        chain[dice.randrange(120)] = dice.choice(words)
+        out.append(" ".join(chain))
+    dice.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize(("rounds", "shingles"), [(12, 2 << 20), (1, 2 << 20), (0, 2 << 20), (12, 700)])
+def test_hot_groups_against_all_pairs(spark, monkeypatch, rounds, shingles):
+    monkeypatch.setattr(similar_sets, "SMALL", 4)
+    monkeypatch.setattr(similar_sets, "TILE", 20)
+    monkeypatch.setattr(similar_sets, "TILE_SHINGLES", shingles)
+    monkeypatch.setattr(similar_sets, "ROUNDS", rounds)
+    data = [(i, t, "en", "s", 1) for i, t in enumerate(hot_groups(random.Random(11)))]
+    want = set(jaccard_roots([r[1] for r in data]))
+    got = [r["doc_id"] for r in similar_sets.one_of_each(docs(spark, data)).collect()]
+    assert sorted(got) == sorted(want) and 3 < len(want) < 200
+
+
+def test_copies_of_a_hot_group_are_not_compared_with_each_other(spark, monkeypatch):
+    monkeypatch.setattr(similar_sets, "TILE", 50)
+    dice = random.Random(12)
+    base = [f"w{i}" for i in range(300)]
+    sets = {}
+    for at in dice.sample(range(300), 200):
+        text = " ".join([*base[:at], "other", *base[at + 1 :]])
+        sets[len(sets)] = text
+    for i in range(5):
+        sets[len(sets)] = " ".join(f"far{i} w{j}" for j in range(150))
+    texts = spark.createDataFrame(list(sets.items()), "node long, text string")
+    runs = spark.createDataFrame([(1, i, 296) for i in sets], "key long, node long, n int")
+    links, left = similar_sets._thinned(runs, texts, 0.8, 5)
+    assert sum(d.count() for d in links) == 199 and sum(d.count() for d in left) == 5
+    links, left = similar_sets._thinned(runs.limit(0), texts, 0.8, 5)
+    assert links == [] and [d.count() for d in left] == [0]
+
+
 def test_the_stage_drops_what_is_similar(spark):
     data = [(i, t, "en", "s", 1) for i, t in enumerate(near_copies(random.Random(5)))]
     want = set(jaccard_roots([r[1] for r in data]))

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from codestrata.llm import (
     decontaminate,
     license_scan,
+    line_labels,
     pfair_mix,
     preference_format,
     quality_rules,
     shard_tree,
     simhash_dedup,
+    spelling_forms,
     substring_dedup,
     token_blocks,
     topk_search,
+    vector_codes,
 )
 from codestrata.llm.common import read_table
 
@@ -86,6 +89,19 @@ def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms.spelling_forms(read_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return line_labels.judge_lines(docs, line_labels.fit_lines(docs, read_table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_branch_and_bound_topk": op2_branch_and_bound_topk,
@@ -97,9 +113,65 @@ QUERIES: dict[str, Query] = {
     "op8_preference_format": op8_preference_format,
     "op9_token_blocks": op9_token_blocks,
     "op10_qgram_decontamination": op10_qgram_decontamination,
+    "op11_spelling_forms": op11_spelling_forms,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_line_labels": op13_line_labels,
 }
 
+
+def _lloyd_sql(rounds: int) -> str:
+    """Plain rounds of assignment and averaging over all pairs of a part and an entry, one after the other."""
+    assigned = """
+        SELECT vec_id, rid, label, p, arg_min(e, d * 256 + e) AS e, min(d) AS d FROM (
+            SELECT x.*, b.e, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN {book} b USING (p))
+        GROUP BY vec_id, rid, label, p
+    """
+    steps = ""
+    for k in range(rounds):
+        steps += f"""
+        a{k} AS MATERIALIZED ({assigned.format(book=f"b{k}")}),
+        m{k} AS (SELECT p, e, list(m ORDER BY i) AS v FROM (
+            SELECT p, e, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS m FROM a{k} JOIN x USING (rid, p), range(1, len(v) + 1) r(i) GROUP BY ALL) GROUP BY p, e),
+        b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN m{k} m ON m.p = b.p AND m.e = b.e),
+        """
+    return f"""
+        WITH w AS MATERIALIZED (
+            SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        x AS MATERIALIZED (SELECT vec_id, label, rid, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS v FROM w, range(4) t(p)),
+        b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, v FROM x WHERE rid <= 256), {steps}
+        f AS ({assigned.format(book=f"b{rounds}")}),
+        c AS (SELECT rid, vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM f GROUP BY ALL)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+        FROM c
+    """
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_spelling_forms": """
+        WITH t AS (SELECT list(c ORDER BY i) AS tab FROM (
+            SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+        r AS (
+            SELECT key, w, count(*) AS n FROM (
+                SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{C0}-\\x{FF}]+')) AS w, coalesce(doc_id::VARCHAR, '') || ':' || w AS key FROM documents)
+            GROUP BY ALL HAVING length(w) >= 5),
+        h AS (
+            SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(key))), lambda i: ('0x' || hex(encode(key))[2 * i + 1:2 * i + 2])::BIGINT)),
+                                         lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM r, t),
+        s AS (SELECT CASE WHEN h % 97 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, n FROM h),
+        d AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        v AS MATERIALIZED (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS short FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM d)),
+        p AS (
+            SELECT v.word, d.word AS other, d.n AS m FROM v JOIN d ON d.word = v.short
+            UNION SELECT d.word, v.word, v.n FROM v JOIN d ON d.word = v.short
+            UNION SELECT a.word, b.word, b.n FROM v a JOIN v b ON a.short = b.short AND a.i = b.i AND a.word <> b.word),
+        g AS (SELECT word, count(*) AS n_near, max(m) AS m, min(other) FILTER (rk = 1) AS other FROM (SELECT *, rank() OVER (PARTITION BY word ORDER BY m DESC) AS rk FROM p) GROUP BY word),
+        f AS MATERIALIZED (SELECT d.word, d.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * d.n THEN other END AS form, CASE WHEN m >= 2 * d.n THEN m END AS form_n FROM d LEFT JOIN g USING (word)),
+        z AS (WITH RECURSIVE u AS (SELECT word, word AS root FROM f UNION ALL SELECT u.word, f.form FROM u JOIN f ON f.word = u.root WHERE f.form IS NOT NULL)
+              SELECT u.word, root FROM u JOIN f ON f.word = u.root WHERE f.form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM f JOIN z USING (word)
+    """,
+    "op12_vector_codes": _lloyd_sql(vector_codes.ROUNDS),
     "op2_branch_and_bound_topk": """
         WITH v AS MATERIALIZED (
             SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e

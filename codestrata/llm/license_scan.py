@@ -142,9 +142,13 @@ class Scanner:
             return []
         found: list[tuple[str, int, int, float, int, bool]] = []
         before, after = max(b for b, _ in self.shapes), max(n for _, n in self.shapes)
-        at = done = 0
+        at = done = first = upto = 0
         while cue := self.cue.search(text, at):
-            first = max(text.rfind(" ", done, cue.start()), text.rfind("\n", done, cue.start()), text.rfind("\t", done, cue.start()), done - 1) + 1
+            # The start of the cue's word; where no white space lies between, it is that of the cue before.
+            here = cue.start()
+            while here > upto and not text[here - 1].isspace():
+                here -= 1
+            first, upto = (first if here == upto else here), max(upto, cue.start())
             head = self.before(text, done, first, before)
             tail = list(islice(_placed(text, first, len(text)), after + after // 5 + 3))
             best = None
@@ -157,7 +161,7 @@ class Scanner:
             at = cue.end()
             if best is not None:
                 found.append(best[1])
-                at = done = best[1][2]
+                at = done = first = upto = best[1][2]
         return found
 
     def _possible(self, has: Counter, templates: Iterable[int]) -> tuple[int, ...]:

@@ -250,3 +250,18 @@ def test_rules_are_paths_and_few():
     y = ((x[:, 3] > 0.5) & (x[:, 7] <= 0.4)).astype(np.int64)
     model = quality_rules.fit_rules(x, y)
     assert ((model.scores(x) >= 0.5) == y).mean() > 0.98 and len(model.terms) < 300 and all(1 <= len(r.conditions) <= quality_rules.DEPTH for r, _ in model.terms)
+
+
+def test_notices_behind_any_white_space():
+    """Each separator that str.isspace knows, with 500 words before, with several cues in a word, and after a notice."""
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    body = license_scan.TEMPLATES["MIT-line"]
+    blanks = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    assert {"\r", "\f", "\x0b", "\x1c", "\x85", "\u00a0", "\u2028", "\u3000"} <= set(blanks)
+    for blank in blanks:
+        notice = blank.join(body.split())
+        for before in (blank.join(["word"] * 500) + blank, "license" * 50 + "/license:", ""):
+            text = before + (blank if before and not before[-1].isspace() else "") + notice
+            start = len(text) - len(notice)
+            assert [(f[0], f[1], f[5]) for f in scanner.scan(text)] == [("MIT-line", start, True)], (blank, before[:9])
+            assert [f[1] for f in scanner.scan(text + blank + "x" + blank + notice)] == [start, len(text) + 3], (blank, before[:9])

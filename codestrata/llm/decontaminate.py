@@ -12,8 +12,9 @@ Where an item is so short that n - q + 1 - q e is not positive, its q is n // (e
 pieces of that length, e edits leave one whole. Items of one q form an index; texts are looked up in each.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.llm.common import cut_lineage
+
 Q = 8
 PASSAGE = 100
 EDIT_RATE = 0.08
@@ -29,6 +32,8 @@ ITEM_CHARS = 8 << 20
 #: Most characters of all items together; a larger benchmark is to be cut by the caller.
 MOST_CHARS = 256 << 20
 ITEM_COST = 64
+#: Blocks of items that one pass over the texts of :func:`without_leaks` looks for.
+PART_BLOCKS = 4
 #: A sieve of 2**22 bits.
 SIEVE_BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -215,24 +220,25 @@ class GramIndex:
         return None
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, chars: int, null_ids: bool = False) -> list[list[tuple[int | None, str]]]:
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, chars: int, null_ids: bool = False, most: int | None = MOST_CHARS) -> Iterator[list[tuple[int | None, str]]]:
     """Items, normalised, in blocks of at most ``chars`` characters (or one item), those without an id on demand only. All
-    blocks together have a checked bound, in which an item counts for its characters and ``ITEM_COST`` more; blank items,
-    which never match, stay behind.
+    blocks together have at most ``most`` characters, in which an item counts for its characters and ``ITEM_COST`` more; blank items,
+    which never match, stay behind. Blocks come one after the other, so the driver holds those that its caller keeps.
     """
-    out: list[list[tuple[int, str]]] = [[]]
+    block: list[tuple[int | None, str]] = []
     size = total = 0
     items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").rlike(r"\S"))
     for r in (items if null_ids else items.where("i is not null")).orderBy("i", "t").toLocalIterator():
         text = normalised(r["t"])
         if size and size + len(text) > chars:
-            out.append([])
-            size = 0
-        out[-1].append((r["i"], text))
+            yield block
+            block, size = [], 0
+        block.append((r["i"], text))
         size, total = size + len(text), total + len(text) + ITEM_COST
-        if total > MOST_CHARS:
-            raise ValueError(f"benchmark items have more than {MOST_CHARS} characters; pass them in parts")
-    return [b for b in out if b]
+        if most is not None and total > most:
+            raise ValueError(f"benchmark items have more than {most} characters; pass them in parts")
+    if block:
+        yield block
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", q: int = Q, passage: int = PASSAGE, edit_rate: float = EDIT_RATE, item_chars: int = ITEM_CHARS) -> DataFrame:
@@ -271,21 +277,34 @@ def _finder(shared, settings: _Settings):
     return find
 
 
-def leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", q: int = Q, passage: int = PASSAGE, edit_rate: float = EDIT_RATE, item_chars: int = ITEM_CHARS) -> DataFrame:
-    """``docs`` with a column ``leaks``, true where a document holds a passage of any item, with or without an id; a projection of each row."""
+def _parts(blocks: Iterable[list], most: int) -> Iterator[list[list]]:
+    blocks = iter(blocks)
+    while part := list(islice(blocks, most)):
+        yield part
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", q: int = Q, passage: int = PASSAGE, edit_rate: float = EDIT_RATE, item_chars: int = ITEM_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no passage of any item, with or without an id; all columns stay as they are.
+
+    A row is looked through for ``PART_BLOCKS`` blocks of items in one function, which ends at the first passage. A benchmark
+    of more blocks takes a pass for each so many, with the rows that are left written to the checkpoint folder between them; the
+    driver and a task hold the items of one pass, so the size of the benchmark has no bound.
+    """
     settings = _Settings(q, passage, edit_rate)
-    spark = docs.sparkSession
-    flag = F.lit(False)
-    for block in item_blocks(benchmark, item_col, text_col, item_chars, null_ids=True):
-        flag = flag | _flag(spark.sparkContext.broadcast(block), settings)(F.col(text_col))
-    return docs.withColumn("leaks", flag)
+    spark, passes = docs.sparkSession, 0
+    for part in _parts(item_blocks(benchmark, item_col, text_col, item_chars, null_ids=True, most=None), PART_BLOCKS):
+        if passes:
+            docs = cut_lineage(docs)
+        leaks = _flag(spark.sparkContext.broadcast(part), settings)(F.col(text_col))
+        docs, passes = docs.where(~leaks), passes + 1
+    return docs
 
 
 def _flag(shared, settings: _Settings):
     @F.pandas_udf("boolean")
     def flag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(shared.value, settings)
+        indexes = [Index(block, settings) for block in shared.value]
         for texts in batches:
-            yield pd.Series([any(True for _ in index.matches(normalised(t))) for t in texts], dtype=bool)
+            yield pd.Series([any(True for index in indexes for _ in index.matches(text)) for text in map(normalised, texts)], dtype=bool)
 
     return flag

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import each_copy, gapless
+from codestrata.llm.common import each_copy, free_name, gapless
 
 BASE = 16
 
@@ -72,8 +72,9 @@ def shard_column(key: Column, tree: Node) -> Column:
 
 
 def assign_shards(docs: DataFrame, tree: Node, id_col: str = "doc_id", shard_col: str = "shard") -> DataFrame:
-    """All columns and the shard of each row; a projection, without a shuffle."""
-    return docs.withColumn(shard_col, shard_column(F.col(id_col), tree))
+    """All columns and, last, the shard of each row; a projection, without a shuffle. Where ``docs`` has a column ``shard_col``, that one
+    stays as it is and the new one gets underscores behind its name until it differs from all."""
+    return docs.withColumn(free_name(docs, shard_col), shard_column(F.col(id_col), tree))
 
 
 def number_shards(docs: DataFrame, tree: Node, grown: Node, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -73,6 +73,9 @@ def test_shards(spark):
     assert {r["b"] for r in moved.collect()} == {17}
     assert shard_tree.number_shards(docs(spark, []), *trees[:2]).count() == 0
     assert docs(spark).columns == shard_tree.assign_shards(docs(spark), trees[0]).columns[:-1]
+    own = docs(spark).withColumn("Shard", F.lit("mine"))
+    got = shard_tree.assign_shards(own, trees[0])
+    assert got.columns == [*own.columns, "shard_"] and got.where("Shard <> 'mine' or shard_ is null").count() == 0
 
 
 def test_weights_draw_in_proportion_and_confine_movement(spark):

@@ -1,5 +1,7 @@
+import math
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -42,7 +44,8 @@ def cases():
     return items, [(i if i else None, t, "en", "s", 0) for i, t in enumerate(texts)]
 
 
-def test_leaks_against_brute_force(spark):
+def test_leaks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART_BLOCKS", 2)  # so that blocks of 100 characters take several passes
     items, data = cases()
     settings = dict(q=4, passage=40, edit_rate=0.1)
     bench = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, start int")
@@ -61,10 +64,11 @@ def test_leaks_against_brute_force(spark):
                     want.append((d, k))
         same_rows([(r["doc_id"], r["item_id"]) for r in got], want)
         assert all(0 <= r["start"] <= r["stop"] for r in got) and len(want) > 15
-        leaking = decontaminate.leaking(docs(spark, data), bench, item_chars=chars, **settings)
-        same_rows([r["doc_id"] for r in leaking.where("leaks").collect()], [d for d, t, *_ in data if any((d, k) in want for k, _ in items)])
+        clean = decontaminate.without_leaks(docs(spark, data), bench, item_chars=chars, **settings)
+        assert clean.columns == docs(spark, data).columns
+        same_rows([r["doc_id"] for r in clean.collect()], [d for d, t, *_ in data if not any((d, k) in want for k, _ in items)])
     assert decontaminate.find_leaks(docs(spark, []), bench).count() == 0 and decontaminate.find_leaks(docs(spark, data), bench.limit(0)).count() == 0
-    assert decontaminate.leaking(docs(spark, data), bench.limit(0)).where("leaks").count() == 0
+    assert decontaminate.without_leaks(docs(spark, data), bench.limit(0)).count() == len(data)
 
 
 @pytest.mark.parametrize("settings", [{}, {"edit_rate": 0.3}, {"q": 12, "edit_rate": 0.15}])
@@ -97,8 +101,8 @@ def test_items_without_an_id_leak_too(spark):
     items, data = cases()
     bench = spark.createDataFrame([(None, items[0][1])], "item_id long, text string")
     held = [r[0] for r in data if items[0][1] in (r[1] or "")]
-    got = decontaminate.leaking(docs(spark, data), bench, q=4, passage=40, edit_rate=0.1).where("leaks").collect()
-    assert held and set(held) <= {r["doc_id"] for r in got} and len(got) < len(data)
+    clean = {r["doc_id"] for r in decontaminate.without_leaks(docs(spark, data), bench, q=4, passage=40, edit_rate=0.1).collect()}
+    assert held and clean and not clean & set(held)
 
 
 def test_whole_long_texts_are_searched(spark):
@@ -265,3 +269,46 @@ def test_notices_behind_any_white_space():
             start = len(text) - len(notice)
             assert [(f[0], f[1], f[5]) for f in scanner.scan(text)] == [("MIT-line", start, True)], (blank, before[:9])
             assert [f[1] for f in scanner.scan(text + blank + "x" + blank + notice)] == [start, len(text) + 3], (blank, before[:9])
+
+
+def statistics_plain(text):
+    """The statistics again, character by character and word by word."""
+    b = (text or "").encode()
+    words = [w for w in re.split(rb"[ \t\n\r\x0b\x0c]+", b) if w]
+    if not words:
+        return [0.0] * len(quality_rules.STATISTICS)
+    kinds = {"upper": string.ascii_uppercase, "digit": string.digits, "stop": ".,", "mark": ";:'\"-()?", "symbol": "#$%&*@^_~<>/\\=+[]{}`", "bang": "!", "pipe": "|", "newline": "\n"}
+    out = {"log_bytes": math.log(1 + len(b))} | {k: sum(chr(c) in chars for c in b) / len(b) for k, chars in kinds.items()}
+    out["other"] = sum(chr(c) not in string.ascii_lowercase + " \t" + "".join(kinds.values()) for c in b) / len(b)
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / len(words)
+    lines = [x for x in b.split(b"\n") if x.strip()]
+    out |= {"word_length": mean, "word_spread": math.sqrt(sum((n - mean) ** 2 for n in lengths) / len(words)), "longest_word": math.log(1 + max(lengths)), "words_distinct": len(set(words)) / len(words)}
+    out |= {"top_word": max(words.count(w) for w in set(words)) / len(words), "short_words": sum(n < 3 for n in lengths) / len(words)}
+    out["symbol_ends"] = sum(w[-1] < 128 and not chr(w[-1]).isalnum() and chr(w[-1]) not in ".,;:?\"')" for w in words) / len(words)
+    out |= {"lines_distinct": len(set(lines)) / len(lines), "line_words": math.log(1 + len(words) / len(lines)), "squeeze": len(zlib.compress(b, 1)) / len(b)}
+    return [out[k] for k in quality_rules.STATISTICS]
+
+
+def test_statistics_again(spark):
+    texts = [r[1] for r in rows()] + [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["\x1c a!! #b |\x0b\x0c(c) \u00e9\u00df\u3000x\r\n\n d_ e9 F"]
+    for text in texts:
+        assert quality_rules.statistics(text) == pytest.approx(statistics_plain(text), abs=1e-12)
+
+
+def test_lasso_ends_where_its_conditions_hold():
+    """At the optimum the slope is the penalty, against the weight's sign, where a weight is left, and no more than it elsewhere."""
+    dice = np.random.default_rng(8)
+    x = dice.normal(size=(400, 30))
+    y = (x[:, 0] - 2 * x[:, 1] + dice.normal(size=400) > 0.3).astype(float)
+    for penalty in (0.002, 0.02, 0.1):
+        b, w = quality_rules._lasso(x, y, penalty)
+        g = 1 / (1 + np.exp(-(x @ w + b))) - y
+        slope, left = x.T @ g / len(y), w != 0
+        assert abs(g.mean()) < 1e-4 and 0 < left.sum() < 30 or penalty == 0.002
+        assert np.abs(slope[left] + penalty * np.sign(w[left])).max() < 1e-4 and np.abs(slope[~left]).max(initial=0) <= penalty + 1e-4
+        # And no step from there, in any single weight, makes the penalised loss smaller.
+        loss = lambda b, w: float(np.mean(np.logaddexp(0, x @ w + b) - y * (x @ w + b)) + penalty * np.abs(w).sum())  # noqa: B023, E731
+        for k in range(30):
+            for step in (-0.01, 0.01):
+                assert loss(b, w + step * (np.arange(30) == k)) >= loss(b, w) - 1e-7

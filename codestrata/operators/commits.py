@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codestrata import constants as C
-from codestrata.functions.exprs import is_refactor_subject, is_test_file, median0, pct1, ratio, round_js, utf16_length, zero
+from codestrata.functions.exprs import is_refactor_subject, is_test_file, pct1, ratio, round_js, utf16_length, zero
 from codestrata.operators.distributions import floor_percentiles, top_k
 
 REPO = ("repo_id",)
@@ -44,32 +44,50 @@ def burst_stats(events: DataFrame, keys: tuple[str, ...] = REPO, time: Column |
 GAP_STRETCH_MS = 3_600_000
 
 
+def _times(events: DataFrame, keys: tuple[str, ...], millis: Column | str) -> DataFrame:
+    """(keys, hour, ms, n, gap): different times, how often each occurs, and how far the one before it in its hour lies back."""
+    d = events.select(*keys, (F.col(millis) if isinstance(millis, str) else millis).cast("long").alias("ms"))
+    times = d.groupBy(*keys, F.floor(F.col("ms") / GAP_STRETCH_MS).alias("hour"), "ms").agg(F.count(F.lit(1)).alias("n"))
+    return times.withColumn("gap", F.col("ms") - F.lag("ms").over(Window.partitionBy(*keys, "hour").orderBy("ms")))
+
+
+def _back(keys: tuple[str, ...]) -> Column:
+    """From the first time of an hour back to the last of the group's hour before."""
+    return F.col("first") - F.lag("last").over(Window.partitionBy(*keys).orderBy("hour"))
+
+
 def gaps(events: DataFrame, keys: tuple[str, ...], millis: Column | str) -> DataFrame:
     """(keys, gap, times): how often neighbours in time lie ``gap`` milliseconds apart, and a row with a null gap for each group.
 
     Equal times are counted first. Gaps within an hour come from a window over that hour of a group, those between hours from a
     window over the first and last times of a group's hours (8800 a year); no window holds all events of a group.
     """
-    d = events.select(*keys, (F.col(millis) if isinstance(millis, str) else millis).cast("long").alias("ms"))
-    times = d.groupBy(*keys, "ms", F.floor(F.col("ms") / GAP_STRETCH_MS).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    inner = times.withColumn("gap", F.col("ms") - F.lag("ms").over(Window.partitionBy(*keys, "hour").orderBy("ms")))
-    inner = inner.select(*keys, F.explode(F.array(F.struct("gap", F.lit(1).cast("long").alias("times")), F.struct(F.lit(0).cast("long").alias("gap"), F.when(F.col("ms").isNotNull(), F.col("n") - 1).alias("times")))).alias("g"))
-    inner = inner.select(*keys, "g.gap", "g.times").where("gap is not null and times > 0")
+    times = _times(events, keys, millis)
+    counted = F.array(F.struct("gap", F.lit(1).cast("long").alias("times")), F.struct(F.lit(0).cast("long").alias("gap"), F.when(F.col("ms").isNotNull(), F.col("n") - 1).alias("times")))
+    inner = times.select(*keys, F.explode(counted).alias("g")).select(*keys, "g.gap", "g.times").where("gap is not null and times > 0")
     hours = times.groupBy(*keys, "hour").agg(F.min("ms").alias("first"), F.max("ms").alias("last"))
-    between = hours.select(*keys, (F.col("first") - F.lag("last").over(Window.partitionBy(*keys).orderBy("hour"))).alias("gap"), F.lit(1).cast("long").alias("times"))
+    between = hours.select(*keys, _back(keys).alias("gap"), F.lit(1).cast("long").alias("times"))
     return inner.unionByName(between).groupBy(*keys, "gap").agg(F.sum("times").alias("times"))
 
 
 def gap_dispersion(events: DataFrame, keys: tuple[str, ...] = REPO, millis: Column | str | None = None) -> DataFrame:
-    """stdDevTimeBetweenCommits, of the population, in milliseconds; 0 of fewer than two commits. The mean comes first, from exact
-    sums of counted gaps, then the mean square of what they are off it."""
-    millis = F.col("ts") * 1000 if millis is None else millis
-    g = gaps(events, keys, millis).withColumn("x", F.col("gap").cast("decimal(38, 0)")).withColumn("w", F.when(F.col("gap").isNotNull(), F.col("times")).otherwise(F.lit(0)))
-    n, s = zero(F.sum("w")), F.sum(F.col("x") * F.col("w"))
-    means = g.groupBy(*keys).agg(n.alias("n"), (s.cast("double") / n).alias("mean"))
-    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"m.{c}")) for c in keys]
-    off = g.alias("g").join(means.alias("m"), same).select(*[F.col(f"m.{c}").alias(c) for c in keys], "n", (F.col("w") * F.pow(F.col("gap").cast("double") - F.col("mean"), 2)).alias("sq"))
-    return off.groupBy(*keys).agg(F.coalesce(round_js(F.sqrt(F.sum("sq") / F.max("n")), 1), F.lit(0.0)).alias("stdDevTimeBetweenCommits"))
+    """stdDevTimeBetweenCommits, of the population, in milliseconds; 0 of fewer than two commits.
+
+    One pass over summaries that merge: an hour of a group has its first and last time, its number of events and the sum of the
+    squares of its gaps (below 2**44, as its gaps add up to an hour at most); hours meet at their borders. Gaps add up to last less
+    first and are one fewer than the events, so no gap is counted and no mean is needed beforehand. Sums are whole numbers.
+    """
+    times = _times(events, keys, F.col("ts") * 1000 if millis is None else millis)
+    n = zero(F.sum(F.when(F.col("ms").isNotNull(), F.col("n"))))
+    hours = times.groupBy(*keys, "hour").agg(F.min("ms").alias("first"), F.max("ms").alias("last"), n.alias("n"), zero(F.sum(F.col("gap") * F.col("gap"))).alias("squares"))
+    back = hours.withColumn("back", _back(keys).cast("decimal(19, 0)"))
+    whole = lambda c: c.cast("decimal(38, 0)")
+    d = back.groupBy(*keys).agg((F.sum("n") - 1).alias("k"), whole(F.max("last") - F.min("first")).alias("s"), (whole(F.sum("squares")) + zero(whole(F.sum(F.col("back") * F.col("back"))))).alias("q"))
+    # k times the sum of squares, less the square of the sum: exact, or in floating point where 38 digits do not hold it.
+    exact = (F.try_multiply(whole(F.col("k")), "q") - F.try_multiply("s", "s")).cast("double")
+    k, q, s = (F.col(c).cast("double") for c in ("k", "q", "s"))
+    variance = F.greatest(F.coalesce(exact, k * q - s * s), F.lit(0.0)) / (k * k)
+    return d.select(*keys, F.when(F.col("k") > 0, round_js(F.sqrt(variance), 1)).otherwise(F.lit(0.0)).alias("stdDevTimeBetweenCommits"))
 
 
 def gap_places(g: DataFrame, keys: tuple[str, ...] = REPO) -> DataFrame:
@@ -77,11 +95,13 @@ def gap_places(g: DataFrame, keys: tuple[str, ...] = REPO) -> DataFrame:
 
     Different gaps of a group add up to the time it spans, so there are at most the root of twice that (2.5 million in a century).
     """
-    median = floor_percentiles(g, keys, {"gap": "gap"}, (), median=True, weight="times")
     w = F.when(F.col("gap").isNotNull(), F.col("times")).otherwise(F.lit(0))
-    short = pct1(zero(F.sum(F.when(F.col("gap") <= C.SHORT_GAP_MS, F.col("times")))), F.sum(w))
-    d = g.groupBy(*keys).agg(short.alias("shortGapRatio")).join(median, list(keys), "left")
-    return d.select(*keys, F.coalesce(round_js(F.col("median_gap") / 3_600_000, 1), F.lit(0.0)).alias("medianGapHours"), "shortGapRatio")
+    every = Window.partitionBy(*keys)
+    ran = g.withColumn("w", w).withColumn("total", F.sum("w").over(every)).withColumn("upto", F.sum("w").over(every.orderBy("gap").rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda place: F.min(F.when((F.col("w") > 0) & (F.col("upto") > place), F.col("gap"))).cast("double")
+    median = (at(F.expr("(total - 1) div 2")) + at(F.expr("total div 2"))) / 2
+    short = pct1(zero(F.sum(F.when(F.col("gap") <= C.SHORT_GAP_MS, F.col("times")))), F.sum("w"))
+    return ran.groupBy(*keys).agg(F.coalesce(round_js(median / 3_600_000, 1), F.lit(0.0)).alias("medianGapHours"), short.alias("shortGapRatio"))
 
 
 def file_churn(changes: DataFrame, keys: tuple[str, ...] = REPO, path: str = "path", lines: Column | str = "lines") -> DataFrame:
@@ -159,10 +179,12 @@ def history_api(commits: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("totalCommits"),
         round_js(F.count(F.lit(1)).cast("double") / C.WEEKS, 1).alias("commitsPerWeek"),
         F.count_distinct(F.substring("date", 1, 10)).alias("activeDaysLast90Days"),
-        median0(utf16_length(F.coalesce("message", F.lit("")))).alias("medianCommitMessageLength"),
     )
+    lengths = d.select("repo_id", utf16_length(F.coalesce("message", F.lit(""))).alias("length"))
+    medians = floor_percentiles(lengths, REPO, {"length": "length"}, (), median=True).select("repo_id", F.col("median_length").alias("medianCommitMessageLength"))
+    counts = counts.join(medians, "repo_id", "left")
     g = gap_places(gaps(d.where(F.col("ms").isNotNull()), REPO, "ms")).select("repo_id", F.col("medianGapHours").alias("medianInterCommitHours"), F.col("shortGapRatio").alias("burstRatio"))
-    d = counts.join(g, "repo_id", "left").na.fill(0.0, ["medianInterCommitHours", "burstRatio"])
+    d = counts.join(g, "repo_id", "left").na.fill(0.0, ["medianInterCommitHours", "burstRatio", "medianCommitMessageLength"])
     zeros = {n: F.lit(0) for n in ("medianCommitSize", "avgLinesPerCommit", "largeCommitRatio")}
     return d.select("repo_id", git_struct("api", {c: F.col(c) for c in d.columns[1:]} | zeros).alias("git"))
 

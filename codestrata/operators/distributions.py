@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from codestrata import constants as C
 from codestrata.functions.exprs import pct1, zero
+from codestrata.operators.ranges import ranked
+from codestrata.sources.scratch import cut_lineage
 
 
 def floor_percentiles(d: DataFrame, keys: tuple[str, ...], values: dict[str, str], ps: tuple[float, ...] = (0.5, 0.75, 0.9), median: bool = False, weight: str | None = None) -> DataFrame:
@@ -33,15 +35,47 @@ def floor_percentiles(d: DataFrame, keys: tuple[str, ...], values: dict[str, str
     return out
 
 
-def top_share_concentration(entities: DataFrame, keys: tuple[str, ...], weight: str, high: str, tie: str, share: float = C.TOP_SHARE) -> DataFrame:
+#: Weights are counted by steps of about a sixty-fourth first.
+STEPS = 64
+#: Rows of equal weight, at the edge of the top share, that one window may rank; more are ranked over ranges.
+TIED_ROWS = 1_000_000
+
+
+def top_share_concentration(entities: DataFrame, keys: tuple[str, ...], weight: str, high: str, tie: str, share: float = C.TOP_SHARE, tied_rows: int = TIED_ROWS) -> DataFrame:
     """(keys, concentration): of all ``high``, the percentage in the ceil(share n) heaviest entities; ties by ``tie`` ascending.
 
-    Without keys it ranks all entities together.
+    Without keys it ranks all entities together. Entities are not sorted: equal weights are counted, counts are added up from the
+    heaviest step of weights down to the step that the share ends in, then from weight to weight within that step. Only if
+    the share ends among entities of one weight that differ in ``high`` are those ranked by ``tie``.
     """
-    rank = Window.partitionBy(*keys).orderBy(F.desc(weight), tie)
-    d = entities.withColumn("rn", F.row_number().over(rank)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    top = F.col("rn") <= F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(share)))
-    return d.groupBy(*keys).agg(pct1(zero(F.sum(F.when(top, F.col(high)))), zero(F.sum(high))).alias("concentration"))
+    d = entities.select(*keys, F.col(weight).alias("w"), F.col(high).alias("h"), F.col(tie).alias("t"))
+    x = F.col("w").cast("double")
+    step = F.floor(F.signum(x) * F.log1p(F.abs(x)) * STEPS)  # never falls where the weight grows
+    step = F.when(F.isnan(x), F.lit(2**63 - 1)).otherwise(step)
+    weights = d.groupBy(*keys, step.alias("step"), "w").agg(F.count(F.lit(1)).alias("c"), zero(F.sum("h")).alias("s"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("h").alias("known"))
+    whole = Window.partitionBy(*keys)
+    heavier = lambda c: whole.orderBy(F.desc(c)).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = lambda c, by: F.coalesce(F.sum(c).over(heavier(by)), F.lit(0))
+    steps = weights.groupBy(*keys, "step").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+    steps = steps.withColumn("n", F.sum("c").over(whole)).withColumn("total", F.sum("s").over(whole)).withColumn("before", ahead("c", "step")).withColumn("above", ahead("s", "step"))
+    steps = steps.withColumn("left", F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(share))) - F.col("before")).where((F.col("left") > 0) & (F.col("left") <= F.col("c")))
+    edge = steps.select(*[F.col(k).alias(f"{k}_e") for k in keys], F.col("step").alias("step_e"), "left", "above", "total")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_e")) for c in (*keys, "step")]
+    last = weights.join(edge, same).withColumn("before", ahead("c", "w")).withColumn("higher", ahead("s", "w"))
+    last = last.withColumn("left", F.col("left") - F.col("before")).where((F.col("left") > 0) & (F.col("left") <= F.col("c")))
+    last = cut_lineage(last.select(*keys, "w", "c", "s", "left", (F.col("above") + F.col("higher")).alias("above"), "total", "lo", ((F.col("left") < F.col("c")) & ((F.col("lo") < F.col("hi")) | ((F.col("known") > 0) & (F.col("known") < F.col("c"))))).alias("open")))
+    most = last.where("open").agg(F.max("c")).first()[0]
+    whole_tie = F.when(F.col("left") == F.col("c"), F.col("s")).otherwise(F.col("left") * F.coalesce("lo", F.lit(0)))
+    if most is None:
+        return last.select(*keys, pct1(F.col("above") + whole_tie, "total").alias("concentration"))
+    wanted = last.where("open").select(*[F.col(k).alias(f"{k}_e") for k in keys], F.col("w").alias("w_e"), "left")
+    tied = d.join(wanted, [F.col(c).eqNullSafe(F.col(f"{c}_e")) for c in (*keys, "w")]).select(*keys, "h", "t", "left")
+    order = [F.asc("t"), F.desc("h")]
+    tied = tied.withColumn("rank", F.row_number().over(whole.orderBy(*order))) if most <= tied_rows else ranked(tied, keys, order)
+    part = tied.where("rank <= left").groupBy(*keys).agg(zero(F.sum("h")).alias("part"))
+    part = part.select(*[F.col(k).alias(f"{k}_e") for k in keys], "part")
+    got = last.join(part, [F.col(k).eqNullSafe(F.col(f"{k}_e")) for k in keys] or F.lit(True), "left")
+    return got.select(*keys, pct1(F.col("above") + F.when(F.col("open"), F.col("part")).otherwise(whole_tie), "total").alias("concentration"))
 
 
 def distributions(functions: DataFrame, files: DataFrame) -> DataFrame:

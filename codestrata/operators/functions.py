@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata import constants as C
-from codestrata.functions.exprs import is_branch, is_function, median0, pct1, round_js, zero
+from codestrata.functions.exprs import is_branch, is_function, pct1, round_js, zero
+from codestrata.operators.distributions import floor_percentiles
 
 FILE = ("repo_id", "file")
 
@@ -46,10 +47,10 @@ def function_counts(nodes: DataFrame, keys: tuple[str, ...] = FILE) -> DataFrame
 
 def function_summary(functions: DataFrame, keys: tuple[str, ...] = ("repo_id",)) -> DataFrame:
     """Length and complexity summaries of each group that has functions."""
-    return functions.groupBy(*keys).agg(
+    medians = floor_percentiles(functions, keys, {"lines": "lines"}, (), median=True)
+    d = functions.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("totalFunctions"),
         zero(round_js(F.avg("lines"), 1)).alias("averageLength"),
-        median0("lines").alias("medianLength"),
         zero(F.max("max_nesting")).cast("int").alias("maxNestingDepth"),
         pct1(F.count_if(F.col("lines") > C.LONG_FUNCTION), F.count(F.lit(1))).alias("longFunctionPercentage"),
         zero(round_js(F.avg("complexity"), 1)).alias("average"),
@@ -59,6 +60,8 @@ def function_summary(functions: DataFrame, keys: tuple[str, ...] = ("repo_id",))
         F.count_if(F.col("max_nesting") > C.DEEP_NESTING).alias("deepNesting"),
         F.count_if(F.col("param_count") > C.LONG_PARAMETERS).alias("longParameterLists"),
     )
+    d = d.join(medians, list(keys), "left").withColumn("medianLength", zero(F.col("median_lines")))
+    return d.select(*keys, "totalFunctions", "averageLength", "medianLength", *[c for c in d.columns if c not in (*keys, "totalFunctions", "averageLength", "medianLength", "median_lines")])
 
 
 def statement_smells(nodes: DataFrame, keys: tuple[str, ...] = ("repo_id",)) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codestrata import constants as C
 from codestrata.functions.exprs import badges, col, contains_ignoring_case
 from codestrata.operators.distributions import top_k
+from codestrata.operators.ranges import page_of
 
 PAGE = 50
 
@@ -26,10 +27,11 @@ def hotspots(functions: DataFrame, by: str, keys: tuple[str, ...] = ("repo_id",)
 
 
 def file_table(rows: DataFrame, search: str = "", by: str = "file", descending: bool = False, page: int = 0, name: str = "file", page_size: int = PAGE) -> DataFrame:
-    """A page of the rows whose name holds the search text, sorted by one column and then by name."""
+    """A page of the rows whose name holds the search text, sorted by one column and then by name; a deep page reads its range of the
+    order alone (``ranges.page_of``). Texts compare by code points; for a locale's order pass a name with ``F.collate(name, "UNICODE")``."""
     d = rows.where(contains_ignoring_case(name, search)) if search else rows
     order = [F.desc(by) if descending else F.asc(by), *([F.asc(name)] if by != name else [])]
-    return d.orderBy(*order).offset(page * page_size).limit(page_size)
+    return page_of(d, order, page * page_size, page_size)
 
 
 def page_count(rows: Column | str, page_size: int = PAGE) -> Column:

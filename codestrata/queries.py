@@ -93,7 +93,7 @@ def commit_size_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH g AS (SELECT event_type, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) <= INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events),
-    s AS (SELECT event_type, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g),
+    s AS (SELECT event_type, sum(new) OVER (PARTITION BY event_type ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM g),
     n AS (SELECT event_type, session, count(*) AS n FROM s GROUP BY ALL)
     SELECT event_type, count(*) FILTER (n >= 3) AS "burstCount", {_pct("coalesce(sum(n) FILTER (n >= 3), 0)", "sum(n)")} AS "burstRatio" FROM n GROUP BY event_type
 """)
@@ -163,11 +163,12 @@ def commits_per_week(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as commits of their priority's repository; parts in returned lines are the files, every third named as a test."""
+    """Orders as commits of their priority's repository; parts in their lines are the files, every third named as a test. Every eleventh
+    order is a commit without files."""
     n = F.col("l_partkey").cast("string")
     path = F.concat(F.lit("src/"), n, F.when(F.col("l_partkey") % 3 == 0, ".test.ts").otherwise(".ts"))
     file = F.struct(path.alias("path"), F.col("l_quantity").cast("long").alias("add"), F.col("l_linenumber").cast("long").alias("del"))
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(file).alias("files"), F.sum(file["add"] + file["del"]).alias("total_lines"))
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 11 <> 0").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(file).alias("files"), F.sum(file["add"] + file["del"]).alias("total_lines"))
     d = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
     subject = F.concat(F.element_at(F.array(*map(F.lit, SUBJECTS)), (F.col("o_orderkey") % len(SUBJECTS) + 1).cast("int")), F.lit(" order "), F.col("o_orderkey").cast("string"))
     files = F.coalesce("files", F.array().cast("array<struct<path: string, add: long, del: long>>"))
@@ -177,7 +178,7 @@ def order_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUBJECTS = ("Refactor:", "add", "cleanup of", "renamed", "rename", "prefactor", "Restructure", "fix:")
 _SUBJECT = "[" + ", ".join(f"'{x}'" for x in SUBJECTS) + f"][o_orderkey % {len(SUBJECTS)} + 1] || ' order ' || o_orderkey"
 _COMMITS = f"""
-    f AS (SELECT l_orderkey, 'src/' || l_partkey || CASE WHEN l_partkey % 3 = 0 THEN '.test.ts' ELSE '.ts' END AS path, l_quantity::BIGINT + l_linenumber AS lines FROM lineitem WHERE l_returnflag = 'R'),
+    f AS (SELECT l_orderkey, 'src/' || l_partkey || CASE WHEN l_partkey % 3 = 0 THEN '.test.ts' ELSE '.ts' END AS path, l_quantity::BIGINT + l_linenumber AS lines FROM lineitem WHERE l_orderkey % 11 <> 0),
     o AS (SELECT o_orderkey, o_orderpriority AS repo_id, epoch(o_orderdate)::BIGINT AS ts, {_SUBJECT} AS subject FROM orders),
     c AS (SELECT o.*, count(path) AS files, coalesce(sum(lines), 0)::BIGINT AS total_lines, coalesce(bool_or(regexp_matches(path, '\\.(test|spec)\\.(ts|tsx)$')), false) AS tests FROM o LEFT JOIN f ON o_orderkey = l_orderkey GROUP BY ALL)
 """
@@ -199,7 +200,7 @@ def commit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     WITH {_COMMITS},
     t AS (SELECT repo_id, ts, ts - lag(ts) OVER (PARTITION BY repo_id ORDER BY ts) AS gap FROM c),
-    s AS (SELECT repo_id, sum(CASE WHEN gap <= 1800 THEN 0 ELSE 1 END) OVER (PARTITION BY repo_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM t),
+    s AS (SELECT repo_id, sum(CASE WHEN gap <= 1800 THEN 0 ELSE 1 END) OVER (PARTITION BY repo_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM t),
     b AS (SELECT repo_id, count(*) FILTER (n >= 3) AS bursts, {_pct("coalesce(sum(n) FILTER (n >= 3), 0)", "sum(n)")} AS share FROM (SELECT repo_id, session, count(*) AS n FROM s GROUP BY ALL) GROUP BY repo_id),
     e AS (SELECT repo_id, coalesce({_r("stddev_pop(gap * 1000.0::DOUBLE)", 1)}, 0) AS spread FROM t GROUP BY repo_id),
     h AS (SELECT repo_id, path, count(*) AS n, sum(lines)::BIGINT AS lines FROM f JOIN o ON o_orderkey = l_orderkey GROUP BY ALL),

@@ -1,5 +1,5 @@
 import pytest
-from oracle import SF, connection, same
+from oracle import SF, connection, plain, same
 
 from codestrata.queries import ORACLE_SQL, QUERIES
 
@@ -14,3 +14,16 @@ def test_entry_point(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 5
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql_gives_the_same_twice(name):
+    """At a size where sort keys tie: rows do not hang on the order in which ties come."""
+    rows = []
+    for threads in (8, 3):
+        con = connection(SF.replace("0.001", "0.01"))
+        con.execute(f"SET threads = {threads}")
+        got = con.execute(ORACLE_SQL[name])
+        columns = sorted(range(len(got.description)), key=lambda i: got.description[i][0])
+        rows.append(sorted(repr([plain(r[i]) for i in columns]) for r in got.fetchall()))
+    assert rows[0] == rows[1]

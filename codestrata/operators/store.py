@@ -1,11 +1,14 @@
-"""The store of reports: upsert by id, lookup by id or the start of one."""
+"""The store of reports: upsert by id, lookup by id or the start of one, in versions that a change leaves whole."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codestrata import schema
+from codestrata.sources.snapshots import FILE_BYTES, SnapshotTable
+
 
 def latest_by(rows: DataFrame, keys: tuple[str, ...], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order; Spark keeps one a key and task before the shuffle."""
@@ -29,3 +32,25 @@ def lookup(store: DataFrame, wanted: str, key: str = "result_id", at: str = "ana
 
 def some_ids(store: DataFrame, key: str = "result_id", n: int = 10) -> DataFrame:
     return store.select(key).orderBy(key).limit(n)
+
+
+class Store:
+    """Rows by id on disk; ``at`` is the column that says when a row was made."""
+
+    def __init__(self, spark: SparkSession, path: str, rows: str = schema.ANALYSES, key: str = "result_id", at: str = "analyzed_at", file_bytes: int = FILE_BYTES):
+        self.table, self.key, self.at = SnapshotTable(spark, path, rows, key, file_bytes), key, at
+
+    def upsert(self, new: DataFrame) -> int:
+        """New rows replace old ones of their id, the latest of them counts; returns the version that has them."""
+        return self.table.upsert(new, lambda old, more: upsert(old, more, self.key, self.at))
+
+    def lookup(self, wanted: str) -> DataFrame:
+        """As :func:`lookup`: the row of the id, which one file holds, else the newest of those that start so, from the files that reach them."""
+        wanted = wanted.strip()
+        found = self.table.exact(wanted)
+        if not wanted or not found.isEmpty():
+            return found.limit(1)
+        return lookup(self.table.starting_with(wanted), wanted, self.key, self.at)
+
+    def some_ids(self, n: int = 10) -> DataFrame:
+        return self.table.first_keys(n)

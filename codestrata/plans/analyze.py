@@ -7,7 +7,6 @@ import json
 import os
 import sys
 import time
-import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -29,8 +28,6 @@ __all__ = ["analyze_batch", "analyze_repo", "analyze_url", "get_report", "get_re
 
 #: Where clones of addresses are kept, below the working directory.
 CACHE = os.path.join(".cache", "repos")
-#: Rows of one of these numbers of parts of the store are rewritten together.
-STORE_PARTS = 64
 
 
 def analyze_batch(spark: SparkSession, repos: list[tuple[str, str]], sources: dict[str, dict[str, str]] | None = None, as_of: int | None = None, api_pages: str | None = None, archived: list[str] | None = None, held: list[DataFrame] | None = None) -> DataFrame:
@@ -86,41 +83,16 @@ def _parsed(url: str):
     return parse_repo_url(normalise_repo_url(F.lit(url)))
 
 
-def store_reports(spark: SparkSession, reports: DataFrame, path: str) -> None:
-    """Upserts (result_id, repo_url, commit_sha, analyzed_at, report_json) rows into the table at ``path``.
+def store_reports(spark: SparkSession, reports: DataFrame, path: str) -> int:
+    """Upserts (result_id, repo_url, commit_sha, analyzed_at, report_json) rows into the store at ``path``; returns its version.
 
-    The table lies in ``STORE_PARTS`` folders by a hash of the id. Only the folders of the new rows are read and written anew, by
-    Spark's dynamic overwrite, which moves them to their places when all are whole.
+    The store is a table of versions (``sources.snapshots``): what dies on the way leaves the version before whole.
     """
-    part = F.pmod(F.xxhash64("result_id"), F.lit(STORE_PARTS)).cast("int")
-    new = reports.select(*[f.name for f in _analyses(spark).schema], part.alias("part"))
-    touched = [r[0] for r in new.select("part").distinct().collect()]  # at most STORE_PARTS numbers
-    old = _read_store(spark, path).where(F.col("part").isin(touched)) if touched else None
-    if old is None:
-        return
-    merged = store.upsert(old, new)
-    # What is read must not be what is overwritten: the merged rows are written beside the store first.
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}.part"
-    merged.write.partitionBy("part").parquet(fresh)
-    kept = spark.read.schema(f"{schema.ANALYSES}, part int").parquet(fresh)
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(fresh)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def _analyses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], schema.ANALYSES)
-
-
-def _read_store(spark: SparkSession, path: str) -> DataFrame:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return _analyses(spark).withColumn("part", F.lit(0))
-    return spark.read.schema(f"{schema.ANALYSES}, part int").parquet(path)
+    return store.Store(spark, path).upsert(reports)
 
 
 def get_report(spark: SparkSession, path: str, wanted: str) -> dict | None:
-    row = store.lookup(_read_store(spark, path).drop("part"), wanted).first()
+    row = store.Store(spark, path).lookup(wanted).first()
     return json.loads(row["report_json"]) if row else None
 
 
@@ -150,7 +122,7 @@ def get_result(spark: SparkSession, wanted: str, path: str) -> tuple[int, dict]:
         report = get_report(spark, path, wanted)
         if report is not None:
             return 200, report
-        ids = [r[0] for r in store.some_ids(_read_store(spark, path)).collect()]
+        ids = [r[0] for r in store.Store(spark, path).some_ids().collect()]
         return 404, {"error": "no such result", "debug": {"searched": wanted.strip(), "available": ids}}
     except Exception as e:
         return 500, {"error": "the store could not be read", "details": str(e)}

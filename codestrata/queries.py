@@ -6,6 +6,8 @@ files, conversations messages, customers stored reports.
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -19,6 +21,7 @@ from codestrata.plans.report import Inputs, build_reports, report_json
 from codestrata.sources.api import parse_commit_pages
 from codestrata.sources.files import files_from_table
 from codestrata.sources.manifests import parse_manifests
+from codestrata.sources.scratch import shared_folder
 from codestrata.syntax.nodes import analysed, parse_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -480,23 +483,37 @@ def insight_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as reports of their users, every third of them new: new ones replace what is stored."""
     d = table(spark, sf_dir, "events").select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("result_id"), F.col("ts").alias("analyzed_at"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("report_json"), (F.col("event_id") % 3 == 0).alias("new"))
-    old = store.latest_by(d.where(~F.col("new")), ("result_id",), [F.desc("analyzed_at"), F.desc("report_json")])
-    return store.upsert(old.drop("new"), d.where("new").drop("new"))
+    kept = stored(spark, "result_id string, analyzed_at timestamp_ntz, report_json string", "result_id", "analyzed_at")
+    kept.upsert(d.where(~F.col("new")).drop("new"))
+    kept.upsert(d.where("new").drop("new"))
+    return kept.table.read()
+
+
+def stored(spark: SparkSession, rows: str, key: str, at: str) -> store.Store:
+    """An empty store on disk, in a folder of its own below the shared one."""
+    return store.Store(spark, posixpath.join(shared_folder(spark), f"store-{uuid.uuid4().hex}"), rows, key, at)
+
+
+def stored_customers(spark: SparkSession, sf_dir: str) -> store.Store:
+    kept = stored(spark, "c_custkey long, c_name string, c_acctbal double", "c_name", "c_acctbal")
+    kept.upsert(table(spark, sf_dir, "customer"))
+    return kept
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_name = 'Customer#000000012'")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.lookup(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), " Customer#000000012 ", "c_name", "c_acctbal")
+    """Customers as stored reports; the one of a name is read from the file that holds it."""
+    return stored_customers(spark, sf_dir).lookup(" Customer#000000012 ")
 
 
 @query("SELECT c_name FROM customer ORDER BY c_name LIMIT 10")
 def first_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.some_ids(table(spark, sf_dir, "customer"), "c_name")
+    return stored_customers(spark, sf_dir).some_ids()
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE starts_with(c_name, 'Customer#00000001') ORDER BY c_name = 'Customer#00000001' DESC, c_acctbal DESC, c_name LIMIT 1")
 def prefix_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.lookup(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), "Customer#00000001", "c_name", "c_acctbal")
+    return stored_customers(spark, sf_dir).lookup("Customer#00000001")
 
 
 @query(f"""

@@ -93,7 +93,7 @@ def test_batch_with_history(spark, tmp_path, capsys):
     analyses = reports.select(F.concat("repo_id", F.lit("-x")).alias("result_id"), F.lit("u").alias("repo_url"), F.lit("c").alias("commit_sha"), F.lit("2024-01-01").cast("timestamp").alias("analyzed_at"), report_json().alias("report_json"))
     for _ in range(2):
         analyze.store_reports(spark, analyses, str(tmp_path / "store"))
-    assert spark.read.parquet(str(tmp_path / "store")).count() == 2
+    assert store.Store(spark, str(tmp_path / "store")).table.read().count() == 2
     assert analyze.get_report(spark, str(tmp_path / "store"), " one")["totals"]["functions"] == 2 and analyze.get_report(spark, str(tmp_path / "store"), "%") is None
 
 
@@ -148,7 +148,7 @@ def test_requests(spark, tmp_path, capsys):
     other = {"base": cache, "clone": lambda url, folder: (_ for _ in ()).throw(RuntimeError("no way"))}
     assert analyze.post_analysis(spark, {"url": "o/r"}, path, **other)[0] == 200  # from the cache
     assert analyze.post_analysis(spark, {"url": "o/r"}, path, use_cache=False, **other) == (500, {"error": "no way", "status": "failed"})
-    assert os.listdir(cache) == ["o-r"] and spark.read.parquet(path).count() == 1 and not [x for x in os.listdir(tmp_path) if x.endswith(".part")]
+    assert os.listdir(cache) == ["o-r"] and store.Store(spark, path).table.read().count() == 1
 
 
 def test_command_line_takes_addresses(spark, tmp_path, monkeypatch, capsys):

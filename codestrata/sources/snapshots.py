@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from codestrata.sources.scratch import cut_lineage
+
 #: Bytes of a data file that a change aims at.
 FILE_BYTES = 64 << 20
 #: Most files of a version: their key ranges are sent to the tasks that deal new rows out.
@@ -67,8 +69,15 @@ class SnapshotTable:
         return sorted(int(n) for n in self._names("versions") if n.isdigit())
 
     def _manifest(self, version: int) -> DataFrame:
-        name = self.spark.read.text(self._at("versions", str(version)), wholetext=True).first()[0].strip()
-        return self.spark.read.schema(_ENTRY).parquet(self._at("manifests", name))
+        return self.spark.read.schema(_ENTRY).parquet(self._at("manifests", self._manifest_name(version)))
+
+    def _manifest_name(self, version: int) -> str:
+        (path, fs), io = self._hadoop(self._at("versions", str(version))), self.spark._jvm.java.io
+        lines = io.BufferedReader(io.InputStreamReader(fs.open(path)))
+        try:
+            return lines.readLine()
+        finally:
+            lines.close()
 
     def entries(self, version: int | None = None, where: Column | None = None) -> list[Entry]:
         """The files of a version (the last one), in the order of their keys; of those that ``where`` asks for."""
@@ -113,15 +122,17 @@ class SnapshotTable:
 
     def upsert(self, new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
         """Merges ``new`` rows in: ``merge(old, new)`` gives the rows that stand, one a key, for the old rows of the files that new keys fall into.
-        Other files stay as they are and are named again. Returns the version. Rows without a key are a ValueError."""
-        new = new.select(*self.schema.names)
-        if not new.where(F.col(self.key).isNull()).isEmpty():
-            raise ValueError(f"rows without {self.key}")
+        Other files stay as they are and are named again. Returns the version. Rows without a key are a ValueError. New rows are made
+        once, and written to the shared folder: what makes them may cost much, or draw their keys."""
+        new = cut_lineage(new.select(*self.schema.names))
         return self._change(lambda entries: self._merged(entries, new, merge))
 
     def _merged(self, entries: list[Entry], new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[list[Entry], DataFrame | None, int]:
         dealt = _dealt(new, self.key, [e.lo for e in entries])
-        sizes = {r["slot"]: r["n"] for r in dealt.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a file that changes
+        counted = dealt.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(self.key).isNull()).alias("none")).collect()  # a row a file that changes
+        if any(r["none"] for r in counted):
+            raise ValueError(f"rows without {self.key}")
+        sizes = {r["slot"]: r["n"] for r in counted}
         if not sizes:
             return entries, None, 0
         touched = [entries[k] for k in sizes] if entries else []
@@ -155,7 +166,7 @@ class SnapshotTable:
         versions = self.versions()
         kept = versions[-keep:] if keep > 0 else versions[-1:]
         files = {e.file for v in kept for e in self.entries(v)}
-        manifests = {self.spark.read.text(self._at("versions", str(v)), wholetext=True).first()[0].strip() for v in kept}
+        manifests = {self._manifest_name(v) for v in kept}
         for name in set(self._names("versions")) - set(map(str, kept)):
             self._delete("versions", name)
         for name in set(self._names("manifests")) - manifests:
@@ -243,4 +254,4 @@ def _dealt(rows: DataFrame, key: str, starts: list[str]) -> DataFrame:
 
         return keys.map(lambda k: max(0, bisect_right(shared.value, k.encode()) - 1)).astype("int32")
 
-    return rows.withColumn("slot", slot(F.col(key)))
+    return rows.withColumn("slot", slot(F.coalesce(F.col(key), F.lit(""))))

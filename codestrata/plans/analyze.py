@@ -22,12 +22,21 @@ from codestrata.sources.api import api_metadata, cached_checkout, git_clone, rea
 from codestrata.sources.files import list_repos, read_source_trees
 from codestrata.sources.git_log import read_logs, read_repos, source_metadata
 from codestrata.sources.manifests import read_manifests
+from codestrata.sources.scratch import is_local
 
 __all__ = ["analyze_batch", "analyze_repo", "analyze_url", "get_report", "get_result", "is_git_unavailable", "main", "post_analysis", "store_reports"]
 
 
-#: Where clones of addresses are kept, below the working directory.
-CACHE = os.path.join(".cache", "repos")
+#: Where clones of addresses are kept: below the working directory of a local session, else in the folder that this setting names.
+CACHE, CACHE_SETTING = os.path.join(".cache", "repos"), "spark.codestrata.cache"
+
+
+def cache_folder(spark: SparkSession) -> str:
+    """An absolute path. Executors on other machines do not see the driver's working directory, so a cluster must name a folder that all share."""
+    folder = spark.conf.get(CACHE_SETTING, None) or (CACHE if is_local(spark) else "")
+    if not is_local(spark) and not os.path.isabs(folder):
+        raise ValueError(f"set {CACHE_SETTING} to the absolute path of a folder that driver and executors share")
+    return os.path.abspath(folder)
 
 
 def analyze_batch(spark: SparkSession, repos: list[tuple[str, str]], sources: dict[str, dict[str, str]] | None = None, as_of: int | None = None, api_pages: str | None = None, archived: list[str] | None = None, held: list[DataFrame] | None = None) -> DataFrame:
@@ -61,13 +70,14 @@ def _one(made: Callable[[list[DataFrame]], DataFrame]) -> dict:
             d.unpersist()
 
 
-def analyze_url(spark: SparkSession, url: str, base: str = CACHE, clone=git_clone, archive: str | None = None, repo_page: str | None = None, branch_page: str | None = None, api_pages: str | None = None, use_cache: bool = True) -> dict:
+def analyze_url(spark: SparkSession, url: str, base: str | None = None, clone=git_clone, archive: str | None = None, repo_page: str | None = None, branch_page: str | None = None, api_pages: str | None = None, use_cache: bool = True) -> dict:
     """The report of a repository's address. ``clone(url, folder)`` fetches it unless it is in the cache; where there is no git
     program, a saved archive and saved pages stand in, and the git section comes from them."""
     got = spark.range(1).select(_parsed(url).alias("p")).first()["p"]
     if got is None:
         raise ValueError(f"not a repository address: {url}")
     name = f"{got['owner']}-{got['repo']}"
+    base = cache_folder(spark) if base is None else base
     try:
         folder = cached_checkout(got["owner"], got["repo"], base, lambda to: clone(got["url"], to), use_cache)
         return analyze_repo(spark, folder, source_metadata(folder, "git", got["url"]))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata import schema
+from codestrata.sources.files import seen
 from codestrata.sources.git_log import one_a_task
 
 
@@ -21,17 +22,17 @@ def parse_manifests(rows: DataFrame, content: str = "content") -> DataFrame:
 
 
 def read_manifests(spark: SparkSession, repos: list[tuple[str, str]]) -> DataFrame:
-    """package.json at the root of each (repo_id, path) tree, read by the executors; trees without one have no row."""
+    """package.json at the root of each (repo_id, path) tree, read by the executors; trees without one have no row, a place that does not see a tree fails."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for repo, path in zip(batch.column("repo_id").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 try:
-                    with open(os.path.join(path, "package.json"), encoding="utf-8", errors="replace") as f:
+                    with open(os.path.join(seen(path), "package.json"), encoding="utf-8", errors="replace") as f:
                         rows.append((repo, f.read()))
                 except OSError:
-                    continue
+                    seen(path)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["repo_id", "content"])
 
     return parse_manifests(one_a_task(spark, list(repos), "repo_id string, path string").mapInArrow(read, "repo_id string, content string"))

@@ -26,6 +26,8 @@ BURST_LEAST = 3
 HOTSPOTS = 10
 REFACTOR_SUBJECT = r"(?i)\b(refactor|cleanup|restructure|rename)\b"
 API_COMMITS = 200
+API_PAGE = 100
+API_DAYS = 90
 SHORT_GAP_MS = 3_600_000
 
 MAINTAINABILITY_LOW, MAINTAINABILITY_HIGH = 40.0, 65.0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata import constants as C
@@ -40,9 +40,13 @@ def functions_of(nodes: DataFrame) -> DataFrame:
 
 def function_counts(nodes: DataFrame, keys: tuple[str, ...] = FILE) -> DataFrame:
     """total and byType, a map with all six types."""
-    counts = [F.count_if(F.coalesce(F.col("type") == t, F.lit(False))) for t in C.FUNCTION_TYPES]
-    by_type = F.map_from_arrays(F.array(*map(F.lit, C.FUNCTION_TYPES)), F.array(*counts))
-    return nodes.groupBy(*keys).agg(F.count_if(F.coalesce(is_function("type"), F.lit(False))).alias("total"), by_type.alias("byType"))
+    return nodes.groupBy(*keys).agg(F.count_if(F.coalesce(is_function("type"), F.lit(False))).alias("total"), count_by_type("type").alias("byType"))
+
+
+def count_by_type(kind: str) -> Column:
+    """A map from each of the six types of functions to how many nodes have it."""
+    counts = [F.count_if(F.coalesce(F.col(kind) == t, F.lit(False))) for t in C.FUNCTION_TYPES]
+    return F.map_from_arrays(F.array(*map(F.lit, C.FUNCTION_TYPES)), F.array(*counts))
 
 
 def function_summary(functions: DataFrame, keys: tuple[str, ...] = ("repo_id",)) -> DataFrame:
@@ -72,14 +76,3 @@ def statement_smells(nodes: DataFrame, keys: tuple[str, ...] = ("repo_id",)) ->
     empty = bodies.join(parents, [*same, F.col("parent_pre") == F.col("pre_c")], "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("e"))
     calls = nodes.groupBy(*keys).agg(F.count_if(F.coalesce("is_console", F.lit(False))).alias("consoleLogs"))
     return calls.join(empty, list(keys), "left").select(*keys, zero(F.col("e")).alias("emptyCatchBlocks"), "consoleLogs")
-
-
-def per_file(files: DataFrame, nodes: DataFrame, functions: DataFrame) -> DataFrame:
-    """struct a file, as the report has it: functions in the order of the walk that takes siblings last to first."""
-    metric = F.struct("visit_ord", "name", "type", F.col("start_line").alias("startLine"), "lines", F.col("max_nesting").alias("maxNestingDepth"), F.col("param_count").alias("parameterCount"), "complexity")
-    lists = functions.groupBy(*FILE).agg(F.sort_array(F.collect_list(metric)).alias("m"))
-    d = function_counts(nodes).join(lists, list(FILE), "left")
-    m = F.coalesce("m", F.array().cast("array<struct<visit_ord: int, name: string, type: string, startLine: int, lines: int, maxNestingDepth: int, parameterCount: int, complexity: int>>"))
-    metrics = F.transform(m, lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"), x["startLine"].alias("startLine"), x["lines"].alias("lines"), x["maxNestingDepth"].alias("maxNestingDepth"), x["parameterCount"].alias("parameterCount")))
-    complexity = F.transform(m, lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"), x["startLine"].alias("startLine"), x["complexity"].alias("complexity")))
-    return d.select(*FILE, F.struct("file", F.col("total").alias("functions"), F.col("byType").alias("functionsByType"), metrics.alias("functionMetrics"), complexity.alias("complexity")).alias("entry"))

@@ -7,16 +7,17 @@ import json
 import os
 import sys
 import time
-from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata import constants as C
 from codestrata import schema
 from codestrata.functions.exprs import is_git_unavailable, is_valid_repo_input, normalise_repo_url, parse_repo_url, result_id
 from codestrata.operators import store
 from codestrata.plans.export import pretty, write_report_files, write_summary_csv
+from codestrata.plans.measures import cached_measures
 from codestrata.plans.report import Inputs, build_reports, report_json
 from codestrata.sources.api import api_metadata, cached_checkout, git_clone, read_commit_pages, unpack_archive
 from codestrata.sources.files import list_repos, read_source_trees
@@ -39,35 +40,34 @@ def cache_folder(spark: SparkSession) -> str:
     return os.path.abspath(folder)
 
 
-def analyze_batch(spark: SparkSession, repos: list[tuple[str, str]], sources: dict[str, dict[str, str]] | None = None, as_of: int | None = None, api_pages: str | None = None, archived: list[str] | None = None, held: list[DataFrame] | None = None) -> DataFrame:
-    """(repo_id, report) of all (repo_id, path) trees in one job; ``repo_id`` takes the place of a loop over them."""
+def analyze_batch(spark: SparkSession, repos: list[tuple[str, str]], sources: dict[str, dict[str, str]] | None = None, as_of: int | None = None, api_pages: str | None = None, archived: list[str] | None = None, measured: str | None = None) -> DataFrame:
+    """(repo_id, report) of all (repo_id, path) trees in one job; ``repo_id`` takes the place of a loop over them. ``measured`` is the path of a
+    table that keeps what is measured of a content, so that a later analysis parses changed files only. Saved pages are taken as what a
+    server gave then; with ``as_of`` commits of more than 90 days before it are left out, as a server would."""
     now = int(time.time()) if as_of is None else as_of
+    files = read_source_trees(spark, repos)
     inputs = Inputs(
         repos=read_repos(spark, repos, sources),
-        files=read_source_trees(spark, repos),
+        files=files,
         commits=read_logs(spark, repos),
         manifests=read_manifests(spark, repos),
-        api=read_commit_pages(spark, api_pages) if api_pages else None,
+        measures=cached_measures(spark, files, measured)[0] if measured else None,
+        api=read_commit_pages(spark, api_pages, since=None if as_of is None else as_of - C.API_DAYS * 86_400) if api_pages else None,
         archived=spark.createDataFrame([(r,) for r in archived], "repo_id string") if archived else None,
     )
     stamp = datetime.fromtimestamp(now, UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
-    return build_reports(inputs, now, stamp, held=held)
+    return build_reports(inputs, now, stamp)
 
 
 def analyze_repo(spark: SparkSession, path: str, source: dict[str, str] | None = None, as_of: int | None = None) -> dict:
     """The report of one local tree."""
     name = os.path.basename(os.path.abspath(path))
-    return _one(lambda held: analyze_batch(spark, [(name, path)], {name: source} if source else None, as_of, held=held))
+    return _one(analyze_batch(spark, [(name, path)], {name: source} if source else None, as_of))
 
 
-def _one(made: Callable[[list[DataFrame]], DataFrame]) -> dict:
-    """The report of one repository; what was kept while it was made is let go."""
-    held: list[DataFrame] = []
-    try:
-        return json.loads(made(held).select(report_json()).first()[0])
-    finally:
-        for d in held:
-            d.unpersist()
+def _one(reports: DataFrame) -> dict:
+    """The report of one repository."""
+    return json.loads(reports.select(report_json()).first()[0])
 
 
 def analyze_url(spark: SparkSession, url: str, base: str | None = None, clone=git_clone, archive: str | None = None, repo_page: str | None = None, branch_page: str | None = None, api_pages: str | None = None, use_cache: bool = True) -> dict:
@@ -86,7 +86,7 @@ def analyze_url(spark: SparkSession, url: str, base: str | None = None, clone=gi
             raise
     folder = unpack_archive(archive, os.path.join(base, f"{name}-zip"), use_cache)
     source = api_metadata(got["url"], repo_page or "{}", branch_page)
-    return _one(lambda held: analyze_batch(spark, [(name, folder)], {name: source}, api_pages=api_pages, archived=[name], held=held))
+    return _one(analyze_batch(spark, [(name, folder)], {name: source}, api_pages=api_pages, archived=[name]))
 
 
 def _parsed(url: str):

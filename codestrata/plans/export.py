@@ -8,8 +8,9 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codestrata import constants as C
 from codestrata.functions.exprs import repo_label
-from codestrata.operators.features import category_counts, feature_columns, feature_vectors, unpivoted
+from codestrata.operators.features import feature_columns, feature_vectors
 from codestrata.plans.report import report_json
 
 SCHEMA_VERSION = 1
@@ -69,15 +70,27 @@ def pretty(report: str) -> str:
     return json.dumps(json.loads(report), indent=2, ensure_ascii=False)
 
 
-def structured(reports: DataFrame) -> DataFrame:
-    """(repo_id, json): schema version, metadata, features, their counts by category, distributions, files."""
-    long = unpivoted(feature_vectors(reports))
-    counts = category_counts(long).groupBy("repo_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "features")))).alias("by_category"))
-    r = reports.join(counts, "repo_id", "left")
-    files = F.transform("report.perFile", lambda p: F.struct(p["file"].alias("file"), p["functions"].alias("functions"), F.aggregate(p["complexity"], F.lit(0), lambda s, c: s + c["complexity"]).alias("totalComplexity")))
+def category_map(report: str = "report") -> Column:
+    """How many features of each category a report has, as a map in the order of the categories' names; of the row alone."""
+    has = dict(zip((n for n, _, _ in C.FEATURES), feature_columns(report), strict=True))
+    entries = []
+    for category in sorted({c for _, c, _ in C.FEATURES}):
+        n = sum((F.when(has[name].isNotNull(), 1).otherwise(0) for name, c, _ in C.FEATURES if c == category), F.lit(0))
+        entries.append(F.struct(F.lit(category).alias("category"), n.cast("long").alias("features")))
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["features"] > 0))
+
+
+def structured_json(report: str = "report") -> Column:
+    """Schema version, metadata, features, their counts by category, distributions and files of a report, as JSON."""
+    r = lambda path: F.col(f"{report}.{path}")
+    files = F.transform(r("perFile"), lambda p: F.struct(p["file"].alias("file"), p["functions"].alias("functions"), F.aggregate(p["complexity"], F.lit(0), lambda s, c: s + c["complexity"]).alias("totalComplexity")))
     meta = F.struct(
-        F.col("repo_id").alias("resultId"), repo_label("report.source.type", "report.source.url", "report.repoPath").alias("repositoryUrl"), F.col("report.source.commit").alias("commit"),
-        F.col("report.source.branch").alias("branch"), F.col("report.analysis_timestamp").alias("analysisTimestamp"), F.col("report.analyzer_version").alias("analyzerVersion"),
+        F.col("repo_id").alias("resultId"), repo_label(r("source.type"), r("source.url"), r("repoPath")).alias("repositoryUrl"), r("source.commit").alias("commit"),
+        r("source.branch").alias("branch"), r("analysis_timestamp").alias("analysisTimestamp"), r("analyzer_version").alias("analyzerVersion"),
     )
-    body = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), meta.alias("metadata"), F.struct(*feature_columns()).alias("flat_feature_vector"), F.col("by_category").alias("features_by_category"), F.col("report.distributions").alias("distributions"), files.alias("per_file_summaries"))
-    return r.select("repo_id", F.to_json(body).alias("json"))
+    return F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), meta.alias("metadata"), F.struct(*feature_columns(report)).alias("flat_feature_vector"), category_map(report).alias("features_by_category"), r("distributions").alias("distributions"), files.alias("per_file_summaries")))
+
+
+def structured(reports: DataFrame) -> DataFrame:
+    """(repo_id, json); a projection."""
+    return reports.select("repo_id", structured_json().alias("json"))

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import codestrata
+from codestrata import constants as C
 from codestrata import schema
 from codestrata.operators.commits import history_api, history_v1, history_v2, unavailable_git
 from codestrata.operators.distributions import distributions
 from codestrata.operators.duplication import duplication
-from codestrata.operators.functions import function_summary, functions_of, statement_smells
-from codestrata.operators.functions import per_file as file_entries
+from codestrata.operators.functions import function_summary
 from codestrata.operators.profile import coverage_proxy, framework, loc_profile, maintainability
-from codestrata.syntax.nodes import analysed, parse_files
+from codestrata.plans.measures import file_entries, function_rows, measure_files
+from codestrata.sources.scratch import cut_lineage
 
 
 @dataclass
@@ -24,7 +24,7 @@ class Inputs:
     """The tables of an analysis. Histories and manifests may be missing, for all repositories or for some.
 
     ``api`` holds commits from saved pages, for repositories (``archived``) that were fetched as archives: their git section
-    comes from there, and says so where even that is missing.
+    comes from there, and says so where even that is missing. ``measures`` (``schema.MEASURES``) are taken in place of parsing the files, if given.
     """
 
     repos: DataFrame
@@ -33,41 +33,53 @@ class Inputs:
     manifests: DataFrame | None = None
     api: DataFrame | None = None
     archived: DataFrame | None = None
+    measures: DataFrame | None = None
 
 
 def _section(d: DataFrame, other: DataFrame | None, name: str, kind: str) -> DataFrame:
     return d.withColumn(name, F.lit(None).cast(kind)) if other is None else d.join(other.select("repo_id", F.col(name).cast(kind)), "repo_id", "left")
 
 
-def build_reports(inputs: Inputs, as_of: int, timestamp: str | None = None, function_expressions: bool = False, per_file: bool = True, held: list[DataFrame] | None = None) -> DataFrame:
+#: Sections that cost a pass over contents; a report without one has its zeros.
+SECTIONS = ("code", "duplication")
+
+
+def build_reports(inputs: Inputs, as_of: int, timestamp: str | None = None, function_expressions: bool = False, per_file: bool = True, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
     """(repo_id, report), a row a repository with ``schema.REPORT``. Without ``per_file`` its list of files is empty, and no row
-    holds more than sums: what is to be stored a file is then taken from ``functions_of`` and ``per_file`` as tables.
+    holds more than sums: what is to be stored a file is then taken from ``plans.measures`` as a table.
 
-    ``as_of`` (seconds) ends the windows of weeks and days. Files are parsed once: nodes are kept on disk
-    while the sections are made of them; what is kept goes to ``held``, for the caller to unpersist when the reports are written. All joins are on repo_id between tables of one row a repository.
-    Files that could not be read or parsed are counted, not analysed; a repository without files has zeros.
+    ``as_of`` (seconds) ends the windows of weeks and days. Files are parsed once, and only for the section "code"; measures and commits, which
+    several sections read, are written to the shared folder. All joins are on repo_id between tables of one row a repository.
+    Files that could not be read or parsed are counted, not analysed; without "code" all that could be read count as analysed. A
+    repository without files has zeros.
     """
     repos, files = inputs.repos, inputs.files
-    held = [] if held is None else held
-    parsed = parse_files(files.where(F.col("content").isNotNull()), function_expressions).persist(StorageLevel.DISK_ONLY)
-    nodes, failed = analysed(parsed), parsed.where(F.col("error").isNotNull()).select("repo_id", "file")
-    functions = functions_of(nodes).persist(StorageLevel.DISK_ONLY)
-    held += [parsed, functions]
-    good = nodes.where("pre = 0").select("repo_id", "file")
-    skipped = files.where(F.col("content").isNull()).select("repo_id", "file").union(failed).groupBy("repo_id").agg(F.count(F.lit(1)).alias("skipped"))
-    entries = file_entries(files, nodes, functions).groupBy("repo_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("file").alias("at"), F.to_json("entry").alias("json")))), lambda x: F.from_json(x["json"], schema.PER_FILE[6:-1])).alias("perFile"))
+    empty = repos.sparkSession.createDataFrame([], schema.MEASURES)
+    code = "code" in sections
+    measures = inputs.measures if inputs.measures is not None else measure_files(files, function_expressions) if code else empty
+    commits = None if inputs.commits is None else cut_lineage(inputs.commits)
+    failed, done = measures.where(F.col("error").isNotNull()), measures.where(F.col("error").isNull())
+    functions = function_rows(done)
+    good = done.select("repo_id", "file") if code else files.where(F.col("content").isNotNull()).select("repo_id", "file")
+    skipped = files.where(F.col("content").isNull()).select("repo_id", "file").union(failed.select("repo_id", "file")).groupBy("repo_id").agg(F.count(F.lit(1)).alias("skipped"))
     d = repos.select("repo_id", F.col("repo_path").alias("repoPath"), "source")
-    d = d.join(good.groupBy("repo_id").agg(F.count(F.lit(1)).alias("analysed")), "repo_id", "left").join(skipped, "repo_id", "left")
-    d = d.join(loc_profile(files), "repo_id", "left").join(function_summary(functions), "repo_id", "left").join(statement_smells(nodes), "repo_id", "left")
-    d = d.join(distributions(functions, good), "repo_id", "left").join(duplication(files), "repo_id", "left")
+    d = d.join(good.groupBy("repo_id").agg(F.count(F.lit(1)).alias("analysed")), "repo_id", "left").join(skipped, "repo_id", "left").join(loc_profile(files), "repo_id", "left")
+    smells = done.groupBy("repo_id").agg(F.sum("empty_catches").alias("emptyCatchBlocks"), F.sum("console_logs").alias("consoleLogs"))
+    shares = [name for name, category, _ in C.FEATURES if category == "Distribution"]
+    counts = ["totalFiles", "tsFiles", "tsxFiles", "testFiles", "totalLOC", "sourceLOC", "testLOC", "analysed"]
+    of_code = ["totalFunctions", "averageLength", "medianLength", "maxNestingDepth", "longFunctionPercentage", "average", "max", "highComplexityFunctions", "longFunctions", "deepNesting", "longParameterLists", "emptyCatchBlocks", "consoleLogs", *shares]
+    if code:
+        d = d.join(function_summary(functions), "repo_id", "left").join(smells, "repo_id", "left").join(distributions(functions, good), "repo_id", "left")
+    else:
+        d = d.withColumns({c: F.lit(0) for c in of_code})
+    d = d.na.fill(0, [*counts, *of_code])
+    entries = file_entries(done).groupBy("repo_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("file").alias("at"), F.to_json("entry").alias("json")))), lambda x: F.from_json(x["json"], schema.PER_FILE[6:-1])).alias("perFile"))
     d = d.join(entries, "repo_id", "left") if per_file else d.withColumn("perFile", F.lit(None).cast(schema.PER_FILE))
-    counts = ["totalFiles", "tsFiles", "tsxFiles", "testFiles", "totalLOC", "sourceLOC", "testLOC", "totalFunctions", "averageLength", "medianLength", "maxNestingDepth", "longFunctionPercentage", "average", "max"]
-    counts += ["highComplexityFunctions", "longFunctions", "deepNesting", "longParameterLists", "emptyCatchBlocks", "consoleLogs", "analysed"]
-    shares = [c for c in distributions(functions, good).columns if c != "repo_id"]
-    d = d.na.fill(0, [*counts, *shares])
+    none = "struct<percentage: double, duplicateLines: long, cloneClusters: long>"
+    d = d.join(duplication(files), "repo_id", "left") if "duplication" in sections else d.withColumn("duplication", F.lit(None).cast(none))
     git = "git"
-    d = _section(d, history_v1(inputs.commits, as_of) if inputs.commits is not None else None, git, schema.GIT)
-    d = _section(d, history_v2(inputs.commits) if inputs.commits is not None else None, "gitMetricsV2", schema.GIT_V2)
+    d = _section(d, history_v1(commits, as_of) if commits is not None else None, git, schema.GIT)
+    d = _section(d, history_v2(commits) if commits is not None else None, "gitMetricsV2", schema.GIT_V2)
     if inputs.archived is not None:
         d = d.join(inputs.archived.select("repo_id", F.lit(True).alias("archived")).distinct(), "repo_id", "left")
         d = _section(d.withColumnRenamed(git, "local_git"), history_api(inputs.api) if inputs.api is not None else None, git, schema.GIT)

@@ -14,14 +14,15 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata import schema
 from codestrata.functions import exprs as X
 from codestrata.operators import commits, distributions, duplication, features, functions, profile, store, views
 from codestrata.plans import export
-from codestrata.plans.report import Inputs, build_reports, report_json
+from codestrata.plans.report import SECTIONS, Inputs, build_reports, report_json
 from codestrata.sources.api import parse_commit_pages
 from codestrata.sources.files import files_from_table
 from codestrata.sources.manifests import parse_manifests
-from codestrata.sources.scratch import shared_folder
+from codestrata.sources.scratch import cut_lineage, shared_folder
 from codestrata.syntax.nodes import analysed, parse_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,17 +147,21 @@ def api_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
+    WITH c AS (SELECT o_custkey % 7 AS repo_id, o_orderkey AS sha, 8 + o_orderkey % 18 AS n_page FROM orders),
+    p AS (SELECT repo_id, n_page, count(*) AS n FROM c GROUP BY ALL),
+    e AS (SELECT *, coalesce(max(CASE WHEN n < 100 THEN 1 ELSE 0 END) OVER (PARTITION BY repo_id ORDER BY n_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM p)
     SELECT repo_id, n_page::INTEGER AS page, count(*) AS commits, min(sha) AS first_sha FROM (
-        SELECT o_custkey % 7 AS repo_id, o_orderkey AS sha, o_orderkey % 3 AS n_page, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey % 3, o_orderkey) AS n FROM orders) WHERE n <= 200
+        SELECT c.*, row_number() OVER (PARTITION BY repo_id ORDER BY n_page, sha) AS k FROM c JOIN e USING (repo_id, n_page) WHERE ended = 0) WHERE k <= 200
     GROUP BY ALL
 """)
 def commit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as pages of commits in JSON, three a repository, of which the first 200 commits count."""
+    """Orders as pages 8 to 25 of commits in JSON, of which the first 200 commits count, up to the first page that is not full."""
     sha = lambda n: F.lpad(F.col(n).cast("string"), 12, "0")
     entry = F.struct(sha("o_orderkey").alias("sha"), F.struct(F.lit("m").alias("message")).alias("commit"))
-    pages = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 7).alias("repo_id"), (F.col("o_orderkey") % 3).cast("string").alias("page")).agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("value"))
+    page = F.concat(F.lit("page-"), (8 + F.col("o_orderkey") % 18).cast("string"), F.lit(".json"))
+    pages = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 7).alias("repo_id"), page.alias("page")).agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("value"))
     sha = F.col("sha").cast("long")
-    return parse_commit_pages(pages).groupBy("repo_id", (sha % 3).cast("int").alias("page")).agg(F.count(F.lit(1)).alias("commits"), F.min(sha).alias("first_sha"))
+    return parse_commit_pages(pages).groupBy("repo_id", (8 + sha % 18).cast("int").alias("page")).agg(F.count(F.lit(1)).alias("commits"), F.min(sha).alias("first_sha"))
 
 
 @query(f"""SELECT {_r(f"count(*) FILTER (o_orderdate >= TIMESTAMP '{AS_OF}' - INTERVAL 91 DAYS)::DOUBLE / 13", 1)} AS "commitsPerWeek", count(*) AS "totalCommits" FROM orders""")
@@ -200,12 +205,17 @@ def commit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commits.history_v1(order_commits(spark, sf_dir), end).select("repo_id", *[f"git.{f}" for f in fields])
 
 
-@query(f"""
-    WITH {_COMMITS},
+_BURSTS = f"""
     t AS (SELECT repo_id, ts, ts - lag(ts) OVER (PARTITION BY repo_id ORDER BY ts) AS gap FROM c),
     s AS (SELECT repo_id, sum(CASE WHEN gap <= 1800 THEN 0 ELSE 1 END) OVER (PARTITION BY repo_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM t),
     b AS (SELECT repo_id, count(*) FILTER (n >= 3) AS bursts, {_pct("coalesce(sum(n) FILTER (n >= 3), 0)", "sum(n)")} AS share FROM (SELECT repo_id, session, count(*) AS n FROM s GROUP BY ALL) GROUP BY repo_id),
-    e AS (SELECT repo_id, coalesce({_r("stddev_pop(gap * 1000.0::DOUBLE)", 1)}, 0) AS spread FROM t GROUP BY repo_id),
+    e AS (SELECT repo_id, coalesce({_r("stddev_pop(gap * 1000.0::DOUBLE)", 1)}, 0) AS spread FROM t GROUP BY repo_id)
+"""
+
+
+@query(f"""
+    WITH {_COMMITS},
+    {_BURSTS},
     h AS (SELECT repo_id, path, count(*) AS n, sum(lines)::BIGINT AS lines FROM f JOIN o ON o_orderkey = l_orderkey GROUP BY ALL),
     m AS (SELECT repo_id, string_agg(path || ':' || n || ':' || lines, ',' ORDER BY n DESC, path) AS top FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, path) <= 10) GROUP BY repo_id),
     l AS (SELECT repo_id, string_agg(path || ':' || n || ':' || lines, ',' ORDER BY lines DESC, path) AS top FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY lines DESC, path) <= 10) GROUP BY repo_id)
@@ -326,10 +336,10 @@ def topdecile_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AS_FUNCTIONS = "SELECT p_brand, p_size AS complexity, l_quantity::INTEGER AS lines, l_linenumber AS max_nesting, (l_partkey % 7)::INTEGER AS param_count FROM lineitem JOIN part ON p_partkey = l_partkey"
 
 
-def part_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as functions: quantity is length, the part's size complexity."""
+def part_functions(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Line items as functions: quantity is length, the part's size complexity; with ``more`` columns of theirs."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", F.col("p_size").alias("complexity"))
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", F.col("l_quantity").cast("int").alias("lines"), F.col("l_linenumber").alias("max_nesting"), (F.col("l_partkey") % 7).cast("int").alias("param_count"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", F.col("l_quantity").cast("int").alias("lines"), F.col("l_linenumber").alias("max_nesting"), (F.col("l_partkey") % 7).cast("int").alias("param_count"), *more)
     return lines.join(parts, "l_partkey")
 
 
@@ -602,9 +612,12 @@ def feature_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLONE_TOKENS, _CLONE_LINES = 30, 2
 
 
-@query(rf"""
+def _clones(repo: str, tokens: int, lines: int, columns: str = "*") -> str:
+    """Clones of documents, whose repository ``repo`` names."""
+    paths = _PATHS.replace("SELECT source,", "SELECT doc_id, source,", 1)
+    return rf"""
     WITH x AS (
-        SELECT source, doc_id, unnest(regexp_extract_all(text, '(?s)//[^\n]*|/\*.*?\*/|[\s\p{{Z}}\x{{85}}\x{{0b}}\x{{1c}}-\x{{1f}}]+|[\p{{L}}\p{{N}}_$]+|''(?:[^''\\\n]|\\.)*''|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|.')) AS w,
+        SELECT {repo} AS source, doc_id, unnest(regexp_extract_all(text, '(?s)//[^\n]*|/\*.*?\*/|[\s\p{{Z}}\x{{85}}\x{{0b}}\x{{1c}}-\x{{1f}}]+|[\p{{L}}\p{{N}}_$]+|''(?:[^''\\\n]|\\.)*''|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|.')) AS w,
                unnest(range(1, 1 + len(regexp_extract_all(text, '(?s)//[^\n]*|/\*.*?\*/|[\s\p{{Z}}\x{{85}}\x{{0b}}\x{{1c}}-\x{{1f}}]+|[\p{{L}}\p{{N}}_$]+|''(?:[^''\\\n]|\\.)*''|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|.')))) AS i
         FROM documents),
     y AS (SELECT *, sum(length(w) - length(replace(w, chr(10), ''))) OVER (PARTITION BY doc_id ORDER BY i) AS last, length(w) - length(replace(w, chr(10), '')) AS own FROM x),
@@ -612,14 +625,18 @@ _CLONE_TOKENS, _CLONE_LINES = 30, 2
         SELECT source, doc_id, w, (last - own)::BIGINT AS first, last::BIGINT AS last, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM y
         WHERE NOT regexp_matches(w, '^(//|/\*.|[\s\p{{Z}}\x{{85}}\x{{0b}}\x{{1c}}-\x{{1f}}])')),
     l AS (SELECT source, doc_id, list(w ORDER BY n) AS ws, list(first ORDER BY n) AS firsts, list(last ORDER BY n) AS lasts FROM t GROUP BY ALL),
-    h AS (SELECT source, doc_id, n, md5(array_to_string(ws[n:n + {_CLONE_TOKENS - 1}], chr(1))) AS h, firsts[n] AS first, lasts[n + {_CLONE_TOKENS - 1}] AS last FROM (SELECT *, unnest(range(1, len(ws) - {_CLONE_TOKENS - 2})) AS n FROM l)),
+    h AS (SELECT source, doc_id, n, md5(array_to_string(ws[n:n + {tokens - 1}], chr(1))) AS h, firsts[n] AS first, lasts[n + {tokens - 1}] AS last FROM (SELECT *, unnest(range(1, len(ws) - {tokens - 2})) AS n FROM l)),
     r AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS run FROM h WHERE (source, h) IN (SELECT (source, h) FROM h GROUP BY source, h HAVING count(*) > 1)),
-    c AS (SELECT source, doc_id, min(first) AS first, max(last) AS last, arg_min(h, n) AS h FROM r GROUP BY source, doc_id, run HAVING max(last) - min(first) + 1 >= {_CLONE_LINES}),
+    c AS (SELECT source, doc_id, min(first) AS first, max(last) AS last, arg_min(h, n) AS h FROM r GROUP BY source, doc_id, run HAVING max(last) - min(first) + 1 >= {lines}),
     v AS (SELECT source, count(DISTINCT (doc_id, line)) AS covered FROM (SELECT source, doc_id, unnest(range(first, last + 1)) AS line FROM c) GROUP BY source),
     k AS (SELECT source, count(DISTINCT h) AS clones FROM c GROUP BY source),
-    a AS (SELECT source, sum(n)::BIGINT AS total FROM ({_PATHS}) GROUP BY source)
-    SELECT source AS repo_id, {_pct("coalesce(covered, 0)", "total")} AS percentage, coalesce(covered, 0) AS "duplicateLines", coalesce(clones, 0) AS "cloneClusters" FROM a LEFT JOIN v USING (source) LEFT JOIN k USING (source)
-""")
+    a AS (SELECT {repo} AS source, sum(n)::BIGINT AS total FROM ({paths}) GROUP BY 1)
+    SELECT {columns} FROM (
+    SELECT source AS repo_id, {_pct("coalesce(covered, 0)", "total")} AS percentage, coalesce(covered, 0) AS "duplicateLines", coalesce(clones, 0) AS "cloneClusters" FROM a LEFT JOIN v USING (source) LEFT JOIN k USING (source))
+    """
+
+
+@query(_clones("source", _CLONE_TOKENS, _CLONE_LINES))
 def clones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of their source's repository; shorter stretches than code asks for, so that prose has some."""
     files = document_files(spark, sf_dir).select(F.col("source").alias("repo_id"), "file", "content")
@@ -682,14 +699,15 @@ def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("visit_ord", "type")
 
 
-def document_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of the documents as files of twenty repositories, with orders as their histories, a twentieth each."""
+def document_reports(spark: SparkSession, sf_dir: str, sections: tuple[str, ...] = ()) -> DataFrame:
+    """Reports of the documents as files of twenty repositories, with orders as their histories, a twentieth each. Documents are parsed only where
+    "code" is asked for."""
     files = document_files(spark, sf_dir).select(F.col("source").alias("repo_id"), "file", "content", F.lit(None).cast("string").alias("error"))
     repos = files.select("repo_id").distinct().select("repo_id", F.col("repo_id").alias("repo_path"), F.expr("named_struct('type', 'git', 'url', concat('https://x/', repo_id), 'commit', md5(repo_id), 'branch', 'main')").alias("source"))
     history = order_commits(spark, sf_dir).withColumn("repo_id", F.concat(F.lit("src"), (F.col("hash").cast("long") % 20).cast("string")))
     files = files.repartition(2 * spark.sparkContext.defaultParallelism, "file")  # one small file of many documents would be parsed by one task
     end = int(datetime.fromisoformat(f"{AS_OF}+00:00").timestamp())
-    return build_reports(Inputs(repos, files, history), end, "2001-06-01T00:00:00.000Z", per_file=False)
+    return build_reports(Inputs(repos, files, history), end, "2001-06-01T00:00:00.000Z", per_file=False, sections=sections)
 
 
 _FLAT = f"""
@@ -726,13 +744,63 @@ def report_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exports of reports, read back from their texts: the summary's columns, the structured JSON, the report's JSON, the view's fields."""
     reports = document_reports(spark, sf_dir)
     j = lambda c, path: F.get_json_object(c, f"$.{path}")
-    structured = export.structured(reports).select("repo_id", *[j("json", p).alias(n) for n, p in (("repositoryUrl", "metadata.repositoryUrl"), ("commit", "metadata.commit"))], j("json", "schema_version").cast("int").alias("schema_version"), j("json", "flat_feature_vector.test_loc").cast("double").alias("flat_test_loc"), j("json", "flat_feature_vector.median_commit_size").cast("double").alias("flat_median"), j("json", "features_by_category.Behavioral").cast("int").alias("behavioral"))
-    plain = reports.select("repo_id", *export.summary_columns(), report_json().alias("json"), views.commit_metrics().alias("m"))
-    plain = plain.select("repo_id", "repo", "files", "totalLOC", "sourceLOC", "testLOC", "totalCommits", j("json", "git.totalCommits").cast("long").alias("json_commits"), j("json", "git.medianCommitSize").cast("double").alias("json_median"), F.col("m.commitsPerWeek").alias("shown_weekly"), F.col("m.medianCommitSize").alias("shown_median"))
-    return plain.join(structured, "repo_id")
+    texts = reports.select("repo_id", *export.summary_columns(), report_json().alias("json"), export.structured_json().alias("s"), views.commit_metrics().alias("m"))
+    return texts.select(
+        "repo_id", "repo", "files", "totalLOC", "sourceLOC", "testLOC", "totalCommits", j("s", "metadata.repositoryUrl").alias("repositoryUrl"), j("s", "metadata.commit").alias("commit"), j("s", "schema_version").cast("int").alias("schema_version"),
+        j("s", "flat_feature_vector.test_loc").cast("double").alias("flat_test_loc"), j("s", "flat_feature_vector.median_commit_size").cast("double").alias("flat_median"), j("s", "features_by_category.Behavioral").cast("int").alias("behavioral"),
+        j("json", "git.totalCommits").cast("long").alias("json_commits"), j("json", "git.medianCommitSize").cast("double").alias("json_median"), F.col("m.commitsPerWeek").alias("shown_weekly"), F.col("m.medianCommitSize").alias("shown_median"),
+    )
+
+
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query(f"""
+    WITH {_COMMITS},
+    {_BURSTS},
+    p AS (SELECT {_PRIORITIES}[doc_id % 5 + 1] AS repo_id, {_PROFILE} FROM ({_PATHS.replace("SELECT source,", "SELECT doc_id, source,", 1)}) GROUP BY 1),
+    g AS (
+        SELECT repo_id, count(*)::DOUBLE AS total_commits, {_r(f"count(*) FILTER (ts >= epoch(TIMESTAMP '{AS_OF}')::BIGINT - 91 * 86400)::DOUBLE / 13", 1)} AS commits_per_week, {_r("avg(total_lines) FILTER (files > 0)", 1)} AS average_lines_per_commit,
+               {_pct("count(*) FILTER (files > 0 AND total_lines > 500)", "count(*) FILTER (files > 0)")} AS large_commit_ratio, median(total_lines)::DOUBLE AS median_commit_size, {_p("total_lines", 0.9)} AS p90_commit_size,
+               {_pct("count(*) FILTER (total_lines > 500)", "count(*)")} AS pct_over_500_loc, {_pct("count(*) FILTER (total_lines > 1000)", "count(*)")} AS pct_over_1000_loc, {_pct("count(*) FILTER (tests)", "count(*)")} AS pct_commits_touching_tests,
+               {_ratio("count(*) FILTER (tests)", "count(*) FILTER (NOT tests)", 2)} AS test_to_feature_commit_ratio, {_pct("count(*) FILTER (regexp_matches(subject, '(?i)\\b(refactor|cleanup|restructure|rename)\\b'))", "count(*)")} AS refactor_commit_ratio
+        FROM c GROUP BY repo_id),
+    fn AS (
+        SELECT o_orderpriority AS repo_id, l_orderkey::VARCHAR AS file, p_size AS complexity, l_quantity::INTEGER AS lines, l_linenumber AS nesting, l_partkey % 7 AS params, l_linestatus = 'F' AS empty, l_returnflag = 'R' AS console
+        FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
+    q AS (
+        SELECT repo_id, count(DISTINCT file)::DOUBLE AS files_analyzed, count(*)::DOUBLE AS total_functions, {_r("avg(complexity)", 1)} AS avg_complexity, max(complexity)::DOUBLE AS max_complexity, count(*) FILTER (complexity > 10)::DOUBLE AS high_complexity_count,
+               {_r("avg(lines)", 1)} AS avg_function_length, median(lines)::DOUBLE AS median_function_length, max(nesting)::DOUBLE AS max_nesting_depth, count(*) FILTER (lines > 50)::DOUBLE AS long_function_count, count(*) FILTER (params > 4)::DOUBLE AS long_parameter_list_count,
+               count(*) FILTER (empty)::DOUBLE AS empty_catch_block_count, count(*) FILTER (console)::DOUBLE AS console_log_count, {", ".join(f"{_p(c, x)} AS p{round(x * 100)}_{n}" for n, c in (("function_length", "lines"), ("complexity", "complexity")) for x in (0.5, 0.75, 0.9))}
+        FROM fn GROUP BY repo_id),
+    w AS (SELECT repo_id, file, sum(complexity) AS t, count(*) FILTER (complexity >= 10) AS h FROM fn GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY t DESC, file) AS place, count(*) OVER (PARTITION BY repo_id) AS n FROM w),
+    o10 AS (SELECT repo_id, {_pct("coalesce(sum(h) FILTER (place <= greatest(1, ceil(n * 0.1::DOUBLE))), 0)", "sum(h)")} AS percent_high_complexity_in_top_10_percent_files FROM k GROUP BY repo_id),
+    z AS (
+        SELECT *, {_ratio('"testLOC"', '"sourceLOC"', 2)} AS cover,
+               {_r('greatest(0, 171 - 5.2::DOUBLE * ln(greatest(avg_complexity, 1)) - 0.23::DOUBLE * ln(greatest("totalLOC"::DOUBLE, 1)) - 16.2::DOUBLE * ln(greatest(avg_function_length, 1))) * 100 / 171', 1)} AS score
+        FROM p JOIN g USING (repo_id) JOIN q USING (repo_id) JOIN o10 USING (repo_id) JOIN b USING (repo_id) JOIN e USING (repo_id))
+    SELECT * EXCLUDE ("totalFiles", "tsFiles", "tsxFiles", "testFiles", "totalLOC", "sourceLOC", "testLOC", cover, score, bursts, share, spread, percentage), bursts::DOUBLE AS burst_count, share AS burst_ratio, spread AS std_dev_time_between_commits,
+           "totalLOC"::DOUBLE AS total_loc, "sourceLOC"::DOUBLE AS source_loc, "testLOC"::DOUBLE AS test_loc, {_ratio('"testLOC"', '"sourceLOC"', 3)} AS test_loc_ratio, CASE WHEN cover < 0.1 THEN 'low' WHEN cover <= 0.3 THEN 'moderate' ELSE 'high' END AS test_coverage_classification,
+           score AS maintainability_score, CASE WHEN score < 40 THEN 'low' WHEN score <= 65 THEN 'moderate' ELSE 'high' END AS maintainability_classification, 0::DOUBLE AS files_skipped, coalesce(percentage, 0) AS duplication_percent
+    FROM z LEFT JOIN ({_clones("[" + ", ".join(f"'{x}'" for x in _PRIORITIES) + "][doc_id % 5 + 1]", duplication.TOKENS, duplication.LINES, "repo_id, percentage")}) USING (repo_id)
+""")
+def measured_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 42 features of reports made from measures: priorities are repositories, orders their files and commits, line items functions; documents are
+    the files' contents."""
+    lines = part_functions(spark, sf_dir, (F.col("l_linestatus") == "F").alias("empty"), (F.col("l_returnflag") == "R").alias("console"))
+    one = F.struct(F.col("max_nesting").alias("visit_ord"), F.lit("f").alias("name"), F.lit("arrow_function").alias("type"), F.col("max_nesting").alias("startLine"), "lines", F.col("max_nesting").alias("maxNestingDepth"), F.col("param_count").alias("parameterCount"), "complexity")
+    measured = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("total"), F.collect_list(one).cast(schema.FUNCTIONS).alias("functions"), F.count_if("empty").alias("empty_catches"), F.count_if("console").alias("console_logs"))
+    measures = measured.join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("repo_id")), "o_orderkey")
+    measures = measures.select("repo_id", F.col("o_orderkey").cast("string").alias("file"), F.lit(None).cast("string").alias("error"), "total", F.lit(None).cast("map<string, long>").alias("by_type"), "functions", "empty_catches", "console_logs")
+    pick = F.element_at(F.array(*map(F.lit, _PRIORITIES)), (F.regexp_extract("file", r"/(\d+)", 1).cast("long") % 5 + 1).cast("int"))
+    files = document_files(spark, sf_dir).select(pick.alias("repo_id"), "file", "content", F.lit(None).cast("string").alias("error"))
+    repos = files.select("repo_id").distinct().select("repo_id", F.col("repo_id").alias("repo_path"), F.lit(None).cast("struct<type: string, url: string, commit: string, branch: string>").alias("source"))
+    end = int(datetime.fromisoformat(f"{AS_OF}+00:00").timestamp())
+    return features.feature_vectors(build_reports(Inputs(repos, files, order_commits(spark, sf_dir), measures=cut_lineage(measures)), end, per_file=False))
 
 
 @query()
 def repo_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features of the documents' reports."""
-    return features.feature_vectors(document_reports(spark, sf_dir))
+    return features.feature_vectors(document_reports(spark, sf_dir, SECTIONS))

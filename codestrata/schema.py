@@ -9,6 +9,10 @@ ANALYSES = "result_id string, repo_url string, commit_sha string, analyzed_at ti
 API_PAGE = "sha string, commit struct<message: string, author: struct<date: string>, committer: struct<date: string>>"
 PACKAGE = "dependencies map<string, string>, devDependencies map<string, string>"
 
+#: What is measured of a file; functions in the order of the reports.
+FUNCTIONS = "array<struct<visit_ord: int, name: string, type: string, startLine: int, lines: int, maxNestingDepth: int, parameterCount: int, complexity: int>>"
+MEASURES = f"repo_id string, file string, error string, total long, by_type map<string, long>, functions {FUNCTIONS}, empty_catches long, console_logs long"
+
 FUNCTION_METRIC = "struct<name: string, type: string, startLine: int, lines: int, maxNestingDepth: int, parameterCount: int>"
 FUNCTION_COMPLEXITY = "struct<name: string, type: string, startLine: int, complexity: int>"
 PER_FILE = f"array<struct<file: string, functions: long, functionsByType: map<string, long>, functionMetrics: array<{FUNCTION_METRIC}>, complexity: array<{FUNCTION_COMPLEXITY}>>>"

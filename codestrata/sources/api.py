@@ -16,19 +16,28 @@ from codestrata import constants as C
 from codestrata import schema
 
 
-def parse_commit_pages(pages: DataFrame, content: str = "value") -> DataFrame:
-    """``schema.API_COMMITS`` of (repo_id, page, content), JSON arrays of commits; at most 200 a repository, by page and place."""
+def parse_commit_pages(pages: DataFrame, content: str = "value", since: int | None = None, page_commits: int = C.API_PAGE) -> DataFrame:
+    """``schema.API_COMMITS`` of (repo_id, page, content), JSON arrays of commits; at most 200 a repository, by page and place.
+
+    Pages go by the last number in their names. One of fewer than ``page_commits`` commits, or none, is the last that counts. With ``since`` (seconds)
+    older commits, by the committer's date, are left out. Pages are numbered, not commits: a window sees a row a page.
+    """
     rows = pages.select("repo_id", "page", F.from_json(content, f"array<struct<{_fields(schema.API_PAGE)}>>").alias("commits"))
-    rows = rows.select("repo_id", "page", F.posexplode("commits").alias("at", "c"))
-    first = F.row_number().over(Window.partitionBy("repo_id").orderBy("page", "at"))
-    rows = rows.withColumn("n", first).where(F.col("n") <= C.API_COMMITS)
+    rows = rows.withColumn("number", F.regexp_extract(F.col("page").cast("string"), r"(\d+)\D*$", 1).try_cast("long")).withColumn("full", F.coalesce(F.size("commits") >= page_commits, F.lit(False)))
+    if since is not None:
+        date = lambda c: F.unix_seconds(F.coalesce(c["commit"]["committer"]["date"], c["commit"]["author"]["date"]).try_cast("timestamp"))
+        rows = rows.withColumn("commits", F.filter("commits", lambda c: F.coalesce(date(c) >= since, F.lit(True))))
+    before = Window.partitionBy("repo_id").orderBy(F.asc_nulls_last("number"), "page").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("ended", F.coalesce(F.max(~F.col("full")).over(before), F.lit(False))).withColumn("earlier", F.coalesce(F.sum(F.greatest(F.size("commits"), F.lit(0))).over(before), F.lit(0)))
+    rows = rows.where(~F.col("ended") & (F.col("earlier") < C.API_COMMITS)).select("repo_id", F.explode(F.slice("commits", F.lit(1), (C.API_COMMITS - F.col("earlier")).cast("int"))).alias("c"))
     return rows.select("repo_id", F.col("c.sha").alias("sha"), F.col("c.commit.message").alias("message"), F.col("c.commit.author.date").alias("author_date"), F.col("c.commit.committer.date").alias("committer_date"))
 
 
-def read_commit_pages(spark: SparkSession, path: str, repo: Column | None = None) -> DataFrame:
-    """The commits of saved pages, files whose names order them; their folder names the repository unless ``repo`` does."""
+def read_commit_pages(spark: SparkSession, path: str, repo: Column | None = None, since: int | None = None) -> DataFrame:
+    """The commits of saved pages, files whose names number them; their folder names the repository unless ``repo`` does."""
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
-    return parse_commit_pages(spark.read.text(path, wholetext=True).select((repo if repo is not None else name).alias("repo_id"), F.input_file_name().alias("page"), "value"))
+    file = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
+    return parse_commit_pages(spark.read.text(path, wholetext=True).select((repo if repo is not None else name).alias("repo_id"), file.alias("page"), "value"), since=since)
 
 
 def _fields(ddl: str) -> str:

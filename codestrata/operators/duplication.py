@@ -1,13 +1,15 @@
 """Clones: stretches of at least ``TOKENS`` equal tokens on at least ``LINES`` lines, within a repository.
 
-Each file sends the different hashes of its windows of tokens, 16 bytes and a count each; those that a repository has more than
-once go back to the files that hold them, where repeated windows are merged if they overlap or touch.
+Each file is cut into tokens once; 128 bits a token and its lines are kept in the shared folder. A window of tokens is looked at only if the
+least hash of the short sequences in it, its minimiser, is chosen at two places of the repository. Equal windows choose equal sequences
+at different places, so none is lost, and about one hash in twenty moves. Windows that are left are counted by 128 bits
+of their tokens; those that a repository has more than once go back to their files, where they are merged if they overlap or touch.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,88 +18,169 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.exprs import count_lines, pct1, zero
+from codestrata.sources.scratch import cut_lineage
 
 TOKENS = 50
 LINES = 5
+#: Tokens of the sequences among which a window has its minimiser.
+GRAM = 8
 #: A lexeme: a comment, white space, or (group 1) a token.
 _LEXEME = re.compile(r"//[^\n]*|/\*.*?\*/|\s+|([\w$]+|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|.)", re.DOTALL)
-_BASE = 0x9E3779B97F4A7C15
+#: An odd base for each half of the 128 bits.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_HALVES = np.dtype([("high", "<u8"), ("low", "<u8")])
 
 
-def token_windows(content: str, size: int = TOKENS, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hash, first line and last line of each window of ``size`` tokens; comments and blanks are no tokens."""
-    hashes, first, last, line = [], [], [], 0
-    digest = xxhash.xxh64_intdigest
+def lexed(content: str, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128 bits (two columns of 64), first line and last line of each token; comments and blanks are no tokens."""
+    digests, first, last, line = [], [], [], 0
+    digest = xxhash.xxh3_128_digest
     for m in _LEXEME.finditer(content):
         text = m[0]
         if m[1] is not None:
-            hashes.append(digest(text, seed))
+            digests.append(digest(text, seed))
             first.append(line)
         line += text.count("\n")
         if m[1] is not None:
             last.append(line)
-    n = len(hashes) - size + 1
+    return np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2), np.array(first, dtype=np.int32), np.array(last, dtype=np.int32)
+
+
+def rolling(tokens: np.ndarray, size: int, base: int) -> np.ndarray:
+    """A hash of each ``size`` consecutive tokens: Rabin-Karp by prefix sums, since an odd base has an inverse modulo 2**64."""
+    n = len(tokens) - size + 1
     if n < 1:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    # Rabin-Karp by prefix sums: an odd base has an inverse modulo 2**64.
-    tokens = np.array(hashes, dtype=np.uint64)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(tokens), _BASE, dtype=np.uint64)]))
-    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, pow(_BASE, -1, 2**64), dtype=np.uint64)]))
+        return np.zeros(0, dtype=np.uint64)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(tokens), base, dtype=np.uint64)]))
+    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, pow(base, -1, 2**64), dtype=np.uint64)]))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(tokens * power[:-1])])
     h = (sums[size:] - sums[:-size]) * inverse
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h ^ (h >> np.uint64(29))).view(np.int64), np.array(first[:n]), np.array(last[size - 1 :])
+    return h ^ (h >> np.uint64(29))
+
+
+def identities(tokens: np.ndarray, size: int) -> np.ndarray:
+    """The 128 bits of each window."""
+    halves = [rolling(np.ascontiguousarray(tokens[:, i]), size, base) for i, base in enumerate(_BASES)]
+    out = np.empty(len(halves[0]), dtype=_HALVES)
+    out["high"], out["low"] = halves
+    return out
+
+
+def minimisers(tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the sequences of ``GRAM`` tokens (fewer, in shorter windows), and where each window has the first of its least ones."""
+    grams = rolling(np.ascontiguousarray(tokens[:, 0]), min(GRAM, size), _BASES[0])
+    width = size - min(GRAM, size) + 1
+    if len(grams) < width:
+        return grams, np.zeros(0, dtype=np.int64)
+    at = np.lib.stride_tricks.sliding_window_view(grams, width)
+    # Slices, since argmin makes a copy of what it is given.
+    least = [at[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(at))) for i in range(0, len(at), 65536)]
+    return grams, np.concatenate(least)
+
+
+def _tokens_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u8").reshape(-1, 2)
 
 
 def _repo_seed(repo: str | None) -> int:
     return xxhash.xxh64_intdigest(repo or "", 1)
 
 
-def _sent(tokens: int):
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_row(columns: tuple[str, ...], schema: pa.Schema, rows: Callable[..., list]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that puts out the columns which ``rows`` gives for each row; no more than one file's are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for repo, key, content in zip(*(batch.column(c).to_pylist() for c in ("repo_id", "file_key", "content")), strict=True):
-                h, n = np.unique(token_windows(content, tokens, _repo_seed(repo))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), key, dtype=np.int64)), pa.array(n.astype(np.int64))], names=["h", "file_key", "n"])
+            for row in zip(*(batch.column(c) for c in columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows(*(x.as_py() for x in row)), schema.types, strict=True)], schema=schema)
 
-    return send
+    return run
 
 
-def _found(tokens: int, lines: int):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for repo, content, repeated in zip(*(batch.column(c).to_pylist() for c in ("repo_id", "content", "repeated")), strict=True):
-                h, first, last = token_windows(content, tokens, _repo_seed(repo))
-                hit = np.isin(h, np.array(repeated, dtype=np.int64)).astype(np.int8)
-                turns = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
-                runs = [(first[a], last[b - 1], h[a]) for a, b in zip(turns[::2], turns[1::2], strict=True) if last[b - 1] - first[a] + 1 >= lines]
-                covered, upto = 0, -1
-                for a, b, _ in runs:
-                    covered += max(0, int(b) - max(int(a), upto + 1) + 1)
-                    upto = max(upto, int(b))
-                rows.append((repo, covered, [int(x) for _, _, x in runs]))
-            kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(3)], names=["repo_id", "covered", "starts"])
-
-    return find
+def _lex(repo: str | None, content: str, total: int) -> list:
+    tokens, first, last = lexed(content, _repo_seed(repo))
+    return [[repo], [total], [tokens.tobytes()], [first.tobytes()], [last.tobytes()]]
+
+
+def _chosen(size: int):
+    def rows(node: int, data: bytes) -> list:
+        grams, least = minimisers(_tokens_of(data), size)
+        h, n = np.unique(grams[np.unique(least)], return_counts=True)
+        return [h.view(np.int64), np.full(len(h), node), n]
+
+    return rows
+
+
+def _candidates(size: int):
+    def rows(node: int, repo: str | None, data: bytes, first: bytes, last: bytes, repeated: list[int]) -> list:
+        tokens = _tokens_of(data)
+        grams, least = minimisers(tokens, size)
+        at = np.flatnonzero(np.isin(grams.view(np.int64), np.array(repeated, dtype=np.int64))[least])
+        ids = identities(tokens, size)[at]
+        return [[node], [repo], [at.astype(np.int32).tobytes()], [ids.tobytes()], [np.frombuffer(first, np.int32)[at].tobytes()], [np.frombuffer(last, np.int32)[at + size - 1].tobytes()]]
+
+    return rows
+
+
+def _counted(node: int, data: bytes) -> list:
+    ids, n = np.unique(np.frombuffer(data, dtype=_HALVES), return_counts=True)
+    return [ids["high"].view(np.int64), ids["low"].view(np.int64), np.full(len(ids), node), n]
+
+
+def _stretches(lines: int):
+    def rows(repo: str | None, at: bytes, data: bytes, first: bytes, last: bytes, repeated: list[dict]) -> list:
+        ids, at, first, last = np.frombuffer(data, _HALVES), np.frombuffer(at, np.int32), np.frombuffer(first, np.int32), np.frombuffer(last, np.int32)
+        again = np.array([(r["high"], r["low"]) for r in repeated], dtype=np.int64).reshape(-1, 2).astype("<u8").view(_HALVES).ravel()
+        hit = np.flatnonzero(np.isin(ids, again))
+        ends = np.flatnonzero(np.diff(at[hit]) != 1)
+        runs = [(int(first[a]), int(last[b]), ids[a].tobytes()) for a, b in zip(hit[np.concatenate([[0], ends + 1])], hit[np.concatenate([ends, [len(hit) - 1]])], strict=True) if last[b] - first[a] + 1 >= lines]
+        covered, upto = 0, -1
+        for a, b, _ in runs:
+            covered += max(0, b - max(a, upto + 1) + 1)
+            upto = max(upto, b)
+        return [[repo], [covered], [[start for _, _, start in runs]]]
+
+    return rows
+
+
+_LEXED = pa.schema([("repo_id", pa.string()), ("total", pa.int64()), ("tokens", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
+_CHOSEN = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+_CANDIDATES = pa.schema([("node", pa.int64()), ("repo_id", pa.string()), ("at", pa.binary()), ("ids", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
+_COUNTED = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+_STRETCHES = pa.schema([("repo_id", pa.string()), ("covered", pa.int64()), ("starts", pa.list_(pa.binary()))])
+
+
+def _more_than_once(sent: DataFrame, key: list[str]) -> DataFrame:
+    """(node, repeated): the keys that occur more than once, for each file that has some. A key that many files share is counted in each task
+    first; its rows are split by Spark's skew handling in the join."""
+    repeated = sent.groupBy(*key).agg(F.sum("n").alias("times")).where("times > 1").select(*key)
+    listed = F.collect_list(F.struct(*key) if len(key) > 1 else key[0])
+    return sent.join(repeated, key, "left_semi").groupBy("node").agg(listed.alias("repeated"))
 
 
 def duplication(files: DataFrame, tokens: int = TOKENS, lines: int = LINES) -> DataFrame:
     """(repo_id, duplication struct(percentage, duplicateLines, cloneClusters)) of each repository that has files.
 
-    A clone is a stretch that starts alike somewhere else; lines are counted once however many clones cover them.
+    A clone is a stretch that starts alike somewhere else; lines are counted once however many clones cover them. Each row of
+    ``files`` is a file of its own, also where names repeat; rows without content are left out.
     """
-    there = files.where(F.col("content").isNotNull()).select("repo_id", "content", F.xxhash64("repo_id", "file").alias("file_key"))
-    sent = there.mapInArrow(_sent(tokens), "h long, file_key long, n long")
-    # A hash that many files share is counted in each task first; its rows are split by Spark's skew handling in the join.
-    repeated = sent.groupBy("h").agg(F.sum("n").alias("times")).where("times > 1").select("h")
-    back = sent.join(repeated, "h", "left_semi").groupBy("file_key").agg(F.collect_list("h").alias("repeated"))
-    found = there.join(back, "file_key").select("repo_id", "content", "repeated").mapInArrow(_found(tokens, lines), "repo_id string, covered long, starts array<long>")
-    covered = found.groupBy("repo_id").agg(F.sum("covered").alias("covered"))
-    clones = found.select("repo_id", F.explode("starts").alias("h")).groupBy("repo_id").agg(F.count_distinct("h").alias("clones"))
-    whole = there.groupBy("repo_id").agg(zero(F.sum(count_lines("content"))).alias("total"))
-    d = whole.join(covered, "repo_id", "left").join(clones, "repo_id", "left")
+    there = files.where(F.col("content").isNotNull()).select("repo_id", "content", count_lines("content").cast("long").alias("total"))
+    kept = there.mapInArrow(_by_row(("repo_id", "content", "total"), _LEXED, _lex), "repo_id string, total long, tokens binary, first binary, last binary")
+    kept = cut_lineage(kept.withColumn("node", F.monotonically_increasing_id()))  # numbers are drawn once and kept
+    chosen = kept.select("node", "tokens").mapInArrow(_by_row(("node", "tokens"), _CHOSEN, _chosen(tokens)), "h long, node long, n long")
+    some = kept.join(_more_than_once(chosen, ["h"]), "node").select("node", "repo_id", "tokens", "first", "last", "repeated")
+    wanted = ("node", "repo_id", "tokens", "first", "last", "repeated")
+    candidates = cut_lineage(some.mapInArrow(_by_row(wanted, _CANDIDATES, _candidates(tokens)), "node long, repo_id string, at binary, ids binary, first binary, last binary"))
+    counted = candidates.select("node", "ids").mapInArrow(_by_row(("node", "ids"), _COUNTED, _counted), "high long, low long, node long, n long")
+    again = candidates.join(_more_than_once(counted, ["high", "low"]), "node").select("repo_id", "at", "ids", "first", "last", "repeated")
+    found = again.mapInArrow(_by_row(("repo_id", "at", "ids", "first", "last", "repeated"), _STRETCHES, _stretches(lines)), "repo_id string, covered long, starts array<binary>")
+    # One row a file and one a start, so that a single grouping by repository gives the lines and the different starts.
+    each = found.select("repo_id", "covered", F.explode(F.concat(F.array(F.lit(None).cast("binary")), "starts")).alias("start"))
+    once = each.groupBy("repo_id", "start").agg(F.sum(F.when(F.col("start").isNull(), F.col("covered"))).alias("covered"))
+    clones = once.groupBy("repo_id").agg(F.sum("covered").alias("covered"), F.count("start").alias("clones"))
+    whole = kept.groupBy("repo_id").agg(zero(F.sum("total")).alias("total"))
+    d = whole.join(clones.withColumnRenamed("repo_id", "repo_of"), F.col("repo_id").eqNullSafe(F.col("repo_of")), "left")
     got = F.struct(pct1(zero(F.col("covered")), "total").alias("percentage"), zero(F.col("covered")).alias("duplicateLines"), zero(F.col("clones")).alias("cloneClusters"))
     return d.select("repo_id", got.alias("duplication"))
 

@@ -12,6 +12,7 @@ from codestrata import constants as C
 from codestrata.functions.exprs import repo_label
 from codestrata.operators.features import feature_columns, feature_vectors
 from codestrata.plans.report import report_json
+from codestrata.sources.report_files import write_texts
 
 SCHEMA_VERSION = 1
 
@@ -47,14 +48,9 @@ def write_reports(reports: DataFrame, path: str) -> None:
 
 
 def write_report_files(reports: DataFrame, folder: str) -> int:
-    """<repository>.json for each, indented; one report at a time reaches the driver. Returns their number."""
-    os.makedirs(folder, exist_ok=True)
-    n = 0
-    for r in reports.select("repo_id", report_json().alias("j")).toLocalIterator():
-        with open(os.path.join(folder, f"{r['repo_id'].replace('/', '_')}.json"), "w") as f:
-            f.write(pretty(r["j"]))
-        n += 1
-    return n
+    """<repository>.json for each, indented, written by the executors (``sources.report_files``). Returns their number."""
+    indented = F.udf(pretty, "string")  # no built-in function indents; a report is a row
+    return write_texts(reports.select(F.concat(F.replace("repo_id", F.lit("/"), F.lit("_")), F.lit(".json")).alias("name"), indented(report_json()).alias("text")), folder)
 
 
 def write_download(report: str, result: str, commit: str | None, folder: str) -> str:

@@ -23,6 +23,7 @@ from codestrata.sources.api import parse_commit_pages
 from codestrata.sources.files import files_from_table
 from codestrata.sources.manifests import parse_manifests
 from codestrata.sources.scratch import cut_lineage, shared_folder
+from codestrata.streaming import churn
 from codestrata.syntax.nodes import analysed, parse_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -261,6 +262,24 @@ def churn_top_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _first_ten(part_churn(spark, sf_dir), "linesChanged")
 
 
+@query("""
+    WITH f AS (
+        SELECT l_returnflag AS repo_id, l_partkey::VARCHAR AS file, count(*) AS modifications, (sum(l_quantity) + sum(l_linenumber))::BIGINT AS "linesChanged" FROM (SELECT DISTINCT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem) GROUP BY ALL),
+    r AS (
+        SELECT *, 'modifications' AS "by", row_number() OVER (PARTITION BY repo_id ORDER BY modifications DESC, file)::INTEGER AS rank FROM f
+        UNION ALL SELECT *, 'linesChanged', row_number() OVER (PARTITION BY repo_id ORDER BY "linesChanged" DESC, file)::INTEGER FROM f)
+    SELECT * FROM r WHERE rank <= 10
+""")
+def churn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as a stream of commits, a return flag a repository, equal lines one commit that comes again: the first tens that the stream leaves behind."""
+    lines = spark.readStream.schema(table(spark, sf_dir, "lineitem").schema).parquet(f"{sf_dir}/lineitem.parque[t]")  # as a pattern, since a stream takes a folder or a pattern
+    change = F.struct(F.col("l_partkey").cast("string").alias("path"), F.col("l_quantity").cast("long").alias("add"), F.col("l_linenumber").cast("long").alias("del"))
+    commit = lines.select(F.col("l_returnflag").alias("repo_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long")).alias("hash"), F.array(change).alias("files"))
+    folder = posixpath.join(shared_folder(spark), f"churn-{uuid.uuid4().hex}")
+    churn.follow_churn(commit, posixpath.join(folder, "tables"), posixpath.join(folder, "state"), availableNow=True).awaitTermination()
+    return churn.top_rows(churn.ChurnTables(spark, posixpath.join(folder, "tables")).tops.read())
+
+
 @query(f"""
     SELECT o_orderpriority, {_pct("count(*) FILTER (t)", "count(*)")} AS "pctCommitsTouchingTests", {_ratio("count(*) FILTER (t)", "count(*) FILTER (NOT t)", 2)} AS "testToFeatureCommitRatio"
     FROM (SELECT o_orderpriority, o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE regexp_matches(p_type, '^ECONOMY$')) AS t FROM orders) GROUP BY o_orderpriority

@@ -12,11 +12,12 @@ from codestrata.operators.ranges import ranked
 from codestrata.sources.scratch import cut_lineage
 
 
-def floor_percentiles(d: DataFrame, keys: tuple[str, ...], values: dict[str, str], ps: tuple[float, ...] = (0.5, 0.75, 0.9), median: bool = False, weight: str | None = None) -> DataFrame:
+def floor_percentiles(d: DataFrame, keys: tuple[str, ...], values: dict[str, str], ps: tuple[float, ...] = (0.5, 0.75, 0.9), median: bool = False, weight: str | None = None, wide: bool = False) -> DataFrame:
     """For each (name, column) of ``values`` and each p: p50_name, ... - the element at place min(floor(p n), n - 1).
 
-    Values are counted first, so a group is as large as its number of different values, which for lengths and
-    complexities is small however many rows there are. A running count over those then finds the places. ``median`` adds
+    Values are counted first, so a group is as large as its number of different values. Those of lengths and complexities add up to no more
+    than the group's total, so a group of 10**12 lines has at most 1.5 million. A running count over them finds the places. Where values may be different
+    without such a bound (fractions, times), ``wide`` counts over ranges of their order, so that no task holds a group. ``median`` adds
     median_name, the mean of the two middle elements; a row counts as often as its column ``weight`` says.
     """
     out = None
@@ -25,7 +26,12 @@ def floor_percentiles(d: DataFrame, keys: tuple[str, ...], values: dict[str, str
         counts = d.where(F.col(c).isNotNull()).groupBy(*keys, F.col(c).alias("v")).agg(often.alias("c"))
         whole = Window.partitionBy(*keys)
         upto = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        ran = counts.withColumn("n", F.sum("c").over(whole)).withColumn("upto", F.sum("c").over(upto))
+        if wide:
+            ran = ranked(counts, keys, [F.col("v")], "upto", weight="c")
+            total = ran.groupBy(*keys).agg(F.sum("c").alias("n")).select(*[F.col(k).alias(f"{k}_t") for k in keys], "n")
+            ran = ran.join(total, [F.col(k).eqNullSafe(F.col(f"{k}_t")) for k in keys] or F.lit(True))
+        else:
+            ran = counts.withColumn("n", F.sum("c").over(whole)).withColumn("upto", F.sum("c").over(upto))
         at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v"))).cast("double")
         picks = [at(F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1)).alias(f"p{round(p * 100)}_{name}") for p in ps]
         if median:

@@ -58,14 +58,16 @@ def page_of(d: DataFrame, order: list[Column], offset: int, limit: int) -> DataF
     return in_ranges(d, order).page(offset, limit)
 
 
-def ranked(d: DataFrame, keys: tuple[str, ...], order: list[Column], name: str = "rank", parts: int | None = None) -> DataFrame:
-    """Adds the place (1, 2, ...) of each row within its group. A group lies in as many ranges as it fills; rows are numbered within a range and
-    the sizes of the group's earlier ranges are added, so no task holds a group."""
+def ranked(d: DataFrame, keys: tuple[str, ...], order: list[Column], name: str = "rank", parts: int | None = None, weight: str | None = None) -> DataFrame:
+    """Adds the place (1, 2, ...) of each row within its group, or the sum of ``weight`` up to and with it. A group lies in as many ranges as it fills; rows
+    are counted within a range and the sizes of the group's earlier ranges are added, so no task holds a group."""
     rows = in_ranges(d, [*map(F.col, keys), *order], parts).rows
-    sizes = rows.groupBy(*keys, RANGE).agg(F.count(F.lit(1)).alias("n"))
+    size = F.sum(weight) if weight else F.count(F.lit(1))
+    sizes = rows.groupBy(*keys, RANGE).agg(size.alias("n"))
     earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     other = [F.col(c).alias(f"{c}_of_range") for c in (*keys, RANGE)]
     before = sizes.select(*other, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before_range"))
     same = [F.col(c).eqNullSafe(F.col(f"{c}_of_range")) for c in (*keys, RANGE)]
-    local = F.row_number().over(Window.partitionBy(*keys, RANGE).orderBy(*order))
+    within = Window.partitionBy(*keys, RANGE).orderBy(*order)
+    local = F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, 0)) if weight else F.row_number().over(within)
     return rows.withColumn(name, local).join(before, same).select(*d.columns, (F.col(name) + F.col("before_range")).alias(name))

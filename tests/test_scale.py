@@ -90,3 +90,25 @@ def test_dispersion_of_gaps(spark):
         assert got[g] == pytest.approx(math.floor(statistics.pstdev(gaps) * 10 + 0.5) / 10 if gaps else 0.0, rel=1e-12, abs=0.051)
     plan = commits.gap_dispersion(d, ("g",), "ms")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 3
+
+
+@pytest.mark.parametrize("keys", [("k",), ()])
+def test_percentiles_over_ranges(spark, keys):
+    """Values that hardly repeat, in one large group, small ones and one without a key: the same with and without ranges, and by sorting."""
+    from codestrata.operators.distributions import floor_percentiles
+
+    k = F.when(F.col("id") % 50 == 0, F.lit(None)).when(F.col("id") % 7 == 0, (F.col("id") % 4).cast("string")).otherwise(F.lit("hot"))
+    d = spark.range(0, 20_000, 1, 4).select(k.alias("k"), F.when(F.col("id") % 90 != 0, F.pmod(F.xxhash64("id"), F.lit(15_000)) / 7.0).alias("x"), (F.col("id") % 3 + 1).alias("w"))
+    for weight in (None, "w"):
+        ask = lambda wide: {tuple(r)[: len(keys)]: tuple(r) for r in floor_percentiles(d, keys, {"x": "x"}, median=True, weight=weight, wide=wide).collect()}  # noqa: B023, E731
+        got = ask(True)
+        assert got == ask(False)
+        values = {}
+        for r in d.where("x is not null").collect():
+            values.setdefault((r["k"],) if keys else (), []).extend([r["x"]] * (r["w"] if weight else 1))
+        for key, xs in values.items():
+            xs.sort()
+            n = len(xs)
+            want = (*[xs[min(int(p * n), n - 1)] for p in (0.5, 0.75, 0.9)], (xs[(n - 1) // 2] + xs[n // 2]) / 2)
+            assert got[key][len(keys) :] == pytest.approx(want)
+        assert len(got) == len(values)

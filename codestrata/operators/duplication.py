@@ -24,6 +24,8 @@ TOKENS = 50
 LINES = 5
 #: Tokens of the sequences among which a window has its minimiser.
 GRAM = 8
+#: Bytes of a batch that tasks send on.
+SENT_BYTES = 4 << 20
 #: A lexeme: a comment, white space, or (group 1) a token.
 _LEXEME = re.compile(r"//[^\n]*|/\*.*?\*/|\s+|([\w$]+|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|.)", re.DOTALL)
 #: An odd base for each half of the 128 bits.
@@ -88,12 +90,18 @@ def _repo_seed(repo: str | None) -> int:
 
 
 def _by_row(columns: tuple[str, ...], schema: pa.Schema, rows: Callable[..., list]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function of batches that puts out the columns which ``rows`` gives for each row; no more than one file's are held."""
+    """A function of batches that puts out the columns which ``rows`` gives for each row, in batches of about ``SENT_BYTES`` or of one large file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready, size = [], 0
         for batch in batches:
             for row in zip(*(batch.column(c) for c in columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows(*(x.as_py() for x in row)), schema.types, strict=True)], schema=schema)
+                ready.append(pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows(*(x.as_py() for x in row)), schema.types, strict=True)], schema=schema))
+                size += ready[-1].nbytes
+                if size >= SENT_BYTES:
+                    yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                    ready, size = [], 0
+        yield from pa.Table.from_batches(ready, schema).combine_chunks().to_batches()
 
     return run
 

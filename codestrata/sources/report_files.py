@@ -78,19 +78,21 @@ class TextWriter(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> Written:
         task = TaskContext.get()
         files, root = file_system(self.folder)
-        mine, n = f"{task.partitionId()}-{task.taskAttemptId()}", 0
+        mine, seen = f"{task.partitionId()}-{task.taskAttemptId()}", set()
         at = posixpath.join(root, mine)
         files.create_dir(at, recursive=False)  # not where the write has been given up in the meantime
         try:
             for name, text in iterator:
                 if name is None or text is None or name in ("", ".", "..") or "/" in name:
                     raise ValueError(f"not the name and text of a file: {name!r}")
+                if name in seen:
+                    raise ValueError(f"several rows have one name: {name}")
+                seen.add(name)
                 _put(files, posixpath.join(at, name), text.encode())
-                n += 1
         except BaseException:
             _remove(files, at)
             raise
-        return Written(mine, n)
+        return Written(mine, len(seen))
 
     def commit(self, messages: list[Written | None]) -> None:
         files, root = file_system(self.folder)
@@ -124,21 +126,37 @@ def _publish(written: str, target: str):
     return run
 
 
+def _listed(written: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, source = file_system(written)
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                names = [info.base_name for info in files.get_file_info(pa_fs.FileSelector(posixpath.join(source, folder), allow_not_found=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    return run
+
+
 def publish(spark: SparkSession, written: str, target: str) -> int:
-    """Moves the files of a committed write to ``target``, each whole under its name, and returns their number. Can be run again."""
+    """Moves the files of a committed write to ``target``, each whole under its name, and returns their number. Can be run again. A name that two
+    rows have is an error before anything is moved."""
     files, root = file_system(written)
     with files.open_input_stream(posixpath.join(root, COMMITTED)) as f:
         done = [json.loads(line) for line in f.read().decode().splitlines()]  # a line a task
     if done:
         folders = spark.createDataFrame(done, "folder string, files long").repartition(min(len(done), 1024))
+        twice = folders.mapInArrow(_listed(written), "name string").groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if names := sorted(r["name"] for r in twice.limit(5).collect()):
+            _remove(files, root)
+            raise ValueError(f"several rows have one name: {', '.join(names)}")
         folders.mapInArrow(_publish(written, target), "n long").agg(F.sum("n")).collect()
-    files.delete_dir(root)
+    _remove(files, root)
     return sum(n for _, n in done)
 
 
 def write_texts(texts: DataFrame, folder: str) -> int:
     """Writes the (name, text) rows as files of ``folder``, which executors must share, and returns their number. Names that a folder holds
-    already are replaced; of rows of one name one stands. A row without a name or text, or with a name that is a path, is an error.
+    already already are replaced. Two rows of one name, a row without a name or text, and a name that is a path are errors that leave the folder as it was.
     """
     spark = texts.sparkSession
     spark.dataSource.register(NamedTexts)

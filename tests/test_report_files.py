@@ -49,3 +49,14 @@ def test_moving_can_be_run_again(spark, tmp_path):
     open(os.path.join(written, "9-99", "half.json"), "w").close()
     assert R.publish(spark, written, folder) == 20
     assert sorted(files(folder)) == sorted(f"f{i}.json" for i in range(20)) and not os.path.exists(written)
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_two_rows_of_one_name(spark, tmp_path, parts):
+    """Within a task and in two: an error, and what the folder held stays."""
+    folder = str(tmp_path / "out")
+    R.write_texts(texts(spark, 2), folder)
+    d = texts(spark, 60, parts).withColumn("name", F.when(F.col("name") == "f55.json", "f1.json").otherwise(F.col("name"))).withColumn("text", F.lit("new"))
+    with pytest.raises(Exception, match="several rows|aborted|WRITER"):
+        R.write_texts(d, folder)
+    assert files(folder) == {f"f{i}.json": f'é{{"a": {i}}}' for i in range(2)}

@@ -1,6 +1,6 @@
 """Clones: stretches of at least ``TOKENS`` equal tokens on at least ``LINES`` lines, within a repository.
 
-Each file is cut into tokens once; 128 bits a token and its lines are kept in the shared folder. A window of tokens is looked at only if the
+Each file is cut into tokens once; tokens and their lines are kept in the shared folder, compressed (a few bytes a token). A window of tokens is looked at only if the
 least hash of the short sequences in it, its minimiser, is chosen at two places of the repository. Equal windows choose equal sequences
 at different places, so none is lost, and about one hash in twenty moves. Windows that are left are counted by 128 bits
 of their tokens; those that a repository has more than once go back to their files, where they are merged if they overlap or touch.
@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +34,38 @@ _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _HALVES = np.dtype([("high", "<u8"), ("low", "<u8")])
 
 
-def lexed(content: str, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """128 bits (two columns of 64), first line and last line of each token; comments and blanks are no tokens."""
-    digests, first, last, line = [], [], [], 0
-    digest = xxhash.xxh3_128_digest
+def lexed(content: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Text, first line and last line of each token; comments and blanks are no tokens."""
+    texts, first, last, line = [], [], [], 0
     for m in _LEXEME.finditer(content):
         text = m[0]
         if m[1] is not None:
-            digests.append(digest(text, seed))
+            texts.append(text)
             first.append(line)
         line += text.count("\n")
         if m[1] is not None:
             last.append(line)
-    return np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2), np.array(first, dtype=np.int32), np.array(last, dtype=np.int32)
+    return texts, np.array(first, dtype=np.int32), np.array(last, dtype=np.int32)
+
+
+def packed(texts: list[str], first: np.ndarray, last: np.ndarray) -> tuple[bytes, bytes]:
+    """The tokens' characters, and their lengths, steps of lines and lines more than one; both compressed."""
+    shape = np.stack([np.fromiter(map(len, texts), np.int32, len(texts)), np.diff(first, prepend=np.int32(0)), last - first])
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return squeeze("".join(texts).encode()), squeeze(shape.astype("<i4").tobytes())
+
+
+def unpacked(text: bytes, shape: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
+    open_ = zstandard.ZstdDecompressor().decompress
+    size, step, more = np.frombuffer(open_(shape), dtype="<i4").reshape(3, -1)
+    whole, ends, first = open_(text).decode(), np.cumsum(size, dtype=np.int64).tolist(), np.cumsum(step, dtype=np.int32)
+    return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else [], first, first + more
+
+
+def digests(texts: list[str], seed: int = 0) -> np.ndarray:
+    """128 bits of each token, as two columns of 64."""
+    known = {t: xxhash.xxh3_128_digest(t, seed) for t in set(texts)}
+    return np.frombuffer(b"".join([known[t] for t in texts]), dtype="<u8").reshape(-1, 2)
 
 
 def rolling(tokens: np.ndarray, size: int, base: int) -> np.ndarray:
@@ -81,10 +101,6 @@ def minimisers(tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.concatenate(least)
 
 
-def _tokens_of(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype="<u8").reshape(-1, 2)
-
-
 def _repo_seed(repo: str | None) -> int:
     return xxhash.xxh64_intdigest(repo or "", 1)
 
@@ -107,13 +123,13 @@ def _by_row(columns: tuple[str, ...], schema: pa.Schema, rows: Callable[..., lis
 
 
 def _lex(repo: str | None, content: str, total: int) -> list:
-    tokens, first, last = lexed(content, _repo_seed(repo))
-    return [[repo], [total], [tokens.tobytes()], [first.tobytes()], [last.tobytes()]]
+    text, shape = packed(*lexed(content))
+    return [[repo], [total], [text], [shape]]
 
 
 def _chosen(size: int):
-    def rows(node: int, data: bytes) -> list:
-        grams, least = minimisers(_tokens_of(data), size)
+    def rows(node: int, repo: str | None, text: bytes, shape: bytes) -> list:
+        grams, least = minimisers(digests(unpacked(text, shape)[0], _repo_seed(repo)), size)
         h, n = np.unique(grams[np.unique(least)], return_counts=True)
         return [h.view(np.int64), np.full(len(h), node), n]
 
@@ -121,28 +137,38 @@ def _chosen(size: int):
 
 
 def _candidates(size: int):
-    def rows(node: int, repo: str | None, data: bytes, first: bytes, last: bytes, repeated: list[int]) -> list:
-        tokens = _tokens_of(data)
-        grams, least = minimisers(tokens, size)
-        at = np.flatnonzero(np.isin(grams.view(np.int64), np.array(repeated, dtype=np.int64))[least])
-        ids = identities(tokens, size)[at]
-        return [[node], [repo], [at.astype(np.int32).tobytes()], [ids.tobytes()], [np.frombuffer(first, np.int32)[at].tobytes()], [np.frombuffer(last, np.int32)[at + size - 1].tobytes()]]
+    def rows(node: int, repo: str | None, text: bytes, shape: bytes, repeated: list[int]) -> list:
+        grams, least = minimisers(digests(unpacked(text, shape)[0], _repo_seed(repo)), size)
+        hit = np.isin(grams.view(np.int64), np.array(repeated, dtype=np.int64))[least]
+        return [[node], [repo], [text], [shape], [zstandard.ZstdCompressor(level=1).compress(np.packbits(hit).tobytes())]]
 
     return rows
 
 
-def _counted(node: int, data: bytes) -> list:
-    ids, n = np.unique(np.frombuffer(data, dtype=_HALVES), return_counts=True)
-    return [ids["high"].view(np.int64), ids["low"].view(np.int64), np.full(len(ids), node), n]
+def _looked_at(size: int, repo: str | None, texts: list[str], which: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of a file that are candidates: where they start, and their identities."""
+    ids = identities(digests(texts, _repo_seed(repo)), size)
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(which), np.uint8), count=len(ids)))
+    return at, ids[at]
+
+
+def _counted(size: int):
+    def rows(node: int, repo: str | None, text: bytes, shape: bytes, which: bytes) -> list:
+        ids, n = np.unique(_looked_at(size, repo, unpacked(text, shape)[0], which)[1], return_counts=True)
+        return [ids["high"].view(np.int64), ids["low"].view(np.int64), np.full(len(ids), node), n]
+
+    return rows
 
 
-def _stretches(lines: int):
-    def rows(repo: str | None, at: bytes, data: bytes, first: bytes, last: bytes, repeated: list[dict]) -> list:
-        ids, at, first, last = np.frombuffer(data, _HALVES), np.frombuffer(at, np.int32), np.frombuffer(first, np.int32), np.frombuffer(last, np.int32)
+def _stretches(size: int, lines: int):
+    def rows(repo: str | None, text: bytes, shape: bytes, which: bytes, repeated: list[dict]) -> list:
+        texts, first, last = unpacked(text, shape)
+        at, ids = _looked_at(size, repo, texts, which)
         again = np.array([(r["high"], r["low"]) for r in repeated], dtype=np.int64).reshape(-1, 2).astype("<u8").view(_HALVES).ravel()
-        hit = np.flatnonzero(np.isin(ids, again))
-        ends = np.flatnonzero(np.diff(at[hit]) != 1)
-        runs = [(int(first[a]), int(last[b]), ids[a].tobytes()) for a, b in zip(hit[np.concatenate([[0], ends + 1])], hit[np.concatenate([ends, [len(hit) - 1]])], strict=True) if last[b] - first[a] + 1 >= lines]
+        at, ids = at[hit := np.isin(ids, again)], ids[hit]
+        ends = np.flatnonzero(np.diff(at) != 1)
+        runs = [(int(first[at[a]]), int(last[at[b] + size - 1]), ids[a].tobytes()) for a, b in zip([0, *(ends + 1)], [*ends, len(at) - 1], strict=True)]
+        runs = [r for r in runs if r[1] - r[0] + 1 >= lines]
         covered, upto = 0, -1
         for a, b, _ in runs:
             covered += max(0, b - max(a, upto + 1) + 1)
@@ -152,9 +178,9 @@ def _stretches(lines: int):
     return rows
 
 
-_LEXED = pa.schema([("repo_id", pa.string()), ("total", pa.int64()), ("tokens", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
+_LEXED = pa.schema([("repo_id", pa.string()), ("total", pa.int64()), ("text", pa.binary()), ("shape", pa.binary())])
 _CHOSEN = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
-_CANDIDATES = pa.schema([("node", pa.int64()), ("repo_id", pa.string()), ("at", pa.binary()), ("ids", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
+_CANDIDATES = pa.schema([("node", pa.int64()), ("repo_id", pa.string()), ("text", pa.binary()), ("shape", pa.binary()), ("which", pa.binary())])
 _COUNTED = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 _STRETCHES = pa.schema([("repo_id", pa.string()), ("covered", pa.int64()), ("starts", pa.list_(pa.binary()))])
 
@@ -174,15 +200,15 @@ def duplication(files: DataFrame, tokens: int = TOKENS, lines: int = LINES) -> D
     ``files`` is a file of its own, also where names repeat; rows without content are left out.
     """
     there = files.where(F.col("content").isNotNull()).select("repo_id", "content", count_lines("content").cast("long").alias("total"))
-    kept = there.mapInArrow(_by_row(("repo_id", "content", "total"), _LEXED, _lex), "repo_id string, total long, tokens binary, first binary, last binary")
+    kept = there.mapInArrow(_by_row(("repo_id", "content", "total"), _LEXED, _lex), "repo_id string, total long, text binary, shape binary")
     kept = cut_lineage(kept.withColumn("node", F.monotonically_increasing_id()))  # numbers are drawn once and kept
-    chosen = kept.select("node", "tokens").mapInArrow(_by_row(("node", "tokens"), _CHOSEN, _chosen(tokens)), "h long, node long, n long")
-    some = kept.join(_more_than_once(chosen, ["h"]), "node").select("node", "repo_id", "tokens", "first", "last", "repeated")
-    wanted = ("node", "repo_id", "tokens", "first", "last", "repeated")
-    candidates = cut_lineage(some.mapInArrow(_by_row(wanted, _CANDIDATES, _candidates(tokens)), "node long, repo_id string, at binary, ids binary, first binary, last binary"))
-    counted = candidates.select("node", "ids").mapInArrow(_by_row(("node", "ids"), _COUNTED, _counted), "high long, low long, node long, n long")
-    again = candidates.join(_more_than_once(counted, ["high", "low"]), "node").select("repo_id", "at", "ids", "first", "last", "repeated")
-    found = again.mapInArrow(_by_row(("repo_id", "at", "ids", "first", "last", "repeated"), _STRETCHES, _stretches(lines)), "repo_id string, covered long, starts array<binary>")
+    file = ("node", "repo_id", "text", "shape")
+    chosen = kept.select(*file).mapInArrow(_by_row(file, _CHOSEN, _chosen(tokens)), "h long, node long, n long")
+    some = kept.join(_more_than_once(chosen, ["h"]), "node").select(*file, "repeated")
+    candidates = cut_lineage(some.mapInArrow(_by_row((*file, "repeated"), _CANDIDATES, _candidates(tokens)), "node long, repo_id string, text binary, shape binary, which binary"))
+    counted = candidates.mapInArrow(_by_row((*file, "which"), _COUNTED, _counted(tokens)), "high long, low long, node long, n long")
+    again = candidates.join(_more_than_once(counted, ["high", "low"]), "node").select(*file[1:], "which", "repeated")
+    found = again.mapInArrow(_by_row((*file[1:], "which", "repeated"), _STRETCHES, _stretches(tokens, lines)), "repo_id string, covered long, starts array<binary>")
     # One row a file and one a start, so that a single grouping by repository gives the lines and the different starts.
     each = found.select("repo_id", "covered", F.explode(F.concat(F.array(F.lit(None).cast("binary")), "starts")).alias("start"))
     once = each.groupBy("repo_id", "start").agg(F.sum(F.when(F.col("start").isNull(), F.col("covered"))).alias("covered"))

@@ -20,7 +20,7 @@ def measure_files(files: DataFrame, function_expressions: bool = False) -> DataF
 
     Files are parsed once; nodes stay on the executors' disks until the measures, which are written to the shared folder, are made of them.
     """
-    parsed = parse_files(files.where(F.col("content").isNotNull()), function_expressions).persist(StorageLevel.DISK_ONLY)
+    parsed = parse_files(files.where(F.col("content").isNotNull()), function_expressions, measured=True).persist(StorageLevel.DISK_ONLY)
     nodes = analysed(parsed)
     metric = F.struct("visit_ord", "name", "type", F.col("start_line").alias("startLine"), "lines", F.col("max_nesting").alias("maxNestingDepth"), F.col("param_count").alias("parameterCount"), "complexity")
     lists = functions_of(nodes).groupBy(*FILE).agg(F.sort_array(F.collect_list(metric)).alias("functions"))

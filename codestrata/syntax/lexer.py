@@ -24,17 +24,17 @@ _PUNCT = re.compile(r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=
 class Lexer:
     def __init__(self, code: str):
         self.code = code
-        self._memo: dict[tuple[int, bool], Token] = {}
+        self.known: dict[tuple[int, bool], Token] = {}
 
     def scan(self, at: int, operand: bool) -> Token:
         """The token at or after a place; with ``operand`` a slash starts a regular expression."""
         key = at, operand
-        if (known := self._memo.get(key)) is not None:
+        if (known := self.known.get(key)) is not None:
             return known
         token = self._scan(at, operand)
-        if len(self._memo) > 4096:
-            self._memo.clear()
-        self._memo[key] = token
+        if len(self.known) > 4096:
+            self.known.clear()
+        self.known[key] = token
         return token
 
     def _scan(self, at: int, operand: bool) -> Token:

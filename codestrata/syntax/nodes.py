@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata import constants as C
-from codestrata.syntax.parser import Node, Rows, parse
+from codestrata.syntax.parser import WORDS, Node, Rows, parse
 
 NODE_SCHEMA = (
     "repo_id string, file string, error string, pre int, post int, parent_pre int, field string, type string, start_row int, end_row int, "
     "named_child_count int, text string, fn_pre int, fn_stack array<int>, nest_abs int, name string, param_count int, operator string, is_console boolean, visit_ord int"
 )
 _COLUMNS = [x.split()[0] for x in NODE_SCHEMA.split(", ")]
+_MEASURED = {*C.FUNCTION_TYPES, *C.NESTING_TYPES, *C.BRANCH_TYPES}
 
 
 def _child(node: Node, field: str) -> Node | None:
@@ -53,48 +54,54 @@ def walk(root: Node, enter: Callable[[Node], object] | None = None, leave: Calla
             pending += [(c, True) for c in node.children if c.type != "operator"]
 
 
-def tree_rows(code: str, tsx: bool = False, function_expressions: bool = False) -> list[tuple]:
-    """(pre, post, parent_pre, field, type, ...) of each named node, without repo and file.
+def _is_measured(node: Node, operator: Node | None, named: int) -> bool:
+    """Whether a measure of the file depends on the node's own row: functions, what nests or branches, empty blocks, calls of the console."""
+    return node.type in _MEASURED or node.type == "statement_block" and not named or operator is not None and operator.text in C.BRANCH_OPERATORS or _console(node)
+
+
+def tree_rows(code: str, tsx: bool = False, function_expressions: bool = False, measured: bool = False) -> list[tuple]:
+    """(pre, post, parent_pre, field, type, ...) of each named node, without repo and file; with ``measured`` of those only on whose own row a
+    measure of the file depends, and of the root, with the same numbers.
 
     ``visit_ord`` orders siblings last to first; ``fn_stack`` holds the enclosing functions, outermost first, self included.
     """
-    root, row_of = parse(code, tsx, function_expressions), Rows(code)
+    root, row_of = parse(code, tsx, function_expressions, words=measured), Rows(code)
     out: list[list] = []
-    post = 0
-    stack: list[tuple[Node, Node | None, int | None, tuple, int, int]] = [(root, None, None, (), 0, 0)]
+    n = post = 0
+    stack: list[tuple[Node | None, Node | list | None, int | None, tuple, int]] = [(root, None, None, (), 0)]
     while stack:
-        node, parent, parent_pre, fns, nest, _ = stack.pop()
+        node, parent, parent_pre, fns, nest = stack.pop()
         if node is None:  # leaving
-            out[parent_pre][1] = post
+            if parent is not None:
+                parent[1] = post
             post += 1
             continue
-        pre = len(out)
+        if node.type == WORDS:
+            n, post = n + 2 * node.names, post + 2 * node.names  # each name comes with its statement, or with what joins it to those before
+            continue
+        pre, n = n, n + 1
         is_fn = node.type in C.FUNCTION_TYPES
         fns = (*fns, pre) if is_fn else fns
         nest += node.type in C.NESTING_TYPES
         named = [c for c in node.children if c.type != "operator"]
-        count = len(named) + node.comments if node.type == "statement_block" else len(named)
+        count = sum(c.comments if c.type == WORDS else 1 for c in named) + (node.comments if node.type == "statement_block" else 0)
         operator = _child(node, "operator") if node.type == "binary_expression" else None
-        params = _child(node, "parameters") if is_fn else None
-        n_params = sum(c.type in C.PARAMETER_TYPES for c in params.children) if params is not None else 0
-        out.append([pre, 0, parent_pre, node.field, node.type, row_of.of(node.start), row_of.of(max(node.start, node.end - 1) if node.end > node.start else node.start), count, node.text, fns[-1] if fns else None, list(fns), nest, _name(node, parent) if is_fn else None, n_params if is_fn else None, operator.text if operator is not None else None, _console(node), 0])
-        stack.append((None, None, pre, (), 0, 0))
-        stack += [(c, node, pre, fns, nest, 0) for c in reversed(named)]
-    # The order of a walk that takes siblings last to first: children before, and each after its later siblings' subtrees.
-    children: dict[int | None, list[int]] = {}
-    for r in out:
-        children.setdefault(r[2], []).append(r[0])
-    walk, at = [0], 0
-    while walk:
-        pre = walk.pop()
-        out[pre][-1] = at
-        at += 1
-        walk += children.get(pre, [])
+        row = None
+        if not measured or pre == 0 or _is_measured(node, operator, count):
+            params = _child(node, "parameters") if is_fn else None
+            n_params = sum(c.type in C.PARAMETER_TYPES for c in params.children) if params is not None else 0
+            row = [pre, 0, parent_pre, node.field, node.type, row_of.of(node.start), row_of.of(max(node.start, node.end - 1) if node.end > node.start else node.start), count, node.text, fns[-1] if fns else None, list(fns), nest, _name(node, parent) if is_fn else None, n_params if is_fn else None, operator.text if operator is not None else None, _console(node), 0]
+            out.append(row)
+        stack.append((None, row, None, (), 0))
+        stack += [(c, node, pre, fns, nest) for c in reversed(named)]
+    for row in out:
+        row[-1] = n - 1 - row[1]  # a walk that takes siblings last to first is the way back of one that leaves them first to last
     return [tuple(r) for r in out]
 
 
-def parse_files(files: DataFrame, function_expressions: bool = False) -> DataFrame:
-    """``NODE_SCHEMA`` rows of the files (repo_id, file, content); a file that cannot be parsed gives one row with ``error``.
+def parse_files(files: DataFrame, function_expressions: bool = False, measured: bool = False) -> DataFrame:
+    """``NODE_SCHEMA`` rows of the files (repo_id, file, content); a file that cannot be parsed gives one row with ``error``. With ``measured``
+    only the nodes that measures depend on leave the parser (``tree_rows``).
 
     The one Python boundary of the engine, in Arrow batches; files are independent, so any partitioning will do.
     """
@@ -105,7 +112,7 @@ def parse_files(files: DataFrame, function_expressions: bool = False) -> DataFra
             rows: list[tuple] = []
             for repo, file, content in zip(batch["repo_id"], batch["file"], batch["content"], strict=True):
                 try:
-                    found = tree_rows(content or "", file.endswith(".tsx"), function_expressions)
+                    found = tree_rows(content or "", file.endswith(".tsx"), function_expressions, measured)
                     rows += [(repo, file, None, *r) for r in found]
                 except (RecursionError, ValueError, IndexError) as e:
                     rows.append((repo, file, type(e).__name__, *[None] * 17))

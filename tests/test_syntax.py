@@ -98,3 +98,28 @@ def test_walk_with_a_visitor():
     seen.clear()
     walk(root, None, lambda n: seen.append(n.type))
     assert seen[-1] == root.type
+
+
+def test_measured_rows_are_those_of_the_whole_tree():
+    """What leaves the parser for measures: the rows that they depend on, with the numbers of the whole tree; prose leaves its root only."""
+    from codestrata.syntax.nodes import _MEASURED
+
+    def asked(r):
+        return r[0] == 0 or r[4] in _MEASURED or r[4] == "statement_block" and r[7] == 0 or r[14] in ("&&", "||") or r[15]
+
+    r = random.Random(3)
+    words = ["a", "b1", "été", "x×y", "as", "in", "of", "if", "else", "async", "yield", "new", "typeof", "get", "class", "function", "let", "=>", "(", ")", "{", "}", "[", "]", ".", ",", ";", ":", "?", "!", "&&", "||", "=", "<", ">", "5", ".5", "'s'", "`t`", "/", "// c\n", "\n", "console.log(1)", "try {} catch (e) {}", "(p, q) => { if (p) r }", "for (;;) { u v, w. z y }", "switch (a) { case 1: b c }"]
+    for i in range(1500):
+        code = r.choice([" ", "", "\n", "\t"]).join(r.choice(words if r.random() < 0.5 else words[:3]) for _ in range(r.randint(1, 40)))
+        for tsx in (False, True):
+            try:
+                whole = tree_rows(code, tsx)
+            except (RecursionError, ValueError, IndexError) as e:
+                whole = e
+            if isinstance(whole, Exception):
+                with pytest.raises(type(whole)):
+                    tree_rows(code, tsx, measured=True)
+            else:
+                assert tree_rows(code, tsx, measured=True) == [x for x in whole if asked(x)], (i, code)
+    prose = "Words of a text, with commas. And full stops " * 200
+    assert len(tree_rows(prose, measured=True)) == 1 and len(tree_rows(prose)) > 3000

@@ -90,3 +90,35 @@ def test_few_hashes_move():
     same = D.identities(tokens, 50)
     assert (same[500:551] == same[10_000:10_051]).all() and len(np.unique(same)) == len(same) - 51
     assert (least[500:551] - 500 == least[10_000:10_051] - 10_000).all()
+
+
+def test_files_are_looked_at_once_and_copies_not_at_all(spark, monkeypatch):
+    """Windows of a file are counted by one pass that is not made again for the join; files with equal tokens on equal lines share it."""
+    calls = spark.sparkContext.accumulator(0)
+    whole = D._counted
+
+    def counted(size):
+        rows = whole(size)
+
+        def run(*row):
+            calls.add(1)
+            return rows(*row)
+
+        return run
+
+    monkeypatch.setattr(D, "_counted", counted)
+    files = corpus(6)
+    copies = [*files, *[(repo, f"copy{i}-{name}", content + "// end\n" * (i % 2)) for i in range(3) for repo, name, content in files[:20]]]
+    d = D.duplication(spark.createDataFrame(copies, "repo_id string, file string, content string"), 12, 3)
+    got = {r["repo_id"]: (r["duplication"]["duplicateLines"], r["duplication"]["cloneClusters"]) for r in d.collect()}
+    assert got == brute(copies, 12, 3)
+    assert 0 < calls.value <= len(files)
+
+
+def test_one_partition_is_dealt_to_all_cores(spark):
+    """A table of one split is cut and parsed by more than one task."""
+    from codestrata.queries import dealt
+
+    files = spark.createDataFrame(corpus(7), "repo_id string, file string, content string").coalesce(1)
+    used = {r[0] for r in dealt(spark, files).selectExpr("spark_partition_id()").distinct().collect()}
+    assert len(used) >= spark.sparkContext.defaultParallelism

@@ -5,6 +5,7 @@ differs in at most one bit. Each fingerprint is indexed once for every segment a
 fingerprints whose segment differs in at most one bit meet in such a variant. Meetings are verified over all 64 bits.
 """
 
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -38,8 +39,12 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     n = max(1, len(words) - width + 1)
     spans = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, dtype=np.int64)
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64)
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed 64-bit number."""
+    ones, n = np.zeros(64, dtype=np.int64), len(hashes)
     for at in range(0, n, 1 << 14):
         part = hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -214,12 +219,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of ``docs`` from each component: that of the smallest id (null ids last, then by a hash of the text).
 
     Texts are linked by at most ``distance`` differing bits of their fingerprints or, with ``similarity``, by that Jaccard similarity
-    of their sets of shingles (``similar_sets``): bits cannot tell a similarity of 0.8, at which they differ in 10 of 64 on
+    of their sets of shingles. Such links are looked for among fingerprints as before, each held against the sets, and those that are too far apart
+    in bits among minima (``similar_sets``): bits cannot tell a similarity of 0.8, at which they differ in 10 of 64 on
     average and in up to 39 for short texts, from others that differ in as many.
     Copies of a text are thinned out in the tasks that read them, before texts move.
     """
     if similarity is not None:
-        return similar_sets.one_of_each(docs, id_col, text_col, similarity, width)
+        return similar_sets.one_of_each(docs, id_col, text_col, similarity, width, majority, partial(near_links, distance=distance))
     text = F.coalesce(F.col(text_col), F.lit(""))
     k1, k2 = text_keys(text)
     digest = cut_lineage(docs.select(F.col(id_col).alias("id_of_row"), k1, k2, fingerprint_column(F.col(text_col), width).alias("fp")))

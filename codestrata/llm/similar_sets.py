@@ -6,6 +6,9 @@ segment differs in at most one minimum with probability 0.74, so a pair of that
 probability 1.6e-6, and one of 0.85 with 1.5e-8. Few that meet are compared in pairs, many as groups whose texts come to one task.
 Every link is verified on the sets of shingles.
 
+Called by ``simhash_dedup``, the links among SimHash fingerprints of the same shingles come first: equal ones and those that deletion variants of
+their bits bring together, verified on the sets, too. Minima that meet are then compared only if these links do not connect them already.
+
 Groups of more than a tile, such as near copies of one text that a third of all documents are, are first thinned out around
 a text of theirs, the pivot: all members are compared with it, and those similar to it are linked and need no
 comparison with each other. One minus the Jaccard similarity is a metric, so of these only members
@@ -17,14 +20,14 @@ other) is compared in cells of two tiles: exactly, but each text goes to as many
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.llm.common import cut_lineage, first_rows, shuffle_partitions, text_keys
@@ -44,12 +47,17 @@ ROUNDS, MOST_KEPT = 12, 0.75
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, SEGMENTS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, ascending; a shorter text is one shingle."""
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The hashes of a text's word shingles, repeats included; a shorter text is one shingle."""
     words = (text or "").encode().lower().split()
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + width]), SEED) for i in range(n)], dtype=np.uint64))
+    return np.array([digest(b" ".join(words[i : i + width]), SEED) for i in range(n)], dtype=np.uint64)
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending."""
+    return np.unique(shingle_hashes(text, width))
 
 
 def variants(hashes: np.ndarray) -> np.ndarray:
@@ -62,12 +70,14 @@ def variants(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r, i) for i, r in enumerate(rest)], dtype=np.uint64).view(np.int64)
 
 
-def _sketch(width: int):
-    @F.pandas_udf("node long, n int, variants array<long>")
+def _sketch(width: int, fingerprint: Callable[[np.ndarray], int] | None):
+    @F.pandas_udf("node long, n int, variants array<long>, fp long")
     def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t, width) for t in texts]
+        hashes = [shingle_hashes(t, width) for t in texts]
+        sets = [np.unique(h) for h in hashes]
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"node": nodes, "n": np.array([len(s) for s in sets], dtype=np.int32), "variants": [variants(s) for s in sets]})
+        fps = np.array([fingerprint(h) if fingerprint else 0 for h in hashes], dtype=np.int64)
+        return pd.DataFrame({"node": nodes, "n": np.array([len(s) for s in sets], dtype=np.int32), "variants": [variants(s) for s in sets], "fp": fps})
 
     return of
 
@@ -208,13 +218,25 @@ def _thinned(runs: DataFrame, texts: DataFrame, similarity: float, width: int) -
     return links, [*left, sized]
 
 
-def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, similarity: float, width: int) -> DataFrame:
+def _near(nodes: DataFrame, near_links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of nodes that bits bring together: those of one fingerprint in a chain, and the first ones of linked fingerprints."""
+    fps = nodes.select("node", F.col("place.fp").alias("fp"))
+    first = cut_lineage(fps.groupBy("fp").agg(F.min("node").alias("node")))
+    chain = fps.select("node", F.lag("node").over(Window.partitionBy("fp").orderBy("node")).alias("last")).where("last is not null").select(F.col("last").alias("a"), F.col("node").alias("b"))
+    one, two = first.select(F.col("fp").alias("a"), F.col("node").alias("node_a")), first.select(F.col("fp").alias("b"), F.col("node").alias("node_b"))
+    linked = near_links(first.select("fp")).join(one, "a").join(two, "b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return cut_lineage(chain.union(linked))
+
+
+def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, similarity: float, width: int, near_links: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links (a, b) that connect exactly the nodes whose sets are similar."""
     parts = shuffle_partitions(docs.sparkSession)
     keyed = nodes.select(F.explode("place.variants").alias("key"), "node", F.col("place.n").alias("n"))
     met = cut_lineage(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet(similarity), "kind int, a long, b long, n int").distinct())
     pairs, runs = met.where("kind = 0").select("a", "b"), met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(runs.select("node")).distinct()
+    near = None if near_links is None else _near(nodes, near_links)
+    compared = pairs if near is None else pairs.union(near)
+    asked = compared.select(F.col("a").alias("node")).union(compared.select("b")).union(runs.select("node")).distinct()
     asked = asked.join(nodes, "node").select("node", F.col("place.id_of_row").alias("i"), F.col("place.k1").alias("c1"), F.col("place.k2").alias("c2"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     k1, k2 = text_keys(text)
@@ -222,27 +244,38 @@ def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, simila
     same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("id_of_row").eqNullSafe(F.col("i"))
     texts = cut_lineage(rows.join(asked, same).select("node", "text").dropDuplicates(["node"]))
     one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    alike = pairs.join(one, "a").join(two, "b").where(_likeness(width)(F.col("text_a"), F.col("text_b")) >= similarity).select("a", "b")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        return pairs.join(one, "a").join(two, "b").where(_likeness(width)(F.col("text_a"), F.col("text_b")) >= similarity).select("a", "b")
+
+    found = []
+    if near is not None:
+        found.append(cut_lineage(alike(near)))
+        roots = star_components(found[0])
+        known = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+        apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+        pairs = pairs.join(known[0], "a", "left").join(known[1], "b", "left").where(apart).select("a", "b")
     linked, left = _thinned(runs, texts, similarity, width)
     cells = reduce(DataFrame.union, left).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
     # Every pair of one tile is in the cells of that tile with another, too.
     cells = cells.where("tiles = 1 or tile <> other").select("key", "node", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
     cells = cells.join(texts, "node").select("key", "lo", "hi", "node", "text").repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return reduce(DataFrame.union, linked, alike.union(cells.mapInArrow(_compare(similarity, width), "a long, b long")))
+    return reduce(DataFrame.union, [*found, *linked], alike(pairs).union(cells.mapInArrow(_compare(similarity, width), "a long, b long")))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WIDTH, fingerprint: Callable[[np.ndarray], int] | None = None, near_links: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row of ``docs`` from each component of texts linked by a similarity of at least ``similarity``: that of the
     smallest id (null ids last, then by a hash of the text).
 
     The similarity is that of the sets of shingles of ``width`` words; only A-Z are lower-cased, words are runs without
     ASCII white space, a shorter text is one shingle; null, empty and blank texts are alike. Texts of one set are one node.
+    ``fingerprint`` makes bits of a text's hashes, and ``near_links`` links such fingerprints (column ``fp``); what they link is compared first.
     """
     k1, k2 = text_keys(F.coalesce(F.col(text_col), F.lit("")))
-    digest = docs.select(F.col(id_col).alias("id_of_row"), k1, k2, _sketch(width)(F.col(text_col)).alias("s"))
-    place = F.struct(F.col("id_of_row").isNull().alias("no_id"), "id_of_row", "k1", "k2", F.col("s.n").alias("n"), F.col("s.variants").alias("variants"))
+    digest = docs.select(F.col(id_col).alias("id_of_row"), k1, k2, _sketch(width, fingerprint)(F.col(text_col)).alias("s"))
+    place = F.struct(F.col("id_of_row").isNull().alias("no_id"), "id_of_row", "k1", "k2", F.col("s.n").alias("n"), F.col("s.variants").alias("variants"), F.col("s.fp").alias("fp"))
     nodes = cut_lineage(digest.groupBy(F.col("s.node").alias("node")).agg(F.min(place).alias("place")))
-    roots = star_components(_links(docs, nodes, id_col, text_col, similarity, width)).select(F.col("node").alias("linked"), "root")
+    roots = star_components(_links(docs, nodes, id_col, text_col, similarity, width, near_links)).select(F.col("node").alias("linked"), "root")
     placed = nodes.select("node", F.struct("place.no_id", "place.id_of_row", "place.k1", "place.k2").alias("place"))
     chosen = placed.join(roots, F.col("node") == F.col("linked"), "left").groupBy(F.coalesce("root", "node").alias("root_of")).agg(F.min("place").alias("place"))
     return first_rows(docs, chosen, id_col, text_col)

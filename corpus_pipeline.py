@@ -19,7 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles agree by 0.8 or more) stays."""
+    """One document of each group of near-duplicates (five-word shingles agree by 0.8 or more) stays: SimHash fingerprints meet in
+    deletion variants, minima find what is farther apart in bits, and each link is held against the sets."""
     return simhash_dedup.one_of_each(docs, width=5, similarity=0.8)
 
 

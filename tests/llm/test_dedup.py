@@ -306,3 +306,30 @@ def test_recall_and_precision_of_the_stage(spark, sf):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     assert kept == {data[i][0] for i in range(len(data)) if find(i) == i} and pairs >= 10
+
+
+def test_the_stage_links_by_deletion_variants_of_bits(spark, monkeypatch):
+    """Near copies within three bits are found where no minima meet; what bits bring together is held against the sets."""
+
+    def none_meet(similarity):
+        def meet(batches):
+            for _ in batches:
+                pass
+            return iter(())
+
+        return meet
+
+    monkeypatch.setattr(similar_sets, "_meet", none_meet)
+    dice = random.Random(21)
+    data = []
+    for i in range(6):
+        words = [f"w{dice.randrange(10**6)}" for _ in range(1500)]
+        for j in range(3):
+            data.append((3 * i + j, " ".join([*words[: 100 * j], "other", *words[100 * j + 1 :]]), "en", "s", 1))
+    data.append((100, "w1 " * 40, "en", "s", 1))
+    data.append((101, "w1 " * 60, "en", "s", 1))
+    bits = {r[0]: simhash_dedup.fingerprint(r[1], 5) for r in data}
+    near = [[b for b in bits if b // 3 == a // 3 and (bits[a] ^ bits[b]).bit_count() <= 3 and b < a] for a in range(18)]
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs(spark, data), "").collect()}
+    assert sum(map(bool, near)) > 5 and not {a for a in range(18) if near[a]} & kept
+    assert {0, 3, 6, 9, 12, 15, 100} <= kept and 101 not in kept

@@ -6,6 +6,8 @@ import re
 import sys
 import tempfile
 import types
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs meanwhile hands ``rows`` rows at once to Python, at most; afterwards the session's setting holds again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def worker_memory(name: str) -> dict:
     """A dictionary that lasts as long as a Python worker's process, over its tasks; callers bound what they keep in it."""
     home = sys.modules.setdefault("_codestrata_worker", types.ModuleType("_codestrata_worker"))

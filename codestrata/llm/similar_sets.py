@@ -9,7 +9,7 @@ Every link is verified on the sets of shingles.
 Called by ``simhash_dedup``, the links among SimHash fingerprints of the same shingles come first: equal ones and those that deletion variants of
 their bits bring together, verified on the sets, too. Minima that meet are then compared only if these links do not connect them already.
 
-Groups of more than a tile, such as near copies of one text that a third of all documents are, are first thinned out around
+Groups that agree in their least or greatest member are one, where that sends no more texts. Groups of more than a tile, such as near copies of one text that a third of all documents are, are first thinned out around
 a text of theirs, the pivot: all members are compared with it, and those similar to it are linked and need no
 comparison with each other. One minus the Jaccard similarity is a metric, so of these only members
 whose similarity to the pivot is at most 1 - ``similarity`` above that of some member not linked can still be similar to one
@@ -27,10 +27,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import cut_lineage, first_rows, shuffle_partitions, text_keys
+from codestrata.llm.common import arrow_rows, cut_lineage, first_rows, shuffle_partitions, text_keys
 from codestrata.llm.components import star_components
 
 SIMILARITY = 0.8
@@ -41,6 +41,8 @@ SEGMENTS, ROWS = 10, 5
 SMALL = 16
 #: Texts and shingles of a tile; two tiles are compared in one task.
 TILE, TILE_SHINGLES = 1024, 2 << 20
+#: Texts, or pairs of texts, of a batch for Python.
+BATCH = 512
 #: Rounds, at most, in which groups of more than a tile are thinned out, and the part that a round may leave for another to follow.
 ROUNDS, MOST_KEPT = 12, 0.75
 
@@ -73,15 +75,23 @@ def variants(hashes: np.ndarray) -> np.ndarray:
 def _sketch(width: int, fingerprint: Callable[[np.ndarray], int] | None):
     @F.pandas_udf("node long, n int, variants array<long>, fp long")
     def of(texts: pd.Series) -> pd.DataFrame:
-        hashes = [shingle_hashes(t, width) for t in texts]
-        sets = [np.unique(h) for h in hashes]
-        nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-        fps = np.array([fingerprint(h) if fingerprint else 0 for h in hashes], dtype=np.int64)
-        return pd.DataFrame({"node": nodes, "n": np.array([len(s) for s in sets], dtype=np.int32), "variants": [variants(s) for s in sets], "fp": fps})
+        rows = []  # no more than one text's hashes at a time
+        for t in texts:
+            hashes = shingle_hashes(t, width)
+            s = np.unique(hashes)
+            rows.append((xxhash.xxh64_intdigest(s.tobytes(), SEED), len(s), variants(s), fingerprint(hashes) if fingerprint else 0))
+        nodes, n, keys, fps = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pd.DataFrame({"node": np.array(nodes, dtype=np.uint64).view(np.int64), "n": np.array(n, dtype=np.int32), "variants": list(keys), "fp": np.array(fps, dtype=np.int64)})
 
     return of
 
 
+def _with_texts(df: DataFrame) -> DataFrame:
+    """A checkpoint of what functions of texts give: ``BATCH`` texts go to Python at once, since a batch of Spark's 10,000 is held by both sides."""
+    with arrow_rows(df.sparkSession, BATCH):
+        return cut_lineage(df)
+
+
 def _likeness(width: int):
     @F.pandas_udf("double")
     def of(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -190,10 +200,26 @@ def _compare(similarity: float, width: int):
     return compare
 
 
+def _tiles() -> Column:
+    """The tiles of a group of rows (node, n)."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+
+
+def _bundled(runs: DataFrame, shared: Callable[[str], Column]) -> DataFrame:
+    """Runs (key, node, n) that agree in one member, which ``shared`` picks (the least or the greatest), become one run, if that sends no more texts
+    than the runs by themselves. Near copies of one text meet in many variants, in runs of nearly the same members."""
+    own = runs.groupBy("key").agg(shared("node").alias("one"), (F.count(F.lit(1)) * _tiles()).alias("sent"))
+    placed = runs.join(own.select("key", "one"), "key")
+    members = placed.groupBy("one", "node").agg(F.min("n").alias("n"))
+    together = members.groupBy("one").agg((F.count(F.lit(1)) * _tiles()).alias("together"))
+    better = together.join(own.groupBy("one").agg(F.sum("sent").alias("apart")), "one").where("together <= apart").select("one")
+    left = placed.join(better, "one", "left_anti").select("key", "node", "n")
+    return cut_lineage(members.join(better, "one").select(F.col("one").alias("key"), "node", "n").union(left))
+
+
 def _sized(runs: DataFrame) -> DataFrame:
     """Adds to each run (key, node, n, was) its members' number, its tiles and its pivot."""
-    many = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
-    shares = runs.groupBy("key").agg(F.count(F.lit(1)).alias("members"), many.alias("tiles"), F.min("node").alias("pivot"))
+    shares = runs.groupBy("key").agg(F.count(F.lit(1)).alias("members"), _tiles().alias("tiles"), F.min("node").alias("pivot"))
     return runs.join(shares, "key").withColumn("tile", F.expr("cast(pmod(xxhash64(node), tiles) as int)"))
 
 
@@ -210,7 +236,7 @@ def _thinned(runs: DataFrame, texts: DataFrame, similarity: float, width: int) -
         # The pivot's text goes to each tile of its run, so that no task gets a whole run.
         pivots = hot.where("node = pivot").join(texts, "node").select("key", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.col("text").alias("pivot_text"))
         like = _likeness(width)(F.col("text"), F.col("pivot_text"))
-        seen = cut_lineage(hot.join(texts, "node").join(pivots, ["key", "tile"]).select("key", "node", "n", "pivot", "members", like.alias("like")))
+        seen = _with_texts(hot.join(texts, "node").join(pivots, ["key", "tile"]).select("key", "node", "n", "pivot", "members", like.alias("like")))
         links.append(seen.where((F.col("like") >= similarity) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         most = seen.where(F.col("like") < similarity).groupBy("key").agg(F.max("like").alias("most"))
         rest = seen.join(most, "key").where((F.col("like") <= F.col("most") + (1 - similarity + 1e-9)) & (F.col("node") != F.col("pivot")))
@@ -234,6 +260,7 @@ def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, simila
     keyed = nodes.select(F.explode("place.variants").alias("key"), "node", F.col("place.n").alias("n"))
     met = cut_lineage(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet(similarity), "kind int, a long, b long, n int").distinct())
     pairs, runs = met.where("kind = 0").select("a", "b"), met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n")
+    runs = _bundled(_bundled(runs, F.min), F.max)
     near = None if near_links is None else _near(nodes, near_links)
     compared = pairs if near is None else pairs.union(near)
     asked = compared.select(F.col("a").alias("node")).union(compared.select("b")).union(runs.select("node")).distinct()
@@ -250,8 +277,8 @@ def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, simila
 
     found = []
     if near is not None:
-        found.append(cut_lineage(alike(near)))
-        roots = star_components(found[0])
+        roots = star_components(_with_texts(alike(near)))
+        found.append(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         known = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
         apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
         pairs = pairs.join(known[0], "a", "left").join(known[1], "b", "left").where(apart).select("a", "b")
@@ -260,7 +287,8 @@ def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, simila
     # Every pair of one tile is in the cells of that tile with another, too.
     cells = cells.where("tiles = 1 or tile <> other").select("key", "node", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
     cells = cells.join(texts, "node").select("key", "lo", "hi", "node", "text").repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return reduce(DataFrame.union, [*found, *linked], alike(pairs).union(cells.mapInArrow(_compare(similarity, width), "a long, b long")))
+    met = _with_texts(alike(pairs).union(cells.mapInArrow(_compare(similarity, width), "a long, b long")))
+    return reduce(DataFrame.union, [*found, *linked], met)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WIDTH, fingerprint: Callable[[np.ndarray], int] | None = None, near_links: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -274,7 +302,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     k1, k2 = text_keys(F.coalesce(F.col(text_col), F.lit("")))
     digest = docs.select(F.col(id_col).alias("id_of_row"), k1, k2, _sketch(width, fingerprint)(F.col(text_col)).alias("s"))
     place = F.struct(F.col("id_of_row").isNull().alias("no_id"), "id_of_row", "k1", "k2", F.col("s.n").alias("n"), F.col("s.variants").alias("variants"), F.col("s.fp").alias("fp"))
-    nodes = cut_lineage(digest.groupBy(F.col("s.node").alias("node")).agg(F.min(place).alias("place")))
+    nodes = _with_texts(digest.groupBy(F.col("s.node").alias("node")).agg(F.min(place).alias("place")))
     roots = star_components(_links(docs, nodes, id_col, text_col, similarity, width, near_links)).select(F.col("node").alias("linked"), "root")
     placed = nodes.select("node", F.struct("place.no_id", "place.id_of_row", "place.k1", "place.k2").alias("place"))
     chosen = placed.join(roots, F.col("node") == F.col("linked"), "left").groupBy(F.coalesce("root", "node").alias("root_of")).agg(F.min("place").alias("place"))

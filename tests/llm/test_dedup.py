@@ -333,3 +333,32 @@ def test_the_stage_links_by_deletion_variants_of_bits(spark, monkeypatch):
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs(spark, data), "").collect()}
     assert sum(map(bool, near)) > 5 and not {a for a in range(18) if near[a]} & kept
     assert {0, 3, 6, 9, 12, 15, 100} <= kept and 101 not in kept
+
+
+def test_runs_of_nearly_the_same_members_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(similar_sets, "TILE", 50)
+    dice = random.Random(3)
+    runs = {(key, node) for key in range(100, 140) for node in dice.sample(range(60), 40)} | {(key, 1000 + key * 20 + i) for key in range(200, 205) for i in range(20)}
+    frame = spark.createDataFrame([(k, node, 5) for k, node in sorted(runs)], "key long, node long, n int")
+    got = similar_sets._bundled(similar_sets._bundled(frame, similar_sets.F.min), similar_sets.F.max).collect()
+    members = collections.defaultdict(set)
+    for r in got:
+        members[r["key"]].add(r["node"])
+    for key in {k for k, _ in runs}:
+        assert any({n for k, n in runs if k == key} <= m for m in members.values())
+    assert len(got) < len(runs) / 4 and sum(len(m) for m in members.values()) == len(got)
+    # Runs that share one member and nothing else would be a group of many tiles.
+    apart = [(key, node, 5) for key in range(10) for node in [0, *range(1000 + key * 100, 1030 + key * 100)]]
+    assert len(similar_sets._bundled(spark.createDataFrame(apart, "key long, node long, n int"), similar_sets.F.min).collect()) == len(apart)
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    seen = []
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(similar_sets, "cut_lineage", lambda df, f=similar_sets.cut_lineage: (seen.append(int(spark.conf.get(name))), f(df))[1])
+    sizes = spark.range(0, 100, 1, 1).mapInArrow(lambda batches: (b.select(["id"]).slice(0, 1) for b in batches), "id long")
+    monkeypatch.setattr(similar_sets, "BATCH", 10)
+    assert similar_sets._with_texts(sizes).count() == 10 and seen == [10] and spark.conf.get(name) == before
+    similar_sets.one_of_each(docs(spark)).count()
+    assert 10 in seen[1:] and spark.conf.get(name) == before

@@ -122,3 +122,31 @@ def test_one_partition_is_dealt_to_all_cores(spark):
     files = spark.createDataFrame(corpus(7), "repo_id string, file string, content string").coalesce(1)
     used = {r[0] for r in dealt(spark, files).selectExpr("spark_partition_id()").distinct().collect()}
     assert len(used) >= spark.sparkContext.defaultParallelism
+
+
+def test_few_compressed_bytes_are_dealt_to_many_tasks(spark, monkeypatch, tmp_path):
+    """Spark merges partitions of few bytes; tokens are few bytes and much work."""
+    from pyspark import TaskContext
+
+    def marked(name):
+        whole, folder = getattr(D, name), tmp_path / name
+        folder.mkdir()
+
+        def of(*sizes):
+            rows = whole(*sizes)
+
+            def run(*row):
+                (folder / str(TaskContext.get().partitionId())).touch()
+                return rows(*row)
+
+            return run
+
+        monkeypatch.setattr(D, name, of)
+        return folder
+
+    folders = [marked("_counted"), marked("_stretches")]
+    files = corpus(6)
+    d = D.duplication(spark.createDataFrame(files, "repo_id string, file string, content string"), 12, 3)
+    got = {r["repo_id"]: (r["duplication"]["duplicateLines"], r["duplication"]["cloneClusters"]) for r in d.collect()}
+    assert got == brute(files, 12, 3)
+    assert all(len(list(f.iterdir())) > 1 for f in folders)

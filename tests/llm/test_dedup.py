@@ -144,6 +144,55 @@ def test_star_components(spark):
     assert components.star_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 90, 1 << 16])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    dice = random.Random(few)
+    edges = [(i, i + 1) for i in range(40)] + [(200, k) for k in range(101, 160)] + [(dice.randrange(-60, 0), dice.randrange(-60, 0)) for _ in range(50)] + [(1 << 62, -(1 << 62)), (7, 7)]
+    edges += [(b, a) for a, b in edges[::3]] + edges[::5]
+    dice.shuffle(edges)
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    root = {x: x for e in edges for x in e}
+    for _ in range(100):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = [(r["node"], r["root"]) for r in components.star_components(frame).collect()]
+    assert sorted(got) == sorted((x, r) for x, r in root.items() if x != r)
+    assert components.star_components(frame.where("a = b")).count() == 0
+
+
+def work_of(spark, name, run):
+    """Jobs and tasks that the driver keeps account of for ``run``."""
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    status = context.statusTracker()
+    jobs = [status.getJobInfo(j) for j in status.getJobIdsForGroup(name)]
+    return len(jobs), sum(x.numTasks for j in jobs for s in j.stageIds if (x := status.getStageInfo(s)) and x.numCompletedTasks)
+
+
+def test_few_links_take_no_rounds_and_a_round_few_tasks(spark, monkeypatch):
+    """The driver's memory holds every task of the last thousand stages, so rounds over many partitions fill it."""
+    held = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+        jobs, tasks = work_of(spark, "few-links", lambda: components.star_components(chain).count())
+        assert jobs <= 12 and tasks < 5 * 23
+        monkeypatch.setattr(components, "FEW", 0)
+        links = components.cut_lineage(chain.repartition(23, "a"))
+        jobs, tasks = work_of(spark, "a-round", lambda: components.cut_lineage(components._round(links)))
+        assert 0 < tasks < 12 * 23
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_one_of_each(spark):
     data = rows()
     kept = simhash_dedup.one_of_each(docs(spark))

@@ -87,7 +87,8 @@ def top_share_concentration(entities: DataFrame, keys: tuple[str, ...], weight:
 def distributions(functions: DataFrame, files: DataFrame) -> DataFrame:
     """The seven measures of each repository that has files; files without functions count among the ranked ones."""
     high = F.count_if(F.coalesce(F.col("complexity") >= C.HIGH_COMPLEXITY, F.lit(False)))
-    per_file = files.select("repo_id", "file").join(functions.select("repo_id", "file", "complexity"), ["repo_id", "file"], "left").groupBy("repo_id", "file").agg(zero(F.sum("complexity")).alias("t"), high.alias("h"))
+    sums = functions.groupBy("repo_id", "file").agg(F.sum("complexity").alias("t"), high.alias("h"))  # before the join, so that a row a file moves, not one a function
+    per_file = files.select("repo_id", "file").join(sums, ["repo_id", "file"], "left").groupBy("repo_id", "file").agg(zero(F.sum("t")).alias("t"), zero(F.sum("h")).alias("h"))
     shares = top_share_concentration(per_file, ("repo_id",), "t", "h", "file").withColumnRenamed("concentration", "percent_high_complexity_in_top_10_percent_files")
     names = {"function_length": "lines", "complexity": "complexity"}
     d = shares.join(floor_percentiles(functions, ("repo_id",), names), "repo_id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +17,10 @@ from codestrata.sources.snapshots import SnapshotTable
 from codestrata.syntax.nodes import analysed, parse_files
 
 
-def measure_files(files: DataFrame, function_expressions: bool = False) -> DataFrame:
+def measure_files(files: DataFrame, function_expressions: bool = False, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """``schema.MEASURES`` of the files that have content: a row a file, with its functions in the order of the walk that takes siblings last to first.
 
-    Files are parsed once; nodes stay on the executors' disks until the measures, which are written to the shared folder, are made of them.
+    Files are parsed once; nodes stay on the executors' disks until the measures, which ``keep`` writes to the shared folder, are made of them.
     """
     parsed = parse_files(files.where(F.col("content").isNotNull()), function_expressions, measured=True).persist(StorageLevel.DISK_ONLY)
     nodes = analysed(parsed)
@@ -34,7 +36,7 @@ def measure_files(files: DataFrame, function_expressions: bool = False) -> DataF
     good = d.select(*FILE, F.lit(None).cast("string").alias("error"), "total", "by_type", F.coalesce(F.col("functions").cast(schema.FUNCTIONS), none).alias("functions"), zero(F.col("empty_catches")).alias("empty_catches"), "console_logs")
     bad = parsed.where(F.col("error").isNotNull()).select(*FILE, "error")
     try:
-        return cut_lineage(good.unionByName(bad, allowMissingColumns=True))
+        return keep(good.unionByName(bad, allowMissingColumns=True))
     finally:
         parsed.unpersist()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from codestrata.operators.duplication import duplication
 from codestrata.operators.functions import function_summary
 from codestrata.operators.profile import coverage_proxy, framework, loc_profile, maintainability
 from codestrata.plans.measures import file_entries, function_rows, measure_files
-from codestrata.sources.scratch import cut_lineage
+from codestrata.sources.scratch import cut_lineage, passing
 
 
 @dataclass
@@ -25,6 +26,7 @@ class Inputs:
 
     ``api`` holds commits from saved pages, for repositories (``archived``) that were fetched as archives: their git section
     comes from there, and says so where even that is missing. ``measures`` (``schema.MEASURES``) are taken in place of parsing the files, if given.
+    ``dealt`` are the same files dealt to all cores, if ``files`` lie in few places: passes in Python take those, so that no others move contents.
     """
 
     repos: DataFrame
@@ -34,6 +36,7 @@ class Inputs:
     api: DataFrame | None = None
     archived: DataFrame | None = None
     measures: DataFrame | None = None
+    dealt: DataFrame | None = None
 
 
 def _section(d: DataFrame, other: DataFrame | None, name: str, kind: str) -> DataFrame:
@@ -49,37 +52,24 @@ def build_reports(inputs: Inputs, as_of: int, timestamp: str | None = None, func
     holds more than sums: what is to be stored a file is then taken from ``plans.measures`` as a table.
 
     ``as_of`` (seconds) ends the windows of weeks and days. Files are parsed once, and only for the section "code"; measures and commits, which
-    several sections read, are written to the shared folder. All joins are on repo_id between tables of one row a repository.
+    several sections read, are written to the shared folder. Sections are made one after the other and what they were made of is deleted, so that
+    the disk holds that of one at a time. All joins are on repo_id between tables of one row a repository.
     Files that could not be read or parsed are counted, not analysed; without "code" all that could be read count as analysed. A
     repository without files has zeros.
     """
-    repos, files = inputs.repos, inputs.files
-    empty = repos.sparkSession.createDataFrame([], schema.MEASURES)
-    code = "code" in sections
-    measures = inputs.measures if inputs.measures is not None else measure_files(files, function_expressions) if code else empty
-    commits = None if inputs.commits is None else cut_lineage(inputs.commits)
-    failed, done = measures.where(F.col("error").isNotNull()), measures.where(F.col("error").isNull())
-    functions = function_rows(done)
-    good = done.select("repo_id", "file") if code else files.where(F.col("content").isNotNull()).select("repo_id", "file")
-    skipped = files.where(F.col("content").isNull()).select("repo_id", "file").union(failed.select("repo_id", "file")).groupBy("repo_id").agg(F.count(F.lit(1)).alias("skipped"))
-    d = repos.select("repo_id", F.col("repo_path").alias("repoPath"), "source")
-    d = d.join(good.groupBy("repo_id").agg(F.count(F.lit(1)).alias("analysed")), "repo_id", "left").join(skipped, "repo_id", "left").join(loc_profile(files), "repo_id", "left")
-    smells = done.groupBy("repo_id").agg(F.sum("empty_catches").alias("emptyCatchBlocks"), F.sum("console_logs").alias("consoleLogs"))
-    shares = [name for name, category, _ in C.FEATURES if category == "Distribution"]
-    counts = ["totalFiles", "tsFiles", "tsxFiles", "testFiles", "totalLOC", "sourceLOC", "testLOC", "analysed"]
-    of_code = ["totalFunctions", "averageLength", "medianLength", "maxNestingDepth", "longFunctionPercentage", "average", "max", "highComplexityFunctions", "longFunctions", "deepNesting", "longParameterLists", "emptyCatchBlocks", "consoleLogs", *shares]
-    if code:
-        d = d.join(function_summary(functions), "repo_id", "left").join(smells, "repo_id", "left").join(distributions(functions, good), "repo_id", "left")
-    else:
-        d = d.withColumns({c: F.lit(0) for c in of_code})
-    d = d.na.fill(0, [*counts, *of_code])
-    entries = file_entries(done).groupBy("repo_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("file").alias("at"), F.to_json("entry").alias("json")))), lambda x: F.from_json(x["json"], schema.PER_FILE[6:-1])).alias("perFile"))
-    d = d.join(entries, "repo_id", "left") if per_file else d.withColumn("perFile", F.lit(None).cast(schema.PER_FILE))
+    with passing(inputs.repos.sparkSession) as keep:
+        d = _of_files(inputs, function_expressions, per_file, "code" in sections, keep)
     none = "struct<percentage: double, duplicateLines: long, cloneClusters: long>"
+    files = inputs.files if inputs.dealt is None else inputs.dealt
     d = d.join(duplication(files), "repo_id", "left") if "duplication" in sections else d.withColumn("duplication", F.lit(None).cast(none))
     git = "git"
-    d = _section(d, history_v1(commits, as_of) if commits is not None else None, git, schema.GIT)
-    d = _section(d, history_v2(commits) if commits is not None else None, "gitMetricsV2", schema.GIT_V2)
+    v1 = v2 = None
+    if inputs.commits is not None:
+        with passing(inputs.repos.sparkSession) as keep:
+            commits = keep(inputs.commits)
+            v1, v2 = cut_lineage(history_v1(commits, as_of)), cut_lineage(history_v2(commits))
+    d = _section(d, v1, git, schema.GIT)
+    d = _section(d, v2, "gitMetricsV2", schema.GIT_V2)
     if inputs.archived is not None:
         d = d.join(inputs.archived.select("repo_id", F.lit(True).alias("archived")).distinct(), "repo_id", "left")
         d = _section(d.withColumnRenamed(git, "local_git"), history_api(inputs.api) if inputs.api is not None else None, git, schema.GIT)
@@ -101,7 +91,7 @@ def build_reports(inputs: Inputs, as_of: int, timestamp: str | None = None, func
         F.struct("longFunctions", "deepNesting", "longParameterLists", "emptyCatchBlocks", "consoleLogs").alias("smells"),
         maintainability("average", "totalLOC", "averageLength").alias("maintainability"),
         coverage_proxy("testLOC", "sourceLOC").alias("testCoverageProxy"),
-        F.struct(*shares).alias("distributions"),
+        F.struct(*_shares()).alias("distributions"),
         F.lit(codestrata.__version__).alias("analyzer_version"),
         F.lit(timestamp).cast("string").alias("analysis_timestamp"),
         F.coalesce("perFile", F.array().cast(schema.PER_FILE)).alias("perFile"),
@@ -109,6 +99,39 @@ def build_reports(inputs: Inputs, as_of: int, timestamp: str | None = None, func
     return d.select("repo_id", report.cast(schema.REPORT).alias("report"))
 
 
+def _shares() -> list[str]:
+    return [name for name, category, _ in C.FEATURES if category == "Distribution"]
+
+
+def _of_files(inputs: Inputs, function_expressions: bool, per_file: bool, code: bool, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A row a repository: what its files and their measures give, written to the shared folder."""
+    repos, files = inputs.repos, inputs.files
+    if inputs.measures is not None:
+        measures = keep(inputs.measures)
+    elif code:
+        measures = measure_files(files if inputs.dealt is None else inputs.dealt, function_expressions, keep)
+    else:
+        measures = repos.sparkSession.createDataFrame([], schema.MEASURES)
+    failed, done = measures.where(F.col("error").isNotNull()), measures.where(F.col("error").isNull())
+    functions = function_rows(done)
+    good = done.select("repo_id", "file") if code else files.where(F.col("content").isNotNull()).select("repo_id", "file")
+    skipped = files.where(F.col("content").isNull()).select("repo_id", "file").union(failed.select("repo_id", "file")).groupBy("repo_id").agg(F.count(F.lit(1)).alias("skipped"))
+    d = repos.select("repo_id", F.col("repo_path").alias("repoPath"), "source")
+    d = d.join(good.groupBy("repo_id").agg(F.count(F.lit(1)).alias("analysed")), "repo_id", "left").join(skipped, "repo_id", "left").join(loc_profile(files), "repo_id", "left")
+    smells = done.groupBy("repo_id").agg(F.sum("empty_catches").alias("emptyCatchBlocks"), F.sum("console_logs").alias("consoleLogs"))
+    shares = _shares()
+    counts = ["totalFiles", "tsFiles", "tsxFiles", "testFiles", "totalLOC", "sourceLOC", "testLOC", "analysed"]
+    of_code = ["totalFunctions", "averageLength", "medianLength", "maxNestingDepth", "longFunctionPercentage", "average", "max", "highComplexityFunctions", "longFunctions", "deepNesting", "longParameterLists", "emptyCatchBlocks", "consoleLogs", *shares]
+    if code:
+        d = cut_lineage(d.join(function_summary(functions), "repo_id", "left").join(smells, "repo_id", "left"))
+        d = d.join(distributions(functions, good), "repo_id", "left")
+    else:
+        d = d.withColumns({c: F.lit(0) for c in of_code})
+    d = d.na.fill(0, [*counts, *of_code])
+    entries = file_entries(done).groupBy("repo_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("file").alias("at"), F.to_json("entry").alias("json")))), lambda x: F.from_json(x["json"], schema.PER_FILE[6:-1])).alias("perFile"))
+    return cut_lineage(d.join(entries, "repo_id", "left") if per_file else d.withColumn("perFile", F.lit(None).cast(schema.PER_FILE)))
+
+
 #: Sections that a report shows as null; all other null fields are left out.
 NULL_SECTIONS = ("framework", "git", "gitMetricsV2", "duplication")
 

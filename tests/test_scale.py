@@ -1,13 +1,19 @@
 """What keeps groups, pages and histories from ending in one task."""
 
 import math
+import os
 import random
 import statistics
+import time
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
-from codestrata.operators import commits, distributions, ranges, views
+from codestrata import schema
+from codestrata.operators import commits, distributions, duplication, ranges, views
+from codestrata.plans.report import Inputs, build_reports
+from codestrata.sources import scratch
 
 
 def concentration(rows, share=0.1):
@@ -112,3 +118,60 @@ def test_percentiles_over_ranges(spark, keys):
             want = (*[xs[min(int(p * n), n - 1)] for p in (0.5, 0.75, 0.9)], (xs[(n - 1) // 2] + xs[n // 2]) / 2)
             assert got[key][len(keys) :] == pytest.approx(want)
         assert len(got) == len(values)
+
+
+def on_disk(spark):
+    """Bytes of shuffle files, and of the shared folder."""
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda folder: [os.path.join(at, name) for at, _, names in os.walk(folder) for name in names]
+    size = lambda paths: sum(os.path.getsize(p) for p in paths if os.path.exists(p))
+    return size(p for folder in local for p in files(folder) if os.path.basename(p).startswith("shuffle_")), size(files(urlparse(scratch.shared_folder(spark)).path))
+
+
+def left(spark, before, most):
+    """What is on disk beyond ``before``; shuffle files are deleted a little later."""
+    for _ in range(50):
+        more = [now - b for now, b in zip(on_disk(spark), before, strict=True)]
+        if max(more) < most:
+            break
+        time.sleep(0.2)
+    return more
+
+
+def test_cut_lineage_leaves_no_shuffle_files(spark):
+    d = spark.range(40_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    setting = spark.conf.get(scratch._SWEEP, None)
+    before = on_disk(spark)
+    got = scratch.cut_lineage(d)
+    assert left(spark, (before[0], on_disk(spark)[1]), 10_000)[0] < 10_000 and spark.conf.get(scratch._SWEEP, None) == setting
+    assert got.agg(F.sum("n")).first()[0] == 40_000 and len(d.collect()) == len(d.collect()) == 40_000  # both can be run again
+
+
+def test_passing_rows_are_deleted(spark):
+    before = on_disk(spark)[1]
+    d = spark.createDataFrame([("a", None, [1, 2]), (None, "x", None)], "k string, v string, n array<int>")
+    with pytest.raises(ZeroDivisionError), scratch.passing(spark) as keep:
+        rows = keep(d)
+        assert rows.schema == d.schema and sorted(rows.collect(), key=str) == sorted(d.collect(), key=str) and on_disk(spark)[1] > before
+        raise ZeroDivisionError
+    assert on_disk(spark)[1] == before
+
+
+def test_sections_leave_no_rows_behind(spark):
+    dice = random.Random(9)
+    text = ["\n".join(" ".join(f"w{dice.randrange(50_000)}" for _ in range(8)) for _ in range(100)) for _ in range(200)]
+    files = spark.createDataFrame([(f"r{i % 3}", f"f{i}.ts", text[i % 150 if i % 2 else i], None) for i in range(200)], "repo_id string, file string, content string, error string")
+    repos = files.select("repo_id", F.col("repo_id").alias("repo_path"), F.lit(None).cast("struct<type: string, url: string, commit: string, branch: string>").alias("source")).distinct()
+    n = F.col("id")
+    path = F.concat(F.lit("src/"), F.md5(n.cast("string")), F.lit(".ts"))
+    history = spark.range(20_000).select(F.concat(F.lit("r"), n % 3).alias("repo_id"), F.md5(n.cast("string")).alias("hash"), n.alias("ts"), F.lit("fix").alias("subject"), F.array(F.struct(path.alias("path"), n.alias("add"), n.alias("del"))).alias("files"), (2 * n).alias("total_lines"))
+    f = lambda x: F.struct(x.alias("visit_ord"), F.lit("f").alias("name"), F.lit("arrow_function").alias("type"), x.alias("startLine"), x.alias("lines"), x.alias("maxNestingDepth"), x.alias("parameterCount"), x.alias("complexity"))
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda x: F.pmod(F.hash(n, x), F.lit(1000)))
+    measures = spark.range(5000).select(F.concat(F.lit("r"), n % 3).alias("repo_id"), F.concat(F.lit("m"), n).alias("file"), F.lit(None).cast("string").alias("error"), F.lit(20).cast("long").alias("total"), F.lit(None).cast("map<string, long>").alias("by_type"), F.transform(numbers, f).cast(schema.FUNCTIONS).alias("functions"), n.alias("empty_catches"), n.alias("console_logs"))
+    before = on_disk(spark)
+    reports = build_reports(Inputs(repos, files, history, measures=measures, dealt=files.repartition(4, "file")), 0, per_file=False)
+    assert max(left(spark, before, 100_000)) < 100_000  # 1.2 MB of texts, 20,000 commits and 100,000 functions
+    got = {r["repo_id"]: r["report"] for r in reports.collect()}
+    assert {k: v["totals"]["functions"] for k, v in got.items()} == {"r0": 33_340, "r1": 33_340, "r2": 33_320}
+    assert {k: v["git"]["totalCommits"] for k, v in got.items()} == {"r0": 6667, "r1": 6667, "r2": 6666}
+    assert {k: v["duplication"]["percentage"] for k, v in got.items()} == {r["repo_id"]: r["duplication"]["percentage"] for r in duplication.duplication(files).collect()}
